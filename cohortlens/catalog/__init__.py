@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-MODULES = ["evaluation"]
+MODULES = ["evaluation", "ranking", "cohorts", "statistics"]
 
 
 def query(name: str, sql: str | None = None):

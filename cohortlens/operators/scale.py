@@ -12,6 +12,7 @@ Everything here returns whole results. What changes is only where the rows are p
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -20,6 +21,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortlens.session import ensure_checkpoint_dir
+
 BAND = "_band"
 SALT = "_salt"
 # Rows of a statistics table that may be broadcast: at most a few dozen bytes each, so well below 100 MB.
@@ -36,6 +39,18 @@ def settle(df: DataFrame) -> tuple[DataFrame, int]:
     return kept, kept.count()
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write a derived table once to the shared checkpoint folder and read it back.
+
+    For a table several later steps read: it cuts the lineage, survives the loss of executors, keeps column pruning
+    and gives the planner the real size.
+    """
+    folder = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join per-key statistics to detail rows without sending a hot key to one task."""
     kept, rows = settle(stats)

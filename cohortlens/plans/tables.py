@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions import draws, scalars
+from cohortlens.operators.scale import staged
 
 DEPTH = 7
 BINS = 20
@@ -79,7 +80,8 @@ def paired_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str, seeds=(1,), split: str | None = "test") -> DataFrame:
     """Slice predictions of matched pairs: (seed, split, pair_id, participant, case_id, z, label, probability)."""
-    rows = paired_records(spark, sf_dir)
+    # The pair manifest is an artifact of the study that every later step reads: it is written once.
+    rows = staged(paired_records(spark, sf_dir))
     if split is not None:
         rows = rows.where(F.col("split") == split)
     rows = rows.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
