@@ -458,12 +458,12 @@ def train_scale(spark, d):
 @query("m14_alignment", f"""WITH {VALUES}, s AS (SELECT case_id, quantile_cont(v, 0.25) AS s1, quantile_cont(v, 0.5) AS s2, quantile_cont(v, 0.75) AS s3 FROM i WHERE modality = 'F' GROUP BY case_id),
 g AS (SELECT case_id, quantile_cont(v, 0.25) AS t1, quantile_cont(v, 0.5) AS t2, quantile_cont(v, 0.75) AS t3 FROM i WHERE modality = 'O' GROUP BY case_id),
 o AS (SELECT case_id, v + t2 - s2 AS a, (v - s2) * CASE WHEN s3 - s1 <= 1e-8 THEN 1 ELSE (t3 - t1) / (s3 - s1) END + s2 AS b, (v - s2) * CASE WHEN s3 - s1 <= 1e-8 THEN 1 ELSE (t3 - t1) / (s3 - s1) END + t2 AS c FROM i JOIN s USING (case_id) JOIN g USING (case_id) WHERE modality = 'F')
-SELECT case_id, 'median' AS method, round(avg(a), 7) AS mean, round(max(a), 7) AS hi FROM o GROUP BY case_id UNION ALL SELECT case_id, 'iqr', round(avg(b), 7), round(max(b), 7) FROM o GROUP BY case_id UNION ALL SELECT case_id, 'median_iqr', round(avg(c), 7), round(max(c), 7) FROM o GROUP BY case_id""")
+SELECT case_id, 'median' AS method, round(avg(a), 9) AS mean, round(max(a), 9) AS hi FROM o GROUP BY case_id UNION ALL SELECT case_id, 'iqr', round(avg(b), 9), round(max(b), 9) FROM o GROUP BY case_id UNION ALL SELECT case_id, 'median_iqr', round(avg(c), 9), round(max(c), 9) FROM o GROUP BY case_id""")
 def alignment(spark, d):
     df = t.intensities(spark, d)
     source, target = df.where("modality = 'F'"), df.where("modality = 'O'")
     parts = []
     for method in ("median", "iqr", "median_iqr"):
         out = normalize.align(source, target, ["case_id"], "v", method, "o")
-        parts.append(out.groupBy("case_id").agg(F.lit(method).alias("method"), F.round(F.avg("o"), 7).alias("mean"), F.round(F.max("o"), 7).alias("hi")))
+        parts.append(out.groupBy("case_id").agg(F.lit(method).alias("method"), F.round(F.avg("o"), 9).alias("mean"), F.round(F.max("o"), 9).alias("hi")))
     return scale.union_all(parts)
