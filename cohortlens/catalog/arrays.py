@@ -59,6 +59,10 @@ def grey_dilation(spark, d):
     return as_double(volume.grey_dilation(voxels(spark, d), ["subject"], size=3, tile=4), "score")
 
 
+def in_range(values, n):
+    return F.filter(values, lambda p: (p >= 0) & (p < n))
+
+
 @query("j16_neighbour_join", f"WITH {VOX}, {NEIGH} SELECT subject, z, y, x, count(*) AS n, round(max(CAST(score AS DOUBLE)), 9) AS top FROM nb GROUP BY subject, z, y, x")
 def neighbour_join(spark, d):
     # The stencil in its relational form: every voxel is sent to the positions whose reflected neighbourhood holds it.
@@ -68,15 +72,9 @@ def neighbour_join(spark, d):
 
     out = attach(df, size, ["subject"])
     for a in volume.AXES:
-        near = F.filter(
-            F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o, a=a: F.array(
-                F.col(a) - o,
-                F.when(-F.col(a) - 1 - o + o < 0, -F.col(a) - 1 - o),
-                F.when(2 * F.col(f"n{a}") - 1 - F.col(a) >= F.col(f"n{a}"), 2 * F.col(f"n{a}") - 1 - F.col(a) - o),
-            ))),
-            lambda p, a=a: p.isNotNull() & (p >= 0) & (p < F.col(f"n{a}")),
-        )
-        out = out.withColumn(f"t{a}", F.explode(near))
+        c, n = F.col(a), F.col(f"n{a}")
+        reach = F.array(*[e - o for o in (-1, 0, 1) for e in (c, -c - 1, 2 * n - 1 - c)])
+        out = out.withColumn(f"t{a}", F.explode(in_range(reach, n)))
     return out.groupBy("subject", *[F.col(f"t{a}").alias(a) for a in volume.AXES]).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.max(F.col("score").cast("double")), 9).alias("top"))
 

@@ -48,13 +48,15 @@ def fail_unless(condition: Column, value: Column, message: str) -> Column:
     return F.when(condition, value).otherwise(F.raise_error(F.lit(message)))
 
 
-# Accepted spellings of the two classes.
+# Accepted spellings of the two classes, and words read as yes / no.
 LABEL_ALIASES = {
     "0": 0, "false": 0, "healthy": 0, "control": 0, "source": 0, "a": 0,
-    "1": 1, "true": 1, "brats": 1, "target": 1, "lesion": 1, "b": 1,
+    "1": 1, "true": 1, "brats": 1, "brats21": 1, "target": 1, "lesion": 1, "b": 1,
 }
-TRUTHY = ("1", "true", "yes", "y", "on")
-FALSY = ("0", "false", "no", "n", "off")
+TRUTHY = ("1", "true", "yes", "y")
+PASS_WORDS = ("pass", "passed", "true", "yes", "ok", "success", "complete")
+FAIL_WORDS = ("fail", "failed", "false", "no", "error")
+CANONICAL_MODALITIES = ("FLAIR", "T1", "T2")
 
 
 def lookup(mapping: Mapping, key: Column) -> Column:
@@ -97,48 +99,54 @@ def first_present(*columns: Column | str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(_col(c).cast("string")), F.lit("")) for c in columns])
 
 
-def truthy(c: Column | str, default: bool = False) -> Column:
+def truthy(c: Column | str, default: bool = True) -> Column:
+    """Metadata flag; only a missing value takes the default."""
     text = F.lower(F.trim(_col(c).cast("string")))
-    return F.when(text.isNull() | (text == ""), F.lit(default)).otherwise(text.isin(*TRUTHY))
+    return F.coalesce(text.isin(*TRUTHY), F.lit(default))
 
 
 def tri_state(c: Column | str) -> Column:
     """TRUE / FALSE for recognised words, NULL otherwise."""
     text = F.lower(F.trim(_col(c).cast("string")))
-    return F.when(text.isin(*TRUTHY, "pass", "passed"), F.lit(True)).when(
-        text.isin(*FALSY, "fail", "failed"), F.lit(False)
-    )
+    return F.when(text.isin(*PASS_WORDS), F.lit(True)).when(text.isin(*FAIL_WORDS), F.lit(False))
 
 
 def modality_set(c: Column | str) -> Column:
-    """Canonical ``FLAIR+T1+T2`` text from a list in any order, case and separator."""
-    parts = F.filter(
-        F.transform(F.split(_col(c), r"[,+/;\s]+"), lambda x: F.upper(F.trim(x))), lambda x: x != F.lit("")
+    """Canonical ``FLAIR+T1+T2`` text from a list in any order, case and separator; unknown names follow, sorted."""
+    parts = F.array_distinct(
+        F.filter(F.transform(F.split(_col(c), "[+,/;_ ]+"), lambda x: F.upper(F.trim(x))), lambda x: x != F.lit(""))
     )
-    return F.array_join(F.array_sort(F.array_distinct(parts)), "+")
+    known = F.array(*[F.lit(m) for m in CANONICAL_MODALITIES])
+    return F.array_join(F.concat(F.array_intersect(known, parts), F.array_sort(F.array_except(parts, known))), "+")
 
 
 def strip_volume_suffix(name: Column | str) -> Column:
     return F.regexp_replace(_col(name), r"(?i)\.nii(\.gz)?$", "")
 
 
-# File-name tokens that rule a file out, and the token of each sequence.
-EXCLUDED_TOKENS = ("mask", "seg", "segmentation", "brainmask", "label", "lesion")
-CONTRAST_TOKENS = ("t1ce", "t1c", "t1gd", "gd", "ce", "contrast")
+# Parts of a file name that rule it out, and the tokens of the sequences.
+EXCLUDED_PARTS = ("mask", "seg", "label", "n4", "mni", "sri24", "registered", "warped")
+CONTRAST_TOKENS = ("t1ce", "t1c", "t1gd", "t1post")
+CONTRAST_HINTS = ("post", "gd", "contrast")
+T1_TOKENS = ("t1", "t1w", "t1n")
+T2_TOKENS = ("t2", "t2w")
 
 
 def modality_from_name(name: Column | str) -> Column:
-    """FLAIR / T1 / T2 by whole tokens of the file name; a contrast-enhanced T1 is never T1."""
-    tokens = F.split(F.lower(strip_volume_suffix(name)), "[^a-z0-9]+")
+    """flair / t1 / t2 from a file name, NULL for derived files; a contrast-enhanced T1 is never T1."""
+    stem = F.lower(strip_volume_suffix(name))
+    tokens = F.split(stem, "[^a-z0-9]+")
 
     def has(*words: str) -> Column:
         return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
 
     return (
-        F.when(has(*EXCLUDED_TOKENS), None)
-        .when(has("flair"), "FLAIR")
-        .when(has("t1", "t1w") & ~has(*CONTRAST_TOKENS), "T1")
-        .when(has("t2", "t2w"), "T2")
+        F.when(stem.rlike("|".join(EXCLUDED_PARTS)), None)
+        .when(stem.contains("flair") | has("t2f"), "flair")
+        .when(has(*CONTRAST_TOKENS), None)
+        .when(has(*CONTRAST_HINTS) & stem.contains("t1"), None)
+        .when(has(*T1_TOKENS), "t1")
+        .when(has(*T2_TOKENS), "t2")
     )
 
 
