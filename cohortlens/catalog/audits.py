@@ -111,7 +111,7 @@ def expectations(spark, d):
 
 
 QC = """qc AS (SELECT p_partkey AS session_id, p_size > 1 AS image_finite, true AS mask_finite, p_retailprice > 901 AS geometry_valid, true AS shape_valid, avg(l_quantity) / 15 AS brain_volume_L, CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE avg(l_discount) END AS det,
- min(l_quantity) / 4 AS sv_min, max(l_quantity) / 12.5 AS sv_max, 1 - p_size / 150.0::DOUBLE AS mask_dice, avg(l_tax) - 0.02 AS T1_MNI_MI_improvement, avg(l_discount) - 0.02 AS FLAIR_T1_MI_improvement, 0.1::DOUBLE AS T2_T1_MI_improvement, 1 - p_size / 2400.0::DOUBLE AS guard_retention
+ min(l_quantity) AS sv_min, max(l_quantity) / 12.5 AS sv_max, 1 - p_size / 150.0::DOUBLE AS mask_dice, avg(l_tax) - 0.02 AS T1_MNI_MI_improvement, avg(l_discount) - 0.02 AS FLAIR_T1_MI_improvement, 0.1::DOUBLE AS T2_T1_MI_improvement, 1 - p_size / 1500.0::DOUBLE AS guard_retention
  FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_size, p_retailprice)"""
 
 
@@ -121,8 +121,8 @@ def qc_rows(spark, d):
     rows = t.table(spark, d, "part").join(lines, F.col("p_partkey") == F.col("l_partkey"))
     return rows.select(
         F.col("p_partkey").alias("session_id"), (F.col("p_size") > 1).alias("image_finite"), F.lit(True).alias("mask_finite"), (F.col("p_retailprice") > 901).alias("geometry_valid"), F.lit(True).alias("shape_valid"),
-        (F.col("q") / 15).alias("brain_volume_L"), F.when(F.col("p_partkey") % 97 != 0, F.col("dd")).alias("det"), (F.col("lo") / 4).alias("sv_min"), (F.col("hi") / 12.5).alias("sv_max"), (1 - F.col("p_size") / 150).alias("mask_dice"),
-        (F.col("tx") - 0.02).alias("T1_MNI_MI_improvement"), (F.col("dd") - 0.02).alias("FLAIR_T1_MI_improvement"), F.lit(0.1).alias("T2_T1_MI_improvement"), (1 - F.col("p_size") / 2400).alias("guard_retention"))
+        (F.col("q") / 15).alias("brain_volume_L"), F.when(F.col("p_partkey") % 97 != 0, F.col("dd")).alias("det"), F.col("lo").alias("sv_min"), (F.col("hi") / 12.5).alias("sv_max"), (1 - F.col("p_size") / 150).alias("mask_dice"),
+        (F.col("tx") - 0.02).alias("T1_MNI_MI_improvement"), (F.col("dd") - 0.02).alias("FLAIR_T1_MI_improvement"), F.lit(0.1).alias("T2_T1_MI_improvement"), (1 - F.col("p_size") / 1500).alias("guard_retention"))
 
 
 QC_FLAGS = """fl AS (SELECT session_id, list_filter([CASE WHEN NOT image_finite THEN 'FAIL:image_finite' END, CASE WHEN NOT geometry_valid THEN 'FAIL:geometry_valid' END,
@@ -141,7 +141,7 @@ FIELDS = ("mask_dice", "brain_volume_L", "det", "T1_MNI_MI_improvement", "guard_
 OUT = f"""lg AS (SELECT session_id AS id, field, value FROM (SELECT session_id, {', '.join(FIELDS)} FROM qc) UNPIVOT INCLUDE NULLS (value FOR field IN ({', '.join(FIELDS)}))),
 md AS (SELECT field, median(value) AS m FROM lg GROUP BY field), dv AS (SELECT id, field, value, m, abs(value - m) AS dev FROM lg JOIN md USING (field)), ma AS (SELECT field, median(dev) AS mad FROM dv GROUP BY field),
 zz AS (SELECT id, field, CASE WHEN value IS NULL THEN NULL WHEN mad <= 1e-12 THEN CASE WHEN dev <= 1e-12 THEN 0 ELSE 'inf'::DOUBLE END ELSE 0.67448975 * (value - m) / mad END AS z FROM dv JOIN ma USING (field)),
-mg AS (SELECT *, CASE WHEN z IS NULL THEN 0 ELSE round(least(abs(z), 1e12), 9) END AS magnitude FROM zz)"""
+mg AS (SELECT *, CASE WHEN z IS NULL THEN 0 ELSE least(abs(z), 1e12) END AS magnitude FROM zz)"""
 
 
 @query("n10_outliers", f"""WITH {QC}, {OUT} SELECT id, round(max(magnitude), 8) AS outlier_score, count(*) FILTER (WHERE magnitude >= 3.5 AND magnitude < 1e12) AS alarms FROM mg GROUP BY id""")
