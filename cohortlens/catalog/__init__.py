@@ -6,7 +6,8 @@ import importlib
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-MODULES = ["evaluation", "ranking", "cohorts", "statistics", "distributions", "arrays", "sets", "audits", "scalars", "io"]
+MODULES = ["evaluation", "ranking", "cohorts", "statistics", "distributions", "arrays", "sets", "audits", "scalars", "io",
+           "incremental", "modelling"]
 
 
 def query(name: str, sql: str | None = None):

@@ -57,7 +57,7 @@ SELECT participant, session, CASE WHEN n1 <> 1 OR nf > 1 OR n2 > 1 THEN 'EXCLUDE
  list_filter([CASE WHEN nf > 1 THEN 'ambiguous_flair:' || nf WHEN nf = 0 THEN 'missing_flair' END, CASE WHEN n1 > 1 THEN 'ambiguous_t1:' || n1 WHEN n1 = 0 THEN 'missing_t1' END, CASE WHEN n2 > 1 THEN 'ambiguous_t2:' || n2 WHEN n2 = 0 THEN 'missing_t2' END], lambda x: x IS NOT NULL) AS reasons FROM c""")
 def session_discovery(spark, d):
     token = F.create_map(*[F.lit(v) for v in ("1-URGENT", "flair", "2-HIGH", "t1", "3-MEDIUM", "t1w", "4-NOT SPECIFIED", "t2", "5-LOW", "t1ce")])
-    name = F.concat(F.lit("scan"), F.col("o_orderkey"), F.lit("_"), F.element_at(token, F.col("o_orderpriority")), F.lit(".nii.gz"))
+    name = F.concat(F.lit("img-"), F.col("o_orderkey"), F.lit("_"), F.element_at(token, F.col("o_orderpriority")), F.lit(".nii.gz"))
     listing = t.table(spark, d, "orders").select(F.concat_ws("/", F.lit("root"), "o_custkey", F.year("o_orderdate"), name).alias("path"))
     return manifests.discover_sessions(listing).select("participant", "session", "status", "reasons")
 

@@ -149,8 +149,14 @@ EXCLUDED_DIRECTORIES = ("cache", "images", "checkpoints", "figures")
 
 def scan_artifacts(spark: SparkSession, roots: Sequence[str], glob: str = "*.json") -> DataFrame:
     """(path, run) of result files under run roots, without cache, image and checkpoint directories."""
-    found = sets.union([list_files(spark, root, glob).select("path", F.lit(root.rstrip("/").rsplit("/", 1)[-1]).alias("run")) for root in roots])
-    return found.where(~F.col("path").rlike("/(" + "|".join(EXCLUDED_DIRECTORIES) + ")/"))
+    found = []
+    for root in roots:
+        run = root.rstrip("/").rsplit("/", 1)[-1]
+        # Only directories below the run root decide.
+        inside = F.substring_index("path", run, -1)
+        files = list_files(spark, root, glob).where(~inside.rlike("/(" + "|".join(EXCLUDED_DIRECTORIES) + ")/"))
+        found.append(files.select("path", F.lit(run).alias("run")))
+    return sets.union(found)
 
 
 PREDICTION = "array<struct<participant:string,label:int,probability:double>>"
