@@ -284,3 +284,10 @@ def threshold_registry(spark, d):
         out = out.join(thr, "subject")
         inside = inside & F.col(name).between(F.col("lo"), F.col("hi"))
     return out.select("subject", F.round(F.col("lo").cast("double"), 7).alias("lo"), F.round(F.col("hi").cast("double"), 7).alias("hi"), inside.alias("inside"))
+
+
+@query("x5_batch_kernel", "SELECT vec_id AS slice_id, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)), 8) AS energy FROM embeddings")
+def batch_kernel(spark, d):
+    # The batch-kernel surface: any function [n, h, w] → [n, m] runs map-side over Arrow batches.
+    out = spectral.map_slices(t.slices(spark, d), "px", 8, 8, "energy", lambda x: (x * x).sum(axis=(1, 2))[:, None], ["slice_id"])
+    return out.select("slice_id", F.round(F.get("energy", F.lit(0)), 8).alias("energy"))

@@ -18,8 +18,7 @@ FAULTY = f"""{S.SPLITS}, fr AS (SELECT participant, case_id, z, z_norm, CASE WHE
 
 
 def faulty(spark, d):
-    rows = t.records(spark, d)
-    mapped = splits.apply_split_map(rows, splits.participant_split(rows.select("participant").distinct(), "participant"))
+    mapped = t.split_records(spark, d)
     k = F.col("source_key")
     return mapped.withColumns({
         "z_bin": F.when(k % 43 == 0, F.col("z_bin") + 1).otherwise(F.col("z_bin")),
@@ -68,8 +67,7 @@ def provenance(spark, d):
 e AS (SELECT split, label, CASE WHEN split = 'val' THEN actual + 1 ELSE actual END AS expected FROM a WHERE NOT (split = 'test' AND label = 1))
 SELECT a.split, a.label, actual, expected, coalesce(actual = expected, false) AS ok FROM a LEFT JOIN e ON a.split = e.split AND a.label = e.label""")
 def frozen_counts(spark, d):
-    rows = t.records(spark, d)
-    mapped = splits.apply_split_map(rows, splits.participant_split(rows.select("participant").distinct(), "participant"))
+    mapped = t.split_records(spark, d)
     actual = staged(mapped.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")))
     expected = actual.where("NOT (split = 'test' AND label = 1)").withColumn("n", F.col("n") + F.when(F.col("split") == "val", 1).otherwise(0))
     return audits.expectations(actual, expected, ["split", "label"], "n")
@@ -275,8 +273,7 @@ def tumor_free(spark, d):
 
 @query("p18_configured_exclusions", f"""WITH {S.SPLITS}, m AS (SELECT split, participant, count(*) AS n FROM records JOIN split_map USING (participant) GROUP BY ALL) SELECT split, count(*) AS before, count(*) FILTER (WHERE participant % 19 <> 0) AS after, CAST(sum(n) FILTER (WHERE participant % 19 <> 0) AS BIGINT) AS records FROM m GROUP BY split""")
 def configured_exclusions(spark, d):
-    rows = t.records(spark, d)
-    mapped = splits.apply_split_map(rows, splits.participant_split(rows.select("participant").distinct(), "participant"))
+    mapped = t.split_records(spark, d)
     people = staged(mapped.groupBy("split", "participant").agg(F.count(F.lit(1)).alias("n")))
     configured = people.where("participant % 19 = 0").select("participant")
     adjudicated = people.where("pmod(participant, 19) = 0").select("participant")

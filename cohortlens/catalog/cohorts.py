@@ -61,8 +61,7 @@ def participant_split(spark, d):
 @query("j1_split_join", f"""WITH {S.SPLITS} SELECT split, label, count(*) AS records, count(DISTINCT participant) AS participants
 FROM records JOIN split_map USING (participant) GROUP BY split, label""")
 def split_join(spark, d):
-    rows = t.records(spark, d)
-    mapped = splits.apply_split_map(rows, splits.participant_split(rows.select("participant").distinct(), "participant"))
+    mapped = t.split_records(spark, d)
     per = mapped.groupBy("split", "label", "participant").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("split", "label").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("participants"))
 
@@ -156,8 +155,7 @@ def matched_pairs(spark, d):
 
 
 def full_pairing(spark, d):
-    rows = t.records(spark, d)
-    mapped = splits.apply_split_map(rows, splits.participant_split(rows.select("participant").distinct(), "participant"))
+    mapped = t.split_records(spark, d)
     return pairing.build_pairs(mapped.where("label = 0"), mapped.where("label = 1"), seed=t.SEED)
 
 

@@ -265,10 +265,7 @@ def inventory(spark, d):
 
 @query("d23_composition", f"""WITH {S.SPLITS} SELECT domain, split, count(*) AS eligible, count(*) FILTER (WHERE support >= 0.5) AS selected FROM records JOIN split_map USING (participant) GROUP BY domain, split""")
 def composition(spark, d):
-    from cohortlens.operators import splits
-
-    rows = t.records(spark, d)
-    mapped = splits.apply_split_map(rows, splits.participant_split(rows.select("participant").distinct(), "participant"))
+    mapped = t.split_records(spark, d)
     return mapped.groupBy("domain", "split").agg(F.count(F.lit(1)).alias("eligible"), F.count_if(F.col("support") >= 0.5).alias("selected"))
 
 

@@ -78,10 +78,7 @@ def slice_write(spark, d):
 
 @query("s8_manifest_products", f"WITH {S.SPLITS} SELECT split, count(*) AS rows FROM records JOIN split_map USING (participant) GROUP BY split")
 def manifest_products(spark, d):
-    from cohortlens.operators import splits
-
-    rows = t.records(spark, d)
-    mapped = splits.apply_split_map(rows, splits.participant_split(rows.select("participant").distinct(), "participant"))
+    mapped = t.split_records(spark, d)
     return manifests.write_manifest_products(mapped)[1]
 
 

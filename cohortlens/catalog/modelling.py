@@ -35,8 +35,7 @@ def permutation_null(spark, d):
 
 
 def split_records(spark, d):
-    rows = t.records(spark, d)
-    return splits.apply_split_map(rows, splits.participant_split(rows.select("participant").distinct(), "participant"))
+    return t.split_records(spark, d)
 
 
 @query("l10_same_cohort_pairs")
@@ -49,3 +48,18 @@ def same_cohort_pairs(spark, d):
 def source_stratified_pairs(spark, d):
     out = controls.source_stratified_pairs(t.records(spark, d).where("label = 0"), 73)
     return out.select("source", "split", "pair_id", "participant", "label", "z_bin", "z", "record_id")
+
+
+def control_slices(spark, d):
+    """Low slices of one source and three pools of other slices, one slice per (case, z)."""
+    rows = t.records(spark, d).select(
+        F.lit("all").alias("partition"), F.col("record_id").alias("key"), "case_id", "z", (F.col("support") * 0.9 + (F.col("source_key") % 10) / 100).alias("support"), "source")
+    pool = F.when(F.col("source") == 1, "a").when(F.col("source") == 2, "b").when(F.col("source") == 3, "c")
+    return rows.where("source = 0").drop("source"), rows.withColumn("pool", pool).where("pool IS NOT NULL").drop("source")
+
+
+@query("j11_matched_controls")
+def matched_controls(spark, d):
+    low, pools = control_slices(spark, d)
+    out = controls.matched_controls(low, pools, 73)
+    return out.select("key", "pool", "control", F.round("distance", 9).alias("distance"))

@@ -49,10 +49,7 @@ def manifest_against_predictions(spark, d):
 @query("j4_split_local_join", f"""WITH {S.SPLITS}, so AS (SELECT DISTINCT split, source_key, split || '/' || source_key AS path FROM records JOIN split_map USING (participant))
 SELECT record_id, r.split, path FROM (SELECT r.*, split FROM records r JOIN split_map USING (participant)) r LEFT JOIN so ON so.split = r.split AND so.source_key = r.source_key""")
 def split_local_join(spark, d):
-    from cohortlens.operators import splits
-
-    rows = t.records(spark, d)
-    mapped = splits.apply_split_map(rows, splits.participant_split(rows.select("participant").distinct(), "participant"))
+    mapped = t.split_records(spark, d)
     source = mapped.select("split", "source_key").distinct().withColumn("path", F.concat_ws("/", "split", "source_key"))
     joined, repeated = sets.keyed_join(mapped, source, ["split", "source_key"])
     return joined.join(repeated, ["split", "source_key"], "left_anti").select("record_id", "split", "path")

@@ -11,10 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.functions import draws
 from cohortlens.operators.pairing import balance_bins, first_per_bin
 from cohortlens.operators.scale import attach, staged
+from cohortlens.sources.writers import scratch
 
 MEAN_GRID = 4
 
@@ -44,50 +46,53 @@ def two_groups(people: DataFrame, keys: Sequence[str], seed) -> DataFrame:
     return ranked.withColumn("side", side).where("side IS NOT NULL").drop("_r", "_n")
 
 
-def match_classes(classes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Greedy matching of classes, best pair first: (keys, c0, c1, amount, from0, from1).
+def match_classes(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Greedy matching of candidate class pairs, best first: (keys, c0, c1, amount, from0, from1).
 
-    ``classes`` is (keys, side, cls, bins, mean_cell, size). A pair ranks by more common bins, then nearer means, then
-    class names. In every round the pairs that are best for both partners are matched with the smaller remaining size;
-    their order is total, so each round matches something and the loop ends. ``from0`` / ``from1`` are the ranks the
-    match starts at inside the two classes.
+    ``pairs`` is (keys, c0, c1, s0, s1, order): the classes, their sizes and a total order of preference. In every round
+    the pairs that are best for both partners are matched with the smaller remaining size. The globally best open pair is
+    always among them, so each round matches something and the loop ends. ``from0`` / ``from1`` are the ranks the match
+    starts at inside the two classes. Each round appends its matches to one folder of the shared directory.
     """
     keys = list(keys)
+    spark = pairs.sparkSession
+    pairs = staged(pairs)
+    folder = scratch(spark, "matches")
+    schema = T.StructType(
+        [*[pairs.schema[k] for k in keys], pairs.schema["c0"], pairs.schema["c1"]]
+        + [T.StructField(c, T.LongType()) for c in ("amount", "from0", "from1")]
+    )
 
-    def side(n: int) -> DataFrame:
-        return classes.where(F.col("side") == n).select(
-            *keys, F.col("cls").alias(f"c{n}"), F.col("bins").alias(f"b{n}"), F.col("mean_cell").alias(f"m{n}"), F.col("size").alias(f"s{n}")
-        )
+    def used(so_far: DataFrame, c: str, out: str) -> DataFrame:
+        return so_far.groupBy(*keys, c).agg(F.sum("amount").alias(out))
 
-    # Candidates share at least one bin: an equi-join on the bin, reduced to distinct class pairs.
-    left = side(0).withColumn("_bin", F.explode("b0"))
-    right = side(1).withColumn("_bin", F.explode("b1"))
-    pairs = left.join(right, [*keys, "_bin"]).groupBy(*keys, "c0", "c1").agg(
-        F.count(F.lit(1)).alias("common"), F.first(F.abs(F.col("m0") - F.col("m1"))).alias("gap")
-    )
-    pairs = staged(pairs.withColumn("_order", F.struct(-F.col("common"), "gap", "c0", "c1")))
-    left0 = staged(side(0).select(*keys, "c0", F.col("s0").alias("r0"), F.lit(0).cast("long").alias("u0")))
-    left1 = staged(side(1).select(*keys, "c1", F.col("s1").alias("r1"), F.lit(0).cast("long").alias("u1")))
-    matched: DataFrame | None = None
+    number = 0
     while True:
-        open_pairs = pairs.join(left0.where("r0 > 0"), [*keys, "c0"]).join(left1.where("r1 > 0"), [*keys, "c1"])
-        best0 = Window.partitionBy(*keys, "c0").orderBy("_order")
-        best1 = Window.partitionBy(*keys, "c1").orderBy("_order")
+        current = pairs.withColumns({"u0": F.lit(0).cast("long"), "u1": F.lit(0).cast("long")})
+        if number:
+            done = spark.read.schema(schema).parquet(*[f"{folder}/round-{i}" for i in range(number)])
+            current = pairs.join(used(done, "c0", "_u0"), [*keys, "c0"], "left").join(used(done, "c1", "_u1"), [*keys, "c1"], "left")
+            current = current.withColumns({"u0": F.coalesce("_u0", F.lit(0)), "u1": F.coalesce("_u1", F.lit(0))})
+        open_pairs = current.where((F.col("s0") > F.col("u0")) & (F.col("s1") > F.col("u1")))
+        # A class has a bounded number of candidate classes, so these windows are small.
+        best0 = Window.partitionBy(*keys, "c0").orderBy("order")
+        best1 = Window.partitionBy(*keys, "c1").orderBy("order")
         mutual = open_pairs.select("*", F.row_number().over(best0).alias("_k0"), F.row_number().over(best1).alias("_k1")).where("_k0 = 1 AND _k1 = 1")
-        step = staged(mutual.select(*keys, "c0", "c1", F.least("r0", "r1").alias("amount"), F.col("u0").alias("from0"), F.col("u1").alias("from1"), "common"))
-        if step.isEmpty():
-            break
-        matched = step if matched is None else staged(matched.unionByName(step))
-        left0 = _consume(left0, step, keys, "0")
-        left1 = _consume(left1, step, keys, "1")
-    return matched if matched is not None else step
+        amount = F.least(F.col("s0") - F.col("u0"), F.col("s1") - F.col("u1"))
+        step = mutual.select(*keys, "c0", "c1", amount.alias("amount"), F.col("u0").alias("from0"), F.col("u1").alias("from1"))
+        step.write.parquet(f"{folder}/round-{number}")
+        number += 1
+        if spark.read.schema(schema).parquet(f"{folder}/round-{number - 1}").isEmpty():
+            return spark.read.schema(schema).parquet(*[f"{folder}/round-{i}" for i in range(number)])
 
 
-def _consume(left: DataFrame, step: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
-    taken = step.select(*keys, f"c{n}", F.col("amount").alias("_a"))
-    amount = F.coalesce("_a", F.lit(0))
-    joined = left.join(taken, [*keys, f"c{n}"], "left")
-    return staged(joined.select(*keys, f"c{n}", (F.col(f"r{n}") - amount).alias(f"r{n}"), (F.col(f"u{n}") + amount).alias(f"u{n}")))
+def expand_matches(matched: DataFrame, members0: DataFrame, members1: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Member pairs of matched classes. ``members`` are (keys, cls, rank, …) with ranks inside the class."""
+    slots = matched.select(*keys, "c0", "c1", "from0", "from1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("amount") - 1)).alias("_s"))
+    placed = slots.withColumns({"rank0": F.col("from0") + F.col("_s"), "rank1": F.col("from1") + F.col("_s")}).drop("from0", "from1", "_s")
+    left = members0.withColumnsRenamed({"cls": "c0", "rank": "rank0"})
+    right = members1.withColumnsRenamed({"cls": "c1", "rank": "rank1"})
+    return placed.join(left, [*keys, "c0", "rank0"]).join(right, [*keys, "c1", "rank1"])
 
 
 def same_cohort_pairs(rows: DataFrame, seed: int, keys: Sequence[str] = ("split",), cap: int = 2) -> DataFrame:
@@ -98,16 +103,26 @@ def same_cohort_pairs(rows: DataFrame, seed: int, keys: Sequence[str] = ("split"
     keys = list(keys)
     people = profiles(rows, keys)
     grouped = two_groups(people, keys, seed).withColumn("cls", F.concat_ws(":", F.array_join("bins", ","), "mean_cell"))
-    ranked = staged(draws.permuted(grouped, "participant", f"{seed}:class", [*keys, "side", "cls"], "_r"))
-    classes = ranked.groupBy(*keys, "side", "cls").agg(F.first("bins").alias("bins"), F.first("mean_cell").alias("mean_cell"), F.count(F.lit(1)).alias("size"))
-    matched = match_classes(classes, keys)
-    slots = matched.select(*keys, "c0", "c1", "from0", "from1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("amount") - 1)).alias("_s"))
+    ranked = staged(draws.permuted(grouped, "participant", f"{seed}:class", [*keys, "side", "cls"], "rank"))
+    classes = staged(ranked.groupBy(*keys, "side", "cls").agg(F.first("bins").alias("bins"), F.first("mean_cell").alias("mean_cell"), F.count(F.lit(1)).alias("size")))
+
+    def side(n: int) -> DataFrame:
+        return classes.where(F.col("side") == n).select(
+            *keys, F.col("cls").alias(f"c{n}"), F.col("mean_cell").alias(f"m{n}"), F.col("size").alias(f"s{n}"), F.explode("bins").alias("_bin")
+        )
+
+    # Candidates share at least one bin: an equi-join on the bin, reduced to distinct class pairs. More common bins
+    # first, then nearer means, then class names.
+    candidates = side(0).join(side(1), [*keys, "_bin"]).groupBy(*keys, "c0", "c1").agg(
+        F.count(F.lit(1)).alias("_n"), F.first(F.abs(F.col("m0") - F.col("m1"))).alias("_gap"), F.first("s0").alias("s0"), F.first("s1").alias("s1")
+    )
+    order = F.struct((-F.col("_n")).alias("n"), F.col("_gap").alias("gap"), F.col("c0").alias("a"), F.col("c1").alias("b"))
+    matched = match_classes(candidates.withColumn("order", order).drop("_n", "_gap"), keys)
 
     def members(n: int) -> DataFrame:
-        return ranked.where(F.col("side") == n).select(*keys, F.col("cls").alias(f"c{n}"), F.col("_r").alias(f"_r{n}"), F.col("participant").alias(f"p{n}"))
+        return ranked.where(F.col("side") == n).select(*keys, "cls", "rank", F.col("participant").alias(f"p{n}"))
 
-    placed = slots.withColumns({"_r0": F.col("from0") + F.col("_s"), "_r1": F.col("from1") + F.col("_s")})
-    pairs = placed.join(members(0), [*keys, "c0", "_r0"]).join(members(1), [*keys, "c1", "_r1"])
+    pairs = expand_matches(matched, members(0), members(1), keys)
     pair_id = F.concat_ws(":", F.lit("negative"), *keys, F.substring(F.sha2(F.concat_ws("|", "p0", "p1"), 256), 1, 12))
     member = staged(pairs.select(pair_id.alias("pair_id"), F.explode(F.array(
         F.struct(F.col("p0").alias("participant"), F.lit(0).alias("label")), F.struct(F.col("p1").alias("participant"), F.lit(1).alias("label")))).alias("_m")
@@ -131,3 +146,63 @@ def source_stratified_pairs(rows: DataFrame, seed: int, fractions: Sequence[floa
     assigned = ranked.select("participant", split.alias("split")).where("split IS NOT NULL")
     joined = attach(rows.drop("split"), staged(assigned), ["participant"])
     return same_cohort_pairs(joined, seed, ["source", "split"])
+
+
+Z_REACH = 2
+SUPPORT_REACH = 0.03
+SUPPORT_GRID = 0.005
+
+
+def matched_controls(low: DataFrame, pools: DataFrame, seed: int, keys: Sequence[str] = ("partition",)) -> DataFrame:
+    """One unused control slice from every pool for each low slice: |Δz| ≤ 2, |Δsupport| ≤ 0.03, another case.
+
+    ``low`` is (keys, key, case_id, z, support) and ``pools`` the same with ``pool``. Slices are grouped to cells of
+    depth and support; cells within reach are matched nearest first and their members paired by seeded rank. A pair that
+    turns out to exceed the support limit or to share its case is dissolved, and its slices enter the next pass with what
+    is left; passes end when one adds nothing. The result keeps low slices that found a control in every pool:
+    (keys, key, pool, control, distance).
+    """
+    keys = [*keys, "pool"]
+    names = [r[0] for r in pools.select("pool").distinct().collect()]
+    cell = F.struct(F.col("z"), F.floor(F.col("support") / SUPPORT_GRID).cast("int").alias("cell"))
+    lows = low.withColumn("pool", F.explode(F.array(*[F.lit(n) for n in names])))
+    open0, open1 = staged(lows.withColumn("cls", cell)), staged(pools.withColumn("cls", cell))
+    found: DataFrame | None = None
+    attempt = 0
+    while True:
+        rank0 = staged(draws.permuted(open0, "key", f"{seed}:{attempt}:low", [*keys, "cls"], "rank"))
+        rank1 = staged(draws.permuted(open1, "key", f"{seed}:{attempt}:control", [*keys, "cls"], "rank"))
+        matched = match_classes(_cells_in_reach(rank0, rank1, keys), keys)
+        a = rank0.select(*keys, "cls", "rank", "key", F.col("case_id").alias("_c0"), F.col("z").alias("_z0"), F.col("support").alias("_s0"))
+        b = rank1.select(*keys, "cls", "rank", F.col("key").alias("control"), F.col("case_id").alias("_c1"), F.col("z").alias("_z1"), F.col("support").alias("_s1"))
+        pairs = expand_matches(matched, a, b, keys)
+        gap = F.abs(F.col("_s0") - F.col("_s1"))
+        good = staged(
+            pairs.where((gap <= SUPPORT_REACH) & (F.col("_c0") != F.col("_c1")))
+            .select(*keys, "key", "control", (F.abs(F.col("_z0") - F.col("_z1")) / Z_REACH + gap / SUPPORT_REACH).alias("distance"))
+        )
+        if good.isEmpty():
+            break
+        found = good if found is None else staged(found.unionByName(good))
+        open0 = staged(open0.join(good.select(*keys, "key"), [*keys, "key"], "left_anti"))
+        open1 = staged(open1.join(good.select(*keys, F.col("control").alias("key")), [*keys, "key"], "left_anti"))
+        attempt += 1
+    if found is None:
+        return good
+    complete = found.groupBy(*keys[:-1], "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(names)).drop("_n")
+    return found.join(complete, [*keys[:-1], "key"])
+
+
+def _cells_in_reach(rank0: DataFrame, rank1: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Candidate cell pairs: each cell looks at the fixed number of cells within reach, so this is an equi-join."""
+    steps = int(round(SUPPORT_REACH / SUPPORT_GRID))
+    sizes0 = rank0.groupBy(*keys, "cls").agg(F.count(F.lit(1)).alias("s0")).withColumnRenamed("cls", "c0")
+    sizes1 = rank1.groupBy(*keys, "cls").agg(F.count(F.lit(1)).alias("s1")).withColumnRenamed("cls", "c1")
+    near = sizes0.withColumn("_dz", F.explode(F.sequence(F.lit(-Z_REACH), F.lit(Z_REACH)))).withColumn(
+        "_ds", F.explode(F.sequence(F.lit(-steps), F.lit(steps)))
+    )
+    target = F.struct((F.col("c0.z") + F.col("_dz")).cast("int").alias("z"), (F.col("c0.cell") + F.col("_ds")).alias("cell"))
+    pairs = near.withColumn("c1", target).join(sizes1, [*keys, "c1"])
+    distance = F.round(F.abs(F.col("_dz")) / Z_REACH + F.abs(F.col("_ds")) * SUPPORT_GRID / SUPPORT_REACH, 9)
+    order = F.struct(distance.alias("d"), F.col("c0").alias("a"), F.col("c1").alias("b"))
+    return pairs.select(*keys, "c0", "c1", "s0", "s1", order.alias("order"))

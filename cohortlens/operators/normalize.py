@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import scalars
 from cohortlens.operators.scale import (
-    attach, attach_scalar, banded, exact_quantile_grid, exact_quantiles, quantile_positions, running, staged,
+    attach, attach_scalar, banded, exact_quantile_grid, exact_quantiles, grid_of_ranks, quantile_positions, running, staged,
 )
 from cohortlens.operators.summaries import histogram_bin
 
@@ -73,12 +73,14 @@ def equalize(df: DataFrame, keys: Sequence[str], value: str, out: str, bins: int
     return both.select(*df.columns, mapped.alias(out))
 
 
+def positive_or_fail(value: str) -> Column:
+    v = F.col(value)
+    return scalars.fail_unless(scalars.is_finite(v) & (v > 0), v, "landmarks need finite positive values")
+
+
 def landmarks(df: DataFrame, keys: Sequence[str], value: str, intervals: int = 4096) -> DataFrame:
     """Quantile landmarks of positive finite values; other values and degenerate groups stop the job."""
-    v = F.col(value)
-    checked = df.withColumn(value, scalars.fail_unless(scalars.is_finite(v) & (v > 0), v, "landmarks need finite positive values"))
-    rows = exact_quantile_grid(checked, keys, value, intervals)
-    return rows
+    return exact_quantile_grid(df.withColumn(value, positive_or_fail(value)), keys, value, intervals)
 
 
 def reference_curve(df: DataFrame, case: Sequence[str], group: Sequence[str], value: str, intervals: int = 4096) -> DataFrame:
@@ -93,16 +95,17 @@ def quantile_map(df: DataFrame, keys: Sequence[str], value: str, target: DataFra
     ⌊s·K/(N−1)⌋ and the next one, so the bracket is an equi-join on (key, landmark index). That splits a hot key into K
     parts and needs no range join.
     """
-    ranked = staged(quantile_positions(df, keys, value, sample_of=df))
-    own = landmarks(df, keys, value, intervals).withColumnRenamed("q", "x")
-    paired = own.join(F.broadcast(target.withColumnRenamed("q", "_y")) if intervals <= 100_000 and not target_keys else target.withColumnRenamed("q", "_y"), [*target_keys, "i"])
+    v = F.col(value)
+    checked = df.withColumn(value, positive_or_fail(value))
+    ranked = staged(quantile_positions(checked, keys, value, sample_of=df))
+    own = grid_of_ranks(ranked, keys, value, intervals).withColumnRenamed("q", "x")
+    paired = own.join(target.withColumnRenamed("q", "_y"), [*target_keys, "i"])
     knots = staged(paired.select(*keys, "i", "x", F.avg("_y").over(Window.partitionBy(*keys, "x")).alias("y")))
     last = F.greatest(F.col("n_total") - 1, F.lit(1))
     placed = ranked.withColumn("i", F.floor(F.col("n_before") * F.lit(intervals) / last).cast("int"))
     left = knots.select(*keys, "i", F.col("x").alias("_x0"), F.col("y").alias("_y0"))
     right = knots.select(*keys, (F.col("i") - 1).alias("i"), F.col("x").alias("_x1"), F.col("y").alias("_y1"))
     both = placed.join(left, [*keys, "i"]).join(right, [*keys, "i"], "left")
-    v = F.col(value)
     mapped = (
         F.when(v <= F.col("_x0"), F.col("_y0"))
         .when(F.col("_x1").isNull() | (v >= F.col("_x1")), F.coalesce("_y1", "_y0"))

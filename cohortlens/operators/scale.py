@@ -180,13 +180,12 @@ def exact_quantile_grid(df: DataFrame, keys: Sequence[str], value: str, interval
     Each distinct value lists the grid positions that fall on it, so every landmark is produced exactly twice (lower
     and upper neighbour) whatever the size of the group.
     """
-    ranked = quantile_positions(df, keys, value, sample_of=df)
-    start, end, last = F.col("n_before"), F.col("n_before") + F.col("n"), F.col("n_total") - 1
+    return grid_of_ranks(quantile_positions(df, keys, value, sample_of=df), keys, value, intervals)
 
-    def at(position, index):
-        return F.floor((last * index) / F.lit(intervals) + F.lit(0.0)) if position == "lo" else F.least(
-            F.floor((last * index) / F.lit(intervals) + F.lit(0.0)) + 1, last
-        )
+
+def grid_of_ranks(ranked: DataFrame, keys: Sequence[str], value: str, intervals: int) -> DataFrame:
+    """``exact_quantile_grid`` from the tie table of ``quantile_positions``."""
+    start, end, last = F.col("n_before"), F.col("n_before") + F.col("n"), F.col("n_total") - 1
 
     # Candidate indexes from the inverse of the position rule, widened by one on each side, then filtered exactly.
     first = F.greatest(F.lit(0), F.floor((start - 1) * F.lit(intervals) / F.greatest(last, F.lit(1))) - 1).cast("int")
@@ -195,7 +194,8 @@ def exact_quantile_grid(df: DataFrame, keys: Sequence[str], value: str, interval
     ).cast("int")
     candidates = ranked.withColumn("i", F.explode(F.sequence(first, final)))
     index = F.col("i").cast("long")
-    low, high = at("lo", index), at("hi", index)
+    low = F.floor(last * index / F.lit(intervals))
+    high = F.least(low + 1, last)
     hit_low, hit_high = (start <= low) & (low < end), (start <= high) & (high < end)
     picked = candidates.where(hit_low | hit_high).select(
         *keys,

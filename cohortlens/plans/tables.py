@@ -69,12 +69,20 @@ def probability(seed, key, label, weight: float = 0.25):
     return F.round(F.lit(weight) * label + F.lit(1 - weight) * draws.hash_unit(seed, key), 4)
 
 
+def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, written once, with the split of each participant."""
+    from cohortlens.operators import splits
+
+    rows = staged(records(spark, sf_dir))
+    return splits.apply_split_map(rows, splits.participant_split(rows.select("participant").distinct(), "participant"))
+
+
 def paired_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched pairs of the split records, one row per selected slice."""
-    from cohortlens.operators import pairing, splits
+    from cohortlens.operators import pairing
 
-    rows = records(spark, sf_dir)
-    mapped = splits.apply_split_map(rows, splits.participant_split(rows.select("participant").distinct(), "participant"))
+    # The manifest is read by every step of the pairing: written once, then scanned with pruned columns.
+    mapped = split_records(spark, sf_dir)
     return pairing.build_pairs(mapped.where("label = 0"), mapped.where("label = 1"), seed=SEED).records
 
 
