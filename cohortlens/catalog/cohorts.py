@@ -216,8 +216,9 @@ def experiment_plan(spark, d):
 def global_ordinal(spark, d):
     from cohortlens.operators.scale import banded, ordinals
 
-    rows = t.records(spark, d).select("case_id", "z")
-    return ordinals(banded(rows, "case_id"), [], ["case_id", "z"], "slice_key")
+    # Bands on case and depth together: a case with very many slices is split as well.
+    rows = t.records(spark, d).select("case_id", "z", (F.col("case_id") * t.DEPTH + F.col("z")).alias("k"))
+    return ordinals(banded(rows, "k"), [], ["k"], "slice_key").drop("k")
 
 
 @query("p10_primary_case", f"""WITH {S.RECORDS}, f AS (SELECT participant, min(case_id) AS case_id FROM records GROUP BY participant)

@@ -396,9 +396,9 @@ def reference(spark, d):
     return staged(normalize.reference_curve(t.intensities(spark, d).where("cohort = 'R'"), ["case_id"], [], "v", GRID))
 
 
-@query("m9_reference_curve", f"WITH {VALUES}, {REFERENCE} SELECT i, round(q, 6) AS q FROM target")
+@query("m9_reference_curve", f"WITH {VALUES}, {REFERENCE} SELECT i, round(q, 3) AS q FROM target")
 def reference_curve(spark, d):
-    return reference(spark, d).select("i", F.round("q", 6).alias("q"))
+    return reference(spark, d).select("i", F.round("q", 3).alias("q"))
 
 
 MATCHED = f"""{VALUES}, {LAND}, {REFERENCE}, kn AS (SELECT modality, land.i, land.q AS x, avg(target.q) OVER (PARTITION BY modality, land.q) AS y FROM land JOIN target USING (i)),
@@ -411,15 +411,15 @@ def matched(spark, d):
     return normalize.quantile_map(t.intensities(spark, d), ["modality"], "v", reference(spark, d), intervals=GRID)
 
 
-@query("m8_apply_map", f"""WITH {MATCHED}, o AS (SELECT case_id, i.modality, mapped AS o FROM i JOIN mapped ON i.modality = mapped.modality AND i.v = mapped.v) SELECT case_id, modality, count(*) AS n, round(avg(o), 5) AS mean, round(min(o), 5) AS lo, round(max(o), 5) AS hi FROM o GROUP BY ALL""")
+@query("m8_apply_map", f"""WITH {MATCHED}, o AS (SELECT case_id, i.modality, mapped AS o FROM i JOIN mapped ON i.modality = mapped.modality AND i.v = mapped.v) SELECT case_id, modality, count(*) AS n, round(avg(o), 4) AS mean, round(min(o), 4) AS lo, round(max(o), 4) AS hi FROM o GROUP BY ALL""")
 def apply_map(spark, d):
     out = normalize.apply_map(t.intensities(spark, d), ["modality"], "v", matched(spark, d), "o")
-    return out.groupBy("case_id", "modality").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o"), 5).alias("mean"), F.round(F.min("o"), 5).alias("lo"), F.round(F.max("o"), 5).alias("hi"))
+    return out.groupBy("case_id", "modality").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o"), 4).alias("mean"), F.round(F.min("o"), 4).alias("lo"), F.round(F.max("o"), 4).alias("hi"))
 
 
-@query("m10_quantile_match", f"WITH {MATCHED} SELECT modality, v, n, round(mapped, 5) AS mapped FROM mapped")
+@query("m10_quantile_match", f"WITH {MATCHED} SELECT modality, v, n, round(mapped, 3) AS mapped FROM mapped")
 def quantile_match(spark, d):
-    return matched(spark, d).withColumn("mapped", F.round("mapped", 5))
+    return matched(spark, d).withColumn("mapped", F.round("mapped", 3))
 
 
 @query("m11_distribution_distance", f"""WITH {MATCHED}, g AS (SELECT m.modality, t.i, t.q, sum(m.n) FILTER (WHERE m.v <= t.q) / sum(m.n) AS f FROM mapped m CROSS JOIN target t GROUP BY ALL),

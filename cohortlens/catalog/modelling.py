@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.catalog import query
-from cohortlens.operators import controls, model, ranking, splits
+from cohortlens.operators import controls, model, ranking
 from cohortlens.operators.scale import staged
 from cohortlens.plans import tables as t
 

@@ -94,7 +94,7 @@ def p_values(spark, d):
 
 @query("v3_holm", f"""WITH {P_VALUES}, {HOLM} SELECT family, test, round(p_value, 12) AS p_value, round(p_holm, 9) AS p_holm FROM p LEFT JOIN h USING (family, test)""")
 def holm(spark, d):
-    out = resampling.holm(p_values(spark, d), ["family"])
+    out = resampling.holm_large(p_values(spark, d), ["family"])
     return out.select("family", "test", F.round("p_value", 12).alias("p_value"), F.round("p_holm", 9).alias("p_holm"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.scale import banded, ordinals
+
 
 def canonical_json(columns: Sequence[str]) -> Column:
     """Compact JSON with the fields in name order."""
@@ -27,10 +29,14 @@ def set_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Da
 
 
 def ordered_digest(df: DataFrame, group: Sequence[str], key: str, columns: Sequence[str]) -> DataFrame:
-    """sha-256 of the ordered row hashes of small groups (one case, one pair)."""
-    row = F.struct(F.col(key).alias("k"), fingerprint(columns).alias("h"))
-    listed = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["h"])
-    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(listed, ""), 256).alias("digest"))
+    """Digest of the rows of each group in ``key`` order: the sum of hashes of (position, row hash).
+
+    Positions come from banded ranks and the sum combines map-side, so no group is ever gathered.
+    """
+    hashed = df.select(*group, key, fingerprint(columns).alias("_h"))
+    placed = ordinals(banded(hashed, key), group, [key, "_h"], "_pos")
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "_pos", "_h")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return placed.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("digest"))
 
 
 def tensor_digest(px: Column | str) -> Column:

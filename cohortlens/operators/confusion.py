@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalars
+from cohortlens.operators.scale import exact_quantiles
 
 
 def counts(predicted: Column, label: Column) -> list[Column]:
@@ -70,16 +71,16 @@ def best_threshold(sweep: DataFrame, keys: Sequence[str], order: str = "ord") ->
 
 
 def model_summary(cases: DataFrame, model: str) -> DataFrame:
-    """Mean and median of per-case precision, recall and Dice beside the pooled rates and totals.
-
-    One row per case and model: a case count, not an element count, so the built-in exact median applies.
-    """
+    """Mean and median of per-case precision, recall and Dice beside the pooled rates and totals."""
     rated = cases.withColumns({"p": precision(), "r": sensitivity(), "d": count_dice()})
     means = [F.avg(c).alias(f"mean_{n}") for c, n in (("p", "precision"), ("r", "recall"), ("d", "dice"))]
-    medians = [F.median(c).alias(f"median_{n}") for c, n in (("p", "precision"), ("r", "recall"), ("d", "dice"))]
     sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
-    out = rated.groupBy(model).agg(F.count(F.lit(1)).alias("cases"), *means, *medians, *sums)
-    return out.withColumns(
+    base = rated.groupBy(model).agg(F.count(F.lit(1)).alias("cases"), *means, *sums)
+    names = {"p": "median_precision", "r": "median_recall", "d": "median_dice"}
+    long = rated.unpivot(model, list(names), "rate", "v")
+    medians = exact_quantiles(long, [model, "rate"], "v", {"median": 0.5})
+    wide = medians.groupBy(model).agg(*[F.max(F.when(F.col("rate") == k, F.col("median"))).alias(n) for k, n in names.items()])
+    return base.join(wide, model).withColumns(
         {
             "pooled_precision": scalars.ratio(F.col("tp"), F.col("tp") + F.col("fp")),
             "pooled_recall": scalars.ratio(F.col("tp"), F.col("tp") + F.col("fn")),

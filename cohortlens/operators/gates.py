@@ -113,7 +113,7 @@ def family_summary(cells: DataFrame, family: Sequence[str], expected: int) -> Da
 
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """Average rank of each row's value; ranks come from the tie table, so there is no global sort."""
-    ties = quantile_positions(df, [], value, sample_of=df)
+    ties = quantile_positions(df, [], value)
     ranks = staged(ties.select(value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(out)))
     return attach(df, ranks, [value])
 

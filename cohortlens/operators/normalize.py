@@ -97,7 +97,7 @@ def quantile_map(df: DataFrame, keys: Sequence[str], value: str, target: DataFra
     """
     v = F.col(value)
     checked = df.withColumn(value, positive_or_fail(value))
-    ranked = staged(quantile_positions(checked, keys, value, sample_of=df))
+    ranked = staged(quantile_positions(checked, keys, value))
     own = grid_of_ranks(ranked, keys, value, intervals).withColumnRenamed("q", "x")
     paired = own.join(target.withColumnRenamed("q", "_y"), [*target_keys, "i"])
     knots = staged(paired.select(*keys, "i", "x", F.avg("_y").over(Window.partitionBy(*keys, "x")).alias("y")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import draws, scalars
-from cohortlens.operators.scale import attach
+from cohortlens.operators.scale import attach, staged
 
 # Offset of the pairing stream of each split, and of the second side.
 SPLIT_OFFSETS = {"train": 0, "val": 1009, "test": 2018}
@@ -40,12 +40,16 @@ def primary_case(rows: DataFrame, participant: str = "participant", case: Sequen
 def match_participants(left: DataFrame, right: DataFrame, seed: int, comparison: str) -> DataFrame:
     """(split, healthy, lesion, pair_id): both sides in seeded order per split, zipped by rank."""
 
-    def ranked(side: DataFrame, shift: int, name: str) -> DataFrame:
-        people = side.select("split", "participant").distinct()
-        stream = (F.lit(seed + shift) + split_offset(F.col("split"))).cast("string")
-        return draws.permuted(people, "participant", stream, ["split"]).withColumnRenamed("participant", name)
+    people = left.select("split", "participant", F.lit(0).alias("side")).unionByName(
+        right.select("split", "participant", F.lit(1).alias("side"))
+    )
+    stream = (F.lit(seed) + F.col("side") * SIDE_OFFSET + split_offset(F.col("split"))).cast("string")
+    ranked = staged(draws.permuted(staged(people.distinct()), "participant", stream, ["split", "side"]))
+
+    def one(side: int, name: str) -> DataFrame:
+        return ranked.where(F.col("side") == side).select("split", "rank", F.col("participant").alias(name))
 
-    matched = ranked(left, 0, "healthy").join(ranked(right, SIDE_OFFSET, "lesion"), ["split", "rank"])
+    matched = one(0, "healthy").join(one(1, "lesion"), ["split", "rank"])
     pair = scalars.stable_pair_id(comparison, F.col("split"), F.col("healthy"), F.col("lesion"))
     return matched.select("split", "healthy", "lesion", pair.alias("pair_id"))
 

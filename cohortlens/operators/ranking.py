@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from cohortlens.functions import draws, scalars
 from cohortlens.functions.registry import Registry
 from cohortlens.operators import confusion
-from cohortlens.operators.scale import (
-    BROADCAST_ROWS, attach, banded, exact_quantiles, ordinals, quantile_positions, running,
-)
+from cohortlens.operators.scale import attach, banded, exact_quantiles, quantile_positions, running, staged
 
 
 def ranked_ties(
-    df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", weight: str | None = None
+    df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", weight: str | None = None,
+    sample_of: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct scores per key with n, pos and their running counts from the highest score down.
 
@@ -27,18 +26,21 @@ def ranked_ties(
     ties = df.groupBy(*keys, score).agg(
         F.sum(w).alias("n"), F.sum(w * F.col(label).cast("int")).alias("pos")
     )
-    return running(banded(ties, score, df), keys, [score], ["n", "pos"], descending=True)
+    if sample_of is None:
+        ties = staged(ties)
+    return running(banded(ties, score, sample_of), keys, [score], ["n", "pos"], descending=True)
 
 
 def ranking(
     df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", weight: str | None = None,
-    extra: Sequence[Column] = (),
+    extra: Sequence[Column] = (), sample_of: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, n, n_pos, ap, auc): non-interpolated average precision and tie-corrected ROC AUC.
 
     ``ap`` is NULL without positives and ``auc`` NULL with one class. ``extra`` are further aggregates over the ties.
+    ``sample_of`` is a cheaper table with the same spread of scores, for choosing the bands.
     """
-    cum = ranked_ties(df, keys, score, label, weight)
+    cum = ranked_ties(df, keys, score, label, weight, sample_of)
     neg = F.col("n") - F.col("pos")
     neg_below = (F.col("n_total") - F.col("pos_total")) - (F.col("n_before") - F.col("pos_before")) - neg
     # Twice the Mann–Whitney count is an integer, so the sum is exact far beyond any comparison tolerance.
@@ -70,22 +72,28 @@ def average_precision(df: DataFrame, keys: Sequence[str] = (), empty: float | No
 def sampled_average_precision(df: DataFrame, max_samples: int, seed: int, score: str = "score") -> DataFrame:
     """AP over ``max_samples`` draws with replacement when the data set is larger, over everything otherwise.
 
-    The draws index the elements in (score, label) order. Any order gives the same law, and this one makes elements at
-    equal positions indistinguishable, so the result does not depend on file layout.
+    The draws index the elements in (score, label) order. Any order gives the same law, and in this one elements of a
+    tie are interchangeable: the ties are counted first and each draw is looked up in the tie that covers its position.
+    Positions are cut to as many cells as there are draws, so the lookup is an equi-join with about one draw per cell.
     """
     clean = df.select(scalars.sanitize(score).alias(score), F.col("label").cast("int").alias("label"))
     total = clean.count()
     if total <= max_samples:
         return average_precision(clean)
-    indexed = ordinals(banded(clean, score), [], [score, "label"], "idx")
+    ties = staged(clean.groupBy(score, "label").agg(F.count(F.lit(1)).alias("n")))
+    placed = running(banded(ties, score), [], [score, "label"], ["n"])
+
+    def cell(position: Column) -> Column:
+        return F.floor(position * F.lit(float(max_samples)) / F.lit(float(total))).cast("long")
+
+    end = F.col("n_before") + F.col("n")
+    covered = placed.withColumn("_cell", F.explode(F.sequence(cell(F.col("n_before")), cell(end - 1))))
     drawn = (
-        df.sparkSession.range(max_samples)
-        .select(draws.hash_index(total, seed, "id").alias("idx"))
-        .groupBy("idx")
-        .agg(F.count(F.lit(1)).alias("w"))
+        df.sparkSession.range(max_samples).select(draws.hash_index(total, seed, "id").alias("idx"))
+        .groupBy("idx").agg(F.count(F.lit(1)).alias("w")).withColumn("_cell", cell(F.col("idx")))
     )
-    side = F.broadcast(drawn) if max_samples <= BROADCAST_ROWS else drawn
-    rows = ranking(indexed.join(side, "idx"), [], score, "label", "w")
+    hits = covered.join(drawn, "_cell").where((F.col("idx") >= F.col("n_before")) & (F.col("idx") < end))
+    rows = ranking(hits.select(score, "label", "w"), [], score, "label", "w", sample_of=clean)
     return rows.select("n", "n_pos", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 

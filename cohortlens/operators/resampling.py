@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import draws, scalars
 from cohortlens.operators.ranking import ranking
-from cohortlens.operators.scale import attach
+from cohortlens.operators.scale import attach, banded, running, running_max, staged
 
 
 def pair_table(subjects: DataFrame, keys: Sequence[str] = (), score: str = "score") -> DataFrame:
@@ -70,8 +70,10 @@ def bootstrap_auc(subjects: DataFrame, keys: Sequence[str] = (), replicates: int
     drawn = counts.join(units, [*keys, "_u"])
     keep = [*keys, "replicate", "m"]
     rows = _two_rows(drawn, keep) if paired else drawn.select(*keep, "label", "score")
-    aucs = ranking(rows, [*keys, "replicate"], weight="m")
-    observed = ranking(_two_rows(base, keys) if paired else base, keys).select(*keys, F.col("auc").alias("observed_auc"))
+    # Replicates hold the scores of the base table, so its quantiles serve as band limits.
+    flat = _two_rows(base, keys) if paired else base
+    aucs = ranking(rows, [*keys, "replicate"], weight="m", sample_of=flat)
+    observed = ranking(flat, keys).select(*keys, F.col("auc").alias("observed_auc"))
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"))
     ci = interval(aucs, keys)
     if keys:
@@ -90,8 +92,9 @@ def swap_test(subjects: DataFrame, keys: Sequence[str] = (), swaps: int = 1000,
         F.when(bit, F.col("s1")).otherwise(F.col("s0")).alias("s0"),
         F.when(bit, F.col("s0")).otherwise(F.col("s1")).alias("s1"),
     )
-    null = ranking(_two_rows(flipped, [*keys, "replicate"]), [*keys, "replicate"]).select(*keys, "replicate", "auc")
-    observed = ranking(_two_rows(pairs, keys), keys).select(*keys, F.col("auc").alias("observed_auc"))
+    flat = _two_rows(pairs, keys)
+    null = ranking(_two_rows(flipped, [*keys, "replicate"]), [*keys, "replicate"], sample_of=flat).select(*keys, "replicate", "auc")
+    observed = ranking(flat, keys).select(*keys, F.col("auc").alias("observed_auc"))
     n_pairs = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"))
     # One observed row per key beside its bounded number of replicates.
     joined = null.join(observed, keys) if keys else null.join(observed, F.lit(True))
@@ -128,6 +131,18 @@ def holm(df: DataFrame, family: Sequence[str], p: str = "p_value", out: str = "p
     return stepped.withColumn(out, F.when(F.col("_finite"), running_max)).drop("_finite", "_step")
 
 
+def holm_large(df: DataFrame, family: Sequence[str], p: str = "p_value", out: str = "p_holm") -> DataFrame:
+    """``holm`` for families of any size: equal p-values are counted first and share the step of their first rank, and
+    both the ranks and the running maximum are computed by bands."""
+    keys = list(family)
+    finite = df.where(scalars.is_finite(p))
+    ties = staged(finite.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("n")))
+    ranked = staged(running(banded(ties, p), keys, [p], ["n"]))
+    step = F.least(F.lit(1.0), (F.col("n_total") - F.col("n_before")) * F.col(p))
+    stepped = running_max(banded(ranked.withColumn("_step", step), p), keys, [p], "_step", out)
+    return attach(df, stepped.select(*keys, p, out), [*keys, p], "left")
+
+
 def holm_if_complete(df: DataFrame, family: Sequence[str], expected: int, p: str = "p_value") -> DataFrame:
     """Holm only when the family has exactly the planned number of tests and all their p-values."""
     adjusted = holm(df, family, p)

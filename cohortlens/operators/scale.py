@@ -12,6 +12,7 @@ Everything here returns whole results. What changes is only where the rows are p
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -57,7 +58,9 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inn
     if rows <= BROADCAST_ROWS:
         return df.join(F.broadcast(kept), list(keys), how)
     salts = parallelism(df.sparkSession)
-    salted = df.withColumn(SALT, F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    # The partition number spreads identical copies, which share their hash; both are stable when a task is retried.
+    spread = F.xxhash64(*df.columns) + F.spark_partition_id() * F.lit(7919)
+    salted = df.withColumn(SALT, F.pmod(spread, F.lit(salts)).cast("int"))
     copies = kept.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, SALT], how).drop(SALT)
 
@@ -82,12 +85,16 @@ def bucket_by_cuts(df: DataFrame, column: str, cuts: Sequence[float], out: str)
 
 
 def banded(df: DataFrame, column: str, sample_of: DataFrame | None = None) -> DataFrame:
-    """Add a band number that grows with ``column`` (numeric) and splits the rows about evenly."""
+    """Add a band number that grows with ``column`` (numeric) and splits the rows about evenly.
+
+    The cuts are approximate quantiles of the rows that will be sorted, or of ``sample_of``, a smaller table with the
+    same spread. They decide balance only; results do not depend on them.
+    """
     count = parallelism(df.sparkSession)
     probe = (df if sample_of is None else sample_of).select(F.col(column).cast("double").alias("v"))
     probabilities = [i / count for i in range(1, count)]
     cuts = probe.approxQuantile("v", probabilities, 1.0 / (4 * count))
-    return bucket_by_cuts(df, column, cuts, BAND)
+    return bucket_by_cuts(df, column, [c for c in cuts if math.isfinite(c)], BAND)
 
 
 def running(
@@ -124,6 +131,18 @@ def running(
     return joined.drop(BAND, *[f"_in_{s}" for s in sums], *[f"_off_{s}" for s in sums])
 
 
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Inclusive running maximum in ascending order, by bands like ``running``."""
+    inside = Window.partitionBy(*keys, BAND).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    per_key = Window.partitionBy(*(list(keys) or [F.lit(0)]))
+    earlier = per_key.orderBy(BAND).rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(*keys, BAND).agg(F.max(value).alias("_top"))
+    offsets = tops.select(*keys, BAND, F.max("_top").over(earlier).alias("_off"))
+    local = df.withColumn("_in", F.max(value).over(inside))
+    joined = local.join(offsets, [*keys, BAND])
+    return joined.withColumn(out, F.greatest("_in", "_off")).drop("_in", "_off", BAND)
+
+
 def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "ordinal") -> DataFrame:
     """Add the 0-based position in ``order`` inside the key. The input carries ``_band``, monotone in ``order``."""
     inside = Window.partitionBy(*keys, BAND).orderBy(*order)
@@ -135,13 +154,14 @@ def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     return local.join(offsets, [*keys, BAND]).withColumn(out, F.col("_in") + F.col("_off")).drop("_in", "_off", BAND)
 
 
-def quantile_positions(
-    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, sample_of: DataFrame | None = None
-) -> DataFrame:
-    """Distinct values with their positions: (keys, value, n, n_before, n_total)."""
-    count = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    ties = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(count.alias("n"))
-    return running(banded(ties, value, sample_of), keys, [value], ["n"])
+def quantile_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values with their positions: (keys, value, n, n_before, n_total).
+
+    The tie counts are written once: the input is evaluated a single time, and the bands are cut on the rows that are
+    actually sorted, so neither repeated values nor long tails unbalance them.
+    """
+    ties = staged(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
+    return running(banded(ties, value), keys, [value], ["n"])
 
 
 def exact_quantiles(
@@ -156,7 +176,7 @@ def exact_quantiles(
     No task ever holds a whole group: values are tie-grouped, ranked band by band, and the two order statistics around
     each position are picked by a plain aggregate.
     """
-    ranked = quantile_positions(df, keys, value, sample_of=df)
+    ranked = quantile_positions(df, keys, value)
     start, end, total = F.col("n_before"), F.col("n_before") + F.col("n"), F.col("n_total")
     picks = [F.max("n_total").alias("_n")]
     for name, p in probabilities.items():
@@ -180,7 +200,7 @@ def exact_quantile_grid(df: DataFrame, keys: Sequence[str], value: str, interval
     Each distinct value lists the grid positions that fall on it, so every landmark is produced exactly twice (lower
     and upper neighbour) whatever the size of the group.
     """
-    return grid_of_ranks(quantile_positions(df, keys, value, sample_of=df), keys, value, intervals)
+    return grid_of_ranks(quantile_positions(df, keys, value), keys, value, intervals)
 
 
 def grid_of_ranks(ranked: DataFrame, keys: Sequence[str], value: str, intervals: int) -> DataFrame:

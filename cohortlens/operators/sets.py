@@ -84,7 +84,7 @@ def fallback_join(rows: DataFrame, lookups: Sequence[tuple[Sequence[str], DataFr
         one = lookup.groupBy(*keys).agg(
             F.when(F.min(value) == F.max(value), F.min(value)).alias(f"_v{i}"), (F.min(value) != F.max(value)).alias(f"_c{i}")
         )
-        out = out.join(one, list(keys), "left")
+        out = attach(out, one, keys, "left")
     n = len(lookups)
     matched = F.coalesce(*[F.when(F.col(f"_v{i}").isNotNull(), F.lit(i)) for i in range(n)])
     conflict = reduce(lambda a, b: a | b, [F.coalesce(f"_c{i}", F.lit(False)) for i in range(n)])
@@ -97,7 +97,7 @@ def against_ledger(rows: DataFrame, ledger: DataFrame, identity: Sequence[str],
     """(identity, problem) for rows whose digest is missing or different, or that are outside the scoped membership."""
     expected = ledger.select(*identity, F.col(digest).alias("_want"))
     inside = members.select(*scope).distinct().withColumn("_in", F.lit(True))
-    both = rows.join(expected, list(identity), "left").join(inside, list(scope), "left")
+    both = attach(rows.join(expected, list(identity), "left"), inside, scope, "left")
     problem = (
         F.when(F.col("_want").isNull(), "not_in_ledger")
         .when(F.col("_want") != F.col(digest), "digest_differs")
@@ -137,7 +137,7 @@ def one_to_many(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     once = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in left.columns if c not in keys])
     first = once.columns[-1]
     checked = once.withColumn(first, scalars.fail_unless(F.col("_n") == 1, F.col(first), "left keys of a one-to-many join repeat")).drop("_n")
-    return checked.join(right, list(keys))
+    return attach(right, checked, keys)
 
 
 def against_baseline(df: DataFrame, key: Sequence[str], variant: str, baseline: str, values: Sequence[str]) -> DataFrame:

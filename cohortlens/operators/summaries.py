@@ -41,7 +41,7 @@ def small_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str) -> DataFrame:
     """The value at 1-based rank ⌈p·n⌉, found on the tie table."""
-    ranked = quantile_positions(df, keys, value, sample_of=df)
+    ranked = quantile_positions(df, keys, value)
     rank = F.ceil(F.col("n_total") * p) - 1
     hit = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
     return ranked.groupBy(*keys).agg(F.max(F.when(hit, F.col(value))).alias(out))
@@ -94,9 +94,18 @@ def pairwise_cosine(df: DataFrame, keys: Sequence[str], vector: str) -> DataFram
 
     def reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for g, (n, s, m) in sums.items():
+                cells = pa.array([np.concatenate([s, m.ravel()]).tolist()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_pydict({"g": [g], "n": [n], "v": cells})
+            sums.clear()
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
+            if len(sums) > 64:
+                yield from flush()
             groups = np.asarray(batch.column(0).to_pylist(), dtype=object)
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             x = flat.reshape(batch.num_rows, -1)
@@ -107,10 +116,7 @@ def pairwise_cosine(df: DataFrame, keys: Sequence[str], vector: str) -> DataFram
                 total[0] += part.shape[0]
                 total[1] += part.sum(axis=0)
                 total[2] += part.T @ part
-        for g, (n, s, m) in sums.items():
-            yield pa.RecordBatch.from_pydict(
-                {"g": [g], "n": [n], "v": pa.array([np.concatenate([s, m.ravel()]).tolist()], pa.list_(pa.float64()))}
-            )
+        yield from flush()
 
     partial = plain.mapInArrow(reduce_batches, "g string, n long, v array<double>")
     cells = partial.select("g", "n", F.posexplode("v").alias("i", "v"), F.size("v").alias("_len"))

@@ -29,7 +29,7 @@ def sweep_counts(
     float32 cutoff is the same as comparing ≥ with the next float32, so a binary search over the successors gives the
     bucket. Suffix sums over at most len(thresholds)+1 buckets per key give the counts of every threshold.
     """
-    if not thresholds or any(not math.isfinite(t) or abs(t) > np.finfo(np.float32).max for t in thresholds):
+    if not thresholds or any(not math.isfinite(t) or abs(t) > float(np.finfo(np.float32).max) for t in thresholds):
         raise ValueError("thresholds must be a non-empty list of finite float32 values")
     cutoffs = np.asarray(list(thresholds), dtype=np.float32)
     with np.errstate(under="ignore"):
