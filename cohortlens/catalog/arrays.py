@@ -112,15 +112,25 @@ def remove_small(spark, d):
     return volume.remove_small(mask(spark, d), ["subject"], 4, tile=4)
 
 
-@query("i8_postprocess_steps")
+STEPS_SQL = f"""WITH RECURSIVE {VOX}, {NEIGH}, med AS (SELECT subject, z, y, x, median(score) AS score FROM nb GROUP BY subject, z, y, x),
+nrm AS (SELECT subject, z, y, x, CAST(CAST(CAST(score AS DOUBLE) - CAST(lo AS DOUBLE) AS FLOAT)::DOUBLE / CAST(CAST(hi AS DOUBLE) - CAST(lo AS DOUBLE) AS FLOAT)::DOUBLE AS FLOAT) AS score FROM med, (SELECT min(score) AS lo, max(score) AS hi FROM med)),
+m0 AS (SELECT subject, z, y, x, CAST(score AS DOUBLE) > 0.75::DOUBLE AS mask FROM nrm), h AS (SELECT DISTINCT subject, z + dz AS z, y + dy AS y, x + dx AS x FROM m0, offs WHERE mask AND abs(dz) + abs(dy) + abs(dx) <= 1),
+mask AS (SELECT m0.subject, m0.z, m0.y, m0.x, h.subject IS NOT NULL AS mask FROM m0 LEFT JOIN h ON m0.subject = h.subject AND m0.z = h.z AND m0.y = h.y AND m0.x = h.x),
+{COMP.replace(MASK + ', ', '')}, reach(subject, id, root) AS (SELECT subject, id, id FROM m UNION SELECT e.subject, e.b, r.root FROM reach r JOIN ed e ON e.subject = r.subject AND e.a = r.id WHERE r.root < e.b),
+comp AS (SELECT subject, id, min(root) AS component FROM reach GROUP BY subject, id), area AS (SELECT subject, component, count(*) AS area FROM comp GROUP BY ALL)
+SELECT k.subject, k.z, k.y, k.x, coalesce(area >= 8, false) AS mask FROM mask k LEFT JOIN m ON m.subject = k.subject AND m.z = k.z AND m.y = k.y AND m.x = k.x
+LEFT JOIN comp c ON c.subject = m.subject AND c.id = m.id LEFT JOIN area a ON a.subject = c.subject AND a.component = c.component"""
+
+
+@query("i8_postprocess_steps", STEPS_SQL)
 def postprocess_steps(spark, d):
     scored = volume.run_steps(
         voxels(spark, d).select("subject", "z", "y", "x", "score"),
         [{"name": "median", "kernel_size": 3}, {"name": "grey_dilation", "enabled": False}, {"name": "minmax", "scope": "dataset"}],
         volume.score_steps,
     )
-    on = staged(scored).select("subject", "z", "y", "x", (F.col("score") > 0.6).alias("mask"))
-    return volume.run_steps(on, [{"name": "binary_dilation"}, {"name": "connected_components", "min_size": 3}], volume.mask_steps)
+    on = staged(scored).select("subject", "z", "y", "x", (F.col("score").cast("double") > 0.75).alias("mask"))
+    return volume.run_steps(on, [{"name": "binary_dilation"}, {"name": "connected_components", "min_size": 8}], volume.mask_steps)
 
 
 MINMAX = """{n} AS (SELECT subject, z, y, x, CAST(CAST(CAST(score AS DOUBLE) - CAST(min(score) OVER w AS DOUBLE) AS FLOAT)::DOUBLE / greatest(CAST(CAST(max(score) OVER w AS DOUBLE) - CAST(min(score) OVER w AS DOUBLE) AS FLOAT), 1e-8::FLOAT)::DOUBLE AS FLOAT) AS score FROM {s} WINDOW w AS (PARTITION BY subject))"""

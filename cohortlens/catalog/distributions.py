@@ -459,8 +459,6 @@ SELECT case_id, 'median' AS method, round(avg(a) / 1000, 8) AS mean, round(max(a
 def alignment(spark, d):
     df = t.intensities(spark, d)
     source, target = df.where("modality = 'F'"), df.where("modality = 'O'")
-    parts = []
-    for method in ("median", "iqr", "median_iqr"):
-        out = normalize.align(source, target, ["case_id"], "v", method, "o")
-        parts.append(out.groupBy("case_id").agg(F.lit(method).alias("method"), F.round(F.avg("o") / 1000, 8).alias("mean"), F.round(F.max("o") / 1000, 8).alias("hi")))
-    return scale.union_all(parts)
+    methods = ["median", "iqr", "median_iqr"]
+    long = normalize.align(source, target, ["case_id"], "v", methods).select("case_id", *methods).unpivot("case_id", methods, "method", "o")
+    return long.groupBy("case_id", "method").agg(F.round(F.avg("o") / 1000, 8).alias("mean"), F.round(F.max("o") / 1000, 8).alias("hi"))

@@ -173,7 +173,7 @@ def schedule_products(spark, d):
     return rows.select("t", F.round("alpha", 9).alias("alpha"), F.round("alpha_hat", 9).alias("alpha_hat"), "n")
 
 
-@query("a24_seed_ensemble", f"""WITH {S.predictions((1, 2, 3))}, e AS (SELECT participant, label, avg(score) AS score FROM subjects GROUP BY ALL HAVING count(*) = 3),
+@query("a24_seed_ensemble", f"""WITH {S.predictions((1, 2, 3))}, e AS (SELECT participant, label, round(avg(score), 12) AS score FROM subjects GROUP BY ALL HAVING count(*) = 3),
 {metric_sql('e')} SELECT 'PASS' AS status, {METRIC_COLS} FROM rank_out, c_e""")
 def seed_ensemble(spark, d):
     subjects = ranking.aggregate_subjects(t.predictions(spark, d, (1, 2, 3)), ["seed"]).withColumn("cell", F.lit("all"))

@@ -73,7 +73,7 @@ def predictions(seeds=(1,), split: str | None = "test") -> str:
   SELECT seed, split, pair_id, participant, case_id, z, z_bin, label, source, record_id,
          {probability('seed')} AS probability
   FROM paired, (VALUES {values}) s(seed) {where}),
-subjects AS (SELECT seed, pair_id, participant, label, avg(probability) AS score, count(*) AS slice_count
+subjects AS (SELECT seed, pair_id, participant, label, round(avg(probability), 12) AS score, count(*) AS slice_count
              FROM predictions GROUP BY seed, pair_id, participant, label)"""
 
 

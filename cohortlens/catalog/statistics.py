@@ -200,7 +200,14 @@ def run_summary(spark, d):
     )
 
 
-@query("v11_ensemble_statistics")
+ENSEMBLE = boot_sql(SEEDS).replace(
+    "sub AS (SELECT seed, pair_id, label, score, 1 AS m FROM subjects)",
+    "sub AS (SELECT 0 AS seed, pair_id, label, round(avg(score), 12) AS score, 1 AS m FROM subjects GROUP BY pair_id, participant, label)",
+)
+
+
+@query("v11_ensemble_statistics", f"""WITH {ENSEMBLE}, {swap_sql()} SELECT 'all' AS cell, round(auc, 9) AS auc, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, round(p_value, 9) AS p_value,
+ (SELECT count(*) FROM pt) AS n_pairs, 'complete' AS swap_status FROM boot JOIN auc_sub USING (seed) JOIN swap USING (seed)""")
 def ensemble_statistics(spark, d):
     people = subjects(spark, d).withColumn("cell", F.lit("all"))
     rows, _ = ranking.seed_ensemble(people, ["cell"], SEEDS)

@@ -98,6 +98,4 @@ def adaptive_counts(df: DataFrame, thresholds: DataFrame, keys: Sequence[str] =
 
 def adaptive_summary(counted: DataFrame, branch: Sequence[str] = ()) -> DataFrame:
     """Mean threshold, macro Dice and micro rates."""
-    thr = counted.groupBy(*branch).agg(F.avg(F.col("thr").cast("double")).alias("threshold"))
-    rates = confusion.macro_micro(counted, list(branch))
-    return rates.join(thr, list(branch)) if branch else attach_scalar(rates, thr)
+    return confusion.macro_micro(counted, list(branch), [F.avg(F.col("thr").cast("double")).alias("threshold")])

@@ -47,12 +47,13 @@ def with_rates(counted: DataFrame) -> DataFrame:
     )
 
 
-def macro_micro(per_subject: DataFrame, keys: Sequence[str]) -> DataFrame:
+def macro_micro(per_subject: DataFrame, keys: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
     """Macro Dice (mean over subjects) beside micro rates (pooled counts)."""
     pooled = per_subject.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("subjects"),
         F.avg(count_dice()).alias("dice"),
         *[F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")],
+        *extra,
     )
     return with_rates(pooled)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators import normalize, pairing, ranking
-from cohortlens.operators.scale import attach, staged
+from cohortlens.operators.scale import attach, attach_scalar, staged
 
 
 def weighted_rows(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -69,7 +69,7 @@ def permutation_null(rows: DataFrame, features: Sequence[str], replicates: Seque
 
 def permutation_p_value(null: DataFrame, observed: DataFrame, planned: int) -> DataFrame:
     """p = (1 + #{|null − ½| ≥ |observed − ½|}) / (1 + n); NULL unless every planned replicate is present."""
-    both = null.join(observed.select(F.col("auc").alias("observed_auc")), F.lit(True))
+    both = attach_scalar(null, observed.select(F.col("auc").alias("observed_auc")))
     extreme = F.count_if(F.abs(F.col("auc") - 0.5) >= F.abs(F.col("observed_auc") - 0.5) - 1e-15)
     out = both.groupBy("observed_auc").agg(
         F.countDistinct("replicate").alias("replicates"), F.avg("auc").alias("null_mean"), extreme.alias("_k"), F.count("auc").alias("_n")

@@ -162,10 +162,9 @@ def train_scale(df: DataFrame, value: str, split: str = "split", p: float = 0.99
     return exact_quantiles(sizes, [], "_a", {"q": p}).select(F.greatest("q", F.lit(floor)).alias("scale"))
 
 
-def align(source: DataFrame, target: DataFrame, keys: Sequence[str], value: str, method: str, out: str, eps: float = 1e-8) -> DataFrame:
-    """Shift / scale the source's values onto the target's median and interquartile range, per key."""
-    if method not in ("median", "iqr", "median_iqr"):
-        raise ValueError(f"unknown alignment: {method!r}")
+def align(source: DataFrame, target: DataFrame, keys: Sequence[str], value: str, methods: Sequence[str], eps: float = 1e-8) -> DataFrame:
+    """Shift / scale the source's values onto the target's median and interquartile range per key: one column per
+    method (median, iqr, median_iqr), all from one set of quantiles. A degenerate range keeps its scale."""
     levels = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
     own = exact_quantiles(source, keys, value, {f"_s{n}": p for n, p in levels.items()})
     other = exact_quantiles(target, keys, value, {f"_t{n}": p for n, p in levels.items()})
@@ -177,5 +176,8 @@ def align(source: DataFrame, target: DataFrame, keys: Sequence[str], value: str,
         "median": v + F.col("_tq2") - F.col("_sq2"),
         "iqr": (v - F.col("_sq2")) * scale + F.col("_sq2"),
         "median_iqr": (v - F.col("_sq2")) * scale + F.col("_tq2"),
-    }[method]
-    return ready.withColumn(out, moved).select(*source.columns, out)
+    }
+    unknown = [m for m in methods if m not in moved]
+    if unknown:
+        raise ValueError(f"unknown alignment: {unknown}")
+    return ready.select(*source.columns, *[moved[m].alias(m) for m in methods])

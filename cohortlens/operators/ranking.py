@@ -148,7 +148,10 @@ def aggregate_subjects(
     df: DataFrame, keys: Sequence[str] = (), method: str = "mean", participant: str = "participant", pair: str | None = "pair_id",
     label: str = "label", score: str = "probability",
 ) -> DataFrame:
-    """One row per participant: label, score, pair and slice count. Conflicting labels or pairs stop the job."""
+    """One row per participant: label, score, pair and slice count. Conflicting labels or pairs stop the job.
+
+    Means are rounded to 12 decimals: equal means must tie, whatever order a cluster summed them in.
+    """
     if method not in ("mean", "median", "max"):
         raise ValueError(f"method must be mean, median or max, not {method!r}")
     by = [*keys, participant]
@@ -164,7 +167,7 @@ def aggregate_subjects(
             F.when(whole, named).otherwise(F.raise_error(F.lit("participant maps to conflicting or missing pairs"))).alias(pair)
         )
     if method != "median":
-        aggs.append((F.avg(score) if method == "mean" else F.max(score)).alias("score"))
+        aggs.append((F.round(F.avg(score), 12) if method == "mean" else F.max(score)).alias("score"))
         return df.groupBy(*by).agg(*aggs)
     rows = df.groupBy(*by).agg(*aggs)
     return rows.join(exact_quantiles(df, by, score, {"score": 0.5}), by)
@@ -196,7 +199,7 @@ def seed_ensemble(
     expected = F.array(*[F.lit(int(s)) for s in expected_seeds])
     count = len(expected_seeds)
     per_subject = df.groupBy(*cell, subject).agg(
-        F.avg("score").alias("score"),
+        F.round(F.avg("score"), 12).alias("score"),
         F.min("label").alias("label"),
         F.min("pair_id").alias("pair_id"),
         F.count(F.lit(1)).alias("_rows"),

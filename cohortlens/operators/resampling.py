@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import draws, scalars
 from cohortlens.operators.ranking import ranking
-from cohortlens.operators.scale import attach, banded, running, running_max, staged
+from cohortlens.operators.scale import attach, banded, join_rows, running, running_max, staged
 
 
 def pair_table(subjects: DataFrame, keys: Sequence[str] = (), score: str = "score") -> DataFrame:
@@ -76,9 +76,7 @@ def bootstrap_auc(subjects: DataFrame, keys: Sequence[str] = (), replicates: int
     observed = ranking(flat, keys).select(*keys, F.col("auc").alias("observed_auc"))
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"))
     ci = interval(aucs, keys)
-    if keys:
-        return observed.join(ci, keys).join(sizes, keys)
-    return observed.join(ci, F.lit(True)).join(sizes, F.lit(True))
+    return join_rows(join_rows(observed, ci, keys), sizes, keys)
 
 
 def swap_test(subjects: DataFrame, keys: Sequence[str] = (), swaps: int = 1000, seed: int = 73) -> DataFrame:
@@ -97,7 +95,7 @@ def swap_test(subjects: DataFrame, keys: Sequence[str] = (), swaps: int = 1000,
     observed = ranking(flat, keys).select(*keys, F.col("auc").alias("observed_auc"))
     n_pairs = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"))
     # One observed row per key beside its bounded number of replicates.
-    joined = null.join(observed, keys) if keys else null.join(observed, F.lit(True))
+    joined = join_rows(null, observed, keys)
     deviation = F.abs(F.col("observed_auc") - 0.5)
     extreme = F.count_if(F.abs(F.col("auc") - 0.5) >= deviation - 1e-15)
     out = joined.groupBy(*keys).agg(
@@ -110,7 +108,7 @@ def swap_test(subjects: DataFrame, keys: Sequence[str] = (), swaps: int = 1000,
         F.percentile("auc", F.lit(0.025)).alias("null_low"),
         F.percentile("auc", F.lit(0.975)).alias("null_high"),
     )
-    return out.join(n_pairs, keys) if keys else out.join(n_pairs, F.lit(True))
+    return join_rows(out, n_pairs, keys)
 
 
 def holm(df: DataFrame, family: Sequence[str], p: str = "p_value", out: str = "p_holm") -> DataFrame:

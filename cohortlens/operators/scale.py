@@ -66,10 +66,15 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inn
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate as scalar subqueries."""
-    for name in one_row.columns:
-        df = df.withColumn(name, one_row.select(name).scalar())
-    return df
+    """Add the columns of a one-row aggregate as a scalar subquery: evaluated once, no join."""
+    row = one_row.select(F.struct(*one_row.columns)).scalar()
+    held = df.withColumn("_row", row)
+    return held.select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in one_row.columns])
+
+
+def join_rows(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two results that have one row per key; without keys both are single rows."""
+    return left.join(right, list(keys), how) if keys else attach_scalar(left, right)
 
 
 def bucket_by_cuts(df: DataFrame, column: str, cuts: Sequence[float], out: str) -> DataFrame:

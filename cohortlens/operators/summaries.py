@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalars
-from cohortlens.operators.scale import attach, attach_scalar, exact_quantiles, quantile_positions
+from cohortlens.operators.scale import attach, attach_scalar, exact_quantiles, join_rows, quantile_positions
 
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
@@ -26,7 +26,7 @@ def distribution_summary(df: DataFrame, keys: Sequence[str], value: str, percent
         F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
     )
     quantiles = exact_quantiles(checked, keys, value, dict(percentiles), count="count")
-    return moments.join(quantiles, list(keys) if keys else F.lit(True))
+    return join_rows(moments, quantiles, keys)
 
 
 def small_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -36,7 +36,7 @@ def small_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.stddev_pop(value).alias("std"),
     )
     medians = exact_quantiles(df, keys, value, {"median": 0.5})
-    return base.join(medians, list(keys), "left") if keys else base.join(medians, F.lit(True), "left")
+    return join_rows(base, medians, keys, "left")
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str) -> DataFrame:

@@ -68,7 +68,9 @@ def main(argv):
             spent = time.time() - begin
             slow.append((spent, name))
             columns, mine = rows_of(df.columns, got)
-            note = f"{len(mine)} rows {spent:.1f}s"
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            flags = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython") if w in plan]
+            note = f"{len(mine)} rows {spent:.1f}s {' '.join(flags)}"
             if name in catalog.ORACLE:
                 t1 = time.time()
                 rel = con.sql(catalog.ORACLE[name])
