@@ -455,10 +455,10 @@ def train_scale(spark, d):
 @query("m14_alignment", f"""WITH {VALUES}, s AS (SELECT case_id, quantile_cont(v, 0.25) AS s1, quantile_cont(v, 0.5) AS s2, quantile_cont(v, 0.75) AS s3 FROM i WHERE modality = 'F' GROUP BY case_id),
 g AS (SELECT case_id, quantile_cont(v, 0.25) AS t1, quantile_cont(v, 0.5) AS t2, quantile_cont(v, 0.75) AS t3 FROM i WHERE modality = 'O' GROUP BY case_id),
 o AS (SELECT case_id, v + t2 - s2 AS a, (v - s2) * CASE WHEN s3 - s1 <= 1e-8 THEN 1 ELSE (t3 - t1) / (s3 - s1) END + s2 AS b, (v - s2) * CASE WHEN s3 - s1 <= 1e-8 THEN 1 ELSE (t3 - t1) / (s3 - s1) END + t2 AS c FROM i JOIN s USING (case_id) JOIN g USING (case_id) WHERE modality = 'F')
-SELECT case_id, 'median' AS method, round(avg(a) / 1000, 8) AS mean, round(max(a) / 1000, 8) AS hi FROM o GROUP BY case_id UNION ALL SELECT case_id, 'iqr', round(avg(b) / 1000, 8), round(max(b) / 1000, 8) FROM o GROUP BY case_id UNION ALL SELECT case_id, 'median_iqr', round(avg(c) / 1000, 8), round(max(c) / 1000, 8) FROM o GROUP BY case_id""")
+SELECT case_id, 'median' AS method, round(ln(avg(a)), 9) AS log_mean, round(ln(max(a)), 9) AS log_hi FROM o GROUP BY case_id UNION ALL SELECT case_id, 'iqr', round(ln(avg(b)), 9), round(ln(max(b)), 9) FROM o GROUP BY case_id UNION ALL SELECT case_id, 'median_iqr', round(ln(avg(c)), 9), round(ln(max(c)), 9) FROM o GROUP BY case_id""")
 def alignment(spark, d):
     df = t.intensities(spark, d)
     source, target = df.where("modality = 'F'"), df.where("modality = 'O'")
     methods = ["median", "iqr", "median_iqr"]
     long = normalize.align(source, target, ["case_id"], "v", methods).select("case_id", *methods).unpivot("case_id", methods, "method", "o")
-    return long.groupBy("case_id", "method").agg(F.round(F.avg("o") / 1000, 8).alias("mean"), F.round(F.max("o") / 1000, 8).alias("hi"))
+    return long.groupBy("case_id", "method").agg(F.round(F.log(F.avg("o")), 9).alias("log_mean"), F.round(F.log(F.max("o")), 9).alias("log_hi"))
