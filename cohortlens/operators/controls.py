@@ -86,6 +86,12 @@ def match_classes(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
             return spark.read.schema(schema).parquet(*[f"{folder}/round-{i}" for i in range(number)])
 
 
+def _tie_order() -> list:
+    """Total order of equally good pairs. A hash comes first: an order along the names would make neighbours wait for each
+    other in long chains, while random priorities settle in a few rounds."""
+    return [F.xxhash64("c0", "c1").alias("h"), F.col("c0").alias("a"), F.col("c1").alias("b")]
+
+
 def expand_matches(matched: DataFrame, members0: DataFrame, members1: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Member pairs of matched classes. ``members`` are (keys, cls, rank, …) with ranks inside the class."""
     slots = matched.select(*keys, "c0", "c1", "from0", "from1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("amount") - 1)).alias("_s"))
@@ -112,11 +118,11 @@ def same_cohort_pairs(rows: DataFrame, seed: int, keys: Sequence[str] = ("split"
         )
 
     # Candidates share at least one bin: an equi-join on the bin, reduced to distinct class pairs. More common bins
-    # first, then nearer means, then class names.
+    # first, then nearer means, then a hashed order.
     candidates = side(0).join(side(1), [*keys, "_bin"]).groupBy(*keys, "c0", "c1").agg(
         F.count(F.lit(1)).alias("_n"), F.first(F.abs(F.col("m0") - F.col("m1"))).alias("_gap"), F.first("s0").alias("s0"), F.first("s1").alias("s1")
     )
-    order = F.struct((-F.col("_n")).alias("n"), F.col("_gap").alias("gap"), F.col("c0").alias("a"), F.col("c1").alias("b"))
+    order = F.struct((-F.col("_n")).alias("n"), F.col("_gap").alias("gap"), *_tie_order())
     matched = match_classes(candidates.withColumn("order", order).drop("_n", "_gap"), keys)
 
     def members(n: int) -> DataFrame:
@@ -204,5 +210,5 @@ def _cells_in_reach(rank0: DataFrame, rank1: DataFrame, keys: Sequence[str]) ->
     target = F.struct((F.col("c0.z") + F.col("_dz")).cast("int").alias("z"), (F.col("c0.cell") + F.col("_ds")).alias("cell"))
     pairs = near.withColumn("c1", target).join(sizes1, [*keys, "c1"])
     distance = F.round(F.abs(F.col("_dz")) / Z_REACH + F.abs(F.col("_ds")) * SUPPORT_GRID / SUPPORT_REACH, 9)
-    order = F.struct(distance.alias("d"), F.col("c0").alias("a"), F.col("c1").alias("b"))
+    order = F.struct(distance.alias("d"), *_tie_order())
     return pairs.select(*keys, "c0", "c1", "s0", "s1", order.alias("order"))
