@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, neardup
+from cohortlens.llm import decontamination, mixing, neardup, sharding
 from cohortlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op3_entropy_mixing")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_sources(read_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op4_decontamination", sql=r"""
 WITH fold AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -51,3 +56,9 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf, "documents"))
+
+
+@query("op9_kd_tree_sharding")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    placed = sharding.kd_shards(read_table(spark, sf, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
