@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, mixing, neardup, sharding
+from cohortlens.llm import decontamination, mixing, neardup, quality, sharding
 from cohortlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -62,3 +62,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     placed = sharding.kd_shards(read_table(spark, sf, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))

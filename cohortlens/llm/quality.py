@@ -24,6 +24,8 @@ LEAST = 3
 THRESHOLD = 0.7
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
+_WORD = re.compile(r"\w+")
+_CAPITALS = re.compile(r"[A-Z]{2}")
 #: Bits of a token number inside the number of a pair.
 _PAIR = 32
 #: Token numbers with a meaning of their own: unknown word, the word before it again, the same word three times.
@@ -46,23 +48,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnt: Colu
     return [(r.text or "", int(r.y)) for r in met.limit(2 * rows).collect()]
 
 
-def tokens(text: str | None) -> tuple[list[str], np.ndarray]:
-    found = _TOKEN.findall(text or "")
-    return [t.lower() for t in found], np.fromiter((t.isupper() and len(t) > 1 for t in found), bool, len(found))
-
-
-def _grams(ids: np.ndarray, same: np.ndarray, capital: np.ndarray) -> np.ndarray:
+def _grams(ids: np.ndarray, marks: list[int]) -> np.ndarray:
     """Distinct n-grams of token numbers: single ones, pairs, and the marks for repeats and capitals."""
-    marks = []
-    if same.any():
-        marks.append(AGAIN)
-        if (same[1:] & same[:-1]).any():
-            marks.append(THRICE)
-    if capital.any():
-        marks.append(CAPITALS)
-    known = ids[ids >= FIRST]
-    pairs = (ids[:-1] << _PAIR) | ids[1:]
-    return np.unique(np.concatenate([np.array(marks, np.int64), known, pairs[(ids[:-1] >= FIRST) & (ids[1:] >= FIRST)]]))
+    left, right = ids[:-1], ids[1:]
+    pairs = ((left << _PAIR) | right)[(left >= FIRST) & (right >= FIRST)]
+    return np.unique(np.concatenate([np.array(marks, np.int64), ids[ids >= FIRST], pairs]))
 
 
 @dataclass
@@ -75,11 +65,15 @@ class Model:
     shift: float
 
     def features(self, text: str | None) -> np.ndarray:
-        words, capital = tokens(text)
+        text = text or ""
+        small = text.lower()
+        words = _TOKEN.findall(small)
         ids = np.fromiter(map(self.vocabulary.get, words, [UNKNOWN] * len(words)), np.int64, len(words))
-        # Unknown words repeat too.
-        same = np.fromiter(map(str.__eq__, words[1:], words[:-1]), bool, max(len(words) - 1, 0))
-        return _grams(ids, same, capital)
+        # Repeats count across punctuation, and for unknown words as well.
+        plain = _WORD.findall(small)
+        same = np.fromiter(map(str.__eq__, plain[1:], plain[:-1]), bool, max(len(plain) - 1, 0))
+        marks = [AGAIN] * bool(same.any()) + [THRICE] * bool((same[1:] & same[:-1]).any()) + [CAPITALS] * bool(_CAPITALS.search(text))
+        return _grams(ids, marks)
 
     def margin(self, text: str | None) -> float:
         found = self.features(text)
@@ -133,16 +127,15 @@ def logistic_curve(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[flo
     return float(max(a, 0.0)), float(b)
 
 
-def fit(sample: list[tuple[str, int]], smoothing: float = 1.0, cost: float = 1.0) -> Model:
+def fit(sample: list[tuple[str, int]], smoothing: float = 1.0, cost: float = 0.05) -> Model:
     """A model of labelled texts. Without rows of both labels it scores every text with the share of label 1, one half without any row."""
     y = np.array([1 if label else -1 for _, label in sample])
     share = ((y > 0).sum() + 1) / (len(y) + 2) if len(y) else 0.5
     if len(set(y.tolist())) < 2:
         return Model({}, np.empty(0, np.int64), np.empty(0), 0.0, 0.0, float(np.log(share / (1 - share))))
     seen: dict[str, int] = {}
-    parsed = [tokens(t) for t, _ in sample]
-    for words, _ in parsed:
-        for w in set(words):
+    for t, _ in sample:
+        for w in set(_TOKEN.findall(t.lower())):
             seen[w] = seen.get(w, 0) + 1
     vocabulary = {w: i + FIRST for i, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST))}
     model = Model(vocabulary, np.empty(0, np.int64), np.empty(0), 0.0, 1.0, 0.0)
