@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, mixing, neardup, quality, sharding
+from cohortlens.llm import decontamination, mixing, neardup, quality, sharding, toxicity
 from cohortlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
 @query("op3_entropy_mixing")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
