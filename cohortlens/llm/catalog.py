@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, mixing, neardup, quality, sharding, toxicity
+from cohortlens.llm import chat, decontamination, fingerprints, mixing, neardup, quality, sharding, toxicity
 from cohortlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_simhash_fingerprints")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.document_prints(read_table(spark, sf, "documents"))
+
+
 @query("op2_toxicity")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
@@ -72,3 +77,26 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_quality_classifier")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
+PROBE = r"\### Assistant: </turn> ok"
+
+
+@query("op8_chat_format", sql=r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, contains(text, '\') OR contains(text, '###') OR contains(text, '</turn>') OR contains(role, '\') OR contains(role, '#') OR contains(role, '<') OR contains(role, ':') OR contains(role, chr(10)) AS conflict FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(14 + length(role) + CASE WHEN conflict THEN length(replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l')) ELSE length(text) END) AS BIGINT) AS formatted_chars,
+  true AS round_trip
+FROM sized GROUP BY conv_id
+""")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    given = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast(given.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(given.schema["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    return chat.digests(chat.format_conversations(given.unionByName(probe)))

@@ -12,7 +12,7 @@ from cohortlens.operators.scale import staged
 __all__ = ["components", "hash62", "read_table", "running_total", "staged"]
 
 # Rows that one task ranks at a time in ``running_total``.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 10_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -116,17 +116,17 @@ def _rounded(rows: DataFrame, count: int) -> DataFrame:
     for number in range(FILLS):
         # Words of one cell that are open, and the rows that could fill them.
         fits = (F.col("extra") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("budget") + 1e-6)
-        joined = keyed.join(budgets, "cell").withColumn("fits", fits)
+        joined = keyed.join(F.broadcast(budgets), "cell").withColumn("fits", fits)
         ordered = running_total(joined, ["cell"], "h", F.when(F.col("fits"), F.col("size")).otherwise(0), count)
         takes = F.col("fits") & (F.col("before") + F.col("size") <= F.col("budget") + 1e-6)
         keyed = staged(ordered.withColumn("takes", takes).select("doc_id", "source", "size", "cell", "h", "rate", (F.col("copies") + F.col("takes").cast("int")).alias("copies"), F.when(F.col("takes"), 0.0).otherwise(F.col("extra")).alias("extra"), F.when(F.col("takes"), F.col("size")).otherwise(0).alias("gone"), *[c for c in rows.columns if c.startswith("_")]))
-        budgets = budgets.join(keyed.groupBy("cell").agg(F.sum("gone").alias("gone")), "cell").select("cell", (F.col("budget") - F.col("gone")).alias("budget"))
+        budgets = budgets.join(F.broadcast(keyed.groupBy("cell").agg(F.sum("gone").alias("gone"))), "cell").select("cell", (F.col("budget") - F.col("gone")).alias("budget"))
         # Another order each time, so that the same large row does not block the cut again.
         keyed = keyed.drop("gone").withColumn("h", hash62("h", F.lit(number)))
     least = keyed.where("extra > 0 and size > 0").groupBy("cell").agg(F.min(F.struct("size", "h", "_row")).alias("least"))
     over = budgets.join(least, "cell").where("least.size < 2 * budget").select("cell", F.col("least._row").alias("_last"))
     added = (F.col("_row") == F.col("_last")).cast("int")
-    return keyed.join(over, "cell", "left").withColumn("copies", F.col("copies") + F.coalesce(added, F.lit(0))).drop("_last")
+    return keyed.join(F.broadcast(over), "cell", "left").withColumn("copies", F.col("copies") + F.coalesce(added, F.lit(0))).drop("_last")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
