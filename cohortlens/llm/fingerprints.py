@@ -9,6 +9,7 @@ fingerprints that differ in at most (blocks - 2) bits share at least one entry.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,19 +29,10 @@ _BOTH = (1 << 32) | 1
 _HALF = (1 << 32) - 1
 
 
-def terms(text: Column, size: int = TERM) -> Column:
-    """Array of structs with the words of each term; no words: an empty array."""
-    words = F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    last = F.greatest(F.size(words) - (size - 1), F.lit(0))
-    rows = F.arrays_zip(*[F.slice(words, F.lit(i + 1), last).alias(f"w{i}") for i in range(size)])
-    short = F.array(F.struct(F.array_join(words, " ").alias("w0"), *[F.lit(None).cast("string").alias(f"w{i}") for i in range(1, size)]))
-    kind = f"array<struct<{','.join(f'w{i}:string' for i in range(size))}>>"
-    return F.when(F.size(words) >= size, rows.cast(kind)).when(F.size(words) > 0, short.cast(kind)).otherwise(F.array().cast(kind))
-
-
-def _votes(size: int) -> tuple[Column, Column]:
-    first = F.when(F.col("w0").isNotNull(), F.xxhash64(*[f"w{i}" for i in range(size)]))
-    return first, F.when(F.col("w0").isNotNull(), F.xxhash64(F.lit(1), *[f"w{i}" for i in range(size)]))
+def terms(words: Column, size: int = TERM) -> Column:
+    """Array of structs (w0, w1, …) with the words of each term; fewer words are one term, no words an empty array."""
+    count = F.greatest(F.size(words) - (size - 1), F.least(F.size(words), F.lit(1)))
+    return F.arrays_zip(*[F.slice(words, F.lit(i + 1), count).alias(f"w{i}") for i in range(size)])
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", size: int = TERM) -> DataFrame:
@@ -48,9 +40,12 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", size: in
 
     ``keys`` name one row each. Where the rows are already distributed by some of the keys, nothing is shuffled.
     """
-    shown = texts.select(*keys, F.inline_outer(terms(F.col(text), size)))
-    a, b = _votes(size)
-    hashed = shown.select(*keys, a.alias("a"), b.alias("b"))
+    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\x0B\f\r]+"), "")
+    split = texts.select(*keys, words.alias("_words"))
+    shown = split.select(*keys, F.inline_outer(terms(F.col("_words"), size)))
+    # A row without a term stands for a text without words and has no vote.
+    names = [f"w{i}" for i in range(size)]
+    hashed = shown.select(*keys, F.when(F.col("w0").isNotNull(), F.xxhash64(*names)).alias("a")).select(*keys, "a", F.when(F.col("a").isNotNull(), F.xxhash64("a")).alias("b"))
     sums = [F.sum(F.shiftrightunsigned(side, j).bitwiseAND(F.lit(_BOTH))).alias(f"{side}{j}") for side in ("a", "b") for j in range(32)]
     counted = hashed.groupBy(*keys).agg(F.count("a").alias("n"), *sums)
 
@@ -67,8 +62,9 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", size: in
 
 
 def likeness(a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
-    """Share of equal bits."""
-    return F.lit(1.0) - (F.bit_count(a1.bitwiseXOR(a2)) + F.bit_count(b1.bitwiseXOR(b2))) / F.lit(float(BITS))
+    """Cosine of the two vectors of term weights as the bits estimate it: an angle of pi times the share of bits that differ; at least 0."""
+    different = F.bit_count(a1.bitwiseXOR(a2)) + F.bit_count(b1.bitwiseXOR(b2))
+    return F.greatest(F.lit(0.0), F.cos(different * F.lit(math.pi / BITS)))
 
 
 def shown(a: Column, b: Column) -> Column:
