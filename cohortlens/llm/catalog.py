@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat, decontamination, fingerprints, mixing, neardup, quality, sharding, toxicity
+from cohortlens.llm import chat, decontamination, fingerprints, html_extract, mixing, neardup, quality, sharding, toxicity
 from cohortlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -74,6 +74,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op6_html_main_text")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.main_text(read_table(spark, sf, "pages"))
+
+
 @query("op7_quality_classifier")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
