@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat, decontamination, fingerprints, html_extract, mixing, neardup, quality, sharding, toxicity
+from cohortlens.llm import chat, decontamination, fingerprints, html_extract, mixing, neardup, quality, repeats, sharding, toxicity
 from cohortlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -105,3 +105,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     given = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast(given.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(given.schema["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     return chat.digests(chat.format_conversations(given.unionByName(probe)))
+
+
+@query("op10_repeated_substrings")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf, "documents"))
