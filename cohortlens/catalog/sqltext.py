@@ -62,7 +62,7 @@ paired AS (SELECT c.* EXCLUDE (rn, n_side) FROM candidate c JOIN bin_counts USIN
 
 
 def probability(seed: str, key: str = "record_id", label: str = "label", weight: float = 0.25) -> str:
-    unit = f"(('0x' || substr(md5({seed} || '|' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    unit = f"(('0x' || substr(md5({seed} || '|' || {key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
     return f"round({weight}::DOUBLE * {label} + {1 - weight}::DOUBLE * {unit}, 4)"
 
 
@@ -83,4 +83,4 @@ pixels AS (SELECT slice_id, channel, CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i
 
 
 def hash_long(seed: str, key: str) -> str:
-    return f"('0x' || substr(md5({seed} || '|' || {key}), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5({seed} || '|' || {key}), 1, 15))::BIGINT"

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.scale import BAND, ordinals, parallelism
@@ -22,17 +22,17 @@ def hash_text(seed: int | str | Column, *parts: Column | str) -> Column:
 
 
 def hash_long(digest: Column) -> Column:
-    """First 32 bits of a digest as a BIGINT."""
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    """First 60 bits of a digest as a BIGINT."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def hash_unit(seed, *parts) -> Column:
-    """Uniform number in [0, 1)."""
-    return hash_long(hash_text(seed, *parts)) / F.lit(4294967296.0)
+    """Uniform number in [0, 1): 52 bits, which a double holds exactly."""
+    return F.conv(F.substring(hash_text(seed, *parts), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def hash_index(n: Column | int, seed, *parts) -> Column:
-    """Uniform index in 0 … n-1 (bias below n / 2^32)."""
+    """Uniform index in 0 … n-1 (bias below n / 2^60)."""
     size = n if isinstance(n, Column) else F.lit(n)
     return hash_long(hash_text(seed, *parts)) % size
 
@@ -48,12 +48,7 @@ def permuted(df: DataFrame, id_col: str, seed: int | str | Column, keys: Sequenc
     """
     bands = parallelism(df.sparkSession)
     hashed = df.withColumn("_h", hash_text(seed, id_col)).withColumn(
-        BAND, F.floor(hash_long(F.col("_h")) * F.lit(bands) / F.lit(4294967296)).cast("int")
+        BAND, F.shiftright(F.shiftright(hash_long(F.col("_h")), 30) * F.lit(bands), 30).cast("int")
     )
     return ordinals(hashed, keys, ["_h", id_col], out).drop("_h")
 
-
-def permuted_small(df: DataFrame, id_col: str, seed, keys: Sequence[str], out: str = "rank") -> DataFrame:
-    """The same permutation for keys whose size is bounded by construction (a pair, a bin of one participant)."""
-    window = Window.partitionBy(*keys).orderBy(hash_text(seed, id_col), F.col(id_col))
-    return df.withColumn(out, F.row_number().over(window) - 1)

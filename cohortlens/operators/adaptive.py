@@ -75,10 +75,12 @@ def adaptive_thresholds(df: DataFrame, method: str = "otsu", keys: Sequence[str]
     upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     c, k = F.col("c"), F.col("bin").cast("long")
+    # The square of a count may not fit a BIGINT.
+    squared = F.col("c").cast("decimal(19,0)") * F.col("c").cast("decimal(19,0)")
     cum = hist.select(
         *keys, "bin", "_lo", "_hi",
-        F.sum(c).over(upto).alias("w0"), F.sum(c * k).over(upto).alias("s0"), F.sum(c * c).over(upto).alias("q0"),
-        F.sum(c).over(whole).alias("_w"), F.sum(c * k).over(whole).alias("_s"), F.sum(c * c).over(whole).alias("_q"),
+        F.sum(c).over(upto).alias("w0"), F.sum(c * k).over(upto).alias("s0"), F.sum(squared).over(upto).alias("q0"),
+        F.sum(c).over(whole).alias("_w"), F.sum(c * k).over(whole).alias("_s"), F.sum(squared).over(whole).alias("_q"),
     ).withColumns({"w1": F.col("_w") - F.col("w0"), "s1": F.col("_s") - F.col("s0"), "q1": F.col("_q") - F.col("q0")})
     scored = cum.withColumn("_crit", F.when(F.col("w1") > 0, criterion))
     best = F.max_by("bin", F.when(F.col("_crit").isNotNull(), F.struct(F.col("_crit"), -F.col("bin"))))

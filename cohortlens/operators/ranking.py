@@ -43,8 +43,8 @@ def ranking(
     cum = ranked_ties(df, keys, score, label, weight, sample_of)
     neg = F.col("n") - F.col("pos")
     neg_below = (F.col("n_total") - F.col("pos_total")) - (F.col("n_before") - F.col("pos_before")) - neg
-    # Twice the Mann–Whitney count is an integer, so the sum is exact far beyond any comparison tolerance.
-    twice_wins = (F.col("pos") * (2 * neg_below + neg)).cast("double")
+    # Twice the Mann–Whitney count, as doubles: the product of two counts may not fit a BIGINT.
+    twice_wins = F.col("pos").cast("double") * (2 * neg_below + neg)
     precision = (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))
     total = cum.groupBy(*keys).agg(
         F.max("n_total").alias("n"),
@@ -70,7 +70,7 @@ def average_precision(df: DataFrame, keys: Sequence[str] = (), empty: float | No
 
 
 def sampled_average_precision(df: DataFrame, max_samples: int, seed: int, score: str = "score") -> DataFrame:
-    """AP over ``max_samples`` draws with replacement when the data set is larger, over everything otherwise.
+    """AP over ``max_samples`` draws with replacement, whatever the size of the data set; ``average_precision`` is exact.
 
     The draws index the elements in (score, label) order. Any order gives the same law, and in this one elements of a
     tie are interchangeable: the ties are counted first and each draw is looked up in the tie that covers its position.
@@ -78,7 +78,7 @@ def sampled_average_precision(df: DataFrame, max_samples: int, seed: int, score:
     """
     clean = df.select(scalars.sanitize(score).alias(score), F.col("label").cast("int").alias("label"))
     total = clean.count()
-    if total <= max_samples:
+    if not total:
         return average_precision(clean)
     ties = staged(clean.groupBy(score, "label").agg(F.count(F.lit(1)).alias("n")))
     placed = running(banded(ties, score), [], [score, "label"], ["n"])

@@ -6,8 +6,7 @@ Everything here returns whole results. What changes is only where the rows are p
   a third of all rows is computed by many tasks. A band is a function of the value, hence stable under task retry.
 * ``running`` and ``ordinals`` add the totals of earlier bands to the sums inside a band.
 * ``exact_quantiles`` reads order statistics off those running counts instead of buffering a group.
-* ``attach`` joins one row of statistics per key to the detail rows: broadcast when the measured number of rows is
-  small, a salted shuffle join otherwise.
+* ``attach`` joins one row of statistics per key to the detail rows and leaves broadcasts and hot keys to the planner.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,19 +23,10 @@ from pyspark.sql import functions as F
 from cohortlens.session import ensure_checkpoint_dir
 
 BAND = "_band"
-SALT = "_salt"
-# Rows of a statistics table that may be broadcast: at most a few dozen bytes each, so well below 100 MB.
-BROADCAST_ROWS = 1_000_000
 
 
 def parallelism(spark: SparkSession) -> int:
-    return max(2, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-
-def settle(df: DataFrame) -> tuple[DataFrame, int]:
-    """Materialize a small derived table once and measure it."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return kept, kept.count()
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -53,16 +42,12 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join per-key statistics to detail rows without sending a hot key to one task."""
-    kept, rows = settle(stats)
-    if rows <= BROADCAST_ROWS:
-        return df.join(F.broadcast(kept), list(keys), how)
-    salts = parallelism(df.sparkSession)
-    # The partition number spreads identical copies, which share their hash; both are stable when a task is retried.
-    spread = F.xxhash64(*df.columns) + F.spark_partition_id() * F.lit(7919)
-    salted = df.withColumn(SALT, F.pmod(spread, F.lit(salts)).cast("int"))
-    copies = kept.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, SALT], how).drop(SALT)
+    """Join per-key statistics to detail rows.
+
+    A plain equi-join: the planner broadcasts a side whose measured size is small, and adaptive execution splits the
+    detail rows of a hot key; nothing is copied for keys that are not hot.
+    """
+    return df.join(stats, list(keys), how)
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalars
@@ -55,13 +55,12 @@ def sweep_counts(
         F.sum(F.coalesce(cell["n"], F.lit(0))).over(suffix).alias("predicted"),
         F.sum(F.coalesce(cell["pos"], F.lit(0))).over(suffix).alias("tp"),
     )
-    listed = F.array(
-        *[
-            F.struct(F.lit(i).alias("ord"), F.lit(float(t)).alias("thr"), F.lit(position[float(x)]).alias("b"))
-            for i, (t, x) in enumerate(zip(thresholds, following))
-        ]
-    )
-    per_bucket = summed.withColumn("_t", F.explode(F.filter(listed, lambda t: t["b"] == F.col("_bucket"))))
+    # Thresholds by bucket: a bucket looks up its own, mostly one.
+    own: list[list[Column]] = [[] for _ in distinct]
+    for i, (t, x) in enumerate(zip(thresholds, following)):
+        own[position[float(x)] - 1].append(F.struct(F.lit(i).alias("ord"), F.lit(float(t)).alias("thr")))
+    listed = F.array(*[F.array(*each) for each in own])
+    per_bucket = summed.withColumn("_t", F.explode(F.get(listed, F.col("_bucket") - 1)))
     fp = F.col("predicted") - F.col("tp")
     fn = F.col("_allpos") - F.col("tp")
     return per_bucket.select(

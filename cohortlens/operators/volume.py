@@ -170,7 +170,7 @@ def _local_labels(voxels: DataFrame, keys: Sequence[str], connectivity: int, til
     return voxels.select("*", *tiles).groupBy(*keys, *[f"_t{a}" for a in AXES]).applyInArrow(run, schema)
 
 
-def _merge_labels(edges: DataFrame, keys: Sequence[str], rounds: int = 200) -> DataFrame:
+def _merge_labels(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smallest label reachable from each label over undirected edges (keys, a, b), as (keys, a, root).
 
     Alternates neighbour minimum and pointer jumping on the contracted graph; every round is written to the shared
@@ -178,7 +178,7 @@ def _merge_labels(edges: DataFrame, keys: Sequence[str], rounds: int = 200) -> D
     """
     both = staged(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = staged(both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    for _ in range(rounds):
+    while True:
         seen = both.join(roots.withColumnRenamed("a", "b").withColumnRenamed("root", "_rb"), [*keys, "b"])
         best = seen.groupBy(*keys, "a").agg(F.min("_rb").alias("_m"))
         stepped = roots.join(best, [*keys, "a"]).select(*keys, "a", F.least("root", "_m").alias("root"), F.col("root").alias("_old"))
@@ -189,7 +189,6 @@ def _merge_labels(edges: DataFrame, keys: Sequence[str], rounds: int = 200) -> D
         roots = jumped.select(*keys, "a", "root")
         if jumped.where("root <> _old").isEmpty():
             return roots
-    raise RuntimeError("component labels did not settle")
 
 
 def connected_components(mask: DataFrame, keys: Sequence[str], value: str = "mask", connectivity: int = 1, tile: int = TILE) -> DataFrame:
