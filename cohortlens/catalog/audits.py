@@ -171,16 +171,16 @@ def most_suspicious(spark, d):
     return top.select("id", "worst_rank", F.round("outlier_score", 8).alias("outlier_score"))
 
 
-REVIEW = f"""{QC}, {QC_FLAGS}, rv AS (SELECT session_id, session_id % 13 AS site, status, CASE WHEN status = 'REVIEW' THEN CASE session_id % 5 WHEN 0 THEN 'EXCLUDE' WHEN 1 THEN 'PENDING' ELSE 'PASS' END END AS manual, session_id % 10 = 0 AS allowed FROM st WHERE status <> 'FAIL' OR session_id % 40 = 0)"""
+REVIEW = f"""{QC}, {QC_FLAGS}, rv AS (SELECT session_id, session_id % 997 AS site, status, CASE WHEN status = 'REVIEW' THEN CASE session_id % 5 WHEN 0 THEN 'EXCLUDE' WHEN 1 THEN 'PENDING' ELSE 'PASS' END END AS manual, session_id % 10 = 0 AS allowed FROM st)"""
 
 
 @query("n11_release_gate", f"""WITH {REVIEW}, r AS (SELECT site, coalesce(status = 'FAIL' OR (manual = 'EXCLUDE' AND NOT allowed), false) AS f, coalesce(allowed AND coalesce(manual, '') <> 'EXCLUDE' OR manual NOT IN ('PASS', 'EXCLUDE'), false) AS w FROM rv)
 SELECT site, count(*) AS sessions, count(*) FILTER (WHERE f) AS failed, count(*) FILTER (WHERE w) AS waiting, CASE WHEN bool_or(f) THEN 'FAIL' WHEN bool_or(w) THEN 'PENDING_MANUAL_REVIEW' ELSE 'PASS' END AS release FROM r GROUP BY site""")
 def release_gate(spark, d):
-    rows = audits.qc_status(qc_rows(spark, d)).where("status <> 'FAIL' OR session_id % 40 = 0")
+    rows = audits.qc_status(qc_rows(spark, d))
     k = F.col("session_id")
     manual = F.when(F.col("status") == "REVIEW", F.when(k % 5 == 0, "EXCLUDE").when(k % 5 == 1, "PENDING").otherwise("PASS"))
-    return audits.release_gate(rows.select((k % 13).alias("site"), "status", manual.alias("manual"), (k % 10 == 0).alias("allowed")), ["site"], "status", "manual", "allowed")
+    return audits.release_gate(rows.select((k % 997).alias("site"), "status", manual.alias("manual"), (k % 10 == 0).alias("allowed")), ["site"], "status", "manual", "allowed")
 
 
 @query("n12_review_queue", f"""WITH {QC}, {QC_FLAGS}, q AS (SELECT session_id, status FROM st WHERE status = 'REVIEW'), o AS (SELECT session_id, 'PASS' AS d, 'seen' AS n FROM q WHERE session_id % 4 = 0), a AS (SELECT session_id, 'EXCLUDE' AS d FROM q WHERE session_id % 6 = 0)

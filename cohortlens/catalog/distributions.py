@@ -380,12 +380,20 @@ def equalize(spark, d):
 
 
 GRID = 64
-LAND = f"""land AS (SELECT modality, CAST(i AS INTEGER) AS i, q FROM (SELECT modality, unnest(range({GRID} + 1)) AS i, unnest(quantile_cont(v, [{', '.join(str(j / GRID) for j in range(GRID + 1))}])) AS q FROM i GROUP BY modality))"""
+# Landmarks of a published curve. Times FINE they are whole hundredths, which round alike everywhere.
+FINE = 4096
 
 
-@query("m7_landmarks", f"WITH {VALUES}, {LAND} SELECT modality, i, round(q, 8) AS q FROM land")
+def land_sql(grid: int) -> str:
+    return f"""land AS (SELECT modality, CAST(i AS INTEGER) AS i, q FROM (SELECT modality, unnest(range({grid} + 1)) AS i, unnest(quantile_cont(v, [{', '.join(str(j / grid) for j in range(grid + 1))}])) AS q FROM i GROUP BY modality))"""
+
+
+LAND = land_sql(GRID)
+
+
+@query("m7_landmarks", f"WITH {VALUES}, {land_sql(FINE)} SELECT modality, i, round(q * {FINE}, 2) AS scaled FROM land")
 def landmarks(spark, d):
-    return normalize.landmarks(t.intensities(spark, d), ["modality"], "v", GRID).withColumn("q", F.round("q", 8))
+    return normalize.landmarks(t.intensities(spark, d), ["modality"], "v", FINE).select("modality", "i", F.round(F.col("q") * FINE, 2).alias("scaled"))
 
 
 REFERENCE = f"""rc AS (SELECT case_id, CAST(i AS INTEGER) AS i, q FROM (SELECT case_id, unnest(range({GRID} + 1)) AS i, unnest(quantile_cont(v, [{', '.join(str(j / GRID) for j in range(GRID + 1))}])) AS q FROM i WHERE cohort = 'R' GROUP BY case_id)),

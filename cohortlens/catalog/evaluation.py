@@ -159,17 +159,17 @@ for _method in ("otsu", "yen"):
     _thresholds(_method)
 
 
-@query("a19_unlabelled_gate", f"""WITH {S.TIED}, m AS (SELECT subject, modality, z, label, score > 0.05::FLOAT AS p FROM tied),
-gate AS (SELECT z, bool_and(has) AS ok FROM (SELECT z, subject, bool_or(label) AS has FROM m GROUP BY z, subject) GROUP BY z),
+@query("a19_unlabelled_gate", f"""WITH {S.TIED}, m AS (SELECT subject, modality, z, CASE WHEN subject % 7 = 0 AND z IN (2, 5) THEN NULL ELSE label END AS label, score > 0.05::FLOAT AS p FROM tied),
+gate AS (SELECT z, bool_and(label IS NOT NULL) AS ok FROM m GROUP BY z),
 c AS (SELECT z, subject, {COUNTS_SQL} FROM m GROUP BY z, subject),
-r AS (SELECT z, count(*) AS subjects, avg(2.0 * tp / greatest(2 * tp + fp + fn, 1e-8)) AS dice, sum(tp) + sum(fp) AS predicted FROM c GROUP BY z)
+r AS (SELECT z, count(*) AS subjects, avg(2.0 * tp / greatest(2 * tp + fp + fn, 1e-8)) AS dice, (SELECT count(*) FROM m WHERE p AND m.z = c.z) AS predicted FROM c GROUP BY z)
 SELECT z, subjects, CAST(predicted AS BIGINT) AS predicted, CASE WHEN ok THEN round(dice, 9) END AS dice FROM r JOIN gate USING (z)""")
 def unlabelled_gate(spark, d):
-    # A z level where some subject has no label at all stands for unlabelled data: label metrics NULL, counts kept.
-    df = t.elements(spark, d, "l_discount")
-    counted = confusion.confusion(df, ["z", "subject"], scalars.above("score", 0.05))
-    gate = counted.groupBy("z").agg(F.bool_and(F.col("tp") + F.col("fn") > 0).alias("ok"))
-    rows = confusion.macro_micro(counted, ["z"]).withColumn("predicted", F.col("tp") + F.col("fp")).join(gate, "z")
+    # Some subjects have no labels in two z levels: label metrics are NULL there, the count of predictions stays.
+    df = t.elements(spark, d, "l_discount").withColumn("label", F.when(~((F.col("subject") % 7 == 0) & F.col("z").isin(2, 5)), F.col("label")))
+    hit = scalars.above("score", 0.05)
+    gate = df.groupBy("z").agg(F.bool_and(F.col("label").isNotNull()).alias("ok"), F.count_if(hit).alias("predicted"))
+    rows = confusion.macro_micro(confusion.confusion(df, ["z", "subject"], hit), ["z"]).join(gate, "z")
     gated = confusion.gated_by_labels(rows, F.col("ok"), ["dice"])
     return gated.select("z", "subjects", "predicted", F.round("dice", 9).alias("dice"))
 

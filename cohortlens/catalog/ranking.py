@@ -57,10 +57,10 @@ def roc_auc(spark, d):
 LOSS = "-(label * ln(least(1 - 1e-7::DOUBLE, greatest(1e-7::DOUBLE, {p}))) + (1 - label) * ln(1 - least(1 - 1e-7::DOUBLE, greatest(1e-7::DOUBLE, {p}))))"
 
 
-@query("a13_cross_entropy", f"""WITH {S.predictions()}
+@query("a13_cross_entropy", f"""WITH {S.predictions(split=None)}
 SELECT split, count(*) AS n, round(avg({LOSS.format(p='probability')}), 8) AS bce FROM predictions GROUP BY split""")
 def cross_entropy(spark, d):
-    rows = t.predictions(spark, d)
+    rows = t.predictions(spark, d, split=None)
     loss = ranking.cross_entropy(F.col("label"), F.col("probability"))
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(loss), 8).alias("bce"))
 
@@ -86,18 +86,18 @@ def rounded_metrics(df):
     return df.withColumns({c: F.round(c, digits.get(c, 9)) for c in names})
 
 
-@query("a14_binary_metrics", f"""WITH {S.predictions((1, 2))}, sl AS (SELECT seed, label, probability AS score FROM predictions),
+@query("a14_binary_metrics", f"""WITH {S.predictions((1, 2), None)}, sl AS (SELECT seed, label, probability AS score FROM predictions),
 {metric_sql('sl', 'seed')} SELECT seed, {METRIC_COLS} FROM rank_out JOIN c_sl USING (seed)""")
 def binary_metrics(spark, d):
-    return rounded_metrics(ranking.binary_metrics(t.predictions(spark, d, (1, 2)), ["seed"], score="probability"))
+    return rounded_metrics(ranking.binary_metrics(t.predictions(spark, d, (1, 2), None), ["seed"], score="probability"))
 
 
-@query("a15_subject_scores", f"""WITH {S.predictions()}
+@query("a15_subject_scores", f"""WITH {S.predictions(split=None)}
 SELECT participant, pair_id, label, slice_count, round(score, 9) AS mean_score,
  round((SELECT median(probability) FROM predictions p WHERE p.participant = s.participant), 9) AS median_score,
  (SELECT max(probability) FROM predictions p WHERE p.participant = s.participant) AS max_score FROM subjects s""")
 def subject_scores(spark, d):
-    rows = t.predictions(spark, d)
+    rows = t.predictions(spark, d, split=None)
     out = None
     for method in ("mean", "median", "max"):
         part = ranking.aggregate_subjects(rows, method=method).withColumnRenamed("score", f"{method}_score")
@@ -106,18 +106,18 @@ def subject_scores(spark, d):
     return out
 
 
-@query("a16_slice_and_subject_metrics", f"""WITH {S.predictions()}, sl AS (SELECT label, probability AS score FROM predictions),
+@query("a16_slice_and_subject_metrics", f"""WITH {S.predictions(split=None)}, sl AS (SELECT label, probability AS score FROM predictions),
 {metric_sql('sl')}, a AS (SELECT 'slice' AS unit, {METRIC_COLS} FROM rank_out, c_sl),
 {metric_sql('subjects').replace('tie AS', 'tie2 AS').replace('FROM tie ', 'FROM tie2 ').replace('cum AS', 'cum2 AS').replace('FROM cum', 'FROM cum2').replace('rank_out AS', 'rank_out2 AS')}
 SELECT * FROM a UNION ALL SELECT 'subject', {METRIC_COLS} FROM rank_out2, c_subjects""")
 def slice_and_subject(spark, d):
-    return rounded_metrics(ranking.slice_and_subject_metrics(t.predictions(spark, d)))
+    return rounded_metrics(ranking.slice_and_subject_metrics(t.predictions(spark, d, split=None)))
 
 
-@query("a21_subject_balanced_loss", f"""WITH {S.predictions()}, l AS (SELECT participant, avg({LOSS.format(p='probability')}) AS l FROM predictions GROUP BY participant)
+@query("a21_subject_balanced_loss", f"""WITH {S.predictions(split=None)}, l AS (SELECT participant, avg({LOSS.format(p='probability')}) AS l FROM predictions GROUP BY participant)
 SELECT round(avg(l), 8) AS loss, count(*) AS participants FROM l""")
 def balanced_loss(spark, d):
-    return ranking.subject_balanced_loss(t.predictions(spark, d)).withColumn("loss", F.round("loss", 8))
+    return ranking.subject_balanced_loss(t.predictions(spark, d, split=None)).withColumn("loss", F.round("loss", 8))
 
 
 RESIDUALS = """residuals AS (SELECT l_suppkey AS subject, l_linenumber AS z, l_linestatus AS modality, l_partkey % 50 AS t, l_quantity / 50 AS eps, l_discount * 10 AS eps_hat FROM lineitem)"""
@@ -173,10 +173,10 @@ def schedule_products(spark, d):
     return rows.select("t", F.round("alpha", 9).alias("alpha"), F.round("alpha_hat", 9).alias("alpha_hat"), "n")
 
 
-@query("a24_seed_ensemble", f"""WITH {S.predictions((1, 2, 3))}, e AS (SELECT participant, label, round(avg(score), 12) AS score FROM subjects GROUP BY ALL HAVING count(*) = 3),
+@query("a24_seed_ensemble", f"""WITH {S.predictions((1, 2, 3), None)}, e AS (SELECT participant, label, round(avg(score), 12) AS score FROM subjects GROUP BY ALL HAVING count(*) = 3),
 {metric_sql('e')} SELECT 'PASS' AS status, {METRIC_COLS} FROM rank_out, c_e""")
 def seed_ensemble(spark, d):
-    subjects = ranking.aggregate_subjects(t.predictions(spark, d, (1, 2, 3)), ["seed"]).withColumn("cell", F.lit("all"))
+    subjects = ranking.aggregate_subjects(t.predictions(spark, d, (1, 2, 3), None), ["seed"]).withColumn("cell", F.lit("all"))
     rows, status = ranking.seed_ensemble(subjects, ["cell"], (1, 2, 3))
     metrics = rounded_metrics(ranking.binary_metrics(rows, ["cell"]))
     return metrics.join(status.select("cell", "status"), "cell").drop("cell")

@@ -50,8 +50,8 @@ def fail_unless(condition: Column, value: Column, message: str) -> Column:
 
 # Accepted spellings of the two classes, and words read as yes / no.
 LABEL_ALIASES = {
-    "0": 0, "false": 0, "healthy": 0, "control": 0, "source": 0, "a": 0,
-    "1": 1, "true": 1, "brats": 1, "brats21": 1, "target": 1, "lesion": 1, "b": 1,
+    "0": 0, "healthy": 0, "control": 0, "source": 0, "a": 0,
+    "1": 1, "brats": 1, "brats21": 1, "target": 1, "lesion": 1, "b": 1,
 }
 TRUTHY = ("1", "true", "yes", "y")
 PASS_WORDS = ("pass", "passed", "true", "yes", "ok", "success", "complete")
@@ -65,10 +65,11 @@ def lookup(mapping: Mapping, key: Column) -> Column:
 
 
 def label_or_null(c: Column | str) -> Column:
-    """0 / 1 for a boolean, number or alias; NULL when it is none of them."""
-    text = F.lower(F.trim(_col(c).cast("string")))
+    """0 / 1 for a boolean or number by its type, or for a text that is an alias; NULL when it is none of them."""
+    kind, text = F.typeof(_col(c)), F.lower(F.trim(_col(c).cast("string")))
     number = text.try_cast("double")
-    return F.coalesce(lookup(LABEL_ALIASES, text), F.when(number.isin(0.0, 1.0), number.cast("int")))
+    by_number = F.when(number.isin(0.0, 1.0), number.cast("int"))
+    return F.when(kind == "boolean", (text == "true").cast("int")).when(kind == "string", lookup(LABEL_ALIASES, text)).otherwise(by_number)
 
 
 def label_strict(c: Column | str) -> Column:
@@ -199,7 +200,3 @@ def dice(tp: Column, predicted: Column, actual: Column, both_empty: float = 0.0)
 def sorted_map_json(c: Column | str) -> Column:
     """Canonical text of a map: entries in key order (set operations reject map columns)."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(_col(c)))))
-
-
-def in_set(c: Column | str, values: Sequence) -> Column:
-    return _col(c).isin(*values)

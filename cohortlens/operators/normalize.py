@@ -80,7 +80,10 @@ def positive_or_fail(value: str) -> Column:
 
 def landmarks(df: DataFrame, keys: Sequence[str], value: str, intervals: int = 4096) -> DataFrame:
     """Quantile landmarks of positive finite values; other values and degenerate groups stop the job."""
-    return exact_quantile_grid(df.withColumn(value, positive_or_fail(value)), keys, value, intervals)
+    grid = exact_quantile_grid(df.withColumn(value, positive_or_fail(value)), keys, value, intervals)
+    ends = grid.groupBy(*keys).agg(F.min(F.when(F.col("i") == 0, F.col("q"))).alias("_q0"), F.max(F.when(F.col("i") == intervals, F.col("q"))).alias("_q1"))
+    ready = attach(grid, ends, keys) if keys else attach_scalar(grid, ends)
+    return ready.select(*grid.columns[:-1], scalars.fail_unless(F.col("_q1") > F.col("_q0"), F.col("q"), "landmarks of a constant group").alias("q"))
 
 
 def reference_curve(df: DataFrame, case: Sequence[str], group: Sequence[str], value: str, intervals: int = 4096) -> DataFrame:
@@ -115,9 +118,11 @@ def quantile_map(df: DataFrame, keys: Sequence[str], value: str, target: DataFra
 
 
 def apply_map(df: DataFrame, keys: Sequence[str], value: str, mapping: DataFrame, out: str) -> DataFrame:
-    """Replace foreground values by their mapped value and leave the background untouched."""
+    """Replace foreground (positive) values by their mapped value, leave the background untouched, and fail on a
+    foreground value that the map does not have."""
     joined = attach(df, mapping.select(*keys, value, F.col("mapped").alias("_m")), [*keys, value], "left")
-    return joined.withColumn(out, F.coalesce("_m", F.col(value).cast("double"))).drop("_m")
+    kept = scalars.fail_unless(~(F.col(value) > 0), F.col(value).cast("double"), "foreground value without a mapping")
+    return joined.withColumn(out, F.coalesce("_m", kept)).drop("_m")
 
 
 def distribution_distance(values: DataFrame, keys: Sequence[str], value: str, target: DataFrame, intervals: int, weight: str | None = None) -> DataFrame:

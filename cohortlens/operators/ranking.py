@@ -290,8 +290,3 @@ def residual_scores(df: DataFrame, schedule: DataFrame, timesteps: Sequence[int]
     gap = F.col("eps") - F.col("eps_hat")
     # The schedule has a fixed number of rows (its steps), so broadcasting it is bounded.
     return kept.join(F.broadcast(factor), "t").withColumn("residual", F.pow(F.col("_c") * gap, 2)).drop("_c")
-
-
-def tie_table(df: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
-    """Distinct scores per key with their positions, the common input of rank statistics."""
-    return quantile_positions(df, keys, score)

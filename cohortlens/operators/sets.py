@@ -208,7 +208,3 @@ def plan_coverage(plan: DataFrame, observed: DataFrame, cell: Sequence[str]) ->
 
 def without(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:
     return rows.join(drop.select(key).distinct(), key, "left_anti")
-
-
-def attach_labels(rows: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return attach(rows, labels, keys, "left")

@@ -19,11 +19,3 @@ SELECT {k}, max(tn) AS n, max(tp) AS n_pos,
        try_divide(sum(pos * cp / cn), max(tp)) AS ap,
        try_divide(sum(CAST(pos * (2 * ((tn - tp) - (cn - cp)) + (n - pos)) AS DOUBLE)), 2.0D * max(tp) * (max(tn) - max(tp))) AS auc
 FROM cum GROUP BY {k}"""
-
-
-def holm_sql(view: str, family: Sequence[str], p: str = "p_value") -> str:
-    k = ", ".join(family)
-    return f"""
-WITH stepped AS (SELECT *, least(1.0D, (count(*) OVER (PARTITION BY {k}) - row_number() OVER (PARTITION BY {k} ORDER BY {p}) + 1) * {p}) AS step
-                 FROM {view} WHERE {p} IS NOT NULL)
-SELECT *, max(step) OVER (PARTITION BY {k} ORDER BY {p}) AS p_holm FROM stepped"""

@@ -17,6 +17,8 @@ def local_session(cpus: int | str = 8, app: str = "cohortlens") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("COHORTLENS_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        # One machine: a temporary folder is shared by all its tasks.
+        .config("spark.checkpoint.dir", os.environ.get("COHORTLENS_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

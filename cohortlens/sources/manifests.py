@@ -191,7 +191,3 @@ def read_masked(spark: SparkSession, path: str) -> DataFrame:
     """Elements with a categorical mask, where any positive category counts as a label."""
     df = sets.require_columns(spark.read.parquet(path), ("subject", "z", "score", "mask"))
     return df.select("subject", "z", F.col("score").cast("float").alias("score"), scalars.mask_label("mask").alias("label"))
-
-
-def with_digests(rows: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return attach(rows, ledger, keys, "left")
