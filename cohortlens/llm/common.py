@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.scale import staged
 
-__all__ = ["components", "hash62", "read_table", "running_total", "staged"]
+__all__ = ["components", "free_name", "hash62", "read_table", "running_total", "staged"]
 
 # Rows that one task ranks at a time in ``running_total``.
 ROWS_PER_BUCKET = 10_000
@@ -19,6 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hash62(*columns: Column | str) -> Column:
     """A non-negative 62-bit hash, so that sums and shifts of it stay inside a long."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 62) - 1))
@@ -53,8 +61,11 @@ def components(edges: DataFrame) -> DataFrame:
     checkpoint folder, so a lost executor costs no more than that round. Nodes without an edge are not listed.
     """
     current = staged(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    seen = None
     while True:
+        # Stars: every node is either a centre or hangs on exactly one.
+        leaves = current.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        if leaves.where("n > 1").isEmpty() and current.join(leaves.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+            break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: every larger neighbour of u meets the smallest node that u knows.
@@ -63,9 +74,5 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").distinct()
         current = staged(small)
-        now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     roots = current.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return roots.unionByName(current.select(F.col("u").alias("node"), F.col("u").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

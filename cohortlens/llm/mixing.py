@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import hash62, running_total, staged
+from cohortlens.llm.common import free_name, hash62, running_total, staged
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -157,6 +157,9 @@ def _mixed(docs: DataFrame, weights: Sequence[float], share: float, cap: float)
 
 def repeat_to_targets(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it, with all columns."""
-    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
-    copies = _mixed(numbered, weights, share, cap).where("copies > 0").select("_row", "copies")
-    return numbered.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    row = free_name(docs, "_row")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    needed = numbered.select(F.col(row).alias("_row"), "doc_id", "source", "text")
+    copies = _mixed(needed, weights, share, cap).where("copies > 0").select(F.col("_row").alias(row), F.sequence(F.lit(1), "copies").alias(free_name(docs, "_copies")))
+    joined = numbered.join(copies, row)
+    return joined.select(*docs.columns, F.explode(copies.columns[1]).alias(free_name(docs, "_copy"))).select(*docs.columns)

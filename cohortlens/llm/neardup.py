@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import components, staged
+from cohortlens.llm.common import components, free_name, staged
 
 SHINGLE = 4
 RADIUS = 4
@@ -27,6 +27,8 @@ SEED = 42
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 # Fingerprints of one bucket that one task compares among themselves; a larger bucket is compared block by block.
 BLOCK = 8192
+# Edges that a task gathers before it reduces them to stars.
+EDGES = 500_000
 # Runs up to this length are compared by shifted arrays, all runs of a batch at once.
 SHORT = 24
 
@@ -105,6 +107,22 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _stars(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Edges from the smallest node of each component of ``edges`` to its other nodes."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [(find(x), x) for x in root if find(x) != x]
+
+
 def _linked(keys: np.ndarray, values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges inside each run of equal keys; the arrays are sorted by key."""
     edges: list[tuple[int, int]] = []
@@ -136,8 +154,8 @@ def _filed(prints: DataFrame) -> DataFrame:
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``fp`` that connect whatever links of at most ``radius`` connect.
 
-    Not every link is listed: a bucket of n fingerprints yields fewer than n edges unless it is short. ``radius`` may
-    be 0 to 4; beyond that the keys would miss pairs.
+    Not every link is listed, and an edge may stand for a chain of links: a task reduces what it has found to stars.
+    ``radius`` may be 0 to 4; beyond that the keys would miss pairs.
     """
     if not 0 <= radius <= 4:
         raise ValueError("the keys find differences of at most four bits")
@@ -158,16 +176,23 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             both = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
+        edges: list[tuple[int, int]] = []
         for batch in batches:
             keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
             values = np.concatenate([values, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
             # The last run may go on in the next batch.
             whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if whole:
-                yield out(_linked(keys[:whole], values[:whole], radius))
+                edges.extend(_linked(keys[:whole], values[:whole], radius))
                 keys, values = keys[whole:], values[whole:]
-        if len(keys):
-            yield out(_linked(keys, values, radius))
+            if len(edges) > EDGES:
+                # What the links of a task connect is told by fewer edges.
+                edges = _stars(edges)
+                if len(edges) > EDGES // 2:
+                    yield out(edges)
+                    edges = []
+        edges.extend(_linked(keys, values, radius))
+        yield out(_stars(edges))
 
     return together.mapInArrow(compare, "u long, v long").distinct()
 
@@ -198,8 +223,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Nulls and repeats as in ``near_duplicates``; of repeated rows one stays. The fingerprinted rows are written once
     with a row number, so the choice of a row does not depend on a task being run again.
     """
-    held = staged(with_fingerprint(docs, out="_fp").withColumn("_row", F.monotonically_increasing_id()))
-    rows = held.select("doc_id", F.col("_fp").alias("fp"), "_row")
+    fp, row = free_name(docs, "_fp"), free_name(docs, "_row")
+    held = staged(with_fingerprint(docs, out=fp).withColumn(row, F.monotonically_increasing_id()))
+    rows = held.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("_row"))
     first = rows.join(_grouped(rows, radius), "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
     keep = first.agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
-    return held.join(keep.select("_row"), "_row", "left_semi").select(*docs.columns)
+    return held.join(keep.select(F.col("_row").alias(row)), row, "left_semi").select(*docs.columns)

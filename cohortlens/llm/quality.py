@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.llm.common import free_name
+
 #: Labelled rows that the model is fitted on, at most; taken in the order of a hash of the id.
 SAMPLE = 4000
 #: N-grams seen in fewer sampled documents than this are left out.
@@ -195,4 +197,5 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 4, rest: int = 2,
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with all their columns."""
-    return scored(docs, learn(docs, labels), "_score").where(F.col("_score") >= threshold).select(*docs.columns)
+    score = free_name(docs, "_score")
+    return scored(docs, learn(docs, labels), score).where(F.col(score) >= threshold).select(*docs.columns)
