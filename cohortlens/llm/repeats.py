@@ -11,7 +11,7 @@ row for some 70 bytes of text, and the rows are compared instead of the suffixes
    sides meet in one task, one for each different context. A group of too many contexts is compared by counting the
    hashes of its windows instead, so no task holds a group without bound.
 
-Equality is that of 64-bit hashes of the bytes (of 200 bytes, of the sides and of the contexts); texts are told apart by two of them.
+Equality is that of 64-bit hashes of the bytes (of 200 bytes, of the sides and of the contexts); texts are told apart by 96 bits.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import staged
@@ -105,23 +105,41 @@ def _column(values: list, kind: pa.DataType) -> pa.Array:
     return pa.array(np.concatenate(values) if values else [], kind)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretches(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Columns of all stretches of a batch (t1, t2, text); ``reach`` packs how far before the anchor its windows start."""
+    t1, t2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    out: dict[str, list] = {c: [] for c in ("t1", "t2", "a", "reach", "context", "right", "left")}
+    for i, text in enumerate(batch.column(2)):
+        for found in anchors(_bytes(text.as_py())):
+            n = len(found["a"])
+            out["t1"].append(np.full(n, t1[i]))
+            out["t2"].append(np.full(n, t2[i]))
+            out["a"].append(found["a"].astype(np.int32))
+            out["reach"].append(((found["a"] - found["low"]) * 256 + found["a"] - found["high"]).astype(np.int32))
+            for c in ("context", "right", "left"):
+                out[c].append(found[c].view(np.int64))
+    kinds = {"t2": np.int32, "a": np.int32, "reach": np.int32}
+    return {c: np.concatenate(v) if v else np.empty(0, kinds.get(c, np.int64)) for c, v in out.items()}
+
+
+def _side_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, context, n): sides with their contexts, counted within a batch; the last bit of a key tells its side."""
     for batch in batches:
-        t1, t2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        out: dict[str, list] = {c: [] for c in ("t1", "t2", "a", "low", "high", "context", "right", "left")}
-        for i, text in enumerate(batch.column(2)):
-            for found in anchors(_bytes(text.as_py())):
-                n = len(found["a"])
-                out["t1"].append(np.full(n, t1[i]))
-                out["t2"].append(np.full(n, t2[i]))
-                for c in ("a", "low", "high"):
-                    out[c].append(found[c].astype(np.int32))
-                for c in ("context", "right", "left"):
-                    out[c].append(found[c].view(np.int64))
-        yield pa.RecordBatch.from_arrays([_column(v, pa.int32() if c in ("a", "low", "high") else pa.int64()) for c, v in out.items()], list(out))
+        found = _stretches(batch)
+        rows = [np.stack([(found[side] & ~np.int64(1)) | np.int64(bit), found["context"]], 1)[found[side] != 0] for bit, side in enumerate(("right", "left"))]
+        pairs = np.concatenate(rows)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs = pairs[order]
+        first = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])) if len(pairs) else np.empty(0, np.int64)
+        counts = np.diff(np.concatenate([first, [len(pairs)]]))
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[first, 0]), pa.array(pairs[first, 1]), pa.array(counts, pa.int64())], ["key", "context", "n"])
 
 
-ANCHORS = "t1 long, t2 long, a int, low int, high int, context long, right long, left long"
+def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = _stretches(batch)
+        columns = ("context", "t1", "t2", "a", "reach")
+        yield pa.RecordBatch.from_arrays([pa.array(found[c]) for c in columns], list(columns))
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], exploded: bool) -> Iterator[pa.RecordBatch]:
@@ -147,9 +165,9 @@ def _context_rows(batches: Iterator[pa.RecordBatch], exploded: bool) -> Iterator
                     for c, v in zip(rows, (w["key"], t1.as_py(), t2.as_py(), low, w["own"], piece)):
                         rows[c].append(v)
         if exploded:
-            yield pa.RecordBatch.from_arrays([_column(v, pa.int32() if c == "start" else pa.int64()) for c, v in rows.items()], list(rows))
+            yield pa.RecordBatch.from_arrays([_column(v, pa.int32() if c in ("t2", "start") else pa.int64()) for c, v in rows.items()], list(rows))
         else:
-            yield pa.RecordBatch.from_arrays([pa.array(v, {"first": pa.int32(), "own": pa.bool_(), "bytes": pa.binary()}.get(c, pa.int64())) for c, v in rows.items()], list(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(v, {"t2": pa.int32(), "first": pa.int32(), "own": pa.bool_(), "bytes": pa.binary()}.get(c, pa.int64())) for c, v in rows.items()], list(rows))
 
 
 def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +195,7 @@ def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     r = rows[o[x]]
                     for c, v in zip(out, (r[1], r[2], s[x], s[y - 1])):
                         out[c].append(int(v))
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if c[0] == "t" else pa.int32()) for c, v in out.items()], list(out))
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if c == "t1" else pa.int32()) for c, v in out.items()], list(out))
 
     for batch in batches:
         waiting.extend(zip(*(column.to_pylist() for column in batch.columns)))
@@ -202,7 +220,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = np.cumsum(step[:-1]) > 0
             for c, v in zip(rows, (t1.as_py(), t2.as_py(), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()), hashlib.sha256(data[~gone].tobytes()).hexdigest())):
                 rows[c].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if c == "kept_sha256" else pa.int64()) for c, v in rows.items()], list(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(v, {"kept_sha256": pa.string(), "t2": pa.int32()}.get(c, pa.int64())) for c, v in rows.items()], list(rows))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -213,40 +231,39 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole; repeated rows and equal texts of SPAN bytes or more are removed whole. Other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    named = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    # A text is known by 96 bits of hashes.
+    named = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.hash(F.lit(1), text).alias("t2"))
     slim = staged(named.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
     long = named.where(F.octet_length("text") >= SPAN).select("t1", "t2", "text")
-    found = long.mapInArrow(_anchor_rows, ANCHORS)
-    # Sides: how often each context occurs, and how many different contexts share a side.
-    sides = found.select("context", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("right").alias("key")), F.struct(F.lit(1).alias("side"), F.col("left").alias("key")))).alias("s")).select("context", "s.key").where("key <> 0")
-    classes = sides.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"))
-    shared = classes.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
-    contested = classes.join(shared, "key").select("context", "n", F.struct("key", (F.col("contexts") > TOGETHER).alias("large")).alias("group"))
-    known = classes.where("n > 1").select("context", "n", F.lit(None).cast("struct<key:bigint,large:boolean>").alias("group")).unionByName(contested)
-    known = known.groupBy("context").agg(F.max("n").alias("n"), F.collect_set("group").alias("groups"))
-    marked = found.join(known.withColumnRenamed("context", "_c"), F.col("context") == F.col("_c")).drop("_c")
-    # One row per text and stretch, however many copies of the text there are.
-    once = staged(marked.groupBy("t1", "t2", "a", "low", "high", "context").agg(F.first("n").alias("n"), F.first("groups").alias("groups"), F.first("right").alias("right"), F.first("left").alias("left")))
+    # Dealt by side alone, counted already inside each batch: how often a context occurs, and how many share the side.
+    pairs = long.mapInArrow(_side_rows, "key long, context long, n long").repartition("key")
+    classes = pairs.groupBy("key", "context").agg(F.sum("n").alias("n")).withColumn("contexts", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    group = F.when(F.col("contexts") > 1, F.struct("key", (F.col("contexts") > TOGETHER).alias("large")))
+    known = classes.where("n > 1 OR contexts > 1").groupBy("context").agg(F.max("n").alias("n"), F.collect_set(group).alias("groups"))
+    marked = long.mapInArrow(_place_rows, "context long, t1 long, t2 int, a int, reach int").join(known, "context")
+    # One row per text, however many copies of it there are.
+    low, high = F.col("a") - F.floor(F.col("reach") / 256).cast("int"), F.col("a") - F.col("reach") % 256
+    stretch = F.struct("a", low.alias("low"), high.alias("high"), "context", "n", "groups")
+    listed = staged(marked.select("t1", "t2", stretch.alias("s")).groupBy("t1", "t2").agg(F.collect_set("s").alias("stretches")))
     # One stretch speaks for each context: the first.
-    speaker = once.where(F.size("groups") > 0).groupBy("context").agg(F.min(F.struct("t1", "t2", "a", "low")).alias("s"))
-    talks = once.where(F.size("groups") > 0).join(speaker, "context").where((F.col("s.t1") == F.col("t1")) & (F.col("s.t2") == F.col("t2")) & (F.col("s.a") == F.col("a")) & (F.col("s.low") == F.col("low")))
-    wanted = talks.select("t1", "t2", "a", "low", "high", (F.col("n") == 1).alias("own"), F.explode("groups").alias("g"), "right").select(
-        "t1", "t2", F.struct("a", "low", "high", "own", F.col("g.key").alias("key"), F.when(F.col("g.key") == F.col("right"), 0).otherwise(1).alias("side"), F.col("g.large").alias("large")).alias("w"))
-    whole = once.where("n > 1").select("t1", "t2", "low", "high")
-    lists = wanted.groupBy("t1", "t2").agg(F.collect_list("w").alias("wanted")).join(whole.groupBy("t1", "t2").agg(F.collect_list(F.struct("low", "high")).alias("whole")), ["t1", "t2"], "full")
-    partly = once.select("t1", "t2").distinct().join(lists, ["t1", "t2"], "left")
+    talks = listed.select("t1", "t2", F.explode(F.filter("stretches", lambda s: F.size(s["groups"]) > 0)).alias("s"))
+    speaker = talks.groupBy(F.col("s.context").alias("context")).agg(F.min(F.struct("t1", "t2", F.col("s.a").alias("a"), F.col("s.low").alias("low"))).alias("first"))
+    chosen = talks.join(speaker, F.col("s.context") == F.col("context")).where((F.col("first.t1") == F.col("t1")) & (F.col("first.t2") == F.col("t2")) & (F.col("first.a") == F.col("s.a")) & (F.col("first.low") == F.col("s.low")))
+    wish = F.struct("s.a", "s.low", "s.high", (F.col("s.n") == 1).alias("own"), "g.key", F.col("g.key").bitwiseAND(F.lit(1)).cast("int").alias("side"), "g.large")
+    wanted = staged(chosen.select("t1", "t2", "s", F.explode("s.groups").alias("g")).select("t1", "t2", wish.alias("w")).groupBy("t1", "t2").agg(F.collect_list("w").alias("wanted")))
+    # Both uses of the texts read one and the same shuffle.
     texts = long.groupBy("t1", "t2").agg(F.first("text").alias("text"))
-    held = staged(texts.join(partly, ["t1", "t2"]))
-    asked = held.where("wanted is not null").select("t1", "t2", "text", "wanted")
+    asked = texts.join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "wanted")
     some = lambda large: asked.withColumn("wanted", F.filter("wanted", lambda w: w["large"] == large)).where(F.size("wanted") > 0)
-    small = some(False).mapInArrow(lambda batches: _context_rows(batches, False), "key long, t1 long, t2 long, first int, own boolean, bytes binary")
-    met = small.repartition("key").sortWithinPartitions("key").mapInArrow(_equal_windows, "t1 long, t2 long, low int, high int")
-    windows = some(True).mapInArrow(lambda batches: _context_rows(batches, True), "hash long, t1 long, t2 long, start int")
-    again = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hash")
-    counted = windows.join(again, "hash", "left_semi").select("t1", "t2", F.col("start").alias("low"), F.col("start").alias("high"))
-    parts = met.unionByName(counted).groupBy("t1", "t2").agg(F.collect_set(F.struct("low", "high")).alias("parts"))
+    small = some(False).mapInArrow(lambda batches: _context_rows(batches, False), "key long, t1 long, t2 int, first int, own boolean, bytes binary")
+    parts = small.repartition("key").sortWithinPartitions("key").mapInArrow(_equal_windows, "t1 long, t2 int, low int, high int")
+    if not wanted.where(F.exists("wanted", lambda w: w["large"])).isEmpty():
+        windows = some(True).mapInArrow(lambda batches: _context_rows(batches, True), "hash long, t1 long, t2 int, start int")
+        again = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hash")
+        parts = parts.unionByName(windows.join(again, "hash", "left_semi").select("t1", "t2", F.col("start").alias("low"), F.col("start").alias("high")))
+    ends = parts.groupBy("t1", "t2").agg(F.collect_set(F.struct("low", "high")).alias("parts"))
+    whole = F.transform(F.filter("stretches", lambda s: s["n"] > 1), lambda s: F.struct(s["low"].alias("low"), s["high"].alias("high")))
     empty = F.array().cast("array<struct<low:int,high:int>>")
-    joined = held.select("t1", "t2", "text", "whole").join(parts, ["t1", "t2"], "left").select("t1", "t2", "text", F.concat(F.coalesce("whole", empty), F.coalesce("parts", empty)).alias("windows")).where(F.size("windows") > 0)
-    cut = joined.mapInArrow(_cut, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string")
+    covered = listed.select("t1", "t2", whole.alias("whole")).join(ends, ["t1", "t2"], "left").select("t1", "t2", F.concat("whole", F.coalesce("parts", empty)).alias("windows")).where(F.size("windows") > 0)
+    cut = texts.join(covered, ["t1", "t2"]).select("t1", "t2", "text", "windows").mapInArrow(_cut, "t1 long, t2 int, n_removed long, n_spans long, kept_sha256 string")
     return slim.join(cut, ["t1", "t2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
-
