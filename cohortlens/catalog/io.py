@@ -32,15 +32,18 @@ def csv_with_bom(spark, d):
     return read.groupBy("site").agg(F.count("subject_id").alias("n"))
 
 
-@query("s3_jsonl_manifest", f"WITH {S.RECORDS} SELECT 'set:' || case_id || ':' || z AS record_id, participant || '' AS participant_id, z, z_bin, label, round(z_norm, 9) AS z_norm FROM records")
+@query("s3_jsonl_manifest", f"WITH {S.RECORDS} SELECT 'set:' || case_id || ':' || z AS record_id, participant || '' AS participant_id, z, z_bin, label, round(z_norm, 9) AS z_norm, 'final' AS stage, 'seg-' || z AS seg_path, z + 8 AS depth, '{{\"step\":' || z || '}}' AS provenance, 'own' AS site, '' || label AS operator_note FROM records")
 def jsonl_manifest(spark, d):
     rows = t.records(spark, d).select(
         F.col("domain"), F.col("participant").cast("string").alias("participant_id"), F.col("case_id").cast("string").alias("case_id"),
-        F.lit("set").alias("source_dataset"), "label", "z", "z_norm", "z_bin", F.create_map(F.lit("FLAIR"), F.col("record_id")).alias("image_paths"))
+        F.lit("set").alias("source_dataset"), "label", "z", "z_norm", "z_bin", F.create_map(F.lit("FLAIR"), F.col("record_id")).alias("image_paths"),
+        F.concat(F.lit("seg-"), "z").alias("seg_path"), F.array(F.col("z") + 8, F.lit(8)).alias("geometry_shape"), F.struct(F.col("z").alias("step")).alias("provenance"),
+        F.create_map(F.lit("site"), F.lit("own")).alias("metadata"), F.lit("lost to the record's own entry").alias("site"), F.col("label").cast("string").alias("operator_note"))
     path = writers.scratch(spark, "jsonl")
     rows.write.json(path)
     read = manifests.read_jsonl_manifest(spark, path)
-    return read.select(manifests.record_id(read).alias("record_id"), "participant_id", "z", "z_bin", "label", F.round("z_norm", 9).alias("z_norm"))
+    return read.select(manifests.record_id(read).alias("record_id"), "participant_id", "z", "z_bin", "label", F.round("z_norm", 9).alias("z_norm"),
+                       "stage", "seg_path", F.get("geometry_shape", F.lit(0)).alias("depth"), "provenance", F.col("metadata")["site"].alias("site"), F.col("metadata")["operator_note"].alias("operator_note"))
 
 
 @query("s4_metadata_tsv", "SELECT CAST(o_custkey AS VARCHAR) AS participant, count(*) AS sessions FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")

@@ -37,22 +37,43 @@ def read_subject_csv(spark: SparkSession, path: str, label: str = "subject list"
     return df
 
 
+# The fields of a record.
 RECORD_SCHEMA = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("split", "domain", "participant_id", "session_id", "case_id", "source_dataset", "source_key", "source_split", "pair_id")]
-    + [T.StructField("label", T.IntegerType()), T.StructField("z", T.IntegerType()), T.StructField("z_norm", T.DoubleType()), T.StructField("z_bin", T.IntegerType())]
-    + [T.StructField("image_paths", T.MapType(T.StringType(), T.StringType())), T.StructField("foreground_fraction", T.ArrayType(T.DoubleType()))]
-    + [T.StructField("native_seg_voxels", T.LongType()), T.StructField("model_mask_voxels", T.LongType())]
+    [T.StructField(n, T.StringType()) for n in (
+        "split", "domain", "participant_id", "session_id", "case_id", "source_dataset", "source_key", "source_split", "seg_path", "model_mask_path", "pair_id", "stage", "provenance")]
+    + [T.StructField(n, T.IntegerType()) for n in ("label", "z", "z_bin")]
+    + [T.StructField("z_norm", T.DoubleType())]
+    + [T.StructField(n, T.MapType(T.StringType(), T.StringType())) for n in ("image_paths", "registered_paths", "metadata")]
+    + [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("geometry_shape", "model_shape")]
+    + [T.StructField("foreground_fraction", T.ArrayType(T.DoubleType()))]
+    + [T.StructField(n, T.LongType()) for n in ("native_seg_voxels", "model_mask_voxels")]
 )
 
 
 def read_jsonl_manifest(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
-    """One JSON object per line; a line that does not parse stops the job."""
+    """One JSON object per line; a line that does not parse stops the job.
+
+    Fields that the schema does not name are kept as text in ``metadata``, where the record's own entries come first.
+    A missing stage is "final"; nested provenance stays JSON text.
+    """
     bad = "_corrupt_record"
     with_bad = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
-    df = spark.read.schema(with_bad).option("columnNameOfCorruptRecord", bad).json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    read = lines.select(
+        F.from_json("value", with_bad, {"columnNameOfCorruptRecord": bad}).alias("r"),
+        F.from_json("value", T.MapType(T.StringType(), T.StringType())).alias("m"),
+    )
     first = schema.fields[0].name
-    checked = scalars.fail_unless(F.col(bad).isNull(), F.col(first), "manifest line is not valid JSON")
-    return df.withColumn(first, checked).drop(bad)
+    columns = {f.name: F.col(f"r.{f.name}") for f in schema.fields}
+    columns[first] = scalars.fail_unless(F.col(f"r.{bad}").isNull(), columns[first], "manifest line is not valid JSON")
+    if "metadata" in columns:
+        none = F.create_map().cast("map<string,string>")
+        own = F.coalesce("r.metadata", none)
+        extra = F.map_filter(F.coalesce("m", none), lambda k, v: ~k.isin(*columns) & ~F.map_contains_key(own, k))
+        columns["metadata"] = F.map_concat(own, extra)
+    if "stage" in columns:
+        columns["stage"] = F.coalesce(columns["stage"], F.lit("final"))
+    return read.select(*[c.alias(n) for n, c in columns.items()])
 
 
 def record_id(df: DataFrame) -> Column:
