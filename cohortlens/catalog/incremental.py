@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -40,7 +39,7 @@ def streaming_counts(spark, d):
     events = t.table(spark, d, "events").select("event_id", "event_type", "value")
     path = writers.scratch(spark, "events")
     events.repartition(4, "event_id").write.parquet(path)
-    out = incremental.run_counts_stream(spark, path, events.schema, ["event_type"], "value", f"counts_{uuid.uuid4().hex}", writers.scratch(spark, "checkpoint"))
+    out = incremental.run_counts_stream(spark, path, events.schema, ["event_type"], "value", writers.scratch(spark, "counts"))
     return out.select("event_type", "n", F.round("total", 4).alias("total"))
 
 

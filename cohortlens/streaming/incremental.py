@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,29 +48,45 @@ def finalize_sweep(spark: SparkSession, state: str) -> DataFrame:
     return confusion.macro_micro(merged, ["ord", "thr"])
 
 
-def run_counts_stream(spark: SparkSession, source: str, schema: T.StructType, keys: Sequence[str], value: str, name: str, checkpoint: str) -> DataFrame:
-    """Running count and sum per key in update mode to a memory table; returns the last state of every key."""
+def run_counts_stream(spark: SparkSession, source: str, schema: T.StructType, keys: Sequence[str], value: str, state: str) -> DataFrame:
+    """Count and sum per key of everything that has arrived in ``source``; call again to resume after new files arrive.
+
+    Every batch writes its own partial sums to ``state``, in a folder that a replay overwrites, and the partials are
+    merged by a plain aggregate: no key is held by the driver.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    totals = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
-    query = (
-        totals.writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+
+    def write(batch: DataFrame, number: int) -> None:
+        sums = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+        sums.write.mode("overwrite").parquet(f"{state}/partials/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{state}/partials").groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def ingest_missing(spark: SparkSession, source: str, schema: T.StructType, target: str, key: str, files_per_batch: int = 1) -> None:
     """Append only subjects that are not stored yet. A batch number owns its folder, so a replay rewrites the same rows
-    and the subjects of other batches decide what is missing."""
+    and the subjects of other batches decide what is missing.
+
+    A stored subject that arrives again has to bring exactly its stored rows, in any order: other rows, a changed value or a missing
+    label stop the stream, as they would otherwise be lost.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    columns = [f.name for f in schema.fields]
 
     def write(batch: DataFrame, number: int) -> None:
         fresh = batch
         stored = _stored(spark, target)
         if stored is not None:
-            others = stored.where(F.col("batch") != number).select(key).distinct()
-            fresh = batch.join(others, key, "left_anti")
+            others = stored.where(F.col("batch") != number)
+            known = others.select(key).distinct()
+            again = digests.set_digest(batch.join(known, key, "left_semi"), [key], columns)
+            before = digests.set_digest(others.join(batch.select(key).distinct(), key, "left_semi"), [key], columns)
+            other = again.join(before, again.columns, "left_anti").select(key).take(1)
+            if other:
+                raise AuditError(f"{key} {other[0][0]} is stored with other rows than have arrived now")
+            fresh = batch.join(known, key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{target}_checkpoint").trigger(availableNow=True).start()
@@ -77,11 +94,12 @@ def ingest_missing(spark: SparkSession, source: str, schema: T.StructType, targe
 
 
 def _stored(spark: SparkSession, target: str) -> DataFrame | None:
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path) or not fs.listStatus(fs_path):
+    try:
+        return spark.read.parquet(target)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
-    return spark.read.parquet(target)
 
 
 def guarded_append(rows: DataFrame, target: str, fingerprint: str) -> None:

@@ -89,3 +89,22 @@ def test_bands_follow_the_value_order(spark):
     assert len(per) > 1
     assert all(a.hi < b.lo for a, b in zip(per, per[1:]))
     assert max(r.n for r in per) < 10000 / len(per) * 1.5
+
+
+def test_resumed_ingestion_refuses_other_rows_of_a_stored_subject(spark, tmp_path):
+    from cohortlens.streaming import incremental
+
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = incremental.ELEMENT_SCHEMA
+
+    def arrive(rows):
+        df = spark.createDataFrame([(s, v) for s, v in rows], "subject long, score double")
+        full = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+        full.coalesce(1).write.mode("append").parquet(source)
+        incremental.ingest_missing(spark, source, schema, target, "subject")
+
+    arrive([(1, 0.1), (1, 0.2), (2, 0.3)])
+    arrive([(1, 0.2), (1, 0.1), (3, 0.5)])
+    assert spark.read.parquet(target).count() == 4
+    with pytest.raises(Exception, match="stored with other rows"):
+        arrive([(2, 0.4)])
