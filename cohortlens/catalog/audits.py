@@ -10,6 +10,7 @@ from cohortlens.functions import digests, scalars
 from cohortlens.operators import audits, sets, splits
 from cohortlens.operators.scale import staged
 from cohortlens.plans import tables as t
+from cohortlens.sources import writers
 
 # A manifest with planted faults, so that every rule has something to find.
 FAULTY = f"""{S.SPLITS}, fr AS (SELECT participant, case_id, z, z_norm, CASE WHEN source_key % 43 = 0 THEN z_bin + 1 ELSE z_bin END AS z_bin, label, domain,
@@ -208,12 +209,17 @@ def store_audit(spark, d):
 TENSOR = "sha256(array_to_string(list_transform(embedding, lambda v: CAST(round(v::DOUBLE * 1e9) AS BIGINT)), ','))"
 
 
-@query("n15_resampled_identity", f"""WITH r AS (SELECT vec_id AS source_key, unnest(range(1 + vec_id % 3)) AS copy FROM embeddings), h AS (SELECT vec_id, {TENSOR} AS h FROM embeddings)
-SELECT source_key, count(*) AS copies, true AS identical FROM r JOIN h ON source_key = vec_id GROUP BY source_key""")
+@query("n15_resampled_identity", f"""WITH r AS (SELECT vec_id, copy, CASE WHEN vec_id % 11 = 0 AND copy = 1 THEN list_transform(embedding, lambda v: v + 1) ELSE embedding END AS embedding FROM (SELECT *, unnest(range(1 + vec_id % 3)) AS copy FROM embeddings)),
+w AS (SELECT vec_id, {TENSOR} AS h FROM r), o AS (SELECT vec_id, {TENSOR} AS h FROM embeddings)
+SELECT w.vec_id AS source_key, count(*) AS copies, bool_and(w.h = o.h) AS identical FROM w JOIN o ON w.vec_id = o.vec_id GROUP BY w.vec_id""")
 def resampled_identity(spark, d):
+    # Copies are written and read back; some second copies are damaged on the way.
     source = t.slices(spark, d)
-    written = source.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slice_id") % 3)))
-    a = written.select(F.col("slice_id").alias("source_key"), digests.tensor_digest("px").alias("h"))
+    copies = source.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slice_id") % 3)))
+    damaged = (F.col("slice_id") % 11 == 0) & (F.col("copy") == 1)
+    path = writers.scratch(spark, "resampled")
+    copies.withColumn("px", F.when(damaged, F.transform("px", lambda v: (v + 1).cast("float"))).otherwise(F.col("px"))).write.parquet(path)
+    a = spark.read.parquet(path).select(F.col("slice_id").alias("source_key"), digests.tensor_digest("px").alias("h"))
     b = source.select(F.col("slice_id").alias("source_key"), digests.tensor_digest("px").alias("want"))
     return a.join(b, "source_key").groupBy("source_key").agg(F.count(F.lit(1)).alias("copies"), F.bool_and(F.col("h") == F.col("want")).alias("identical"))
 
@@ -276,7 +282,9 @@ def configured_exclusions(spark, d):
     mapped = t.split_records(spark, d)
     people = staged(mapped.groupBy("split", "participant").agg(F.count(F.lit(1)).alias("n")))
     configured = people.where("participant % 19 = 0").select("participant")
-    adjudicated = people.where("pmod(participant, 19) = 0").select("participant")
+    # The adjudicated list comes from the register of customers; it has to name the same participants.
+    register = t.table(spark, d, "customer").select(F.col("c_custkey").alias("participant")).where("pmod(participant, 19) = 0")
+    adjudicated = register.join(people.select("participant"), "participant", "left_semi")
     sets.require_empty(sets.symmetric_difference(configured, adjudicated, "participant"), "configured and adjudicated exclusions differ")
     kept = sets.without(people, configured, "participant")
     before = people.groupBy("split").agg(F.count(F.lit(1)).alias("before"))

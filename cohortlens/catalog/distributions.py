@@ -202,10 +202,12 @@ def profile_divergence(spark, d):
 
 
 @query("d18_mixture_check", """WITH b AS (SELECT CAST(least(63, floor(l_extendedprice / 1700)) AS INTEGER) AS bin, round(avg(l_quantity), 8) AS v FROM lineitem GROUP BY 1)
-SELECT bin, v AS expected, v AS observed, true AS ok FROM b""")
+SELECT bin, v AS expected, round(CASE WHEN bin % 13 = 0 THEN v + 0.001 ELSE v END, 8) AS observed, abs(CASE WHEN bin % 13 = 0 THEN v + 0.001 ELSE v END - v) <= 2e-6 AS ok FROM b""")
 def mixture_check(spark, d):
     bin_col = F.least(F.lit(63), F.floor(F.col("l_extendedprice") / 1700)).cast("int").alias("bin")
     mixed = t.table(spark, d, "lineitem").groupBy(bin_col).agg(F.avg("l_quantity").alias("level"))
+    # Some bins are shifted, and the check has to find them.
+    mixed = mixed.withColumn("level", F.when(F.col("bin") % 13 == 0, F.col("level") + 0.001).otherwise(F.col("level")))
     out = summaries.weighted_mixture_check(profiles(spark, d), mixed, "bin", "level", "n", 2e-6)
     return out.select("bin", F.round("expected", 8).alias("expected"), F.round("observed", 8).alias("observed"), "ok")
 
