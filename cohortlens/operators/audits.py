@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalars
-from cohortlens.operators.scale import attach, banded, exact_quantiles, ordinals, staged
+from cohortlens.operators.scale import attach, banded, exact_quantiles, ordinals, running, staged
 from cohortlens.operators.sets import duplicates, tagged, union
 
 
@@ -145,9 +145,14 @@ def field_ranks(long: DataFrame, scored: DataFrame) -> DataFrame:
     """(field, id, magnitude, rank): 1-based rank by |z| descending, ties by id; a missing value ranks with 0."""
     sizes = long.select("field", "id").join(scored.select("field", "id", "z"), ["field", "id"], "left")
     magnitude = F.when(F.col("z").isNull(), 0.0).otherwise(F.least(F.abs(F.col("z")), F.lit(INFINITE_SCORE)))
-    rows = sizes.select("field", "id", "z", magnitude.alias("magnitude"), (-magnitude).alias("_neg"))
-    ranked = ordinals(banded(rows, "_neg"), ["field"], ["_neg", "id"], "_r")
-    return ranked.select("field", "id", "z", "magnitude", (F.col("_r") + 1).alias("rank"))
+    rows = staged(sizes.select("field", "id", "z", magnitude.alias("magnitude"), (-magnitude).alias("_neg")))
+    # Equal magnitudes are counted first and numbered among themselves in bands of the id, so a field in which most
+    # values tie is spread like any other.
+    ties = staged(rows.groupBy("field", "_neg").agg(F.count(F.lit(1)).alias("n")))
+    earlier = running(banded(ties, "_neg"), ["field"], ["_neg"], ["n"]).select("field", "_neg", "n_before")
+    inside = ordinals(banded(rows, "id"), ["field", "_neg"], ["id"], "_r")
+    ranked = attach(inside, earlier, ["field", "_neg"])
+    return ranked.select("field", "id", "z", "magnitude", (F.col("n_before") + F.col("_r") + 1).alias("rank"))
 
 
 def outliers(df: DataFrame, id_col: str, fields: Sequence[str], alarm: float = ALARM) -> DataFrame:
