@@ -34,6 +34,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": os.path.basename(sf.rstrip("/")), "lineitem_rows": rows,
+        "rows_per_second": {name: round(rows / max(s, 1e-3)) for name, s in seconds.items()},
     }))
     spark.stop()
 
