@@ -222,7 +222,7 @@ def describe(rows: list[tuple]) -> np.ndarray:
     plain = np.stack([
         np.log1p(chars), np.log1p(links), links / np.maximum(one, chars), np.log1p(tags), chars / (1 + tags), stops / np.maximum(one, chars) * 100, np.log1p(np.minimum(paragraphs, MANY)), depth,
         np.minimum(children, MANY), np.minimum(place, MANY), np.minimum(family - 1 - place, MANY), np.minimum(family, MANY), np.log1p(np.maximum(0, up_chars - chars) / np.maximum(one, family - 1)),
-        part(whole), part(up_chars), before / np.maximum(one, whole), same / family, up_chars / (1 + up_tags), up_links / np.maximum(one, up_chars)], 1)
+        part(whole), part(up_chars), before / np.maximum(one, whole), np.minimum(same, MANY) / np.minimum(family, MANY), up_chars / (1 + up_tags), up_links / np.maximum(one, up_chars)], 1)
     return np.concatenate([plain, bits(own), bits(above)], 1).astype(np.float32)
 
 
@@ -402,9 +402,14 @@ def fit(pages: list[str], seed: int = 11) -> Trees:
 
 
 def learn(pages: DataFrame) -> Trees:
-    """Fit on at most SAMPLE pages of at most SAMPLE_CHARS, first in the order of a hash of the page."""
+    """Fit on at most SAMPLE different pages of at most SAMPLE_CHARS, first in the order of a hash of the page.
+
+    Hashes alone are sorted; the pages themselves travel for the sample only.
+    """
     short = pages.select(F.xxhash64("html").alias("h"), "html").where(F.length("html") <= SAMPLE_CHARS)
-    return fit([r.html for r in short.orderBy("h", "html").limit(SAMPLE).collect()])
+    chosen = short.select("h").distinct().orderBy("h").limit(SAMPLE)
+    drawn = short.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("html").alias("html"))
+    return fit([r.html for r in sorted(drawn.collect(), key=lambda r: r.h)])
 
 
 def extract(pages: DataFrame, trees: Trees) -> DataFrame:
