@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.quality import held_out, labelled_sample
 
 #: Labelled rows that the model is fitted on, at most, and the longest text among them.
-SAMPLE = 5000
+SAMPLE = 4000
 SAMPLE_CHARS = 200_000
 PREFIXES = (4, 5, 6, 7)
 #: A feature marks tokens if so many toxic sample documents have it, and so many times as often as the others.
@@ -191,7 +191,9 @@ def fit(sample: list[tuple[str, int]]) -> Field:
         share = (y.sum() + 1) / (len(y) + 2)
         return Field({}, np.zeros(4), -3.0, np.array([np.log(share / (1 - share)), 0, 0, 0]))
     texts = [lowered(t) for t, _ in sample]
-    words = [_WORD.findall(t) for t in texts]
+    # One object for each word, however often it occurs.
+    pool: dict[str, str] = {}
+    words = [[pool.setdefault(w, w) for w in _WORD.findall(t)] for t in texts]
     # Two thirds of each label's rows go to the field, the rest to the document model.
     turn = np.zeros(len(y), np.int64)
     for label in (0, 1):
