@@ -69,16 +69,18 @@ def average_precision(df: DataFrame, keys: Sequence[str] = (), empty: float | No
     return rows.select(*keys, "n", "n_pos", F.coalesce("ap", F.lit(empty).cast("double")).alias("ap"))
 
 
-def sampled_average_precision(df: DataFrame, max_samples: int, seed: int, score: str = "score") -> DataFrame:
+def sampled_average_precision(df: DataFrame, max_samples: int, seed: int, score: str = "score", exact_when_small: bool = False) -> DataFrame:
     """AP over ``max_samples`` draws with replacement, whatever the size of the data set; ``average_precision`` is exact.
 
+    A caller may ask with ``exact_when_small`` for all elements where they are no more than the draws.
+
     The draws index the elements in (score, label) order. Any order gives the same law, and in this one elements of a
     tie are interchangeable: the ties are counted first and each draw is looked up in the tie that covers its position.
     Positions are cut to as many cells as there are draws, so the lookup is an equi-join with about one draw per cell.
     """
     clean = df.select(scalars.sanitize(score).alias(score), F.col("label").cast("int").alias("label"))
     total = clean.count()
-    if not total:
+    if not total or (exact_when_small and total <= max_samples):
         return average_precision(clean)
     ties = staged(clean.groupBy(score, "label").agg(F.count(F.lit(1)).alias("n")))
     placed = running(banded(ties, score), [], [score, "label"], ["n"])

@@ -179,7 +179,9 @@ def test_sampled_ap_of_small_input_is_exact_and_of_large_input_is_close(spark):
     rows = [("a", float(np.float32(rng.random() * 0.6 + 0.4 * (i % 4 == 0))), i % 4 == 0) for i in range(3000)]
     df = elements(spark, rows)
     whole = ranking.average_precision(df).collect()[0].ap
-    assert ranking.sampled_average_precision(df, 5000, 73).collect()[0].ap == pytest.approx(whole)
+    assert ranking.sampled_average_precision(df, 5000, 73, exact_when_small=True).collect()[0].ap == pytest.approx(whole)
+    every = ranking.sampled_average_precision(df, 5000, 73).collect()[0]
+    assert every.n == 5000 and math.isclose(every.ap, whole, abs_tol=0.05)
     drawn = ranking.sampled_average_precision(df, 2000, 73).collect()[0]
     assert drawn.n == 2000 and math.isclose(drawn.ap, whole, abs_tol=0.05)
 
