@@ -22,8 +22,8 @@ TERM = 3
 BITS = 128
 BLOCKS = 8
 RADIUS = 6
-#: Rows of one stretch of neighbours; it decides balance only.
-ROWS_PER_BAND = 2000
+#: Rows of one stretch of neighbours, and the most stretches; they decide balance only.
+ROWS_PER_BAND, MOST_BANDS = 2000, 10_000
 
 _BOTH = (1 << 32) | 1
 _HALF = (1 << 32) - 1
@@ -111,15 +111,15 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """
     frame = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     count = frame.count()
-    bands = max(1, count // ROWS_PER_BAND)
+    bands = min(MOST_BANDS, max(1, count // ROWS_PER_BAND))
     cuts = frame.select(F.col("doc_id").cast("double").alias("v")).approxQuantile("v", [i / bands for i in range(1, bands)], 1 / (4 * bands)) if bands > 1 else []
     cut = bucket_by_cuts(frame, "doc_id", cuts, "band").withColumn("band", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("band")))
-    # One row per band: bounded by the number of quantiles.
-    present = sorted(r.band for r in cut.select("band").distinct().collect())
-    if not present:
-        return cut.select("band", F.lit(0).alias("at"), F.lit(0).alias("guest"), "doc_id", "text", F.col("text").alias("next_text"))
-    home = F.create_map(*[F.lit(x) for i, b in enumerate(present) for x in (b, present[(i + 1) % len(present)])])
-    guests = cut.groupBy("band").agg(F.max(F.struct("doc_id", "text")).alias("d")).select(home[F.col("band")].alias("band"), F.lit(1).alias("guest"), "d.doc_id", "d.text")
+    # One row per band. The first document of a band follows the last one of the next higher band; that of the highest
+    # follows the last of all.
+    every = Window.orderBy("band")
+    present = cut.select("band").distinct().select("band", F.coalesce(F.lead("band").over(every), F.min("band").over(every)).alias("home"))
+    firsts = cut.groupBy("band").agg(F.max(F.struct("doc_id", "text")).alias("d"))
+    guests = firsts.join(present, "band").select(F.col("home").alias("band"), F.lit(1).alias("guest"), "d.doc_id", "d.text")
     rows = cut.select("band", F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests)
     order = Window.partitionBy("band").orderBy(F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     return rows.select("band", F.row_number().over(order).alias("at"), "guest", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
