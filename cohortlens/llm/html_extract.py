@@ -32,7 +32,10 @@ BATCH_NODES = 50_000
 # Fixed values of the HTML standard: elements by kind.
 BLOCK = frozenset("html body head title address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section select summary table caption tbody td tfoot th thead tr ul button label".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math object canvas audio video noframes".split())
+# Everything up to the end tag is no text of the page, or to the end of the page if there is none.
+RAW = frozenset("script style noscript template iframe textarea noframes".split())
+# Start tags that end a drawing that was left open, as the standard has it.
+LEAVES_SVG = BLOCK - {"title"} | frozenset("b big br code em embed font i img listing meta nobr ruby s small span strong strike sub sup tt u var".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li".split())
 SAME_ENDS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 CELLS = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
@@ -81,10 +84,16 @@ class Page:
 
 
 def parse(source: str | None) -> Page:
-    """Block nodes in page order (the first is the root) and text blocks, each with the node that holds it."""
+    """Block nodes in page order (the first is the root) and text blocks, each with the node that holds it.
+
+    Text of a drawing (svg) is no text of the page, but HTML inside its foreignObject is. A drawing that is left open ends
+    at the next HTML element, or with its parent. Formulas and fallbacks of media are text like any other.
+    """
     text = source or ""
     nodes, blocks, stack = [Node("", -1, 0)], [], [0]
     names, run, linked, at = [""], [], 0, 0
+    # Open svg and foreignobject elements.
+    drawn: list[str] = []
 
     def close_run() -> None:
         if run:
@@ -104,7 +113,7 @@ def parse(source: str | None) -> Page:
     while True:
         match = _TAG.search(text, at)
         piece = text[at:match.start()] if match else _OPEN_END.sub("", text[at:])
-        if piece:
+        if piece and not (drawn and drawn[-1] == "svg"):
             run.append(piece)
             if linked:
                 nodes[stack[-1]].links += len(piece)
@@ -114,6 +123,20 @@ def parse(source: str | None) -> Page:
         name = (match[2] or "").lower()
         if not name:
             continue
+        if name == "svg" or drawn and name == "foreignobject":
+            if not match[1]:
+                if not match[3].endswith("/"):
+                    drawn.append(name)
+            elif name in drawn:
+                del drawn[len(drawn) - 1 - drawn[::-1].index(name):]
+            continue
+        if drawn and drawn[-1] == "svg":
+            if name not in (names if match[1] else LEAVES_SVG) and not (match[1] and name == "p"):
+                if name in RAW and not match[1] and not match[3].endswith("/"):
+                    end = re.compile(rf"</{name}\s*>", re.I).search(text, at)
+                    at = end.end() if end else at
+                continue
+            drawn.clear()
         if match[1]:
             if name == "a":
                 linked = 0

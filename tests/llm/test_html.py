@@ -30,6 +30,21 @@ def test_parser():
     assert [t for _, t in h.parse("2 < 3 and <p title='a > b'>c").blocks] == ["2 < 3 and", "c"]
 
 
+def test_drawings_formulas_and_media():
+    text = lambda source: [t for _, t in h.parse(source).blocks]
+    assert text('<p>a<svg width="1" /></p><p>b</p><math/><p>c</p>') == ["a", "b", "c"]
+    assert text("<p>a <svg><title>no</title><text>no</text><style>p > q</style></svg> b</p><svg><svg/><svg><text>no</text></svg>no</svg>c") == ["a b", "c"]
+    assert text("<div><svg><path d='x'></div><p>a</p>") == ["a"] and text("<svg><path><p>a</p>b") == ["a", "b"] and text("<p><svg><g></p>a") == ["a"]
+    assert text("<svg><foreignObject><div>in</div></foreignObject><text>no</text></svg>a") == ["in", "a"]
+    assert text("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p>") == ["let x=2 be"]
+    for tag in ("object", "audio", "video", "canvas"):
+        assert text(f"<div>a <{tag} class=x>b</div><p>c</p>") == ["a b", "c"] and text(f"<p>a <{tag}>b</{tag}> c</p>") == ["a b c"]
+    # Raw text: to its end tag, or to the end of the page.
+    for tag in ("script", "style", "noscript", "template", "iframe", "textarea", "noframes"):
+        assert text(f"a<{tag}><p>no</p></{tag}><p>b") == ["a", "b"]
+        assert text(f"a<{tag}><p>no") == ["a"]
+
+
 def test_decoding_is_the_best_consistent_labelling():
     r = np.random.default_rng(5)
     got = h.parse("<div><div><p>a</p><p>b</p></div><ul><li>c</li></ul></div>")
@@ -69,6 +84,13 @@ def test_whole_pages(trees, boiler, inside, wrap):
         assert h.blocks_of(cut, h.decode(cut, trees.probability(h.describe(h.counts(cut))))) == want
 
 
+def test_a_page_goes_on_after_an_empty_drawing(trees):
+    for inside in ('<svg class="icon" />', "<math/>", "<svg><path d='M0 0'>", "<svg><text>no</text></svg>"):
+        source, want = page(120, "", inside)
+        got = h.parse(source)
+        assert h.blocks_of(got, h.decode(got, trees.probability(h.describe(h.counts(got))))) == want
+
+
 def test_the_operator(spark):
     sources = [page(i) for i in range(30)]
     many, want = page(77, n=900)
