@@ -3,16 +3,17 @@
 Every document starts with rate 1. The balanced rates stay as close to that as they can (relative entropy, each
 document counted by its words) while the words of each margin level meet its target. The dual of that convex problem
 has one variable per level, and the rates are exponential in the sum of a document's variables. Newton's steps solve
-the dual: a step needs sums over the documents, gathered by Spark per combination of levels, and one small linear
-system. Rates become copies by a cut through the documents of each cell in hashed order.
+the dual. With several margins a step needs sums over the documents, gathered by Spark per combination of levels, and one
+small linear system. With one margin the levels do not meet: each takes its own steps in its own row, whatever their number.
+Rates become copies by a cut through the documents of each cell in hashed order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import free_name, hash62, running_total, staged
@@ -21,8 +22,10 @@ WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
-#: Levels of all margins together: the linear system of a Newton step is that large, whatever the number of documents.
+#: Levels of several margins together: the linear system of a Newton step is that large, whatever the number of documents.
 MAX_LEVELS = 4000
+#: Up to so many sources, their sums are broadcast to the documents; more are joined as the planner chooses.
+FEW = 4000
 ROUNDS = 60
 TOLERANCE = 1e-11
 #: Passes that fill what the cut before has left open with documents that still fit.
@@ -104,35 +107,46 @@ def balance(cells: DataFrame, margins: Sequence[str], targets: dict[tuple[str, o
     return {k: float(x) for k, x in zip(names, dual)}
 
 
-def _rounded(rows: DataFrame, count: int) -> DataFrame:
+def balance_one(size: Column | str, target: Column | str) -> Column:
+    """The dual variable of a level of a single margin, null for a level without words or with target 0.
+
+    The Hessian of one margin is diagonal, so every level takes Newton's steps for itself. A step of more than 2 is cut.
+    """
+    size, target = (F.col(x).cast("double") if isinstance(x, str) else x.cast("double") for x in (size, target))
+    step = lambda x: (size * F.exp(x) - target) / (size * F.exp(x))
+    x = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.lit(0.0), lambda x, _: x - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step(x))))
+    return F.when((size > 0) & (target > 0), x)
+
+
+def _rounded(rows: DataFrame, count: int, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``copies`` of each row of (cell, size, rate, h): whole part of the rate, plus one where the cut takes the row.
 
     The rows of a cell stand in hashed order. The cut takes the longest prefix whose words do not exceed the words that
     the fractions add up to; what stays open is filled by later rows that still fit, and at last by the smallest row
-    left if that comes nearer to the target.
+    left if that comes nearer to the target. ``small`` marks a table with one row per cell for a join.
     """
     keyed = rows.withColumn("copies", F.floor("rate").cast("int")).withColumn("extra", F.col("rate") - F.floor("rate"))
     budgets = keyed.groupBy("cell").agg(F.sum(F.col("extra") * F.col("size")).alias("budget"))
     for number in range(FILLS):
         # Words of one cell that are open, and the rows that could fill them.
         fits = (F.col("extra") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("budget") + 1e-6)
-        joined = keyed.join(F.broadcast(budgets), "cell").withColumn("fits", fits)
+        joined = keyed.join(small(budgets), "cell").withColumn("fits", fits)
         ordered = running_total(joined, ["cell"], "h", F.when(F.col("fits"), F.col("size")).otherwise(0), count)
         takes = F.col("fits") & (F.col("before") + F.col("size") <= F.col("budget") + 1e-6)
         keyed = staged(ordered.withColumn("takes", takes).select("doc_id", "source", "size", "cell", "h", "rate", (F.col("copies") + F.col("takes").cast("int")).alias("copies"), F.when(F.col("takes"), 0.0).otherwise(F.col("extra")).alias("extra"), F.when(F.col("takes"), F.col("size")).otherwise(0).alias("gone"), *[c for c in rows.columns if c.startswith("_")]))
-        budgets = budgets.join(F.broadcast(keyed.groupBy("cell").agg(F.sum("gone").alias("gone"))), "cell").select("cell", (F.col("budget") - F.col("gone")).alias("budget"))
+        budgets = budgets.join(small(keyed.groupBy("cell").agg(F.sum("gone").alias("gone"))), "cell").select("cell", (F.col("budget") - F.col("gone")).alias("budget"))
         # Another order each time, so that the same large row does not block the cut again.
         keyed = keyed.drop("gone").withColumn("h", hash62("h", F.lit(number)))
     least = keyed.where("extra > 0 and size > 0").groupBy("cell").agg(F.min(F.struct("size", "h", "_row")).alias("least"))
     over = budgets.join(least, "cell").where("least.size < 2 * budget").select("cell", F.col("least._row").alias("_last"))
     added = (F.col("_row") == F.col("_last")).cast("int")
-    return keyed.join(F.broadcast(over), "cell", "left").withColumn("copies", F.col("copies") + F.coalesce(added, F.lit(0))).drop("_last")
+    return keyed.join(small(over), "cell", "left").withColumn("copies", F.col("copies") + F.coalesce(added, F.lit(0))).drop("_last")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) and ``source``, one row per row of ``docs``.
 
-    A null or empty text has size 0 and is never taken. A null source is a source of its own, the last. Sources are
+    A null or empty text has size 0 and is never taken. A null source is a source of its own, the last. Sources, of any number, are
     balanced as one margin; a target at the cap takes every document ``cap`` times. Repeated rows are cut like any others; as their
     hashes tie, it does not matter which of them is taken. Equal input gives equal output. Other columns are ignored.
     """
@@ -144,15 +158,12 @@ def _mixed(docs: DataFrame, weights: Sequence[float], share: float, cap: float)
     sizes = staged(docs.select("_row", "doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("_t")))
     targets = staged(source_targets(sizes, weights, share, cap))
     count = sizes.count()
-    if targets.count() > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} sources: merge the small ones first")
-    goals = {("source", r.source): r.target for r in targets.collect()}
-    dual = balance(targets.select("source", F.col("source_size").alias("size")), ["source"], goals)
-    rates = docs.sparkSession.createDataFrame([(None if s is None else str(s), float(np.exp(x))) for (_, s), x in dual.items()], "_s string, rate double")
-    stats = targets.join(rates, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_s"), "source_size", "target", F.round(F.least(F.coalesce("rate", F.lit(0.0)), F.lit(float(cap))), 9).alias("rate"), F.row_number().over(Window.orderBy("source")).alias("cell"))
-    # One row per source, at most MAX_LEVELS of them.
-    rows = sizes.join(F.broadcast(stats), F.col("source").eqNullSafe(F.col("_s"))).withColumn("h", hash62("doc_id", "_t")).drop("_s")
-    return _rounded(rows.drop("source_size", "target"), count).join(F.broadcast(stats.select("cell", "source_size", "target")), "cell")
+    small = F.broadcast if targets.count() <= FEW else lambda sums: sums
+    rate = F.exp(balance_one("source_size", "target"))
+    # One row per source.
+    stats = staged(targets.select(F.col("source").alias("_s"), "source_size", "target", F.round(F.least(F.coalesce(rate, F.lit(0.0)), F.lit(float(cap))), 9).alias("rate"), F.row_number().over(Window.orderBy("source")).alias("cell")))
+    rows = sizes.join(small(stats), F.col("source").eqNullSafe(F.col("_s"))).withColumn("h", hash62("doc_id", "_t")).drop("_s")
+    return _rounded(rows.drop("source_size", "target"), count, small).join(small(stats.select("cell", "source_size", "target")), "cell")
 
 
 def repeat_to_targets(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:

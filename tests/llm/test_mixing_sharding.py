@@ -55,6 +55,31 @@ def test_targets_are_met(spark):
     assert repeated.columns == frame(spark, rows).columns and repeated.count() == sum(r.copies for r in got)
 
 
+def test_more_sources_than_a_linear_system_holds(spark):
+    r = random.Random(8)
+    rows = [(i, "w " * r.randint(1, 9), "en", f"site{i % 4500}.example") for i in range(9000)] + [(9000, "w w w", "en", None), (9001, None, "en", "empty.example")]
+    docs = frame(spark, rows)
+    sizes = {}
+    for _, text, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    want, taken = water_level(sizes, (3, 1, 2), 1.5, 2), dict.fromkeys(sizes, 0)
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert x.target == pytest.approx(want[x.source]) and x.source_size == sizes[x.source]
+        taken[x.source] += x.taken
+    assert all(abs(taken[s] - want[s]) <= 9 for s in sizes) and taken["empty.example"] == 0
+
+
+def test_one_margin_as_columns(spark):
+    levels = [(str(i), float(s), float(t)) for i, (s, t) in enumerate([(100, 150), (7, 14), (1e9, 3), (5, 5), (3, 1e4), (0, 0), (9, 0)])]
+    frame_of = spark.createDataFrame(levels, "k string, size double, target double")
+    dual = mixing.balance(frame_of, ["k"], {("k", k): t for k, _, t in levels[:4]})
+    got = {r.k: r.x for r in frame_of.withColumn("x", mixing.balance_one("size", "target")).collect()}
+    assert all(got[k] == pytest.approx(dual["k", k], abs=1e-8) for k in "013") and got["5"] is None and got["6"] is None
+    assert all(s * np.exp(got[k]) == pytest.approx(t, rel=1e-12) for k, s, t in levels[:5])
+
+
 def test_two_margins_meet_their_targets(spark):
     r = np.random.default_rng(1)
     cells = [(a, b, float(r.integers(100, 1000))) for a in "xyz" for b in "pq"]
