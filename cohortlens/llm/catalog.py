@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat, decontamination, fingerprints, html_extract, mixing, neardup, quality, repeats, sharding, toxicity
+from cohortlens.llm import chat, decontamination, fingerprints, html_extract, mixing, neardup, quality, repeats, sharding, spelling, toxicity
 from cohortlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -110,3 +110,40 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_repeated_substrings")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.remove_repeats(read_table(spark, sf, "documents"))
+
+
+@query("op11_spelling_variants", sql=r"""
+WITH RECURSIVE remainders AS (
+  SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS r FROM range(256) t(i)
+), runs AS (
+  SELECT doc_id, run, count(*) AS k
+  FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(x) - 64 AS BIGINT)] END))),
+    lambda c, b: xor(r[xor(c & 255, b) + 1], c >> 8))) AS h
+  FROM runs, remainders
+), words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), cut AS (
+  SELECT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, rest FROM cut WHERE rest IN (SELECT word FROM words)
+  UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM words)
+), best AS (
+  SELECT p.word, w.n, count(*) AS n_near, first(p.near ORDER BY v.n DESC, p.near) AS near, max(v.n) AS near_n
+  FROM pairs p JOIN words w ON w.word = p.word JOIN words v ON v.word = p.near GROUP BY p.word, w.n
+), forms AS (SELECT word, near AS form, near_n AS form_n FROM best WHERE near_n >= 10 * n),
+ways AS (
+  SELECT word, word AS root FROM words
+  UNION ALL SELECT w.word, f.form FROM ways w JOIN forms f ON f.word = w.root
+), roots AS (SELECT word, root FROM ways WHERE root NOT IN (SELECT word FROM forms))
+SELECT w.word, f.form, r.root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+FROM words w JOIN roots r ON r.word = w.word LEFT JOIN best b ON b.word = w.word LEFT JOIN forms f ON f.word = w.word
+""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf, "documents"))
