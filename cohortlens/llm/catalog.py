@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat, decontamination, fingerprints, html_extract, mixing, neardup, quality, repeats, sharding, spelling, toxicity
+from cohortlens.llm import chat, decontamination, fingerprints, html_extract, mixing, neardup, phrases, quality, repeats, sharding, spelling, toxicity
 from cohortlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -147,3 +147,30 @@ FROM words w JOIN roots r ON r.word = w.word LEFT JOIN best b ON b.word = w.word
 """)
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.spelling_variants(read_table(spark, sf, "documents"))
+
+
+@query("op13_phrase_collocations", sql=r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), words AS (SELECT lang, list_filter(string_split(replace(p, chr(9), ' '), ' '), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 6) t(m) WHERE len(w) >= m)
+), counts AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, a AS f
+  FROM (SELECT lang, w, a, k, unnest(range(1, m - k + 2)) AS i FROM candidates, range(2, 5) t(k) WHERE k < m)
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, t.n, CAST(1000 * CAST(c.a AS HUGEINT) * t.n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c JOIN totals t ON t.lang = c.lang
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, k + 1, c.m), ' ')
+), weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weakest w WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = w.lang AND i.phrase = w.phrase AND 100 * i.f >= 100 * w.a)
+QUALIFY rank <= 2000
+""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf, "documents"))
