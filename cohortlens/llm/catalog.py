@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat, decontamination, fingerprints, html_extract, mixing, neardup, phrases, quality, repeats, sharding, spelling, toxicity
+from cohortlens.llm import chat, decontamination, fingerprints, html_extract, mixing, neardup, personal, phrases, quality, repeats, sharding, spelling, toxicity
 from cohortlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -174,3 +174,11 @@ QUALIFY rank <= 2000
 """)
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf, "documents"))
+
+
+@query("op12_personal_data")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    found = personal.personal_data(read_table(spark, sf, "documents"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
