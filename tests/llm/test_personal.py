@@ -1,5 +1,6 @@
 """Personal data: patterns against plain expressions, message passing against enumeration, further mentions."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -8,7 +9,7 @@ import time
 import numpy as np
 import pytest
 
-from cohortlens.llm import personal
+from cohortlens.llm import catalog, personal
 
 
 def plain(text):
@@ -106,3 +107,14 @@ def test_rows(spark):
     assert all({tuple(s) for s in r.base} <= {tuple(s) for s in r.spans} for r in out)
     assert personal.personal_data(docs.limit(0)).collect() == [] and personal.learn(docs.where("doc_id > 199 and doc_id < 202")) is None
     assert [r.spans for r in personal.personal_data(docs.where("doc_id in (200, 201)")).collect()] == [[], []]
+
+
+def test_query(spark, sf):
+    rows = catalog.QUERIES["op12_personal_data"](spark, sf).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert len(rows) == len(texts) and sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows) > 3
+    for r in rows:
+        base = plain(texts[r.doc_id])
+        listed = ",".join(f"{personal.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, k, _ in base) for kind in range(4)]
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and set(filter(None, listed.split(","))) <= set(r.spans.split(","))
