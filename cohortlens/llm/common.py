@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.operators.scale import staged
 
-__all__ = ["components", "free_name", "hash62", "read_table", "running_total", "staged"]
+__all__ = ["bit_table", "components", "free_name", "hash62", "in_table", "read_table", "row_key", "running_total", "staged"]
 
 # Rows that one task ranks at a time in ``running_total``.
 ROWS_PER_BUCKET = 10_000
+#: Bits of a table of hashes: 2 to the power of these, 8 MB at most.
+FEWEST, MOST = 16, 26
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +36,38 @@ def hash62(*columns: Column | str) -> Column:
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 62) - 1))
 
 
+def row_key(df: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a row's values, equal for repeats only (128 bits); columns of maps, which have no hash, are left out."""
+    columns = [F.col(f"`{f.name}`") for f in df.schema.fields if not _has_map(f.dataType)]
+    # A hash passes over nulls: where they stand is part of the key.
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    return F.xxhash64(nulls, *columns), F.xxhash64(F.lit("second"), nulls, *columns)
+
+
+def _has_map(kind: T.DataType) -> bool:
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType) or isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind.fields)
+
+
+def bit_table(hashes: DataFrame, name: str, most: int = MOST) -> tuple[int, np.ndarray]:
+    """The 64-bit hashes in column ``name`` as bits, for a look before a shuffle.
+
+    Its size is bounded whatever their number: where it fills up it only lets more through, so an exact join must follow.
+    """
+    power = min(most, max(min(FEWEST, most), (32 * hashes.count()).bit_length()))
+    spots = hashes.select(F.shiftrightunsigned(name, 64 - power).alias("at"))
+    words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (power - 6), np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return power, bits.view(np.uint64)
+
+
+def in_table(hashes: np.ndarray, table: tuple[int, np.ndarray]) -> np.ndarray:
+    """Which of the hashes (unsigned) may be in the table."""
+    power, bits = table
+    at = hashes >> np.uint64(64 - power)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def running_total(df: DataFrame, keys: Sequence[str], order: str, weight: Column, rows: int, out: str = "before") -> DataFrame:
     """Add the exclusive running sum of ``weight`` inside ``keys`` in ascending ``order`` (a 62-bit hash).
 

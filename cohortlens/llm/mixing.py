@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import free_name, hash62, running_total, staged
+from cohortlens.llm.common import free_name, hash62, row_key, running_total, staged
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -150,12 +150,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     balanced as one margin; a target at the cap takes every document ``cap`` times. Repeated rows are cut like any others; as their
     hashes tie, it does not matter which of them is taken. Equal input gives equal output. Other columns are ignored.
     """
-    return _mixed(docs.withColumn("_row", F.monotonically_increasing_id()), weights, share, cap).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source")
+    return _mixed(docs, weights, share, cap).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source")
 
 
 def _mixed(docs: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
-    """Rows (_row, doc_id, source, size, cell, rate, copies, source_size, target) of numbered documents."""
-    sizes = staged(docs.select("_row", "doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("_t")))
+    """Rows (_row, _k1, _k2, doc_id, source, size, cell, rate, copies, source_size, target); the keys are those of the row of ``docs``."""
+    one, two = row_key(docs)
+    sizes = staged(docs.select(F.monotonically_increasing_id().alias("_row"), one.alias("_k1"), two.alias("_k2"), "doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("_t")))
     targets = staged(source_targets(sizes, weights, share, cap))
     count = sizes.count()
     small = F.broadcast if targets.count() <= FEW else lambda sums: sums
@@ -167,10 +168,25 @@ def _mixed(docs: DataFrame, weights: Sequence[float], share: float, cap: float)
 
 
 def repeat_to_targets(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """The rows of ``docs``, each as many times as the mix takes it, with all columns."""
-    row = free_name(docs, "_row")
-    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()))
-    needed = numbered.select(F.col(row).alias("_row"), "doc_id", "source", "text")
-    copies = _mixed(needed, weights, share, cap).where("copies > 0").select(F.col("_row").alias(row), F.sequence(F.lit(1), "copies").alias(free_name(docs, "_copies")))
-    joined = numbered.join(copies, row)
-    return joined.select(*docs.columns, F.explode(copies.columns[1]).alias(free_name(docs, "_copy"))).select(*docs.columns)
+    """The rows of ``docs``, each as many times as the mix takes it, with all columns.
+
+    Null and empty texts have no words and go; a null source is a source of its own; very long texts are rows like others.
+    Of exact repeats the copies are counted together, so it shows only in their number which of them was taken. An empty
+    table gives no rows. Only numbers and hashes are staged, and the texts shuffled once, to meet their copies.
+    """
+    totals = _mixed(docs, weights, share, cap).groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("c")).where("c > 0")
+    a, b, times, whole = (free_name(docs, x) for x in ("_k1", "_k2", "_times", "_whole"))
+    wanted = staged(totals.select(F.col("_k1").alias(a), F.col("_k2").alias(b), F.floor(F.col("c") / F.col("n")).cast("int").alias(times), (F.col("c") % F.col("n")).cast("int").alias(whole)))
+    one, two = row_key(docs)
+    every = docs.withColumns({a: one, b: two})
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+
+    each = repeated(every.join(wanted.where(F.col(times) > 0).drop(whole), [a, b]))
+    # Repeats whose copies do not come out even: the rest goes to one row for all of them.
+    rest = wanted.where(F.col(whole) > 0).select(a, b, F.col(whole).alias(times))
+    if rest.isEmpty():
+        return each
+    first = every.join(rest.select(a, b), [a, b], "left_semi").groupBy(a, b).agg(F.first(F.struct(*docs.columns)).alias(whole)).join(rest, [a, b])
+    return each.unionByName(repeated(first.select(f"{whole}.*", times)))

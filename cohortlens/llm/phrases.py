@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import staged
+from cohortlens.llm.common import bit_table, in_table, staged
 
 SIZE, LEAST, TOP = 5, 100, 2000
 #: One pair of words in so many is a trigger.
 EVERY = 24
 #: Bits of the table of frequent phrases of one length: 2 to the power of these, 8 MB at most.
-FEWEST, MOST = 16, 26
+MOST = 26
 #: Salts over which the rows of one language are ranked before the first of each are ranked together.
 SALTS = 64
 # Chunks a task gathers before it hands them on, and words that are counted together.
@@ -91,12 +91,6 @@ def chunk_dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", si
     return rows.mapInArrow(run, "lang string, chunk binary, own int, n long").groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n"))
 
 
-def _known(h: np.ndarray, table: tuple[int, np.ndarray]) -> np.ndarray:
-    power, bits = table
-    at = h * _LAST >> np.uint64(64 - power)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def _counted(chunks: pa.Table, length: int, tables: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     """(lang, phrase, f, h) of the phrases of ``length`` words that begin in the owned part of the chunks.
 
@@ -119,7 +113,7 @@ def _counted(chunks: pa.Table, length: int, tables: list[tuple[int, np.ndarray]]
     at = np.flatnonzero(ids != stop)
     h = first[at] * _MIX + word[at]
     for size, table in enumerate(tables, 2):
-        fits = _known(h, table)
+        fits = in_table(h * _LAST, table)
         at, h = at[fits], h[fits]
         follows = np.zeros(len(ids) + 1, bool)
         follows[at] = True
@@ -169,16 +163,6 @@ def _phrases(chunks: DataFrame, length: int, tables: list[tuple[int, np.ndarray]
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.max("h").alias("h")).where((F.col("f") >= least) | F.col("phrase").isNull())
 
 
-def _bit_table(frequent: DataFrame) -> tuple[int, np.ndarray]:
-    """The hashes of ``frequent`` as bits. Its size is bounded; where it fills up it only lets more through."""
-    power = min(MOST, max(FEWEST, (32 * frequent.count()).bit_length()))
-    spots = frequent.select(F.shiftrightunsigned("h", 64 - power).alias("at"))
-    words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits")).toArrow()
-    bits = np.zeros(1 << (power - 6), np.int64)
-    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return power, bits.view(np.uint64)
-
-
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = SIZE, least: int = LEAST, every: int = EVERY) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, m, f) of all phrases of up to ``size`` words that occur ``least`` times, and (lang, n) with all words."""
     chunks = staged(chunk_dictionary(docs, text, lang, size, every))
@@ -187,7 +171,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", si
     level = singles.where("phrase is not null")
     levels, tables = [level], []
     for length in range(2, size + 1):
-        tables.append(_bit_table(level))
+        tables.append(bit_table(level, "h", MOST))
         level = staged(_phrases(chunks, length, tables, least))
         levels.append(level)
         if level.isEmpty():

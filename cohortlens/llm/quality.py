@@ -196,6 +196,13 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 4, rest: int = 2,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
+    """The rows of ``docs`` that the classifier does not reject, with all their columns.
+
+    Where nothing could be learnt, for want of labelled documents of both kinds, no row is rejected. A null text is judged
+    as an empty one, equal texts alike; texts are read whole. An empty table gives no rows.
+    """
+    model = learn(docs, labels)
+    if not len(model.grams):
+        return docs
     score = free_name(docs, "_score")
-    return scored(docs, learn(docs, labels), score).where(F.col(score) >= threshold).select(*docs.columns)
+    return scored(docs, model, score).where(F.col(score) >= threshold).select(*docs.columns)
