@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from cohortlens.session import ensure_checkpoint_dir
 
 BAND = "_band"
+_scope: ContextVar[list[str] | None] = ContextVar("staged folders", default=None)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -37,10 +40,28 @@ def staged(df: DataFrame) -> DataFrame:
     """
     folder = ensure_checkpoint_dir(df.sparkSession)
     path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging_scope() -> Iterator[list[str]]:
+    """The folders that ``staged`` writes inside the block, for ``empty_folder`` once their results are written elsewhere."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield paths
+    finally:
+        _scope.reset(token)
+
+
+def empty_folder(spark: SparkSession, path: str) -> None:
+    """Free the space of a staged table that nothing reads any more: an empty table takes its place."""
+    spark.range(0).write.mode("overwrite").parquet(path)
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join per-key statistics to detail rows.
 
