@@ -11,7 +11,8 @@ from cohortlens.operators import gates, ranking, resampling, splits
 from cohortlens.operators.scale import staged
 from cohortlens.plans import tables as t
 
-REPLICATES = 100
+# Fixed values of the study: bootstrap replicates, label swaps, swaps of ensembles.
+REPLICATES, SWAPS, ENSEMBLE_SWAPS = 2000, 1000, 9999
 SEEDS = (1, 2, 3)
 NULL_SEEDS = (11, 12, 13)
 
@@ -41,10 +42,10 @@ rows_b AS (SELECT mu.seed, b, 0 AS label, s0 AS score, m FROM mu JOIN u USING (s
 boot AS (SELECT seed, count(auc) AS n_valid, quantile_cont(auc, 0.025) AS ci_low, quantile_cont(auc, 1 - 0.025::DOUBLE) AS ci_high FROM auc_rows_b GROUP BY seed)"""
 
 
-def swap_sql():
+def swap_sql(swaps=SWAPS):
     bit = f"({S.hash_long(chr(39) + '73' + chr(39), 'b || ' + chr(39) + '|' + chr(39) + ' || pair_id')} % 2)"
     return f"""fl AS (SELECT seed, b, pair_id, CASE WHEN {bit} = 1 THEN s1 ELSE s0 END AS s0, CASE WHEN {bit} = 1 THEN s0 ELSE s1 END AS s1
-  FROM pt, range(1, {REPLICATES} + 1) r(b)),
+  FROM pt, range(1, {swaps} + 1) r(b)),
 rows_s AS (SELECT seed, b, 0 AS label, s0 AS score, 1 AS m FROM fl UNION ALL SELECT seed, b, 1, s1, 1 FROM fl),
 {tie_stats('rows_s', ['seed', 'b'])},
 swap AS (SELECT s.seed, abs(any_value(o.auc) - 0.5) AS deviation, (1 + count(*) FILTER (WHERE abs(s.auc - 0.5) >= abs(o.auc - 0.5) - 1e-15)) / (1 + count(s.auc)) AS p_value,
@@ -76,7 +77,7 @@ SELECT seed, round(auc, 9) AS observed_auc, round(deviation, 9) AS deviation, ro
  round(null_mean, 9) AS null_mean, round(null_low, 9) AS null_low, round(null_high, 9) AS null_high, (SELECT count(*) FROM pt WHERE pt.seed = swap.seed) AS n_pairs
 FROM swap JOIN auc_sub USING (seed)""")
 def pair_swap(spark, d):
-    out = resampling.swap_test(subjects(spark, d), ["seed"], REPLICATES)
+    out = resampling.swap_test(subjects(spark, d), ["seed"], SWAPS)
     return out.withColumns({c: F.round(c, 9) for c in ("observed_auc", "deviation", "p_value", "null_mean", "null_low", "null_high")})
 
 
@@ -158,7 +159,7 @@ SELECT n_seeds, p_failures, deviation_seeds, ci_ready, swap_ready, round(up, 9)
  CASE WHEN p_failures > 0 OR deviation_seeds >= 2 THEN 'FAIL' WHEN ci_ready AND swap_ready THEN 'PASS' ELSE 'INCONCLUSIVE' END AS status,
  CASE WHEN p_failures = 0 AND deviation_seeds < 2 AND ci_ready AND swap_ready AND up < 0.60 THEN 'PASS' ELSE 'INCONCLUSIVE' END AS closeness_status FROM g""")
 def negative_gate(spark, d):
-    rows = gates.seed_statistics(subjects(spark, d, NULL_SEEDS), ["seed"], REPLICATES, REPLICATES)
+    rows = gates.seed_statistics(subjects(spark, d, NULL_SEEDS), ["seed"], REPLICATES, SWAPS)
     return gates.negative_gate(rows, []).withColumn("direction_invariant_upper", F.round("direction_invariant_upper", 9))
 
 
@@ -206,12 +207,12 @@ ENSEMBLE = boot_sql(SEEDS).replace(
 )
 
 
-@query("v11_ensemble_statistics", f"""WITH {ENSEMBLE}, {swap_sql()} SELECT 'all' AS cell, round(auc, 9) AS auc, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, round(p_value, 9) AS p_value,
+@query("v11_ensemble_statistics", f"""WITH {ENSEMBLE}, {swap_sql(ENSEMBLE_SWAPS)} SELECT 'all' AS cell, round(auc, 9) AS auc, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, round(p_value, 9) AS p_value,
  (SELECT count(*) FROM pt) AS n_pairs, 'complete' AS swap_status FROM boot JOIN auc_sub USING (seed) JOIN swap USING (seed)""")
 def ensemble_statistics(spark, d):
     people = subjects(spark, d).withColumn("cell", F.lit("all"))
     rows, _ = ranking.seed_ensemble(people, ["cell"], SEEDS)
-    out = gates.seed_statistics(staged(rows), ["cell"], REPLICATES, REPLICATES)
+    out = gates.seed_statistics(staged(rows), ["cell"], REPLICATES, ENSEMBLE_SWAPS)
     return out.select("cell", *[F.round(c, 9).alias(c) for c in ("auc", "ci_low", "ci_high", "p_value")], "n_pairs", "swap_status")
 
 
@@ -219,7 +220,7 @@ def ensemble_statistics(spark, d):
 st AS (SELECT seed, p_value, least(1.0::DOUBLE, (count(*) OVER () - row_number() OVER (ORDER BY p_value) + 1) * p_value) AS step FROM swap)
 SELECT seed, round(p_value, 9) AS p_value, round(max(step) OVER (ORDER BY p_value), 9) AS p_holm, 'PASS' AS family_status FROM st""")
 def family_summary(spark, d):
-    cells = resampling.swap_test(subjects(spark, d), ["seed"], REPLICATES).withColumn("family", F.lit("seeds"))
+    cells = resampling.swap_test(subjects(spark, d), ["seed"], SWAPS).withColumn("family", F.lit("seeds"))
     out = gates.family_summary(cells, ["family"], len(SEEDS))
     return out.select("seed", F.round("p_value", 9).alias("p_value"), F.round("p_holm", 9).alias("p_holm"), "family_status")
 

@@ -33,14 +33,15 @@ def ranked_ties(
 
 def ranking(
     df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", weight: str | None = None,
-    extra: Sequence[Column] = (), sample_of: DataFrame | None = None,
+    extra: Sequence[Column] = (), sample_of: DataFrame | None = None, ties: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, n, n_pos, ap, auc): non-interpolated average precision and tie-corrected ROC AUC.
 
     ``ap`` is NULL without positives and ``auc`` NULL with one class. ``extra`` are further aggregates over the ties.
-    ``sample_of`` is a cheaper table with the same spread of scores, for choosing the bands.
+    ``sample_of`` is a cheaper table with the same spread of scores, for choosing the bands. ``ties`` are those of
+    ``ranked_ties`` where the caller has them already.
     """
-    cum = ranked_ties(df, keys, score, label, weight, sample_of)
+    cum = ties if ties is not None else ranked_ties(df, keys, score, label, weight, sample_of)
     neg = F.col("n") - F.col("pos")
     neg_below = (F.col("n_total") - F.col("pos_total")) - (F.col("n_before") - F.col("pos_before")) - neg
     # Twice the Mann–Whitney count, as doubles: the product of two counts may not fit a BIGINT.

@@ -1,15 +1,30 @@
-"""Bootstrap, swap tests and multiplicity control (V1–V5)."""
+"""Bootstrap, swap tests and multiplicity control (V1–V5).
+
+Resampling works in rank space. The scores are ranked once; a replicate only changes how often each rank counts. The
+counts of all replicates of a unit are one array, units lie in blocks of bounded size, and a block of ranks hands on its
+positives, negatives and wins per replicate, which merge over the blocks. So there is no row per replicate and unit, and
+no replicate is ever sorted.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.functions import draws, scalars
-from cohortlens.operators.ranking import ranking
-from cohortlens.operators.scale import attach, banded, join_rows, running, running_max, staged
+from cohortlens.operators.ranking import ranked_ties, ranking
+from cohortlens.operators.scale import attach, banded, join_rows, parallelism, running, running_max, staged
+
+#: Units, slots or ranks that one task holds at a time, with the counts of all replicates.
+BLOCK = 1024
+_COUNT = np.dtype("<u2")
 
 
 def pair_table(subjects: DataFrame, keys: Sequence[str] = (), score: str = "score") -> DataFrame:
@@ -31,15 +46,107 @@ def _units(df: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
     return numbered.withColumn("_n", F.lit(sizes.first()[0]))
 
 
-def _multiplicities(units: DataFrame, keys: Sequence[str], replicates: int, seed) -> DataFrame:
-    """(keys, replicate, _u, m): how often a unit is drawn in n draws with replacement.
+def _hashed(text: str) -> int:
+    """``draws.hash_long`` of an md5 over ``text``."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def _draws(sizes: DataFrame, keys: Sequence[str], replicates: int, seed) -> DataFrame:
+    """(keys, _block, replicate, drawn): for each block of units, which of them a block of slots has drawn.
+
+    Slot k of replicate b draws unit hash(seed, b, k) mod n. ``sizes`` has (keys, _n).
+    """
+    slots = sizes.select(*keys, F.col("_n").cast("long").alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / BLOCK))).alias("_slots"))
+    rows = slots.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).repartition(4 * parallelism(sizes.sparkSession), "replicate", "_slots")
+    kept = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, block, drawn = [], [], []
+            for i, (n, first, b) in enumerate(zip(*(batch.column(kept + c).to_pylist() for c in range(3)))):
+                low = first * BLOCK
+                units = np.sort(np.fromiter((_hashed(f"{seed}|{b}|{k}") % n for k in range(low, min(low + BLOCK, n))), np.int64))
+                cuts = np.flatnonzero(np.diff(units // BLOCK)) + 1
+                for part in np.split(units, cuts):
+                    source.append(i)
+                    block.append(int(part[0]) // BLOCK)
+                    drawn.append((part % BLOCK).astype(_COUNT).tobytes())
+            of = batch.take(pa.array(source, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*of.columns[:kept], pa.array(block, pa.int64()), of.column(kept + 2), pa.array(drawn, pa.binary())], names=schema.names)
+
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("_block", T.LongType()), T.StructField("replicate", T.IntegerType()), T.StructField("drawn", T.BinaryType())])
+    return rows.mapInArrow(run, schema)
+
+
+def _resampled(rows: DataFrame, sizes: DataFrame, keys: Sequence[str], replicates: int, seed, emit: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``emit`` makes of each block of ``rows`` (keys, _u, …) and of how often its units are drawn.
 
-    Slot k of replicate b draws unit hash(seed, b, k) mod n, so replicates × n small rows are generated where the units
-    lie and counted with a map-side combine.
+    ``emit`` gets the rows and a table of counts with a row per row and a column per replicate; it returns the columns of
+    ``schema``, to which the keys are added in front.
     """
-    slots = units.select(*keys, "_u", "_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    drawn = slots.select(*keys, "replicate", draws.hash_index(F.col("_n"), seed, "replicate", "_u").alias("_u"))
-    return drawn.groupBy(*keys, "replicate", "_u").agg(F.count(F.lit(1)).alias("m"))
+    keys = list(keys)
+    drawn = _draws(sizes, keys, replicates, seed)
+    blocks = rows.withColumn("_block", F.floor(F.col("_u") / BLOCK))
+    names = [*keys, *T.StructType.fromDDL(schema).names]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((BLOCK, replicates), np.int32)
+        for b, units in zip(right["replicate"], right["drawn"]):
+            counts[:, b - 1] += np.bincount(np.frombuffer(units, _COUNT), minlength=BLOCK).astype(np.int32)
+        if not len(left):
+            return pd.DataFrame({n: [] for n in names})
+        out = emit(left, counts[left["_u"].to_numpy() % BLOCK])
+        for at, k in enumerate(keys):
+            out.insert(at, k, left[k].iloc[0])
+        return out
+
+    whole = T.StructType([*(rows.schema[k] for k in keys), *T.StructType.fromDDL(schema).fields])
+    by = [*keys, "_block"]
+    return blocks.groupBy(*by).cogroup(drawn.groupBy(*by)).applyInPandas(run, whole)
+
+
+RANKS = "rank long, label int, m binary"
+
+
+def _by_rank(ranks: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    """Counts added up over equal (rank, label), so that a common score is a few rows however many units have it."""
+    code = ranks * 2 + labels
+    order = np.argsort(code, kind="stable")
+    found, first = np.unique(code[order], return_index=True)
+    sums = np.add.reduceat(counts[order], first, axis=0)
+    return pd.DataFrame({"rank": found // 2, "label": (found % 2).astype(np.int32), "m": [x.astype(_COUNT).tobytes() for x in sums]})
+
+
+def _with_ranks(base: DataFrame, ranks: DataFrame, keys: Sequence[str], names: dict[str, str]) -> DataFrame:
+    """``base`` with the rank of each score column of ``names`` as a column of the given name."""
+    for score, rank in names.items():
+        base = base.join(ranks.select(*keys, F.col("score").alias(score), F.col("rank").alias(rank)), [*keys, score])
+    return base
+
+
+def _replicate_aucs(counted: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
+    """(keys, replicate, auc) from (keys, rank, label, m); ranks grow from the highest score down."""
+    keys = list(keys)
+    parts = "_ranks long, replicate int, p double, n double, w double"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ranks, at = np.unique(rows["rank"].to_numpy(), return_inverse=True)
+        positive, negative = np.zeros((2, len(ranks), replicates))
+        for i, label, m in zip(at, rows["label"], rows["m"]):
+            (positive if label else negative)[i] += np.frombuffer(m, _COUNT)
+        below = negative.sum(0) - np.cumsum(negative, 0)
+        out = pd.DataFrame({"_ranks": int(rows["_ranks"].iloc[0]), "replicate": np.arange(1, replicates + 1, dtype=np.int32), "p": positive.sum(0), "n": negative.sum(0), "w": (positive * (2 * below + negative)).sum(0)})
+        for i, k in enumerate(keys):
+            out.insert(i, k, rows[k].iloc[0])
+        return out
+
+    schema = T.StructType([*(counted.schema[k] for k in keys), *T.StructType.fromDDL(parts).fields])
+    blocks = counted.withColumn("_ranks", F.floor(F.col("rank") / BLOCK)).groupBy(*keys, "_ranks").applyInPandas(run, schema)
+    # One row per block of ranks in a window.
+    lower = Window.partitionBy(*keys, "replicate").orderBy(F.col("_ranks").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    wins = F.col("w") + 2 * F.col("p") * F.coalesce(F.sum("n").over(lower), F.lit(0.0))
+    total = blocks.withColumn("w", wins).groupBy(*keys, "replicate").agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return total.select(*keys, "replicate", F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (2.0 * F.col("p") * F.col("n"))).alias("auc"))
 
 
 def _two_rows(df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -60,39 +167,61 @@ def interval(replicate_aucs: DataFrame, keys: Sequence[str], confidence: float =
     )
 
 
+def _score_ranks(flat: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, score, rank) of the distinct scores, from the highest down, and (keys, observed_auc)."""
+    ties = staged(ranked_ties(flat, keys))
+    observed = ranking(flat, keys, ties=ties).select(*keys, F.col("auc").alias("observed_auc"))
+    return ties.select(*keys, "score", F.col("n_before").alias("rank")), observed
+
+
 def bootstrap_auc(subjects: DataFrame, keys: Sequence[str] = (), replicates: int = 2000, seed: int = 73, paired: bool = True) -> DataFrame:
     """(keys, observed_auc, n_valid, ci_low, ci_high, n_units): resample whole pairs, or subjects."""
     keys = list(keys)
     base = pair_table(subjects, keys) if paired else subjects.select(*keys, "participant", "label", "score")
-    unit = "pair_id" if paired else "participant"
-    units = _units(base, keys, unit)
-    counts = _multiplicities(units, keys, replicates, seed)
-    drawn = counts.join(units, [*keys, "_u"])
-    keep = [*keys, "replicate", "m"]
-    rows = _two_rows(drawn, keep) if paired else drawn.select(*keep, "label", "score")
-    # Replicates hold the scores of the base table, so its quantiles serve as band limits.
-    flat = _two_rows(base, keys) if paired else base
-    aucs = ranking(rows, [*keys, "replicate"], weight="m", sample_of=flat)
-    observed = ranking(flat, keys).select(*keys, F.col("auc").alias("observed_auc"))
-    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"))
-    ci = interval(aucs, keys)
-    return join_rows(join_rows(observed, ci, keys), sizes, keys)
+    units = staged(_units(base, keys, "pair_id" if paired else "participant"))
+    ranks, observed = _score_ranks(_two_rows(units, keys) if paired else units, keys)
+    if paired:
+        rows = _with_ranks(units, ranks, keys, {"s0": "r0", "s1": "r1"}).select(*keys, "_u", "r0", "r1")
+
+        def emit(of: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
+            return _by_rank(np.concatenate([of["r0"], of["r1"]]), np.repeat([0, 1], len(of)), np.concatenate([counts, counts]))
+    else:
+        rows = _with_ranks(units, ranks, keys, {"score": "r"}).select(*keys, "_u", "r", F.col("label").cast("int").alias("label"))
+
+        def emit(of: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
+            return _by_rank(of["r"].to_numpy(), of["label"].to_numpy(), counts)
+
+    sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    aucs = _replicate_aucs(_resampled(rows, sizes, keys, replicates, seed, emit, RANKS), keys, replicates)
+    return join_rows(join_rows(observed, interval(aucs, keys), keys), sizes.withColumnRenamed("_n", "n_units"), keys)
+
+
+def _swapped(pairs: DataFrame, keys: Sequence[str], swaps: int, seed) -> DataFrame:
+    """(keys, rank, label, m) of ``pairs`` (keys, pair_id, r0, r1): a hashed coin per replicate exchanges the labels of a pair."""
+    keys = list(keys)
+    schema = T.StructType([*(pairs.schema[k] for k in keys), *T.StructType.fromDDL(RANKS).fields])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), BLOCK):
+                for key, of in frame[at:at + BLOCK].groupby(keys, dropna=False, sort=False) if keys else [((), frame[at:at + BLOCK])]:
+                    coins = np.array([[_hashed(f"{seed}|{b}|{p}") & 1 for b in range(1, swaps + 1)] for p in of["pair_id"]], np.int32)
+                    r0, r1 = of["r0"].to_numpy(), of["r1"].to_numpy()
+                    out = _by_rank(np.concatenate([r0, r0, r1, r1]), np.repeat([1, 0, 1, 0], len(of)), np.concatenate([coins, 1 - coins, 1 - coins, coins]))
+                    for i, (k, value) in enumerate(zip(keys, key)):
+                        out.insert(i, k, value)
+                    yield out
+
+    return pairs.repartition(4 * parallelism(pairs.sparkSession), "pair_id").mapInPandas(run, schema)
 
 
 def swap_test(subjects: DataFrame, keys: Sequence[str] = (), swaps: int = 1000, seed: int = 73) -> DataFrame:
     """Two-sided whole-pair label swap test on |AUC − ½| with the +1 correction."""
     keys = list(keys)
-    pairs = pair_table(subjects, keys)
-    replicated = pairs.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(swaps))))
-    bit = draws.hash_bit(seed, "replicate", "pair_id") == 1
-    flipped = replicated.select(
-        *keys, "replicate",
-        F.when(bit, F.col("s1")).otherwise(F.col("s0")).alias("s0"),
-        F.when(bit, F.col("s0")).otherwise(F.col("s1")).alias("s1"),
-    )
-    flat = _two_rows(pairs, keys)
-    null = ranking(_two_rows(flipped, [*keys, "replicate"]), [*keys, "replicate"], sample_of=flat).select(*keys, "replicate", "auc")
-    observed = ranking(flat, keys).select(*keys, F.col("auc").alias("observed_auc"))
+    pairs = staged(pair_table(subjects, keys))
+    ranks, observed = _score_ranks(_two_rows(pairs, keys), keys)
+    rows = _with_ranks(pairs, ranks, keys, {"s0": "r0", "s1": "r1"}).select(*keys, F.col("pair_id").cast("string").alias("pair_id"), "r0", "r1")
+    null = _replicate_aucs(_swapped(rows, keys, swaps, seed), keys, swaps)
     n_pairs = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"))
     # One observed row per key beside its bounded number of replicates.
     joined = join_rows(null, observed, keys)
@@ -161,22 +290,32 @@ def case_bootstrap(df: DataFrame, cells: Sequence[str], group: str, contrast: tu
     for both groups and all cells; a case missing from a group counts for the other one only.
     """
     first, second = contrast
-    units = _units(df.select("case_id").distinct(), [], "case_id")
-    weights = _multiplicities(units, [], replicates, seed).join(units.select("case_id", "_u"), "_u")
-    # Each case has `replicates` weight rows at most, so the join is balanced over cases.
-    weighted = df.join(weights, "case_id")
-
-    def mean(of):
-        hit = F.col(group) == F.lit(of)
-        num = F.sum(F.when(hit, F.col("m") * F.col(value)))
-        den = F.sum(F.when(hit, F.col("m")))
-        return F.coalesce(num, F.lit(0.0)) / F.greatest(F.coalesce(den, F.lit(0)), F.lit(1))
-
-    boots = weighted.groupBy(*cells, "replicate").agg((mean(first) - mean(second)).alias("d"))
+    cells = list(cells)
+    units = staged(_units(df.select("case_id").distinct(), [], "case_id"))
+    both = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull())
+    rows = both.join(units.select("case_id", "_u"), "case_id").select("_u", *cells, (F.col(group) == F.lit(first)).alias("_first"), F.col(value).cast("double").alias("_v"))
+    schema = T.StructType([*(rows.schema[c] for c in cells), *T.StructType.fromDDL("_first boolean, replicate int, num double, den double").fields])
+
+    def emit(of: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
+        parts = []
+        for key, at in of.groupby([*cells, "_first"], dropna=False, sort=False).indices.items():
+            m = counts[at]
+            sums = {"replicate": np.arange(1, replicates + 1, dtype=np.int32), "num": of["_v"].to_numpy()[at] @ m, "den": m.sum(0).astype(float)}
+            parts.append(pd.DataFrame({**dict(zip([*cells, "_first"], key)), **sums}))
+        return pd.concat(parts)
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    sums = _resampled(rows, units.groupBy().agg(F.count(F.lit(1)).alias("_n")), [], replicates, seed, emit, ddl)
+
+    def mean(hit):
+        num, den = F.sum(F.when(hit, F.col("num"))), F.sum(F.when(hit, F.col("den")))
+        return F.coalesce(num, F.lit(0.0)) / F.greatest(F.coalesce(den, F.lit(0.0)), F.lit(1.0))
+
+    boots = sums.groupBy(*cells, "replicate").agg((mean(F.col("_first")) - mean(~F.col("_first"))).alias("d"))
     ci = boots.groupBy(*cells).agg(
         F.percentile("d", F.lit(0.025)).alias("ci_low"), F.percentile("d", F.lit(0.975)).alias("ci_high")
     )
     means = df.groupBy(*cells).agg(
         (F.avg(F.when(F.col(group) == F.lit(first), F.col(value))) - F.avg(F.when(F.col(group) == F.lit(second), F.col(value)))).alias("difference")
     )
-    return means.join(ci, list(cells))
+    return means.join(ci, cells)

@@ -134,3 +134,70 @@ def test_logistic_equals_newton_solution(spark):
         gradient = design.T @ (w * (p - y)) + penalty @ beta
         beta -= np.linalg.solve(design.T @ (design * (w * p * (1 - p))[:, None]) + penalty, gradient)
     assert list(fitted.coefficients) + [fitted.intercept] == pytest.approx(list(beta), abs=1e-5)
+
+
+def plain_auc(rows):
+    """AUC of (score, label, count) by counting wins pair by pair."""
+    p = [(s, m) for s, y, m in rows if y]
+    n = [(s, m) for s, y, m in rows if not y]
+    total = sum(m for _, m in p) * sum(m for _, m in n)
+    return sum(a * b * (1.0 if s > r else 0.5 if s == r else 0.0) for s, a in p for r, b in n) / total if total else None
+
+
+def hashed(*parts):
+    import hashlib
+
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+
+def units_in_order(names):
+    import hashlib
+
+    return sorted(names, key=lambda x: (hashlib.md5(f"units|{x}".encode()).hexdigest(), x))
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_resampling_against_plain_replicates(spark, monkeypatch, block):
+    monkeypatch.setattr(resampling, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    # Many ties, among them one that most pairs have; keys of different size, one of them null.
+    groups = {"a": 23, "b": 2, None: 11}
+    rows = [(k, f"{j}{i}", f"p{i}", j, float(rng.choice([0.5, 0.5, 0.5, 0.1, 0.2, 0.9]))) for k, n in groups.items() for i in range(n) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "key string, participant string, pair_id string, label int, score double")
+    # A null key is a group of the aggregate, but no key of a join.
+    for r in resampling.bootstrap_auc(df.where("key is not null"), ["key"], 60, 5).collect():
+        mine = {(x[2], x[3]): x[4] for x in rows if x[0] == r.key}
+        order = units_in_order([p for p, y in mine if y])
+        aucs = []
+        for b in range(1, 61):
+            drawn = [order[hashed(5, b, k) % len(order)] for k in range(len(order))]
+            aucs.append(plain_auc([(mine[p, y], y, 1) for p in drawn for y in (0, 1)]))
+        assert (r.n_units, r.n_valid) == (len(order), 60)
+        assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.percentile(aucs, [2.5, 97.5])))
+    for r in resampling.swap_test(df.where("key = 'a'").drop("key"), swaps=80, seed=9).collect():
+        mine = {(x[2], x[3]): x[4] for x in rows if x[0] == "a"}
+        aucs = [plain_auc([(s, y ^ hashed(9, b, p) % 2, 1) for (p, y), s in mine.items()]) for b in range(1, 81)]
+        gap = abs(plain_auc([(s, y, 1) for (p, y), s in mine.items()]) - 0.5)
+        assert r.p_value == pytest.approx((1 + sum(abs(a - 0.5) >= gap - 1e-15 for a in aucs)) / 81) and r.null_mean == pytest.approx(np.mean(aucs))
+    one = resampling.bootstrap_auc(df.where("key = 'a'").drop("key", "pair_id"), [], 40, 5, paired=False).first()
+    mine = {x[1]: (x[4], x[3]) for x in rows if x[0] == "a"}
+    order = units_in_order(mine)
+    aucs = [plain_auc([(*mine[order[hashed(5, b, k) % len(order)]], 1) for k in range(len(order))]) for b in range(1, 41)]
+    aucs = [a for a in aucs if a is not None]
+    assert one.n_valid == len(aucs) and (one.ci_low, one.ci_high) == pytest.approx(tuple(np.percentile(aucs, [2.5, 97.5])))
+
+
+def test_case_bootstrap_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "BLOCK", 4)
+    rng = np.random.default_rng(6)
+    rows = [(i, c, g, float(rng.normal())) for i in range(19) for c in ("x", None) for g in ("A", "R", "other") if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "case_id int, cell string, grp string, value double")
+    got = {r.cell: r for r in resampling.case_bootstrap(df.where("cell is not null"), ["cell"], "grp", ("A", "R"), 50, 3).collect()}
+    order = units_in_order([str(i) for i in sorted({r[0] for r in rows if r[1]})])
+    diffs = []
+    for b in range(1, 51):
+        drawn = [int(order[hashed(3, b, k) % len(order)]) for k in range(len(order))]
+        mean = lambda g: [v for i in drawn for (j, c, h, v) in rows if (j, c, h) == (i, "x", g)]
+        a, r = mean("A"), mean("R")
+        diffs.append(sum(a) / max(len(a), 1) - sum(r) / max(len(r), 1))
+    assert (got["x"].ci_low, got["x"].ci_high) == pytest.approx(tuple(np.percentile(diffs, [2.5, 97.5])))
