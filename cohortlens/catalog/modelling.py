@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.catalog import query
+from cohortlens.catalog import sqltext as S
+from cohortlens.catalog.ranking import LOSS, rank_sql
 from cohortlens.operators import controls, model, ranking
 from cohortlens.operators.scale import staged
 from cohortlens.plans import tables as t
@@ -18,19 +20,56 @@ def model_rows(spark, d):
     return staged(rows.select("split", "pair_id", "participant", "record_id", "label", "support", "z_norm", t.probability("7", "record_id", F.col("label")).alias("u")))
 
 
-@query("v14_weighted_logistic")
+# Refits of the permutation null: p can go down to 0.01.
+REFITS = 99
+
+
+def newton_sql(refits: int) -> str:
+    """CTEs ``scaled`` (standardized rows with weights) and ``beta`` (r, b1, b2, b3, b4): r = -1 has the true labels."""
+    x = ("x1", "x2", "x3", "1.0::DOUBLE")
+    z = "b1 * x1 + b2 * x2 + b3 * x3 + b4"
+    g = ", ".join(f"sum(w * (p - y) * {a})" + (f" + any_value(b{i})" if i < 4 else "") + f" AS g{i}" for i, a in enumerate(x, 1))
+    h = ", ".join(f"sum(w * p * (1 - p) * {a} * {b})" + (" + 1" if i == k < 4 else "") + f" AS h{i}{k}" for i, a in enumerate(x, 1) for k, b in enumerate(x, 1) if k <= i)
+    return f"""{S.PAIRS}, feat AS (SELECT split, pair_id, participant, label, support, z_norm, {S.probability("'7'")} AS u FROM paired),
+st AS (SELECT avg(support) AS m1, stddev_pop(support) AS s1, avg(z_norm) AS m2, stddev_pop(z_norm) AS s2, avg(u) AS m3, stddev_pop(u) AS s3 FROM feat WHERE split = 'train'),
+scaled AS MATERIALIZED (SELECT split, pair_id, participant, label, 1.0::DOUBLE / count(*) OVER (PARTITION BY split, participant) AS w,
+  (support - m1) / s1 AS x1, (z_norm - m2) / s2 AS x2, (u - m3) / s3 AS x3 FROM feat, st),
+tr AS MATERIALIZED (SELECT r, x1, x2, x3, w, CASE WHEN r >= 0 THEN CAST(xor(label, {S.hash_long("('73:' || r || ':train')", "pair_id")} % 2) AS INTEGER) ELSE label END AS y
+  FROM scaled, range(-1, {refits}) t(r) WHERE split = 'train'),
+it(step, r, b1, b2, b3, b4) AS (
+  SELECT 0, r, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM range(-1, {refits}) t(r)
+  UNION ALL
+  SELECT step, r, b1 - d1, b2 - d2, b3 - d3, b4 - d4 FROM (
+    SELECT *, sqrt(h11) AS l11, h21 / l11 AS l21, h31 / l11 AS l31, h41 / l11 AS l41, sqrt(h22 - l21 * l21) AS l22, (h32 - l31 * l21) / l22 AS l32,
+      (h42 - l41 * l21) / l22 AS l42, sqrt(h33 - l31 * l31 - l32 * l32) AS l33, (h43 - l41 * l31 - l42 * l32) / l33 AS l43,
+      sqrt(h44 - l41 * l41 - l42 * l42 - l43 * l43) AS l44, g1 / l11 AS y1, (g2 - l21 * y1) / l22 AS y2, (g3 - l31 * y1 - l32 * y2) / l33 AS y3,
+      (g4 - l41 * y1 - l42 * y2 - l43 * y3) / l44 AS y4, y4 / l44 AS d4, (y3 - l43 * d4) / l33 AS d3, (y2 - l32 * d3 - l42 * d4) / l22 AS d2,
+      (y1 - l21 * d2 - l31 * d3 - l41 * d4) / l11 AS d1
+    FROM (SELECT step + 1 AS step, r, any_value(b1) AS b1, any_value(b2) AS b2, any_value(b3) AS b3, any_value(b4) AS b4, {g}, {h}
+      FROM (SELECT it.*, x1, x2, x3, w, y, 1 / (1 + exp(-({z}))) AS p FROM it JOIN tr USING (r) WHERE step < {model.STEPS}) GROUP BY step, r))
+), beta AS (SELECT * FROM it WHERE step = {model.STEPS})"""
+
+
+@query("v14_weighted_logistic", f"""WITH RECURSIVE {newton_sql(0)},
+sub AS (SELECT split, participant, label, round(avg(1 / (1 + exp(-(b1 * x1 + b2 * x2 + b3 * x3 + b4)))), 12) AS score FROM scaled, beta GROUP BY split, participant, label),
+{rank_sql('sub', 'split')}, loss AS (SELECT split, avg({LOSS.format(p='score')}) AS bce FROM sub GROUP BY split)
+SELECT split, n, round(auc, 6) AS roc_auc, round(ap, 6) AS average_precision, round(bce, 6) AS bce FROM rank_out JOIN loss USING (split)""")
 def weighted_logistic(spark, d):
-    scored = model.held_out_scores(model_rows(spark, d), FEATURES)
-    out = ranking.binary_metrics(ranking.aggregate_subjects(scored, ["split"]), ["split"])
+    held = model.held_out_scores(model_rows(spark, d), FEATURES)
+    out = ranking.binary_metrics(ranking.aggregate_subjects(held, ["split"]), ["split"])
     return out.select("split", "n", F.round("roc_auc", 6).alias("roc_auc"), F.round("average_precision", 6).alias("average_precision"), F.round("bce", 6).alias("bce"))
 
 
-@query("v15_permutation_null")
+@query("v15_permutation_null", f"""WITH RECURSIVE {newton_sql(REFITS)},
+sub AS (SELECT r, participant, label, round(avg(1 / (1 + exp(-(b1 * x1 + b2 * x2 + b3 * x3 + b4)))), 12) AS score FROM scaled, beta WHERE split = 'test' GROUP BY r, participant, label),
+{rank_sql('sub', 'r')}, o AS (SELECT auc AS observed FROM rank_out WHERE r = -1), nul AS (SELECT auc FROM rank_out WHERE r >= 0)
+SELECT round(observed, 6) AS observed_auc, count(*) AS replicates, round(avg(auc), 6) AS null_mean, 'complete' AS status,
+ round((1 + count(*) FILTER (WHERE abs(auc - 0.5) >= abs(observed - 0.5) - 1e-15)) / (1 + count(*)), 6) AS p_value FROM nul, o GROUP BY observed""")
 def permutation_null(spark, d):
     rows = model_rows(spark, d)
-    null = model.permutation_null(rows, FEATURES, range(5), 73)
+    null = model.permutation_null(rows, FEATURES, range(REFITS), 73)
     test = ranking.aggregate_subjects(model.held_out_scores(rows, FEATURES).where("split = 'test'"))
-    out = model.permutation_p_value(null, ranking.ranking(test, []), 5)
+    out = model.permutation_p_value(null, ranking.ranking(test, []), REFITS)
     return out.select(F.round("observed_auc", 6).alias("observed_auc"), "replicates", F.round("null_mean", 6).alias("null_mean"), "status", F.round("p_value", 6).alias("p_value"))
 
 

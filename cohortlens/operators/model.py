@@ -1,18 +1,27 @@
-"""The statistical control model and its retrained permutation null."""
+"""The statistical control model and its retrained permutation null.
+
+All replicates of the null are fitted together: a Newton step is one pass over the training rows, which adds up gradient and
+Hessian of every replicate, and one small linear system each. The number of steps is fixed, so that SQL can take the same.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators import normalize, pairing, ranking
+from cohortlens.operators import normalize, ranking
 from cohortlens.operators.scale import attach, attach_scalar, staged
 
+#: Newton steps from zero. The penalty keeps every step finite; far fewer reach the optimum.
+STEPS = 12
+# Rows of one pass of matrix products.
+BLOCK = 4096
+
 
 def weighted_rows(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Train-only scaling and weight 1 / slices of the participant, per split."""
@@ -21,50 +30,84 @@ def weighted_rows(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return attach(scaled, counts, ["split", "participant"])
 
 
-def fit_logistic(rows: DataFrame, features: Sequence[str], c: float = 1.0, max_iter: int = 200):
-    """L2 logistic regression with sample weights, equal to minimizing Σ w·loss + ‖β‖² / (2c).
+def fit_logistic(train: DataFrame, features: Sequence[str], replicates: Sequence[int | None] = (None,), seed: int = 0, c: float = 1.0, steps: int = STEPS) -> np.ndarray:
+    """Coefficients and intercept per replicate of L2 logistic regression: the minimum of Σ w·loss + ‖β‖² / (2c).
 
-    MLlib divides the loss by Σ w, hence the regularization 1 / (c·Σ w); the input is already standardized.
+    ``train`` has the features, ``label`` and ``weight``. A replicate with a number flips the labels of whole pairs
+    (``pair_id``) by a coin hashed from seed, replicate and pair; None leaves them. A step gathers one gradient and Hessian
+    per replicate, whatever the number of rows.
     """
-    train = rows.where("split = 'train'")
-    total = train.agg(F.sum("weight")).first()[0]
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(train)
-    model = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, tol=1e-10,
-    )
-    return model.fit(data)
-
-
-def score(model, rows: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
-    return model.transform(data).select(*keep, F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
+    numbers, d = list(replicates), len(features) + 1
+    coined = any(r is not None for r in numbers)
+    values = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+    pair = F.col("pair_id").cast("string") if coined else F.lit("")
+    rows = train.select(*values, F.col("weight").cast("double").alias("w"), F.col("label").cast("int").alias("y"), pair.alias("pair"))
+
+    def coins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str, bytes] = {}
+            for p in set(batch.column(d + 1).to_pylist()):
+                bits = [0 if r is None else int(hashlib.md5(f"{seed}:{r}:train|{p}".encode()).hexdigest()[:15], 16) & 1 for r in numbers]
+                known[p] = np.packbits(np.array(bits, np.uint8)).tobytes()
+            flips = pa.array([known[p] for p in batch.column(d + 1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:d + 1], flips], names=[*(f"x{i}" for i in range(d - 1)), "w", "y", "flips"])
+
+    schema = ", ".join([*(f"x{i} double" for i in range(d - 1)), "w double", "y int", "flips binary"])
+    held = staged(rows.mapInArrow(coins, schema))
+    beta, pull = np.zeros((len(numbers), d)), np.append(np.full(d - 1, 1.0 / c), 0.0)
+    for _ in range(steps):
+        point = beta.copy()
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gradient, hessian = np.zeros((len(numbers), d)), np.zeros((len(numbers), d, d))
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(at, BLOCK)
+                    x = np.column_stack([*(part.column(i).to_numpy() for i in range(d - 1)), np.ones(part.num_rows)])
+                    w, y = part.column(d - 1).to_numpy(), part.column(d).to_numpy()
+                    flips = np.unpackbits(np.frombuffer(b"".join(part.column(d + 1).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)[:, :len(numbers)]
+                    p = 1 / (1 + np.exp(-(x @ point.T)))
+                    gradient += (w[:, None] * (p - (y[:, None] ^ flips))).T @ x
+                    hessian += np.einsum("nr,ni,nj->rij", w[:, None] * p * (1 - p), x, x, optimize=True)
+            flat = np.concatenate([gradient, hessian.reshape(len(numbers), -1)], axis=1).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["at", "v"])
+
+        found = held.mapInArrow(sums, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        flat = np.zeros(len(numbers) * (d + d * d))
+        flat[found["at"].to_numpy()] = found["v"].to_numpy()
+        flat = flat.reshape(len(numbers), d + d * d)
+        gradient, hessian = flat[:, :d] + pull * beta, flat[:, d:].reshape(-1, d, d) + np.diag(pull)
+        beta = beta - np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
+    return beta
+
+
+def scored(rows: DataFrame, beta: np.ndarray, features: Sequence[str], keep: Sequence[str], replicates: Sequence[int] | None = None) -> DataFrame:
+    """``keep`` and the probability of every row; with ``replicates``, a row per replicate and its number."""
+    models = [F.struct(F.lit(int(r)).alias("replicate"), F.array(*[F.lit(float(b)) for b in row]).alias("b")) for r, row in zip(replicates or [0], beta)]
+    every = rows.withColumn("_m", F.explode(F.array(*models)))
+    z = F.get("_m.b", F.lit(len(features)))
+    for i, f in enumerate(features):
+        z = z + F.get("_m.b", F.lit(i)) * F.col(f)
+    number = [] if replicates is None else [F.col("_m.replicate").alias("replicate")]
+    return every.select(*number, *keep, (1 / (1 + F.exp(-z))).alias("probability"))
 
 
 def held_out_scores(rows: DataFrame, features: Sequence[str], c: float = 1.0) -> DataFrame:
     """Fit on the training rows and score every row."""
     ready = staged(weighted_rows(rows, features))
     keep = [x for x in ("split", "pair_id", "participant", "record_id", "label") if x in rows.columns]
-    return score(fit_logistic(ready, features, c), ready, features, keep)
+    return scored(ready, fit_logistic(ready.where("split = 'train'"), features, c=c), features, keep)
 
 
 def permutation_null(rows: DataFrame, features: Sequence[str], replicates: Sequence[int], seed: int, c: float = 1.0) -> DataFrame:
     """(replicate, auc) of models refitted on pair-permuted training labels, scored on the true test labels.
 
-    Replicates are independent fits; each is a distributed job, and only its test AUC is kept. The scaled rows are
-    written once and shared by all fits.
+    The replicates are fitted together; an empty test split gives no row.
     """
     ready = staged(weighted_rows(rows, features))
-    results = None
-    for replicate in replicates:
-        stream = f"{seed}:{replicate}:train"
-        train = pairing.flip_by_pair(ready.where("split = 'train'"), stream).drop("flipped")
-        model = fit_logistic(train, features, c)
-        test = score(model, ready.where("split = 'test'"), features, ["pair_id", "participant", "label"])
-        subjects = ranking.aggregate_subjects(test)
-        one = staged(ranking.ranking(subjects, []).select(F.lit(int(replicate)).alias("replicate"), "auc"))
-        results = one if results is None else results.unionByName(one)
-    return results
+    beta = fit_logistic(ready.where("split = 'train'"), features, list(replicates), seed, c)
+    test = scored(ready.where("split = 'test'"), beta, features, ["pair_id", "participant", "label"], list(replicates))
+    return ranking.ranking(ranking.aggregate_subjects(test, ["replicate"]), ["replicate"]).select("replicate", "auc")
 
 
 def permutation_p_value(null: DataFrame, observed: DataFrame, planned: int) -> DataFrame:

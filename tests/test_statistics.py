@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from cohortlens.operators import audits, gates, model, resampling
+from cohortlens.operators import audits, gates, model, pairing, ranking, resampling
 from cohortlens.sources import metrics_csv
 
 SUBJECT = "participant string, pair_id string, label int, score double"
@@ -124,7 +126,7 @@ def test_logistic_equals_newton_solution(spark):
     rows = [("train", f"p{people[i]}", int(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(n)]
     df = spark.createDataFrame(rows, "split string, participant string, label int, a double, b double")
     ready = model.weighted_rows(df, ["a", "b"])
-    fitted = model.fit_logistic(ready, ["a", "b"])
+    fitted = model.fit_logistic(ready, ["a", "b"])[0]
     z = (x - x.mean(0)) / x.std(0)
     w = 1.0 / np.bincount(people, minlength=60)[people]
     design, beta = np.c_[z, np.ones(n)], np.zeros(3)
@@ -133,7 +135,38 @@ def test_logistic_equals_newton_solution(spark):
         p = 1 / (1 + np.exp(-design @ beta))
         gradient = design.T @ (w * (p - y)) + penalty @ beta
         beta -= np.linalg.solve(design.T @ (design * (w * p * (1 - p))[:, None]) + penalty, gradient)
-    assert list(fitted.coefficients) + [fitted.intercept] == pytest.approx(list(beta), abs=1e-5)
+    assert list(fitted) == pytest.approx(list(beta), abs=1e-9)
+    # An independent solver: its loss is divided by the weights, so its penalty is 1 / (c Σ w).
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(ready)
+    other = LogisticRegression(weightCol="weight", regParam=1.0 / float(w.sum()), standardization=False, maxIter=200, tol=1e-10).fit(data)
+    assert [*other.coefficients, other.intercept] == pytest.approx(list(fitted), abs=1e-5)
+
+
+def test_replicates_are_fitted_like_single_models(spark, monkeypatch):
+    monkeypatch.setattr(model, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        for y in (0, 1):
+            for _ in range(rng.integers(1, 4)):
+                rows.append(("train" if i < 28 else "test", f"p{i}", f"{i}-{y}", y, float(rng.normal() + 0.9 * y), float(rng.normal())))
+    df = spark.createDataFrame(rows, "split string, pair_id string, participant string, label int, a double, b double").repartition(3)
+    null = {r.replicate: r.auc for r in model.permutation_null(df, ["a", "b"], range(20), 73).collect()}
+    assert sorted(null) == list(range(20))
+    ready = model.weighted_rows(df, ["a", "b"])
+    together = model.fit_logistic(ready.where("split = 'train'"), ["a", "b"], [None, 3, 11], 73)
+    for row, number in zip(together, [None, 3, 11]):
+        flipped = ready if number is None else pairing.flip_by_pair(ready, f"{73}:{number}:train")
+        assert list(model.fit_logistic(flipped.where("split = 'train'"), ["a", "b"])[0]) == pytest.approx(list(row), abs=1e-9)
+        if number is not None:
+            test = model.scored(ready.where("split = 'test'"), row[None, :], ["a", "b"], ["pair_id", "participant", "label"])
+            assert ranking.ranking(ranking.aggregate_subjects(test), []).first().auc == pytest.approx(null[number])
+    held = model.held_out_scores(df, ["a", "b"]).where("split = 'test'")
+    observed = ranking.ranking(ranking.aggregate_subjects(held), [])
+    out = model.permutation_p_value(model.permutation_null(df, ["a", "b"], range(20), 73), observed, 20).first()
+    gap = abs(observed.first().auc - 0.5)
+    assert out.status == "complete" and out.p_value == pytest.approx((1 + sum(abs(a - 0.5) >= gap - 1e-15 for a in null.values())) / 21)
+    assert model.permutation_p_value(model.permutation_null(df, ["a", "b"], range(19), 73), observed, 20).first().p_value is None
 
 
 def plain_auc(rows):
