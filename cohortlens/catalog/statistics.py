@@ -225,12 +225,23 @@ def family_summary(spark, d):
     return out.select("seed", F.round("p_value", 9).alias("p_value"), F.round("p_holm", 9).alias("p_holm"), "family_status")
 
 
-@query("v13_correlations", """WITH r AS (SELECT l_quantity AS x, l_extendedprice AS y, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS rx,
- rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::DOUBLE AS ry FROM lineitem)
-SELECT count(*) AS points, round(corr(x, y), 9) AS pearson, round(corr(rx, ry), 9) AS spearman FROM r""")
+def student_sql(r: str) -> str:
+    """Two-sided p by the integral of cos^(n - 3) from asin |r| to a right angle (Simpson's rule)."""
+    return f"""(SELECT 2 * exp(lgamma((points - 1) / 2.0::DOUBLE) - lgamma((points - 2) / 2.0::DOUBLE) - lgamma(0.5::DOUBLE)) * w / 3
+ * sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp((points - 3) * ln(greatest(1e-300::DOUBLE, cos(asin(abs({r})) + i * w)))))
+ FROM (SELECT (pi() / 2 - asin(abs({r}))) / 20000 AS w), range(0, 20001) t(i) GROUP BY w)"""
+
+
+@query("v13_correlations", f"""WITH v AS (SELECT 'quantity_price' AS pair, l_quantity AS x, l_extendedprice AS y FROM lineitem UNION ALL SELECT 'discount_tax', l_discount, l_tax FROM lineitem),
+r AS (SELECT pair, x, y, rank() OVER (PARTITION BY pair ORDER BY x) + (count(*) OVER (PARTITION BY pair, x) - 1) / 2.0::DOUBLE AS rx,
+ rank() OVER (PARTITION BY pair ORDER BY y) + (count(*) OVER (PARTITION BY pair, y) - 1) / 2.0::DOUBLE AS ry FROM v),
+c AS (SELECT pair, count(*) AS points, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM r GROUP BY pair)
+SELECT pair, points, round(pearson, 9) AS pearson, round(spearman, 9) AS spearman, round({student_sql('pearson')}, 7) AS pearson_p, round({student_sql('spearman')}, 7) AS spearman_p FROM c""")
 def correlations(spark, d):
-    out = gates.correlations(t.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
-    return out.withColumns({c: F.round(c, 9) for c in ("pearson", "spearman")})
+    rows = t.table(spark, d, "lineitem")
+    both = [gates.correlations(rows, x, y).withColumn("pair", F.lit(name)) for name, x, y in (("quantity_price", "l_quantity", "l_extendedprice"), ("discount_tax", "l_discount", "l_tax"))]
+    out = both[0].unionByName(both[1])
+    return out.select("pair", "points", *[F.round(c, 9).alias(c) for c in ("pearson", "spearman")], *[F.round(c, 7).alias(c) for c in ("pearson_p", "spearman_p")])
 
 
 @query("g14_status_reducer", f"""WITH j AS (SELECT p_brand AS run, p_type AS part, CASE WHEN avg(p_size) > 30 THEN NULL ELSE avg(p_size) > 18 END AS passed FROM part GROUP BY ALL)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -200,3 +202,43 @@ def dice(tp: Column, predicted: Column, actual: Column, both_empty: float = 0.0)
 def sorted_map_json(c: Column | str) -> Column:
     """Canonical text of a map: entries in key order (set operations reject map columns)."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(_col(c)))))
+
+
+def log_gamma(z: Column) -> Column:
+    """ln Γ(z) for z > 0: Stirling's series at z + 8, and the eight factors in between. Good to about 13 digits."""
+    w = z + 8
+    series = (w - 0.5) * F.log(w) - w + F.lit(0.5 * math.log(2 * math.pi))
+    # Coefficients of the series (Bernoulli numbers).
+    for power, c in ((1, 1 / 12), (3, -1 / 360), (5, 1 / 1260), (7, -1 / 1680), (9, 1 / 1188)):
+        series = series + F.lit(c) / F.pow(w, F.lit(float(power)))
+    for k in range(8):
+        series = series - F.log(z + k)
+    return series
+
+
+def _beta_fraction(x: Column, a: Column, b: Column, terms: int) -> Column:
+    """The continued fraction of the incomplete beta function, built up from its first term on."""
+    tiny = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+    start = F.struct(F.lit(1.0).alias("c"), (1 / tiny(1 - (a + b) * x / (a + 1))).alias("d"), (1 / tiny(1 - (a + b) * x / (a + 1))).alias("h"))
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d1, c1 = 1 / tiny(1 + even * s["d"]), tiny(1 + even / s["c"])
+        d2, c2 = 1 / tiny(1 + odd * d1), tiny(1 + odd / c1)
+        return F.struct(c2.alias("c"), d2.alias("d"), (s["h"] * d1 * c1 * d2 * c2).alias("h"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda s: s["h"])
+
+
+def regularized_beta(x: Column, a: Column, b: Column, terms: int = 600) -> Column:
+    """I_x(a, b) for 0 ≤ x ≤ 1 and a, b > 0; ``terms`` of the fraction do for parameters up to some hundred thousand."""
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+    low = front * _beta_fraction(x, a, b, terms) / a
+    high = 1 - front * _beta_fraction(1 - x, b, a, terms) / b
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(F.when(x < (a + 1) / (a + b + 2), low).otherwise(high))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of n points by Student's distribution with n - 2 degrees; NULL for fewer than three."""
+    return F.when((n > 2) & r.isNotNull(), regularized_beta(1 - r * r, (n - 2) / F.lit(2.0), F.lit(0.5)))

@@ -119,15 +119,18 @@ def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson and Spearman correlation of joined points; constant input gives NULL. Without p-values."""
+    """Pearson and Spearman correlation of joined points with two-sided p-values; constant input gives NULL."""
     points = df.where(scalars.is_finite(x) & scalars.is_finite(y)).select(x, y)
     ranked = average_ranks(average_ranks(points, x, "_rx"), y, "_ry")
     varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return ranked.agg(
+    # Rounding may push a perfect correlation past one.
+    unit = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+    out = ranked.agg(
         F.count(F.lit(1)).alias("points"),
-        F.when(varied, F.corr(x, y)).alias("pearson"),
-        F.when(varied, F.corr("_rx", "_ry")).alias("spearman"),
+        F.when(varied, unit(F.corr(x, y))).alias("pearson"),
+        F.when(varied, unit(F.corr("_rx", "_ry"))).alias("spearman"),
     )
+    return out.withColumns({f"{c}_p": scalars.correlation_p(F.col(c), F.col("points")) for c in ("pearson", "spearman")})
 
 
 def trend(df: DataFrame, run: Sequence[str], order: str, metrics: Sequence[str], tolerance: float) -> DataFrame:

@@ -272,15 +272,17 @@ def holm_large(df: DataFrame, family: Sequence[str], p: str = "p_value", out: st
 
 def holm_if_complete(df: DataFrame, family: Sequence[str], expected: int, p: str = "p_value") -> DataFrame:
     """Holm only when the family has exactly the planned number of tests and all their p-values."""
-    adjusted = holm(df, family, p)
-    whole = Window.partitionBy(*(list(family) or [F.lit(0)]))
-    complete = (F.count(F.lit(1)).over(whole) == expected) & (F.count_if(scalars.is_finite(p)).over(whole) == expected)
-    return adjusted.withColumns(
+    family = list(family)
+    adjusted = holm_large(df, family, p) if family else holm(df, family, p)
+    counts = df.groupBy(*family).agg(F.count(F.lit(1)).alias("_tests"), F.count_if(scalars.is_finite(p)).alias("_known"))
+    joined = join_rows(adjusted, counts, family)
+    complete = (F.col("_tests") == expected) & (F.col("_known") == expected)
+    return joined.withColumns(
         {
             "family_status": F.when(complete, "PASS").otherwise("INCONCLUSIVE"),
             "p_holm": F.when(complete, F.col("p_holm")),
         }
-    )
+    ).drop("_tests", "_known")
 
 
 def case_bootstrap(df: DataFrame, cells: Sequence[str], group: str, contrast: tuple, replicates: int, seed: int, value: str = "value") -> DataFrame:

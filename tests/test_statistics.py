@@ -1,5 +1,7 @@
 """Bootstrap, swap test, Holm, gates, QC and the control model."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
@@ -234,3 +236,22 @@ def test_case_bootstrap_over_several_blocks(spark, monkeypatch):
         a, r = mean("A"), mean("R")
         diffs.append(sum(a) / max(len(a), 1) - sum(r) / max(len(r), 1))
     assert (got["x"].ci_low, got["x"].ci_high) == pytest.approx(tuple(np.percentile(diffs, [2.5, 97.5])))
+
+
+def test_correlation_p_against_an_integral(spark):
+    from cohortlens.functions import scalars
+
+    cases = [(r, n) for n in (3, 4, 5, 12, 101, 5000, 300_000) for r in (0.0, 0.001, -0.02, 0.3, -0.9, 0.999, 1.0)]
+    df = spark.createDataFrame([(float(r), n) for r, n in cases], "r double, n long")
+    got = {(x.r, x.n): x.p for x in df.select("r", "n", scalars.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()}
+    for r, n in cases:
+        # Simpson over the angle; the end without weight for few points needs the exact law.
+        low = np.arcsin(abs(r))
+        angle = np.linspace(low, np.pi / 2, 400_001)
+        f = np.cos(angle).clip(0) ** (n - 3)
+        weights = np.where(np.arange(len(angle)) % 2 == 1, 4.0, 2.0)
+        weights[[0, -1]] = 1.0
+        whole = 2 * math.exp(math.lgamma((n - 1) / 2) - math.lgamma((n - 2) / 2) - math.lgamma(0.5))
+        assert got[r, n] == pytest.approx(whole * (weights * f).sum() * (angle[1] - angle[0]) / 3, abs=2e-9)
+    few = spark.createDataFrame([(0.5, 2), (None, 10)], "r double, n long")
+    assert [x[0] for x in few.select(scalars.correlation_p(F.col("r"), F.col("n"))).collect()] == [None, None]
