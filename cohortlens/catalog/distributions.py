@@ -381,7 +381,7 @@ def equalize(spark, d):
     return profile(normalize.equalize(df, ["modality"], "w", "o"), "o", "modality", "q")
 
 
-GRID = 64
+GRID = 4096
 # Landmarks of a published curve. Times FINE they are whole hundredths, which round alike everywhere.
 FINE = 4096
 
