@@ -10,6 +10,7 @@ the tree in which nothing below a boilerplate node is main text.
 
 from __future__ import annotations
 
+import gc
 import html
 import math
 import random
@@ -30,18 +31,21 @@ TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 BATCH_NODES = 50_000
 
 # Fixed values of the HTML standard: elements by kind.
-BLOCK = frozenset("html body head title address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section select summary table caption tbody td tfoot th thead tr ul button label".split())
+BLOCK = frozenset("html body head title address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section select summary table caption tbody td tfoot th thead tr ul button label noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Everything up to the end tag is no text of the page, or to the end of the page if there is none.
-RAW = frozenset("script style noscript template iframe textarea noframes".split())
+RAW = frozenset("script style template iframe textarea noframes".split())
 # Start tags that end a drawing that was left open, as the standard has it.
-LEAVES_SVG = BLOCK - {"title"} | frozenset("b big br code em embed font i img listing meta nobr ruby s small span strong strike sub sup tt u var".split())
+LEAVES_SVG = BLOCK - {"title", "noscript"} | frozenset("b big br code em embed font i img listing meta nobr ruby s small span strong strike sub sup tt u var".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li".split())
 SAME_ENDS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 CELLS = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?/][^>]*>", re.S)
-_OPEN_END = re.compile(r"<[a-zA-Z!?/][^>]*\Z")
+# A comment, a declaration or a broken end tag; or the name of a tag. A `<` before anything else is text.
+_MARKUP = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+>?|/(?![a-zA-Z])[^>]*+>?|(/?)([a-zA-Z][^\s/>]*+))", re.S)
+# The attributes of a tag and its end. A quote opens a value only behind an equals sign and only if it is closed; nothing is
+# tried twice, so the time is linear whatever the tag looks like.
+_REST = re.compile(r"((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?=>)|[^\s>\"'][^\s>]*+))?+)*+)>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 
@@ -83,73 +87,134 @@ class Page:
     blocks: list[tuple[int, str]]
 
 
+_END_TAGS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
+#: Elements that keep a paragraph outside of them open.
+_KEEPS_P = ("td", "th", "table", "button")
+
+
+class _Open:
+    """Stack of open elements that knows at which depths each name is open, so that no step looks through the stack."""
+
+    def __init__(self) -> None:
+        self.nodes, self.names, self._depths = [0], [""], {}
+
+    def last(self, *names: str) -> int:
+        """Depth of the innermost open element of these names; 0 if none is open."""
+        found = 0
+        for name in names:
+            depths = self._depths.get(name)
+            if depths and depths[-1] > found:
+                found = depths[-1]
+        return found
+
+    def push(self, name: str, node: int) -> None:
+        self._depths.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> None:
+        while len(self.names) > depth:
+            self._depths[self.names.pop()].pop()
+            self.nodes.pop()
+
+
 def parse(source: str | None) -> Page:
+    """``read_page`` without the collector of cycles: a page of many nodes has none, and looking for them takes most of the time."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        return read_page(source)
+    finally:
+        if collecting:
+            gc.enable()
+
+
+def read_page(source: str | None) -> Page:
     """Block nodes in page order (the first is the root) and text blocks, each with the node that holds it.
 
-    Text of a drawing (svg) is no text of the page, but HTML inside its foreignObject is. A drawing that is left open ends
-    at the next HTML element, or with its parent. Formulas and fallbacks of media are text like any other.
+    Tags are read as the HTML standard reads them, but a quote that is never closed opens no value. A tag that the page
+    ends in is dropped. Text of a drawing (svg) is no text of the page, but HTML inside its foreignObject is. A drawing that
+    is left open ends at the next HTML element, or with its parent. Formulas, fallbacks of media and what is meant for readers
+    without scripts are text like any other. The time is linear in the length of the page.
     """
     text = source or ""
-    nodes, blocks, stack = [Node("", -1, 0)], [], [0]
-    names, run, linked, at = [""], [], 0, 0
-    # Open svg and foreignobject elements.
+    nodes, blocks, opened = [Node("", -1, 0)], [], _Open()
+    run, linked, at = [], 0, 0
+    # Open svg and foreignobject elements, and how many of each.
     drawn: list[str] = []
+    drawings = {"svg": 0, "foreignobject": 0}
+    # Names without a further end tag.
+    endless: set[str] = set()
 
     def close_run() -> None:
         if run:
             joined = "".join(run)
             whole = " ".join((html.unescape(joined) if "&" in joined else joined).split())
             if whole:
-                node = nodes[stack[-1]]
+                node = nodes[opened.nodes[-1]]
                 node.chars += len(whole)
                 node.stops += whole.count(".") + whole.count(",")
-                blocks.append((stack[-1], whole))
+                blocks.append((opened.nodes[-1], whole))
             run.clear()
 
     def pop_to(depth: int) -> None:
         close_run()
-        del stack[depth:], names[depth:]
+        opened.cut(depth)
+
+    def after(name: str, start: int) -> int | None:
+        """Where the raw text of an element ends, None if it never does."""
+        end = None if name in endless else _END_TAGS[name].search(text, start)
+        if not end:
+            endless.add(name)
+        return end.end() if end else None
 
     while True:
-        match = _TAG.search(text, at)
-        piece = text[at:match.start()] if match else _OPEN_END.sub("", text[at:])
+        match = _MARKUP.search(text, at)
+        piece = text[at:match.start()] if match else text[at:]
         if piece and not (drawn and drawn[-1] == "svg"):
             run.append(piece)
             if linked:
-                nodes[stack[-1]].links += len(piece)
+                nodes[opened.nodes[-1]].links += len(piece)
         if not match:
             break
         at = match.end()
-        name = (match[2] or "").lower()
-        if not name:
+        if not match[2]:
             continue
+        rest = _REST.match(text, at)
+        if not rest:
+            break
+        at = rest.end()
+        ends, name = match[1], match[2].lower()
         if name == "svg" or drawn and name == "foreignobject":
-            if not match[1]:
-                if not match[3].endswith("/"):
+            if not ends:
+                if not rest[1].endswith("/"):
                     drawn.append(name)
-            elif name in drawn:
-                del drawn[len(drawn) - 1 - drawn[::-1].index(name):]
+                    drawings[name] += 1
+            elif drawings[name]:
+                closed = ""
+                while closed != name:
+                    closed = drawn.pop()
+                    drawings[closed] -= 1
             continue
         if drawn and drawn[-1] == "svg":
-            if name not in (names if match[1] else LEAVES_SVG) and not (match[1] and name == "p"):
-                if name in RAW and not match[1] and not match[3].endswith("/"):
-                    end = re.compile(rf"</{name}\s*>", re.I).search(text, at)
-                    at = end.end() if end else at
+            if not (opened.last(name) or name == "p" if ends else name in LEAVES_SVG):
+                if name in RAW and not ends and not rest[1].endswith("/"):
+                    at = after(name, at) or at
                 continue
             drawn.clear()
-        if match[1]:
+            drawings = dict.fromkeys(drawings, 0)
+        if ends:
             if name == "a":
                 linked = 0
-            elif name in BLOCK and name in names:
-                pop_to(len(names) - 1 - names[::-1].index(name))
+            elif name in BLOCK and opened.last(name):
+                pop_to(opened.last(name))
             elif name == "p":
                 close_run()
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(text, at)
-            at = end.end() if end else len(text)
+            at = after(name, at) or len(text)
             continue
-        nodes[stack[-1]].tags += 1
+        nodes[opened.nodes[-1]].tags += 1
         if name == "br":
             run.append(" ")
         elif name == "a":
@@ -158,25 +223,19 @@ def parse(source: str | None) -> Page:
             continue
         close_run()
         linked = 0
-        if name in ENDS_P and "p" in names:
-            depth = len(names) - 1 - names[::-1].index("p")
-            if not {"td", "th", "table", "button"} & set(names[depth:]):
-                pop_to(depth)
+        if name in ENDS_P and opened.last("p") > opened.last(*_KEEPS_P):
+            pop_to(opened.last("p"))
         if name in SAME_ENDS:
-            for depth in range(len(names) - 1, 0, -1):
-                if names[depth] in SAME_ENDS[name]:
-                    break
-                if names[depth] in CELLS.get(name, (name,)):
-                    pop_to(depth)
-                    break
-        if name == "body" and names[-1] in ("head", "title"):
-            pop_to(names.index("head") if "head" in names else len(names) - 1)
+            cell = opened.last(*CELLS.get(name, (name,)))
+            if cell > opened.last(*SAME_ENDS[name]):
+                pop_to(cell)
+        if name == "body" and opened.names[-1] in ("head", "title"):
+            pop_to(opened.last("head") or len(opened.names) - 1)
         if name in VOID:
             continue
-        node = Node(name, stack[-1], len(stack), match[3])
-        nodes[stack[-1]].children.append(len(nodes))
-        stack.append(len(nodes))
-        names.append(name)
+        node = Node(name, opened.nodes[-1], len(opened.nodes), rest[1])
+        nodes[opened.nodes[-1]].children.append(len(nodes))
+        opened.push(name, len(nodes))
         nodes.append(node)
     close_run()
     return Page(nodes, blocks)
@@ -192,8 +251,12 @@ _FLAGS = len(GROUPS) + len(TOKENS)
 MANY = 8
 
 
-@lru_cache(maxsize=20_000)
 def _token_bits(attributes: str) -> int:
+    # Only short attributes are worth a place in the cache.
+    return _bits_of_short(attributes) if len(attributes) <= 1_000 else _bits(attributes)
+
+
+def _bits(attributes: str) -> int:
     bits = 0
     for w in attribute_words(attributes):
         if w in _OF_TOKEN:
@@ -201,6 +264,9 @@ def _token_bits(attributes: str) -> int:
     return bits
 
 
+_bits_of_short = lru_cache(maxsize=20_000)(_bits)
+
+
 def counts(page: Page) -> list[tuple]:
     """Plain numbers of every node: its own, those of the text below it, and its parent's."""
     nodes = page.nodes

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -40,11 +41,33 @@ def test_drawings_formulas_and_media():
     for tag in ("object", "audio", "video", "canvas"):
         assert text(f"<div>a <{tag} class=x>b</div><p>c</p>") == ["a b", "c"] and text(f"<p>a <{tag}>b</{tag}> c</p>") == ["a b c"]
     # Raw text: to its end tag, or to the end of the page.
-    for tag in ("script", "style", "noscript", "template", "iframe", "textarea", "noframes"):
+    for tag in ("script", "style", "template", "iframe", "textarea", "noframes"):
         assert text(f"a<{tag}><p>no</p></{tag}><p>b") == ["a", "b"]
         assert text(f"a<{tag}><p>no") == ["a"]
 
 
+def test_broken_tags():
+    text = lambda source: [t for _, t in h.parse(source).blocks]
+    assert text("<p title='it's'>Hello, don't go</p><p>b it's</p>") == ["Hello, don't go", "b it's"]
+    assert text('<a title="5" wide">link text</a>') == ["link text"]
+    # A quote that is never closed opens no value; a tag that the page ends in is dropped.
+    assert text('<p>a <a href="x>b</a> c</p>') == ["a b c"] and text('a<p title="b" c') == ["a"]
+    assert text("<p>a<b=1>c</p><p class = 'x>y' id=z/>d") == ["ac", "d"] and text("1 < 2 <3 </ x>4<!-->5<!---->6") == ["1 < 2 <3 456"]
+    assert text("<article><noscript><p>read me</p></noscript>end</article>") == ["read me", "end"] and text("a<noscript>b") == ["a", "b"]
+    assert text("<style>x</styles></style>a</script >b") == ["ab"]
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<div class=x ", "<div>", "<p>a", "<a b=\"", "<!--", "<svg><style>", "<ul><li><b>", "</div>", "<td><p>", "</svg>", "<"])
+def test_time_is_linear(piece):
+    def seconds(n):
+        start = time.process_time()
+        h.parse("<p><table><svg></svg>" + piece * (n // len(piece)))
+        return time.process_time() - start
+
+    # Quadratic time would take hours for the long page.
+    assert seconds(3_000_000) < 12
+
+
 def test_decoding_is_the_best_consistent_labelling():
     r = np.random.default_rng(5)
     got = h.parse("<div><div><p>a</p><p>b</p></div><ul><li>c</li></ul></div>")
