@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortlens.catalog import query
 from cohortlens.catalog import sqltext as S
 from cohortlens.functions import digests, scalars
-from cohortlens.operators import audits, sets, splits
+from cohortlens.operators import audits, normalize, sets, splits
 from cohortlens.operators.scale import staged
 from cohortlens.plans import tables as t
 from cohortlens.sources import writers
@@ -64,6 +64,49 @@ def provenance(spark, d):
     return audits.provenance(docs, "m", "_hash$")
 
 
+@query("n3_pair_summaries", f"""WITH {S.PAIRS}, h AS (SELECT pair_id, z_bin, count(*) AS n FROM paired WHERE label = 0 GROUP BY ALL), hs AS (SELECT pair_id, string_agg(z_bin || ':' || n, ',' ORDER BY z_bin) AS z_histogram FROM h GROUP BY pair_id)
+SELECT pair_id, CASE WHEN count(DISTINCT split) = 1 THEN min(split) END AS split, count(*) AS records, count(*) FILTER (WHERE label = 0) AS slices_per_domain, any_value(z_histogram) AS z_histogram, list_sort(list(DISTINCT participant)) AS participants
+FROM paired LEFT JOIN hs USING (pair_id) GROUP BY pair_id""")
+def pair_summaries(spark, d):
+    out = audits.pair_summaries(t.paired_records(spark, d))
+    return out.withColumn("z_histogram", F.array_join(F.transform(F.map_entries("z_histogram"), lambda e: F.concat_ws(":", e.key, e.value)), ","))
+
+
+@query("n4_distinct_paths", """SELECT field, count(DISTINCT value) AS values, count(*) AS "references" FROM (SELECT 'page_path' AS field, regexp_replace(url, '[0-9]+', '#', 'g') AS value FROM pages WHERE url IS NOT NULL UNION ALL SELECT 'source_path', source FROM documents WHERE source IS NOT NULL) GROUP BY field""")
+def distinct_paths(spark, d):
+    pages = t.table(spark, d, "pages").select(F.create_map(F.lit("page_path"), F.regexp_replace("url", "[0-9]+", "#"), F.lit("sha"), F.md5("url")).alias("m")).where("m['page_path'] IS NOT NULL")
+    docs = t.table(spark, d, "documents").select(F.create_map(F.lit("source_path"), F.col("source"), F.lit("sha"), F.md5("text")).alias("m")).where("m['source_path'] IS NOT NULL")
+    return audits.distinct_values(pages.unionByName(docs), "m", "_path$")
+
+
+@query("d24_manifest_provenance", f"""WITH {S.SPLITS}, s AS (SELECT site, coalesce(split, '') AS split, participant, case_id FROM records LEFT JOIN split_map USING (participant)), c AS (SELECT site, split, count(*) AS n FROM s GROUP BY ALL)
+SELECT site, count(*) AS rows, ['site', 'participant', 'case_id', 'split'] AS columns, (SELECT string_agg(split || ':' || n, ',' ORDER BY split) FROM c WHERE c.site = s.site) AS split_counts, count(DISTINCT participant) AS subjects, count(DISTINCT (participant, case_id)) AS sessions FROM s GROUP BY site""")
+def manifest_provenance(spark, d):
+    split = t.split_records(spark, d).select("participant", "split").distinct()
+    rows = t.records(spark, d).select("site", "participant", "case_id").join(split, "participant", "left").select("site", "participant", "case_id", "split")
+    out = audits.manifest_provenance(rows, ["site"], "split", "participant", "case_id")
+    return out.withColumn("split_counts", F.array_join(F.transform(F.map_entries("split_counts"), lambda e: F.concat_ws(":", e.key, e.value)), ","))
+
+
+STEPS = 128
+
+
+@query("n19_distributions", f"""WITH i AS (SELECT l_suppkey AS case_id, l_linestatus AS modality, l_returnflag AS cohort, l_extendedprice AS v FROM lineitem),
+rc AS (SELECT case_id, unnest(range({STEPS + 1})) AS i, unnest(quantile_cont(v, [{', '.join(str(j / STEPS) for j in range(STEPS + 1))}])) AS q FROM i WHERE cohort = 'R' GROUP BY case_id), target AS (SELECT i, avg(q) AS q FROM rc GROUP BY i),
+b AS (SELECT modality, 'before' AS version, v FROM i UNION ALL SELECT modality, 'after', v * 0.75 + 1000 FROM i),
+g AS (SELECT modality, version, t.i, t.q, count(*) FILTER (WHERE v <= t.q) / count(*) AS f FROM b CROSS JOIN target t GROUP BY ALL), e AS (SELECT *, abs(f - i / {STEPS}) AS e FROM g),
+a AS (SELECT *, (e + lag(e) OVER w) / 2 * (q - lag(q) OVER w) AS area FROM e WINDOW w AS (PARTITION BY modality, version ORDER BY i)),
+ds AS (SELECT modality, version, max(e) AS err, sum(area) / (max(q) FILTER (WHERE i = {3 * STEPS // 4}) - max(q) FILTER (WHERE i = {STEPS // 4})) AS w FROM a GROUP BY ALL)
+SELECT modality, version, count(*) AS n, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std, round(median(v), 5) AS median, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 5) AS iqr, round(quantile_cont(v, 0.95), 5) AS p95, round(quantile_cont(v, 0.99), 5) AS p99,
+ round(any_value(err), 8) AS cdf_max_error, round(any_value(w), 7) AS wasserstein_over_iqr FROM b JOIN ds USING (modality, version) GROUP BY modality, version""")
+def read_back_distributions(spark, d):
+    before = t.intensities(spark, d)
+    curve = normalize.reference_curve(before.where("cohort = 'R'"), ["case_id"], [], "v", STEPS)
+    target = staged(curve.withColumn("modality", F.explode(F.array(F.lit("F"), F.lit("O")))))
+    out = audits.read_back_distributions(before, before.withColumn("v", F.col("v") * 0.75 + 1000), ["modality"], "v", target, STEPS)
+    return out.withColumns({c: F.round(c, 5) for c in ("mean", "std", "median", "iqr", "p95", "p99")}).withColumns({"cdf_max_error": F.round("cdf_max_error", 8), "wasserstein_over_iqr": F.round("wasserstein_over_iqr", 7)})
+
+
 @query("n5_frozen_counts", f"""WITH {S.SPLITS}, a AS (SELECT split, label, count(*) AS actual FROM records JOIN split_map USING (participant) GROUP BY ALL),
 e AS (SELECT split, label, CASE WHEN split = 'val' THEN actual + 1 ELSE actual END AS expected FROM a WHERE NOT (split = 'test' AND label = 1))
 SELECT a.split, a.label, actual, expected, coalesce(actual = expected, false) AS ok FROM a LEFT JOIN e ON a.split = e.split AND a.label = e.label""")

@@ -149,14 +149,25 @@ def case_balanced(spark, d):
     return summaries.two_level_mean(t.intensities(spark, d), ["case_id"], ["cohort", "modality"], ["v", "q"]).select("cohort", "modality", "cases", *r(6, "v", "q"))
 
 
-@query("d14_foreground_statistics", f"""WITH {VALUES} SELECT case_id, {rsql(9, ('positive', 'avg(CAST(d > 0 AS INTEGER))'), ('above_002', 'avg(CAST(d > 0.02 AS INTEGER))'), ('positive_mean', 'avg(d) FILTER (WHERE d > 0)'),
- ('p10', 'quantile_cont(d, 0.1) FILTER (WHERE d > 0)'), ('p50', 'quantile_cont(d, 0.5) FILTER (WHERE d > 0)'), ('p99', 'quantile_cont(d, 0.99) FILTER (WHERE d > 0)'))} FROM i GROUP BY case_id""")
+SCALED = f"""{VALUES}, sc AS (SELECT case_id, modality, d * q / 2 AS x, CAST(q AS INTEGER) * 3 AS z FROM i)"""
+
+
+def scaled_values(spark, d):
+    """Values around 1 with a depth from 3 to 150."""
+    return t.intensities(spark, d).select("case_id", "modality", (F.col("d") * F.col("q") / 2).alias("x"), (F.col("q").cast("int") * 3).alias("z"))
+
+
+@query("d14_foreground_statistics", f"""WITH {SCALED} SELECT case_id, {rsql(9, ('positive', 'avg(CAST(x > 0 AS INTEGER))'), ('above_002', 'avg(CAST(x > 0.02 AS INTEGER))'), ('above_one', 'avg(CAST(x > 1 AS INTEGER))'), ('positive_mean', 'avg(x) FILTER (WHERE x > 0)'),
+ *[(n, f'quantile_cont(x, {p}) FILTER (WHERE x > 0)') for n, p in (('p10', 0.1), ('p50', 0.5), ('p90', 0.9), ('p99', 0.99))])} FROM sc GROUP BY case_id""")
 def foreground_statistics(spark, d):
-    df = t.intensities(spark, d)
-    fg = F.col("d") > 0
-    base = df.groupBy("case_id").agg(F.avg(fg.cast("int")).alias("positive"), F.avg((F.col("d") > 0.02).cast("int")).alias("above_002"), F.avg(F.when(fg, F.col("d"))).alias("positive_mean"))
-    q = scale.exact_quantiles(df.where(fg), ["case_id"], "d", {"p10": .1, "p50": .5, "p99": .99})
-    return base.join(q, "case_id", "left").select("case_id", *r(9, "positive", "above_002", "positive_mean", "p10", "p50", "p99"))
+    out = summaries.foreground_statistics(scaled_values(spark, d), ["case_id"], "x")
+    return out.select("case_id", *r(9, "positive", "above_002", "above_one", "positive_mean", "p10", "p50", "p90", "p99"))
+
+
+@query("d14_depth_histogram", f"""WITH {SCALED} SELECT case_id, modality, count(*) AS n, round(avg(CAST(z >= 50 AND z < 100 AS INTEGER)), 9) AS inner_share, [{', '.join(f'count(*) FILTER (WHERE z = {z})' for z in range(155))}] AS histogram FROM sc GROUP BY ALL""")
+def depth_histogram(spark, d):
+    out = summaries.depth_histogram(scaled_values(spark, d), ["case_id", "modality"], "z")
+    return out.withColumn("inner_share", F.round("inner_share", 9))
 
 
 @query("d15_tissue_inclusion", f"""WITH {VALUES}, m AS (SELECT case_id, modality, avg(v) AS full_mean, avg(v) FILTER (WHERE d > 0) AS fg_mean FROM i GROUP BY ALL)
@@ -290,16 +301,47 @@ def matched_levels(spark, d):
     return out.select("case_id", *r(8, "positive_mean", "mean_above_002", "positive_fraction", "p99_ratio"))
 
 
-@query("d26_variant_comparison", f"""WITH {VARIANTS}, c AS (SELECT case_id, avg(abs(b - a)) AS mae, sqrt(avg((b - a) * (b - a))) AS rmse, corr(a, b) AS r, quantile_cont(abs(b - a), 0.95) AS p95 FROM va GROUP BY case_id)
-SELECT case_id, {rsql(8, ('mae', 'mae'), ('rmse', 'rmse'), ('correlation', 'r'), ('p95', 'p95'))}, case_id = (SELECT arg_max(case_id, mae) FROM c) AS worst FROM c""")
+LEVELS = (30, 45, 60, 75, 90, 105, 120)
+PER_LEVEL = 12
+
+
+@query("d25_level_sample", f"""WITH lv AS (SELECT l_linestatus AS modality, CAST(l_quantity AS INTEGER) * 3 AS z, l_discount AS d, row_number() OVER (PARTITION BY l_linestatus, CAST(l_quantity AS INTEGER) ORDER BY md5('25|' || l_orderkey || '-' || l_linenumber), l_orderkey || '-' || l_linenumber) AS k FROM lineitem)
+SELECT modality, z, count(*) AS n, {rsql(9, ('positive_mean', 'avg(d) FILTER (WHERE d > 0)'), ('mean_above_002', 'avg(d) FILTER (WHERE d > 0.02)'), ('positive_fraction', 'avg(CAST(d > 0 AS INTEGER))'))} FROM lv WHERE k <= {PER_LEVEL} AND z IN {LEVELS} GROUP BY modality, z""")
+def level_sample(spark, d):
+    rows = t.table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_linestatus").alias("modality"), (F.col("l_quantity").cast("int") * 3).alias("z"), F.col("l_discount").alias("d"))
+    chosen = summaries.level_sample(rows, ["modality"], "z", LEVELS, PER_LEVEL, "id", 25)
+    v = F.col("d")
+    out = chosen.groupBy("modality", "z").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(v > 0, v)).alias("positive_mean"), F.avg(F.when(v > 0.02, v)).alias("mean_above_002"), F.avg((v > 0).cast("int")).alias("positive_fraction"))
+    return out.select("modality", "z", "n", *r(9, "positive_mean", "mean_above_002", "positive_fraction"))
+
+
+@query("d25_ratio_summary", f"""WITH {VALUES}, c AS (SELECT case_id, modality, quantile_cont(v, 0.99) / quantile_cont(v, 0.99) FILTER (WHERE cohort <> 'R') AS ratio FROM i GROUP BY ALL)
+SELECT modality, count(ratio) AS cases, {rsql(9, ('median', 'median(ratio)'), ('min', 'min(ratio)'), ('max', 'max(ratio)'))} FROM c GROUP BY modality""")
+def ratio_summary(spark, d):
+    ratios = staged(summaries.quantile_ratio(t.intensities(spark, d), ["case_id", "modality"], "v", F.col("cohort") != "R", 0.99, "ratio"))
+    ends = ratios.groupBy("modality").agg(F.count("ratio").alias("cases"), F.min("ratio").alias("min"), F.max("ratio").alias("max"))
+    return ends.join(scale.exact_quantiles(ratios, ["modality"], "ratio", {"median": 0.5}), "modality", "left").select("modality", "cases", *r(9, "median", "min", "max"))
+
+
+CURVE_STEPS = 100
+CURVE_LIST = f"[{', '.join(str(j / CURVE_STEPS) for j in range(CURVE_STEPS + 1))}]"
+
+
+@query("d26_variant_comparison", f"""WITH {VARIANTS}, c AS (SELECT case_id, avg(abs(b - a)) AS mae, sqrt(avg((b - a) * (b - a))) AS rmse, corr(a, b) AS r, quantile_cont(abs(b - a), 0.95) AS p95 FROM va GROUP BY case_id),
+tg AS (SELECT i, avg(q) AS q FROM (SELECT unnest(range({CURVE_STEPS + 1})) AS i, unnest(quantile_cont(a, {CURVE_LIST})) AS q FROM va WHERE modality = 'F' GROUP BY case_id) GROUP BY i),
+cv AS (SELECT case_id, unnest(range({CURVE_STEPS + 1})) AS i, unnest(quantile_cont(a, {CURVE_LIST})) AS qa, unnest(quantile_cont(b, {CURVE_LIST})) AS qb FROM va GROUP BY case_id),
+er AS (SELECT case_id, avg(abs(qa - q)) AS ea, avg(abs(qb - q)) AS eb FROM cv JOIN tg USING (i) GROUP BY case_id)
+SELECT case_id, {rsql(8, ('mae', 'mae'), ('rmse', 'rmse'), ('correlation', 'r'), ('p95', 'p95'))}, {rsql(6, ('a_curve_error', 'ea'), ('b_curve_error', 'eb'))}, case_id = (SELECT arg_max(case_id, mae) FROM c) AS worst FROM c JOIN er USING (case_id)""")
 def variant_comparison(spark, d):
     df = variants(spark, d)
     base = summaries.paired_difference(df, ["case_id"], "a", "b")
     q = scale.exact_quantiles(df.select("case_id", F.abs(F.col("b") - F.col("a")).alias("g")), ["case_id"], "g", {"p95": .95})
-    rows = staged(base.join(q, "case_id"))
+    target = staged(normalize.reference_curve(df.where("modality = 'F'"), ["case_id"], [], "a", CURVE_STEPS))
+    errors = [summaries.quantile_error(df, ["case_id"], v, target, CURVE_STEPS, f"{v}_curve_error") for v in ("a", "b")]
+    rows = staged(base.join(q, "case_id").join(errors[0], "case_id").join(errors[1], "case_id"))
     worst = rows.agg(F.max_by("case_id", "mae").alias("_w"))
     out = scale.attach_scalar(rows, worst).withColumn("worst", F.col("case_id") == F.col("_w"))
-    return out.select("case_id", *r(8, "mae", "rmse", "correlation", "p95"), "worst")
+    return out.select("case_id", *r(8, "mae", "rmse", "correlation", "p95"), *r(6, "a_curve_error", "b_curve_error"), "worst")
 
 
 @query("d27_grouped_score_summary", f"""WITH {S.RECORDS}, x AS (SELECT source, support >= 0.5 AS gate, {S.probability("'1'")} AS p FROM records), y AS (SELECT *, CASE WHEN p >= 0.5 THEN 'lesion-like' ELSE 'healthy-like' END AS predicted FROM x)
@@ -464,11 +506,16 @@ def train_scale(spark, d):
 
 @query("m14_alignment", f"""WITH {VALUES}, s AS (SELECT case_id, quantile_cont(v, 0.25) AS s1, quantile_cont(v, 0.5) AS s2, quantile_cont(v, 0.75) AS s3 FROM i WHERE modality = 'F' GROUP BY case_id),
 g AS (SELECT case_id, quantile_cont(v, 0.25) AS t1, quantile_cont(v, 0.5) AS t2, quantile_cont(v, 0.75) AS t3 FROM i WHERE modality = 'O' GROUP BY case_id),
-o AS (SELECT case_id, v + t2 - s2 AS a, (v - s2) * CASE WHEN s3 - s1 <= 1e-8 THEN 1 ELSE (t3 - t1) / (s3 - s1) END + s2 AS b, (v - s2) * CASE WHEN s3 - s1 <= 1e-8 THEN 1 ELSE (t3 - t1) / (s3 - s1) END + t2 AS c FROM i JOIN s USING (case_id) JOIN g USING (case_id) WHERE modality = 'F')
+o AS (SELECT case_id, v + t2 - s2 AS a, (v - s2) * CASE WHEN s3 - s1 <= 1e-8 THEN 1 ELSE (t3 - t1) / (s3 - s1) END + s2 AS b, (v - s2) * CASE WHEN s3 - s1 <= 1e-8 THEN 1 ELSE (t3 - t1) / (s3 - s1) END + t2 AS c FROM i JOIN s USING (case_id) JOIN g USING (case_id) WHERE modality = 'F'),
+pt AS (SELECT case_id, x, avg(y) AS y FROM (SELECT case_id, unnest(quantile_cont(v, {CURVE_LIST}) FILTER (WHERE modality = 'F')) AS x, unnest(quantile_cont(v, {CURVE_LIST}) FILTER (WHERE modality = 'O')) AS y FROM i GROUP BY case_id) GROUP BY case_id, x),
+br AS (SELECT case_id, v, n, max(x) FILTER (WHERE x <= v) AS x0, arg_max(y, x) FILTER (WHERE x <= v) AS y0, min(x) FILTER (WHERE x >= v) AS x1, arg_min(y, x) FILTER (WHERE x >= v) AS y1
+ FROM (SELECT case_id, v, count(*) AS n FROM i WHERE modality = 'F' GROUP BY ALL) JOIN pt USING (case_id) GROUP BY ALL),
+mq AS (SELECT case_id, n, CASE WHEN x0 = x1 THEN y0 ELSE y0 + (y1 - y0) * (v - x0) / (x1 - x0) END AS o FROM br)
+SELECT case_id, 'quantile' AS method, round(ln(sum(n * o) / sum(n)), 9) AS log_mean, round(ln(max(o)), 9) AS log_hi FROM mq GROUP BY case_id UNION ALL
 SELECT case_id, 'median' AS method, round(ln(avg(a)), 9) AS log_mean, round(ln(max(a)), 9) AS log_hi FROM o GROUP BY case_id UNION ALL SELECT case_id, 'iqr', round(ln(avg(b)), 9), round(ln(max(b)), 9) FROM o GROUP BY case_id UNION ALL SELECT case_id, 'median_iqr', round(ln(avg(c)), 9), round(ln(max(c)), 9) FROM o GROUP BY case_id""")
 def alignment(spark, d):
     df = t.intensities(spark, d)
     source, target = df.where("modality = 'F'"), df.where("modality = 'O'")
-    methods = ["median", "iqr", "median_iqr"]
+    methods = ["median", "iqr", "median_iqr", "quantile"]
     long = normalize.align(source, target, ["case_id"], "v", methods).select("case_id", *methods).unpivot("case_id", methods, "method", "o")
     return long.groupBy("case_id", "method").agg(F.round(F.log(F.avg("o")), 9).alias("log_mean"), F.round(F.log(F.max("o")), 9).alias("log_hi"))

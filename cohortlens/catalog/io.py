@@ -112,18 +112,79 @@ def metric_csv(spark, d):
     return read.select(*[F.col(c).cast("double").alias(c) for c in ("thr", "value", "dice", "sensitivity", "precision")])
 
 
-@query("s10_metric_reader", f"WITH {SWEEP5} SELECT 'raw' AS run, arg_max(thr, (dice, -thr)) AS bestthr, max(dice) AS bestdice, arg_max(sensitivity, (dice, -thr)) AS bestsen, arg_max(precision, (dice, -thr)) AS bestpre, 'otsu' AS adaptive_method FROM sw")
+# Metric files as four writers leave them: a sweep with named rows, names and values, one wide table, a sweep from the top.
+WRITERS = {"run1": "five", "run2": "five", "run3": "pair", "run4": "pair", "run5": "wide", "run6": "wide", "run7": "own"}
+RUN_METRICS = {"ap": "avg(l_discount) * 3", "m": "avg(l_tax) * 5", "mt": "max(l_discount) * 2", "ms": "avg(l_quantity) / 100", "mp": "avg(l_quantity) / 90"}
+SWEEP_METRICS = {"dice": "round(avg(l_discount), 3)", "s": "round(avg(l_tax), 9)", "p": "round(avg(l_extendedprice) / 100000, 9)"}
+
+
+def metric_files(spark, d):
+    """One metric file per line number, written by its own rules; returns the folder."""
+    items = t.table(spark, d, "lineitem").withColumn("run", F.concat(F.lit("run"), "l_linenumber"))
+    metrics = items.groupBy("run").agg(*[F.round(F.expr(e), 9).cast("string").alias(n) for n, e in RUN_METRICS.items()])
+    cells = F.concat_ws(",", *[F.col(c).cast("string") for c in ("s", "p")])
+    at = items.groupBy("run", (F.col("l_quantity") / 100).alias("thr")).agg(*[F.expr(e).alias(n) for n, e in SWEEP_METRICS.items()])
+    # At most 50 thresholds a run.
+    sweeps = at.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("thr", F.col("dice").cast("string").alias("dice"), cells.alias("cells")))).alias("sweep"))
+
+    def lines(*parts):
+        return [F.array(*[F.concat(*[F.col(x) if x in RUN_METRICS else F.lit(x) for x in line]) for line in parts])]
+
+    five = [F.array(F.lit("\ufeffthr,value,dice,sensitivity,precision")), F.transform("sweep", lambda x: F.concat(x.thr.cast("string"), F.lit(",,"), x.dice, F.lit(","), x.cells)),
+            *lines(["AUPRC,", "ap", ",,,"], ["ap,0.5,,,"], ["Otsu,", "m", ",,,"], ["otsu threshold,", "mt", ",,,"], ["otsuSen,", "ms", ",,,"], ["otsu_pre,", "mp", ",,,"])]
+    pair = lines(["Metric,Value"], ["Average Precision,", "ap"], ["best dice,", "m"], [""], ["best threshold,", "mt"], ['"Yun",', "m"], ["Yun Threshold,", "mt"], ["Yen Sensitivity,", "ms"], ["yunpre,", "mp"], ["Yen,none"])
+    wide = lines(["case,AP,Max Dice,Dice Otsu,Sen,note"], ["all,,", "m", ",", "mp", ",", "ms", ',"a, ""b""\n"'], ["rest,", "ap", ",0.9,0.9,,x"])
+    own = [F.array(F.lit("threshold,score,sen,pre")), F.transform(F.reverse("sweep"), lambda x: F.concat(x.thr.cast("string"), F.lit(","), x.dice, F.lit(","), x.cells)),
+           *lines(["learned_threshold,", "m", ",,"], ["learned_threshold thr,", "mt", ",,"], ["learned_thresholdsen,", "ms", ",,"])]
+    body = F.lit(None).cast("array<string>")
+    for kind, parts in {"five": five, "pair": pair, "wide": wide, "own": own}.items():
+        body = F.when(F.col("run").isin(*[r for r, k in WRITERS.items() if k == kind]), F.concat(*parts)).otherwise(body)
+    root = writers.scratch(spark, "metric-files")
+    metrics.join(sweeps, "run").select("run", F.concat_ws("\n", body).alias("value")).write.partitionBy("run").text(root)
+    return root
+
+
+def _summary_sql() -> str:
+    x = {c: {} for c in metrics_csv.COLUMNS}
+    best = {"bestdice": "d", "bestthr": "t", "bestsen": "s", "bestpre": "p"}
+    named = {"dice": "m", "thr": "mt", "sen": "ms", "pre": "mp"}
+    x["AUPRC"] = {"five": "ap", "pair": "ap", "wide": "ap"}
+    for c, v in best.items():
+        x[c] = {"five": f"b.{v}", "own": f"o.{v}"}
+    x["bestdice"] |= {"pair": "m", "wide": "m"}
+    x["bestthr"] |= {"pair": "mt"}
+    x["bestsen"] |= {"wide": "ms"}
+    for part, v in named.items():
+        x[f"otsu{part}"], x[f"yen{part}"] = {"five": v}, {"pair": v}
+    x["otsudice"]["wide"] = "mp"
+    for c, part in (("adaptive_dice", "dice"), ("adaptive_threshold", "thr"), ("adaptive_sensitivity", "sen"), ("adaptive_precision", "pre")):
+        x[c] = {"five": named[part], "pair": named[part], "own": named[part] if part != "pre" else "NULL"}
+    x["adaptive_dice"]["wide"] = "mp"
+    x["adaptive_method"] = {"five": "'otsu'", "pair": "'yen'", "wide": "'otsu'", "own": "'learned_threshold'"}
+    columns = ", ".join(f"CASE kind {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in of.items())} END AS \"{c}\"" for c, of in x.items())
+    kinds = ", ".join(f"('{r}', '{k}')" for r, k in WRITERS.items())
+    return f"""kinds(run, kind) AS (VALUES {kinds}),
+mt AS (SELECT 'run' || l_linenumber AS run, {', '.join(f'round({e}, 9) AS {n}' for n, e in RUN_METRICS.items())} FROM lineitem GROUP BY 1),
+sw AS (SELECT 'run' || l_linenumber AS run, l_quantity / 100 AS thr, {', '.join(f'{e} AS {n}' for n, e in SWEEP_METRICS.items())} FROM lineitem GROUP BY 1, 2),
+low AS (SELECT run, max(dice) AS d, arg_max(thr, (dice, -thr)) AS t, arg_max(s, (dice, -thr)) AS s, arg_max(p, (dice, -thr)) AS p FROM sw GROUP BY run),
+top AS (SELECT run, max(dice) AS d, arg_max(thr, (dice, thr)) AS t, arg_max(s, (dice, thr)) AS s, arg_max(p, (dice, thr)) AS p FROM sw GROUP BY run),
+summary AS (SELECT run, {columns} FROM kinds JOIN mt USING (run) JOIN low b USING (run) JOIN top o USING (run))"""
+
+
+@query("s10_metric_reader", f"WITH {_summary_sql()} SELECT * FROM summary")
 def metric_reader(spark, d):
-    path = writers.write_csv(writers.metric_rows(metric_table(spark, d)), writers.scratch(spark, "metrics"))
-    rows = manifests.read_csv(spark, path).withColumnRenamed("thr", "key").withColumn("run", F.lit("raw"))
-    return metrics_csv.summarize(rows, ["run"]).select("run", "bestthr", "bestdice", "bestsen", "bestpre", "adaptive_method")
+    return metrics_csv.summarize(metrics_csv.read_metric_files(spark, metric_files(spark, d)), ["run"])
 
 
-@query("s11_two_version_summary", """WITH m AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'raw' ELSE 'median_filter' END AS branch, avg(l_discount) AS a, max(l_tax) AS b FROM lineitem GROUP BY 1) SELECT branch, round(a, 9) AS "AUPRC", b AS bestdice FROM m""")
+# Tables of a study by version: (study, branch, run). One version was never written, one is missing.
+VERSIONS = [("a", "raw", "run1"), ("a", "median_filter", "run7"), ("b", "raw", "run3"), ("b", "median_filter", "run6"), ("c", "raw", "run2"), ("c", "median_filter", None), ("d", "raw", "run4"), ("d", "median_filter", "run9")]
+
+
+@query("s11_two_version_summary", f"""WITH {_summary_sql()}, v(study, branch, run) AS (VALUES {', '.join(f"('{s}', '{b}', {'NULL' if r is None else repr(r)})" for s, b, r in VERSIONS)})
+SELECT v.study, v.branch, v.run, summary.* EXCLUDE (run), CASE WHEN v.run IS NULL THEN 'metrics table not available' WHEN summary.run IS NULL THEN 'metrics table not found: ' || v.run END AS warning FROM v LEFT JOIN summary USING (run)""")
 def two_versions(spark, d):
-    per = t.table(spark, d, "lineitem").groupBy(F.when(F.col("l_linestatus") == "F", "raw").otherwise("median_filter").alias("branch")).agg(F.round(F.avg("l_discount"), 9).alias("AUPRC"), F.max("l_tax").alias("bestdice"))
-    long = per.unpivot("branch", ["AUPRC", "bestdice"], "metric", "value")
-    return metrics_csv.two_versions(long).select("branch", "AUPRC", "bestdice")
+    summary = metrics_csv.summarize(metrics_csv.read_metric_files(spark, metric_files(spark, d)), ["run"])
+    return metrics_csv.two_versions(spark.createDataFrame(VERSIONS, "study string, branch string, run string"), summary, "run")
 
 
 @query("s12_staged_publication", "SELECT label AS channel, count(*) AS n FROM embeddings GROUP BY 1")

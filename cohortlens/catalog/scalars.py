@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortlens.catalog import query
 from cohortlens.catalog import sqltext as S
 from cohortlens.functions import digests, scalars
+from cohortlens.operators import configs
 from cohortlens.operators.scale import attach_scalar
 from cohortlens.plans import tables as t
 
@@ -180,18 +181,22 @@ def json_safe(spark, d):
     return t.table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), safe.alias("v"))).alias("payload"))
 
 
-@query("g10_config_difference", """WITH a AS (SELECT event_type AS run, 'k' AS field, CAST(min(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS VARCHAR) AS v FROM events GROUP BY 1),
-b AS (SELECT event_type AS run, 'k' AS field, CAST(max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS VARCHAR) AS v FROM events GROUP BY 1) SELECT run, field, a.v AS a, b.v AS b FROM a JOIN b USING (run, field) WHERE a.v IS DISTINCT FROM b.v""")
+@query("g10_config_difference", """WITH p AS (SELECT event_type AS run, min(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS lo, max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS hi, count(*) AS n FROM events GROUP BY 1),
+f AS (SELECT run, unnest([{'field': 'k', 'a': CAST(lo AS VARCHAR), 'b': CAST(hi AS VARCHAR)}, {'field': 'model.size', 'a': CAST(n AS VARCHAR), 'b': CAST(n AS VARCHAR)}, {'field': 'model.deep.parity', 'a': CAST(lo % 2 AS VARCHAR), 'b': CAST(n % 2 AS VARCHAR)},
+ {'field': 'model.deep.list', 'a': '[' || lo || ',1]', 'b': '[' || hi || ',1]'}, {'field': 'model.name', 'a': '"{' || run || '"', 'b': '"{' || run || '"'}, {'field': 'only_a', 'a': 'true', 'b': NULL}, {'field': 'model.deep.b.c', 'a': NULL, 'b': CAST(n AS VARCHAR)}]) AS x FROM p)
+SELECT run, x.field AS field, x.a AS a, x.b AS b FROM f WHERE x.a IS DISTINCT FROM x.b""")
 def config_difference(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
-    per = t.table(spark, d, "events").groupBy(F.col("event_type").alias("run")).agg(F.min(k).alias("lo"), F.max(k).alias("hi"))
+    per = t.table(spark, d, "events").groupBy(F.col("event_type").alias("run")).agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.count(F.lit(1)).alias("n"))
+    name = F.concat(F.lit("{"), "run").alias("name")
 
-    def flat(name):
-        doc = F.from_json(F.to_json(F.struct(F.col(name).alias("k"))), "map<string,string>")
-        return per.select("run", F.explode(doc).alias("field", "v"))
+    def document(edge, parity, extra, inner):
+        deep = F.struct((F.col(parity) % 2).alias("parity"), F.array(F.col(edge), F.lit(1)).alias("list"), *inner)
+        return per.select("run", F.to_json(F.struct(F.col(edge).alias("k"), F.struct(F.col("n").alias("size"), deep.alias("deep"), name).alias("model"), *extra)).alias("config"))
 
-    a, b = flat("lo").withColumnRenamed("v", "a"), flat("hi").withColumnRenamed("v", "b")
-    return a.join(b, ["run", "field"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+    a = document("lo", "lo", [F.lit(True).alias("only_a")], [])
+    b = document("hi", "n", [], [F.struct(F.col("n").alias("c")).alias("b")])
+    return configs.config_difference(a, b, ["run"], "config")
 
 
 @query("g11_shape_text", "SELECT p_partkey, [p_size, p_size + 1, 155]::INTEGER[] AS shape FROM part")

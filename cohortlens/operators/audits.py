@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalars
+from cohortlens.operators import normalize
 from cohortlens.operators.scale import attach, banded, exact_quantiles, ordinals, running, staged
 from cohortlens.operators.sets import duplicates, tagged, union
 
@@ -86,6 +87,33 @@ def expectations(actual: DataFrame, expected: DataFrame, keys: Sequence[str], va
     return both.withColumn("ok", F.col("actual").eqNullSafe(F.col("expected")))
 
 
+def pair_summaries(records: DataFrame) -> DataFrame:
+    """One row per pair of an audited table: its split (null if it has several), records, slices per domain, depth bins with
+    their slices, participants. A pair has at most cap × bins rows per label, so its map and list are bounded."""
+    per_bin = records.groupBy("pair_id", "z_bin").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 0).alias("n0"), F.collect_set("participant").alias("people"), F.min("split").alias("s0"), F.max("split").alias("s1"))
+    return per_bin.groupBy("pair_id").agg(
+        F.when(F.min("s0") == F.max("s1"), F.min("s0")).alias("split"), F.sum("n").alias("records"), F.sum("n0").alias("slices_per_domain"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("n0") > 0, F.struct("z_bin", "n0"))))).alias("z_histogram"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("people")))).alias("participants"),
+    )
+
+
+def distinct_values(df: DataFrame, map_col: str, pattern: str) -> DataFrame:
+    """(field, values, references): distinct values of the map entries whose key matches, counted in two steps."""
+    return provenance(df, map_col, pattern).groupBy("field").agg(F.count(F.lit(1)).alias("values"), F.sum("references").alias("references"))
+
+
+def manifest_provenance(df: DataFrame, keys: Sequence[str], split: str, subject: str, session: str) -> DataFrame:
+    """Rows, columns, rows per split, distinct subjects and sessions of a manifest. Distinct counts are made in two steps, so
+    that the values of a hot key are spread. Rows without a split count under the empty name."""
+    per = df.groupBy(*keys, subject, session, F.coalesce(split, F.lit("")).alias("_split")).agg(F.count(F.lit(1)).alias("_n"))
+    people = per.groupBy(*keys, subject, session).agg(F.sum("_n").alias("_n")).groupBy(*keys, subject).agg(F.sum("_n").alias("_n"), F.count(session).alias("_c"))
+    whole = people.groupBy(*keys).agg(F.sum("_n").alias("rows"), F.count(subject).alias("subjects"), F.sum("_c").alias("sessions"))
+    splits = per.groupBy(*keys, "_split").agg(F.sum("_n").alias("_n")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_split", "_n")))).alias("split_counts"))
+    columns = F.array(*[F.lit(c) for c in df.columns]).alias("columns")
+    return whole.join(splits, list(keys)).select(*keys, "rows", columns, "split_counts", "subjects", "sessions")
+
+
 def provenance(df: DataFrame, map_col: str, pattern: str) -> DataFrame:
     """(field, value, references) over the entries of a map column whose key matches."""
     entries = df.select(F.explode(map_col).alias("field", "value")).where(F.col("field").rlike(pattern))
@@ -238,6 +266,19 @@ def read_back(before: DataFrame, after: DataFrame, keys: Sequence[str], group: s
     )
 
 
+def read_back_distributions(before: DataFrame, after: DataFrame, group: Sequence[str], value: str, target: DataFrame, intervals: int) -> DataFrame:
+    """Moments and quantiles of the positive values before and after, and their distance from the reference curve (group, i, q)."""
+    group = list(group)
+    both = before.select(*group, F.lit("before").alias("version"), value).unionByName(after.select(*group, F.lit("after").alias("version"), value)).where(F.col(value) > 0)
+    keys = [*group, "version"]
+    moments = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    q = exact_quantiles(both, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99})
+    grids = target.withColumn("version", F.explode(F.array(F.lit("before"), F.lit("after"))))
+    distance = normalize.distribution_distance(both, keys, value, grids, intervals)
+    out = moments.join(q, keys).join(distance, keys)
+    return out.select(*keys, "n", "mean", "std", "median", (F.col("q3") - F.col("q1")).alias("iqr"), "p95", "p99", "cdf_max_error", "wasserstein_over_iqr")
+
+
 def roster_equality(a: DataFrame, b: DataFrame, index: str, subject: str) -> DataFrame:
     """Positions where two runs list different subjects."""
     both = a.select(index, F.col(subject).alias("a")).join(b.select(index, F.col(subject).alias("b")), index, "full_outer")

@@ -98,9 +98,13 @@ def quantile_map(df: DataFrame, keys: Sequence[str], value: str, target: DataFra
     ⌊s·K/(N−1)⌋ and the next one, so the bracket is an equi-join on (key, landmark index). That splits a hot key into K
     parts and needs no range join.
     """
+    return monotone_map(df.withColumn(value, positive_or_fail(value)), keys, value, target, target_keys, intervals)
+
+
+def monotone_map(df: DataFrame, keys: Sequence[str], value: str, target: DataFrame, target_keys: Sequence[str] = (), intervals: int = 4096) -> DataFrame:
+    """``quantile_map`` for values of any sign; null values have no row."""
     v = F.col(value)
-    checked = df.withColumn(value, positive_or_fail(value))
-    ranked = staged(quantile_positions(checked, keys, value))
+    ranked = staged(quantile_positions(df, keys, value))
     own = grid_of_ranks(ranked, keys, value, intervals).withColumnRenamed("q", "x")
     paired = own.join(target.withColumnRenamed("q", "_y"), [*target_keys, "i"])
     knots = staged(paired.select(*keys, "i", "x", F.avg("_y").over(Window.partitionBy(*keys, "x")).alias("y")))
@@ -167,13 +171,17 @@ def train_scale(df: DataFrame, value: str, split: str = "split", p: float = 0.99
     return exact_quantiles(sizes, [], "_a", {"q": p}).select(F.greatest("q", F.lit(floor)).alias("scale"))
 
 
-def align(source: DataFrame, target: DataFrame, keys: Sequence[str], value: str, methods: Sequence[str], eps: float = 1e-8) -> DataFrame:
-    """Shift / scale the source's values onto the target's median and interquartile range per key: one column per
-    method (median, iqr, median_iqr), all from one set of quantiles. A degenerate range keeps its scale."""
+def align(source: DataFrame, target: DataFrame, keys: Sequence[str], value: str, methods: Sequence[str], eps: float = 1e-8, intervals: int = 100) -> DataFrame:
+    """The source's values moved onto the target's distribution per key, one column per method: shift of the median, scale
+    of the interquartile range, both (median, iqr, median_iqr), or ``quantile``, the monotone map of ``intervals`` + 1 quantiles, in which
+    tied source quantiles take the mean of their targets. A degenerate range keeps its scale. A key without target values has nulls."""
     levels = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
     own = exact_quantiles(source, keys, value, {f"_s{n}": p for n, p in levels.items()})
     other = exact_quantiles(target, keys, value, {f"_t{n}": p for n, p in levels.items()})
-    ready = attach(source, own.join(other, list(keys)), keys)
+    ready = attach(source, own.join(other, list(keys), "left"), keys, "left")
+    if "quantile" in methods:
+        mapping = monotone_map(source, keys, value, exact_quantile_grid(target, keys, value, intervals), keys, intervals)
+        ready = attach(ready, mapping.select(*keys, value, F.col("mapped").alias("_mapped")), [*keys, value], "left")
     width = F.col("_sq3") - F.col("_sq1")
     scale = F.when(width <= eps, 1.0).otherwise((F.col("_tq3") - F.col("_tq1")) / width)
     v = F.col(value)
@@ -181,6 +189,7 @@ def align(source: DataFrame, target: DataFrame, keys: Sequence[str], value: str,
         "median": v + F.col("_tq2") - F.col("_sq2"),
         "iqr": (v - F.col("_sq2")) * scale + F.col("_sq2"),
         "median_iqr": (v - F.col("_sq2")) * scale + F.col("_tq2"),
+        "quantile": F.col("_mapped"),
     }
     unknown = [m for m in methods if m not in moved]
     if unknown:

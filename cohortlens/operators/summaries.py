@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalars
-from cohortlens.operators.scale import attach, attach_scalar, exact_quantiles, join_rows, quantile_positions
+from cohortlens.functions import draws
+from cohortlens.operators.scale import attach, attach_scalar, exact_quantile_grid, exact_quantiles, join_rows, quantile_positions
 
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
@@ -240,6 +241,44 @@ def paired_difference(joined: DataFrame, keys: Sequence[str], a: str, b: str) ->
     )
 
 
+def quantile_error(df: DataFrame, keys: Sequence[str], value: str, target: DataFrame, intervals: int, out: str) -> DataFrame:
+    """Mean distance of a key's quantiles at i / intervals from the reference curve (i, q)."""
+    grid = exact_quantile_grid(df, keys, value, intervals).join(target.select("i", F.col("q").alias("_target")), "i")
+    return grid.groupBy(*keys).agg(F.avg(F.abs(F.col("q") - F.col("_target"))).alias(out))
+
+
+def foreground_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Shares of values above 0, 0.02 and 1; mean and percentiles of the positive ones (null without any)."""
+    v = F.col(value)
+    base = df.groupBy(*keys).agg(
+        *[F.avg((v > limit).cast("int")).alias(n) for n, limit in (("positive", 0), ("above_002", 0.02), ("above_one", 1))], F.avg(F.when(v > 0, v)).alias("positive_mean"))
+    q = exact_quantiles(df.where(v > 0), keys, value, {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return base.join(q, list(keys), "left")
+
+
+def depth_histogram(df: DataFrame, keys: Sequence[str], depth: str, slices: int = 155, inner: tuple[int, int] = (50, 100)) -> DataFrame:
+    """Rows per depth 0 … slices − 1 as one array, and the share of rows in [inner). A depth outside stops the job."""
+    z = scalars.fail_unless((F.col(depth) >= 0) & (F.col(depth) < slices), F.col(depth), f"depth outside 0 to {slices - 1}")
+    per = df.groupBy(*keys, z.cast("int").alias("_z")).agg(F.count(F.lit(1)).alias("_n"))
+    inside = (F.col("_z") >= inner[0]) & (F.col("_z") < inner[1])
+    out = per.groupBy(*keys).agg(F.sum("_n").alias("n"), F.coalesce(F.sum(F.when(inside, F.col("_n"))), F.lit(0)).alias("_in"), F.map_from_entries(F.collect_list(F.struct("_z", "_n"))).alias("_h"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda i: F.coalesce(F.try_element_at("_h", i), F.lit(0)))
+    return out.select(*keys, "n", (F.col("_in") / F.col("n")).alias("inner_share"), counts.alias("histogram"))
+
+
+def level_sample(df: DataFrame, keys: Sequence[str], depth: str, levels: Sequence[int], per_level: int, id_col: str, seed: int) -> DataFrame:
+    """``per_level`` rows of every key at each of the depths, without replacement; a level with fewer gives what it has."""
+    at = df.where(F.col(depth).isin(*levels))
+    return draws.permuted(at, id_col, seed, [*keys, depth], "_r").where(F.col("_r") < per_level).drop("_r")
+
+
+def quantile_ratio(df: DataFrame, keys: Sequence[str], value: str, kept: Column, p: float, out: str) -> DataFrame:
+    """Quantile of all values of a key over that of its kept values; null where nothing is kept."""
+    whole = exact_quantiles(df, keys, value, {"_all": p})
+    part = exact_quantiles(df.where(kept), keys, value, {"_part": p})
+    return whole.join(part, list(keys), "left").select(*keys, (F.col("_all") / F.col("_part")).alias(out))
+
+
 def stage_timing(df: DataFrame, stage: str, value: str) -> DataFrame:
     base = df.groupBy(stage).agg(F.count(F.lit(1)).alias("count"), F.avg(value).alias("mean"), F.sum(value).alias("total"))
     medians = exact_quantiles(df, [stage], value, {"median": 0.5})

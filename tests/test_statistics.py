@@ -105,18 +105,31 @@ def test_modified_z_with_flat_field(spark):
     assert got[0] == 0.0 and got[3] == float("inf")
 
 
-def test_metric_reader_golden(spark):
-    cols = "run string, key string, value string, dice string, sensitivity string, precision string"
-    rows = [("a", "0.1", None, "0.8", "0.5", "0.6"), ("a", "0.2", None, "0.9", "0.7", "0.8"), ("a", "AUPRC", "0.81", None, None, None),
-            ("a", "yen", "0.51", None, None, None), ("a", "yenthr", "0.26", None, None, None), ("a", "yensen", "0.61", None, None, None), ("a", "yenpre", "0.71", None, None, None),
-            ("b", "average precision", "0.91", None, None, None), ("b", "learned_threshold", "0.71", None, None, None), ("b", "learned_thresholdthr", "0.21", None, None, None),
-            ("b", "learned_thresholdsen", "0.61", None, None, None), ("b", "learned_thresholdpre", "0.51", None, None, None)]
-    got = {r.run: r for r in metrics_csv.summarize(spark.createDataFrame(rows, cols), ["run"]).collect()}
-    a, b = got["a"], got["b"]
-    assert (a.AUPRC, a.bestdice, a.bestthr, a.adaptive_method) == (0.81, 0.9, 0.2, "yen")
-    assert (a.adaptive_dice, a.adaptive_threshold, a.adaptive_sensitivity, a.adaptive_precision) == (0.51, 0.26, 0.61, 0.71)
-    assert (b.AUPRC, b.adaptive_method, b.adaptive_dice, b.adaptive_threshold) == (0.91, "learned_threshold", 0.71, 0.21)
-    assert (b.adaptive_sensitivity, b.adaptive_precision) == (0.61, 0.51)
+def test_metric_tables_of_every_layout(spark):
+    tables = {
+        "a": "\ufeffthr,value,dice,sensitivity,precision\n0.1,,0.2,0.3,0.4\n0.2,,0.9,0.8,0.7\n0.3,,0.9,0.1,0.1\nyun,0.51,,,\nyunthr,0.26,,,\nyunsen,0.61,,,\nyunpre,0.71,,,\nAUPRC,0.81,,,\nap,0.5,,,\n",
+        "b": "metric,value\r\n\r\nAverage Precision,0.91\r\nbest dice,0.77\r\nbest threshold,0.27\r\nOtsu,0.67\r\nOtsu Threshold,0.37\r\n",
+        "c": "thr,value\n0.1,0.2\nlearned_threshold,0.71\nlearned_thresholdthr,0.21\nlearned_thresholdsen,0.61\nauprc_x,1\nauprc_xthr,1\nother,1\n",
+        "d": 'case,AP,"Max ""Dice""",note\n"x, y",,0.4,"two\nlines"\nz,0.3,0.9,\n',
+        "e": "name,score,threshold\nfirst,0.5,0.25\nsecond,nan,0.5\n", "f": "", "g": "thr,value\n", "h": None,
+    }
+    rows = metrics_csv.metric_rows(spark.createDataFrame(list(tables.items()), "run string, value string"))
+    got = {r.run: r for r in metrics_csv.summarize(rows, ["run"]).collect()}
+    assert set(got) == set("abcde")
+    a, b, c, d, e = (got[k] for k in "abcde")
+    # Of equal Dice the first row counts, of repeated metrics the first.
+    assert (a.AUPRC, a.bestdice, a.bestthr, a.bestsen, a.bestpre, a.adaptive_method) == (0.81, 0.9, 0.2, 0.8, 0.7, "yen")
+    assert (a.adaptive_dice, a.adaptive_threshold, a.adaptive_sensitivity, a.adaptive_precision) == (a.yendice, a.yenthr, a.yensen, a.yenpre) == (0.51, 0.26, 0.61, 0.71)
+    assert (b.AUPRC, b.bestdice, b.bestthr, b.otsudice, b.otsuthr, b.adaptive_method, b.adaptive_precision) == (0.91, 0.77, 0.27, 0.67, 0.37, "otsu", None)
+    assert (c.bestdice, c.bestthr, c.adaptive_method, c.adaptive_dice, c.adaptive_threshold, c.adaptive_sensitivity, c.adaptive_precision) == (0.2, 0.1, "learned_threshold", 0.71, 0.21, 0.61, None)
+    assert (d.AUPRC, d.bestdice, d.bestthr, d.adaptive_method) == (0.3, 0.4, None, None)
+    # A threshold in a column of its own; a value that is no number leaves its row out.
+    assert (e.bestdice, e.bestthr, e.AUPRC) == (0.5, 0.25, None)
+    cells = {r.at: r.cells for r in rows.where("run = 'd'").collect()}
+    assert cells == {0: ["x, y", "", "0.4", "two\nlines"], 1: ["z", "0.3", "0.9", ""]}
+    expected = spark.createDataFrame([("a", "raw"), ("zz", "median_filter"), (None, "raw")], "run string, branch string")
+    told = {r.run: r.warning for r in metrics_csv.two_versions(expected, metrics_csv.summarize(rows, ["run"]), "run").collect()}
+    assert told == {"a": None, "zz": "metrics table not found: zz", None: "metrics table not available"}
 
 
 def test_logistic_equals_newton_solution(spark):
