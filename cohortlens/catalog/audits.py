@@ -97,14 +97,14 @@ b AS (SELECT modality, 'before' AS version, v FROM i UNION ALL SELECT modality,
 g AS (SELECT modality, version, t.i, t.q, count(*) FILTER (WHERE v <= t.q) / count(*) AS f FROM b CROSS JOIN target t GROUP BY ALL), e AS (SELECT *, abs(f - i / {STEPS}) AS e FROM g),
 a AS (SELECT *, (e + lag(e) OVER w) / 2 * (q - lag(q) OVER w) AS area FROM e WINDOW w AS (PARTITION BY modality, version ORDER BY i)),
 ds AS (SELECT modality, version, max(e) AS err, sum(area) / (max(q) FILTER (WHERE i = {3 * STEPS // 4}) - max(q) FILTER (WHERE i = {STEPS // 4})) AS w FROM a GROUP BY ALL)
-SELECT modality, version, count(*) AS n, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std, round(median(v), 5) AS median, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 5) AS iqr, round(quantile_cont(v, 0.95), 5) AS p95, round(quantile_cont(v, 0.99), 5) AS p99,
+SELECT modality, version, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, round(median(v), 3) AS median, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 3) AS iqr, round(quantile_cont(v, 0.95), 3) AS p95, round(quantile_cont(v, 0.99), 3) AS p99,
  round(any_value(err), 8) AS cdf_max_error, round(any_value(w), 7) AS wasserstein_over_iqr FROM b JOIN ds USING (modality, version) GROUP BY modality, version""")
 def read_back_distributions(spark, d):
     before = t.intensities(spark, d)
     curve = normalize.reference_curve(before.where("cohort = 'R'"), ["case_id"], [], "v", STEPS)
     target = staged(curve.withColumn("modality", F.explode(F.array(F.lit("F"), F.lit("O")))))
     out = audits.read_back_distributions(before, before.withColumn("v", F.col("v") * 0.75 + 1000), ["modality"], "v", target, STEPS)
-    return out.withColumns({c: F.round(c, 5) for c in ("mean", "std", "median", "iqr", "p95", "p99")}).withColumns({"cdf_max_error": F.round("cdf_max_error", 8), "wasserstein_over_iqr": F.round("wasserstein_over_iqr", 7)})
+    return out.withColumns({c: F.round(c, 4 if c in ("mean", "std") else 3) for c in ("mean", "std", "median", "iqr", "p95", "p99")}).withColumns({"cdf_max_error": F.round("cdf_max_error", 8), "wasserstein_over_iqr": F.round("wasserstein_over_iqr", 7)})
 
 
 @query("n5_frozen_counts", f"""WITH {S.SPLITS}, a AS (SELECT split, label, count(*) AS actual FROM records JOIN split_map USING (participant) GROUP BY ALL),

@@ -252,6 +252,19 @@ def stage_timing(spark, d):
     return summaries.stage_timing(t.timings(spark, d), "stage", "seconds").select("stage", "count", *r(7, "mean", "total", "median"), "p95")
 
 
+@query("d20_timing_overview", f"""WITH tm AS (SELECT event_type AS run, CASE WHEN event_id % 11 <> 0 THEN user_id END AS subject, value AS seconds, user_id % 5 = 0 AS hit FROM events),
+rw AS (SELECT event_type AS run, count(*) * 150.0::DOUBLE AS wall FROM events GROUP BY 1), pr AS (SELECT run, subject, round(sum(seconds), 6) AS s, bool_or(hit) AS hit FROM tm GROUP BY ALL)
+SELECT run, wall, count(*) FILTER (WHERE subject IS NOT NULL AND NOT hit) AS inferred, count(*) FILTER (WHERE subject IS NOT NULL AND hit) AS cache_hits, {rsql(4, ('stage_seconds', 'sum(s)'), ('shared_seconds', 'coalesce(sum(s) FILTER (WHERE subject IS NULL), 0)'), ('overhead_seconds', 'wall - sum(s)'),
+ ('subject_mean', 'avg(s) FILTER (WHERE subject IS NOT NULL)'), ('subject_median', 'median(s) FILTER (WHERE subject IS NOT NULL)'), ('subject_p95', 'quantile_disc(s, 0.95) FILTER (WHERE subject IS NOT NULL)'))} FROM pr JOIN rw USING (run) GROUP BY run, wall""")
+def timing_overview(spark, d):
+    events = t.table(spark, d, "events")
+    subject = F.when(F.col("event_id") % 11 != 0, F.col("user_id")).alias("subject")
+    timings = events.select(F.col("event_type").alias("run"), subject, F.col("value").alias("seconds"), (F.col("user_id") % 5 == 0).alias("hit"))
+    walls = events.groupBy(F.col("event_type").alias("run")).agg((F.count(F.lit(1)) * 150.0).alias("wall"))
+    out = summaries.timing_overview(timings, walls, ["run"], "subject", "seconds", "hit", "wall")
+    return out.select("run", "wall", "inferred", "cache_hits", *r(4, "stage_seconds", "shared_seconds", "overhead_seconds", "subject_mean", "subject_median", "subject_p95"))
+
+
 CURVE = """cu AS (SELECT o_orderpriority AS run, CAST(date_diff('month', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS epoch, avg(o_totalprice) / 1000 AS train, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') / 1000 AS val FROM orders GROUP BY ALL)"""
 
 

@@ -180,10 +180,15 @@ def tiny_set(df: DataFrame, participant: str, label: str, per_label: int, cap: i
     """``per_label`` participants of each label; their rows in order, at most ``cap`` in all while each keeps one.
 
     Taking row 1 of every participant, then row 2 of every participant and so on, keeps at least one row each. ``cap``
-    is the feature here (a small overfitting set), and the filter on the row number limits the windows map-side.
+    is the feature here (a small overfitting set), and the filter on the row number limits the windows map-side. A cap
+    below the number of chosen participants stops the job, as does a label with fewer participants than wanted.
     """
     people = df.select(participant, label).distinct()
     ranked = draws.permuted(people, participant, seed, [label], "_r").where(F.col("_r") < per_label)
+    # At most per_label rows of each label.
+    found = {r[label]: r["n"] for r in ranked.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(found.values()) > cap or any(n < per_label for n in found.values()):
+        raise ValueError(f"{per_label} participants of each label within {cap} rows: found {found}")
     chosen = attach(df, ranked.select(participant), [participant], "left_semi")
     numbered = chosen.withColumn("_k", F.row_number().over(Window.partitionBy(participant).orderBy(*order)))
     first = numbered.where(F.col("_k") <= cap)

@@ -285,6 +285,26 @@ def stage_timing(df: DataFrame, stage: str, value: str) -> DataFrame:
     return base.join(medians, stage).join(nearest_rank(df, [stage], value, 0.95, "p95"), stage)
 
 
+def timing_overview(timings: DataFrame, runs: DataFrame, run: Sequence[str], subject: str, seconds: str, hit: str, wall: str) -> DataFrame:
+    """One row per run of an evaluation: what its stages, subjects and the rest took.
+
+    ``timings`` is (run, subject, seconds, hit): a row without subject is shared work of the run. ``runs`` is (run, wall).
+    A subject is a cache hit if any of its rows says so; its total is the sum of its stages, and count, mean, median and nearest-rank
+    95th percentile are over these totals. Overhead is wall time outside all stages. A run without timings has zeros and nulls.
+    """
+    run = list(run)
+    per = timings.groupBy(*run, subject).agg(F.sum(seconds).alias("_s"), F.bool_or(hit).alias("_hit"))
+    own, shared = F.col(subject).isNotNull(), F.col(subject).isNull()
+    whole = per.groupBy(*run).agg(
+        F.count_if(own & ~F.coalesce("_hit", F.lit(False))).alias("inferred"), F.count_if(own & F.col("_hit")).alias("cache_hits"),
+        F.sum("_s").alias("stage_seconds"), F.coalesce(F.sum(F.when(shared, F.col("_s"))), F.lit(0.0)).alias("shared_seconds"), F.avg(F.when(own, F.col("_s"))).alias("subject_mean"))
+    totals = per.where(own)
+    out = runs.join(whole, run, "left").join(exact_quantiles(totals, run, "_s", {"subject_median": 0.5}), run, "left").join(nearest_rank(totals, run, "_s", 0.95, "subject_p95"), run, "left")
+    zeros = {c: F.coalesce(c, F.lit(0)) for c in ("inferred", "cache_hits")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("stage_seconds", "shared_seconds")}
+    ready = out.withColumns(zeros).withColumn("overhead_seconds", F.col(wall) - F.col("stage_seconds"))
+    return ready.select(*run, wall, "inferred", "cache_hits", "stage_seconds", "shared_seconds", "overhead_seconds", "subject_mean", "subject_median", "subject_p95")
+
+
 def learning_curve(df: DataFrame, run: Sequence[str], epoch: str, train: str, validation: str, last: int = 20) -> DataFrame:
     """Final values, first minimum of the validation loss, means of the last and the previous ``last`` epochs.
 

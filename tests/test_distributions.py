@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import configs, normalize, summaries
+from cohortlens.operators import audits, configs, normalize, splits, summaries
 
 
 def frame(spark, values):
@@ -81,3 +81,37 @@ def test_nested_configurations(spark):
     got = {(r.k, r.field): (r.a and json.loads(r.a), r.b and json.loads(r.b)) for r in configs.config_difference(*docs, ["k"], "doc").collect()}
     assert got == {("1", "x"): (1, 1.5), ("1", "m.s"): ("a } { \" b", "a"), ("1", "nil"): (None, None), ("3", None): ([1], [2]), ("5", "y.z"): (None, True)}
     assert configs.config_paths(docs[0].where("k = '6'"), ["k"], "doc").count() == 0
+
+
+def test_timing_overview(spark):
+    rows = [("r", "a", 2.0, False), ("r", "a", 3.0, False), ("r", "b", 1.0, True), ("r", "c", 4.0, False), ("r", None, 0.5, None)]
+    timings = spark.createDataFrame(rows, "run string, subject string, s double, hit boolean")
+    runs = spark.createDataFrame([("r", 12.0), ("empty", 1.0)], "run string, wall double")
+    got = {r.run: r for r in summaries.timing_overview(timings, runs, ["run"], "subject", "s", "hit", "wall").collect()}
+    r, e = got["r"], got["empty"]
+    assert (r.inferred, r.cache_hits, r.stage_seconds, r.shared_seconds, r.overhead_seconds) == (2, 1, 10.5, 0.5, 1.5)
+    assert (r.subject_mean, r.subject_median, r.subject_p95) == (pytest.approx(10 / 3), 4.0, 5.0)
+    assert (e.inferred, e.cache_hits, e.overhead_seconds, e.subject_p95) == (0, 0, 1.0, None)
+
+
+def test_tiny_set(spark):
+    rows = spark.createDataFrame([(p, p % 2, z) for p in range(8) for z in range(p + 1)], "participant int, label int, z int")
+    got = splits.tiny_set(rows, "participant", "label", 2, 6, 1, ["z"]).collect()
+    people = {r.participant: r.label for r in got}
+    assert len(got) <= 6 and sorted(people.values()) == [0, 0, 1, 1]
+    assert all(sorted(r.z for r in got if r.participant == p) == list(range(sum(r.participant == p for r in got))) for p in people)
+    for per_label, cap in ((2, 3), (5, 100)):
+        with pytest.raises(ValueError):
+            splits.tiny_set(rows, "participant", "label", per_label, cap, 1, ["z"])
+
+
+def test_summaries_of_manifests(spark):
+    cols = "pair_id string, split string, label int, participant string, z_bin int"
+    rows = spark.createDataFrame([("p", "train", 0, "a", 1), ("p", "train", 1, "b", 1), ("p", "train", 0, "a", 3), ("p", "train", 1, "b", 3), ("q", "val", 0, "c", 2), ("q", "test", 1, "d", 2)], cols)
+    got = {r.pair_id: r for r in audits.pair_summaries(rows).collect()}
+    assert (got["p"].split, got["p"].records, got["p"].slices_per_domain, got["p"].z_histogram, got["p"].participants) == ("train", 4, 2, {1: 1, 3: 1}, ["a", "b"])
+    assert got["q"].split is None and got["q"].participants == ["c", "d"]
+    manifest = spark.createDataFrame([("s", "a", "1", "train"), ("s", "a", "2", "train"), ("s", "b", "1", None), ("u", None, None, "val")], "site string, subject string, session string, split string")
+    got = {r.site: r for r in audits.manifest_provenance(manifest, ["site"], "split", "subject", "session").collect()}
+    assert (got["s"].rows, got["s"].subjects, got["s"].sessions, got["s"].split_counts) == (3, 2, 3, {"train": 2, "": 1})
+    assert (got["u"].rows, got["u"].subjects, got["u"].sessions, got["u"].columns) == (1, 0, 0, ["site", "subject", "session", "split"])
