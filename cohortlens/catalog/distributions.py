@@ -83,6 +83,17 @@ def pairwise_cosine(spark, d):
     return out.select("channel", "pairs", F.round("mean", 9).alias("mean"), F.round("std", 8).alias("std"))
 
 
+COSINE_LEVELS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+
+
+@query("d7_cosine_percentiles", f"""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+p AS (SELECT a.label AS channel, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS c FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id)
+SELECT channel, count(*) AS pairs, {rsql(8, *[(n, f'quantile_cont(c, {p})') for n, p in COSINE_LEVELS.items()])} FROM p GROUP BY channel""")
+def cosine_percentiles(spark, d):
+    out = summaries.pairwise_cosine_quantiles(t.slices(spark, d), ["channel"], "slice_id", "px", COSINE_LEVELS)
+    return out.select("channel", "pairs", *r(8, *COSINE_LEVELS))
+
+
 @query("d8_shared_histogram", f"""WITH {VALUES}, b AS (SELECT min(v) AS lo, max(v) AS hi FROM i),
 h AS (SELECT cohort, CAST(least(39, floor((v - lo) / (hi - lo) * 40)) AS INTEGER) AS bin, count(*) AS count FROM i, b GROUP BY ALL)
 SELECT *, CAST(sum(count) OVER (PARTITION BY cohort) AS BIGINT) AS total FROM h""")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.functions import scalars
 from cohortlens.functions import draws
-from cohortlens.operators.scale import attach, attach_scalar, exact_quantile_grid, exact_quantiles, join_rows, quantile_positions
+from cohortlens.operators.scale import attach, attach_scalar, exact_quantile_grid, banded, exact_quantiles, join_rows, quantile_positions, running, staged
 
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
@@ -142,6 +144,84 @@ def pairwise_cosine(df: DataFrame, keys: Sequence[str], vector: str) -> DataFram
     )
 
 
+#: Vectors of a block of the pairwise schedule; equal-width bins of [-1, 1] for the first count.
+COSINE_BLOCK, COSINE_BINS = 256, 1 << 16
+
+
+def _block_cosines(a: Sequence, b: Sequence, same: bool) -> np.ndarray:
+    """Cosines of the pairs of two blocks, rounded to 12 decimals so that machines agree on them."""
+    units = []
+    for block in (a, b):
+        x = np.array([np.asarray(v, dtype=np.float64) for v in block])
+        units.append(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
+    cosines = np.round(np.clip(units[0] @ units[1].T, -1.0, 1.0), 12)
+    return cosines[np.triu_indices(len(units[0]), k=1)] if same else cosines.ravel()
+
+
+def _cosine_bins(c: np.ndarray) -> np.ndarray:
+    return np.minimum((c + 1.0) / 2.0 * COSINE_BINS, COSINE_BINS - 1).astype(np.int32)
+
+
+def pairwise_cosine_quantiles(df: DataFrame, keys: Sequence[str], id_col: str, vector: str, probabilities: Mapping[str, float], seed: int = 0) -> DataFrame:
+    """Interpolated quantiles of the cosines of all unordered pairs of a key: (keys, pairs, one column per probability).
+
+    Rows are cut into blocks in hashed order, and each pair of blocks of the upper triangle is one row of work, so no task
+    sees more than two blocks at a time. A first pass counts cosines per bin; a second one keeps only the values in the bins that wanted
+    ranks fall into, counted by value, and ranks them. No pair is written as a row. Ids are unique per key; null vectors are left out, zero
+    vectors have cosine 0, and a key with fewer than two vectors has no row.
+    """
+    keys = list(keys)
+    ranked = draws.permuted(df.where(F.col(vector).isNotNull()).select(*keys, id_col, vector), id_col, seed, keys, "_r")
+    blocks = staged(ranked.groupBy(*keys, F.floor(F.col("_r") / COSINE_BLOCK).cast("int").alias("_j")).agg(F.collect_list(vector).alias("_b")))
+    sizes = blocks.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("_blocks"))
+    first = attach(blocks, sizes, keys).select(*keys, F.col("_j").alias("_i"), F.col("_b").alias("_a"), F.explode(F.sequence(F.col("_j"), F.col("_blocks") - 1)).alias("_j"))
+    pairs = first.join(blocks, [*keys, "_j"]).select(*keys, "_a", "_b", (F.col("_i") == F.col("_j")).alias("_same"))
+    schema = T.StructType([df.schema[k] for k in keys]).add("_bin", T.IntegerType())
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                bins, n = np.unique(_cosine_bins(_block_cosines(row[-3], row[-2], row[-1])), return_counts=True)
+                yield pd.DataFrame({**dict(zip(keys, row)), "_bin": bins, "_n": n})
+
+    binned = pairs.mapInPandas(count, T.StructType(list(schema)).add("_n", T.LongType())).groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
+    # At most COSINE_BINS rows a key.
+    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = staged(binned.select("*", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("pairs")))
+
+    def ranks(p: float) -> tuple[Column, Column]:
+        low = F.floor((F.col("pairs") - 1) * F.lit(float(p)))
+        return low, F.least(low + 1, F.col("pairs") - 1)
+
+    wanted = F.lit(False)
+    for p in probabilities.values():
+        for rank in ranks(p):
+            wanted = wanted | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")))
+    hit = staged(placed.where(wanted))
+
+    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                cosines = _block_cosines(row[-4], row[-3], row[-2])
+                values, n = np.unique(cosines[np.isin(_cosine_bins(cosines), row[-1])], return_counts=True)
+                yield pd.DataFrame({**dict(zip(keys, row)), "_bin": _cosine_bins(values), "_v": values, "n": n})
+
+    narrowed = attach(pairs, hit.groupBy(*keys).agg(F.collect_list("_bin").alias("_bins")), keys)
+    kept = narrowed.mapInPandas(keep, T.StructType(list(schema)).add("_v", T.DoubleType()).add("n", T.LongType()))
+    ties = staged(kept.groupBy(*keys, "_bin", "_v").agg(F.sum("n").alias("n")))
+    inside = running(banded(ties, "_v"), [*keys, "_bin"], ["_v"], ["n"]).join(hit.select(*keys, "_bin", "_before", "pairs"), [*keys, "_bin"])
+    start = F.col("_before") + F.col("n_before")
+    picks = []
+    for name, p in probabilities.items():
+        picks += [F.max(F.when((start <= rank) & (rank < start + F.col("n")), F.col("_v"))).alias(f"_{end}_{name}") for end, rank in zip(("lo", "hi"), ranks(p))]
+    rows = inside.groupBy(*keys).agg(F.max("pairs").alias("pairs"), *picks)
+    out = []
+    for name, p in probabilities.items():
+        place = (F.col("pairs") - 1) * F.lit(float(p))
+        out.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place - F.floor(place))).alias(name))
+    return rows.select(*keys, "pairs", *out)
+
+
 def histogram_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width bin of [low, high] with the last edge inclusive; a degenerate range has one bin."""
     place = F.floor((value - low) / (high - low) * bins)

@@ -115,3 +115,17 @@ def test_summaries_of_manifests(spark):
     got = {r.site: r for r in audits.manifest_provenance(manifest, ["site"], "split", "subject", "session").collect()}
     assert (got["s"].rows, got["s"].subjects, got["s"].sessions, got["s"].split_counts) == (3, 2, 3, {"train": 2, "": 1})
     assert (got["u"].rows, got["u"].subjects, got["u"].sessions, got["u"].columns) == (1, 0, 0, ["site", "subject", "session", "split"])
+
+
+def test_cosine_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(summaries, "COSINE_BLOCK", 7)
+    rng = np.random.default_rng(10)
+    data = {"a": rng.normal(size=(40, 3)), "tied": np.tile([1.0, 2.0, 0.0], (15, 1)), "zero": np.zeros((3, 3)), "two": rng.normal(size=(2, 3)), "one": np.ones((1, 3))}
+    rows = [(k, f"{k}{i}", [float(v) for v in x]) for k, m in data.items() for i, x in enumerate(m)] + [("a", "none", None)]
+    levels = {"lo": 0.0, "q": 0.3, "half": 0.5, "hi": 1.0}
+    got = {r.k: r for r in summaries.pairwise_cosine_quantiles(spark.createDataFrame(rows, "k string, id string, x array<double>"), ["k"], "id", "x", levels).collect()}
+    assert set(got) == set(data) - {"one"}
+    for k, r in got.items():
+        u = data[k] / np.maximum(np.linalg.norm(data[k], axis=1, keepdims=True), 1e-12)
+        c = np.clip(u @ u.T, -1, 1)[np.triu_indices(len(u), k=1)]
+        assert r.pairs == len(c) and [r[n] for n in levels] == pytest.approx(list(np.quantile(c, list(levels.values()))), abs=1e-10)
