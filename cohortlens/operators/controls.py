@@ -165,8 +165,9 @@ def matched_controls(low: DataFrame, pools: DataFrame, seed: int, keys: Sequence
     ``low`` is (keys, key, case_id, z, support) and ``pools`` the same with ``pool``. Slices are grouped to cells of
     depth and support; cells within reach are matched nearest first and their members paired by seeded rank. A pair that
     turns out to exceed the support limit or to share its case is dissolved, and its slices enter the next pass with what
-    is left; passes end when one adds nothing. The result keeps low slices that found a control in every pool:
-    (keys, key, pool, control, distance).
+    is left; passes end when one adds nothing. Low slices without a control in every pool give back what they hold, and
+    ``_complete`` matches them slice by slice, so that none is left that could still have a control in every pool. The
+    result has one row per low slice and pool: (keys, key, pool, control, distance). Keys of slices are unique.
     """
     keys = [*keys, "pool"]
     names = [r[0] for r in pools.select("pool").distinct().collect()]
@@ -193,10 +194,49 @@ def matched_controls(low: DataFrame, pools: DataFrame, seed: int, keys: Sequence
         open0 = staged(open0.join(good.select(*keys, "key"), [*keys, "key"], "left_anti"))
         open1 = staged(open1.join(good.select(*keys, F.col("control").alias("key")), [*keys, "key"], "left_anti"))
         attempt += 1
-    if found is None:
-        return good
-    complete = found.groupBy(*keys[:-1], "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(names)).drop("_n")
-    return found.join(complete, [*keys[:-1], "key"])
+    first = _whole_sets(good if found is None else found, keys[:-1], len(names))
+    return _complete(low, pools, staged(first), names, seed, keys)
+
+
+def _whole_sets(found: DataFrame, keys: Sequence[str], pools: int) -> DataFrame:
+    """Matches of the low slices that have one in every pool."""
+    whole = found.groupBy(*keys, "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == pools).drop("_n")
+    return found.join(whole, [*keys, "key"])
+
+
+def _complete(low: DataFrame, pools: DataFrame, matched: DataFrame, names: Sequence[str], seed: int, keys: Sequence[str]) -> DataFrame:
+    """Adds matches for low slices that can still have an unused control in every pool, until there is none.
+
+    The low slices propose in one seeded order, the same in all pools. So the first of them that has a candidate
+    everywhere gets its nearest one in each pool, and every round adds at least one set. A low slice with an empty pool
+    within reach leaves for good, as unused controls only become fewer. What is left after the passes by cells are mostly slices of
+    crowded cells, which have no open cell in reach and drop out before any pair is formed.
+    """
+    keys, base = list(keys), list(keys[:-1])
+    steps = int(round(SUPPORT_REACH / SUPPORT_GRID))
+    cell = F.floor(F.col("support") / SUPPORT_GRID).cast("int")
+    reach = low.select(*base, "key", "case_id", "z", "support", cell.alias("_cell")).withColumn("pool", F.explode(F.array(*[F.lit(n) for n in names])))
+    reach = reach.withColumn("_dz", F.explode(F.sequence(F.lit(-Z_REACH), F.lit(Z_REACH)))).withColumn("_ds", F.explode(F.sequence(F.lit(-steps), F.lit(steps))))
+    reach = reach.select(*keys, "key", "case_id", "support", F.abs("_dz").alias("_gap"), (F.col("z") + F.col("_dz")).cast("int").alias("_z"), (F.col("_cell") + F.col("_ds")).alias("_cell"))
+    controls = pools.select(*keys, F.col("key").alias("control"), F.col("case_id").alias("_case"), F.col("z").cast("int").alias("_z"), cell.alias("_cell"), F.col("support").alias("_support"))
+    while True:
+        unused = staged(controls.join(matched.select(*keys, "control"), [*keys, "control"], "left_anti"))
+        waiting = reach.join(matched.select(*base, "key").distinct(), [*base, "key"], "left_anti")
+        near = waiting.join(unused.select(*keys, "_z", "_cell").distinct(), [*keys, "_z", "_cell"])
+        hopeful = near.groupBy(*base, "key").agg(F.countDistinct("pool").alias("_n")).where(F.col("_n") == len(names)).drop("_n")
+        gap = F.abs(F.col("support") - F.col("_support"))
+        edges = near.join(staged(hopeful), [*base, "key"], "left_semi").join(unused, [*keys, "_z", "_cell"]).where((gap <= SUPPORT_REACH) & (F.col("case_id") != F.col("_case")))
+        edges = staged(edges.select(*keys, "key", "control", (F.col("_gap") / Z_REACH + gap / SUPPORT_REACH).alias("distance")))
+        able = edges.groupBy(*base, "key").agg(F.countDistinct("pool").alias("_n")).where(F.col("_n") == len(names)).drop("_n")
+        edges = staged(edges.join(able, [*base, "key"]))
+        if edges.isEmpty():
+            return matched
+        one = F.lit(1).cast("long")
+        turn = F.struct(draws.hash_text(f"{seed}:turn", "key").alias("turn"), "key", "distance", "control")
+        pairs = edges.select(*keys, F.col("key").alias("c0"), F.col("control").alias("c1"), one.alias("s0"), one.alias("s1"), turn.alias("order"))
+        chosen = match_classes(pairs, keys).select(*keys, F.col("c0").alias("key"), F.col("c1").alias("control"))
+        step = _whole_sets(chosen.join(edges, [*keys, "key", "control"]), base, len(names))
+        matched = staged(matched.unionByName(step.select(*matched.columns)))
 
 
 def _cells_in_reach(rank0: DataFrame, rank1: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Splits, balancing, pairs, controls and permutations."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,29 @@ def test_store_must_be_contiguous(spark, tmp_path):
     df.write.parquet(str(tmp_path / "store"))
     with pytest.raises(AuditError):
         manifests.read_slice_store(spark, str(tmp_path / "store"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_admissible_control_is_left(spark, seed):
+    """Crowded cells, few cases, scarce pools: checked against the definition, slice by slice."""
+    rng = np.random.default_rng(seed)
+
+    def slices(n, name):
+        return [("p", f"{name}{i}", f"c{rng.integers(3)}", int(rng.integers(4)), float(np.round(0.5 + rng.integers(40) * 0.002, 4))) for i in range(n)]
+
+    low, pools = slices(40, "l"), [(*x, pool) for pool, n in (("a", 25), ("b", 30)) for x in slices(n, pool)]
+    cols = "partition string, key string, case_id string, z int, support double"
+    got = controls.matched_controls(spark.createDataFrame(low, cols), spark.createDataFrame(pools, f"{cols}, pool string"), 5).collect()
+
+    def fits(a, b):
+        return abs(a[3] - b[3]) <= 2 and abs(a[4] - b[4]) <= 0.03 and a[2] != b[2]
+
+    lows, others = {x[1]: x for x in low}, {(x[5], x[1]): x for x in pools}
+    used = {(r.pool, r.control) for r in got}
+    held = {}
+    for r in got:
+        assert fits(lows[r.key], others[r.pool, r.control])
+        held.setdefault(r.key, []).append(r.pool)
+    assert len(used) == len(got) and all(sorted(p) == ["a", "b"] for p in held.values()) and held
+    for key in set(lows) - set(held):
+        assert any(not any(fits(lows[key], x) for (p, k), x in others.items() if p == pool and (p, k) not in used) for pool in "ab")
