@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-MODULES = ["evaluation", "ranking", "cohorts", "statistics", "distributions", "arrays", "sets", "audits", "scalars", "io",
+MODULES = ["evaluation", "ranking", "cohorts", "statistics", "distributions", "arrays", "sets", "audits", "rules", "scalars", "io",
            "incremental", "modelling"]
 
 
