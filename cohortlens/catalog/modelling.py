@@ -77,13 +77,38 @@ def split_records(spark, d):
     return t.split_records(spark, d)
 
 
-@query("l10_same_cohort_pairs")
+def cohort_sql(keys: str) -> str:
+    """Same-cohort pairs of a table ``cohort`` by rounds over all pairs of classes; ``keys`` without an alias."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    of = lambda alias: ", ".join(f"{alias}.{k}" for k in keys.split(", "))
+    return f"""prof AS (SELECT {keys}, participant, list_sort(list(DISTINCT z_bin)) AS bins, CAST(round(sum(z_bin) / count(*) * {controls.MEAN_GRID}) AS INTEGER) AS mean_cell FROM cohort GROUP BY ALL),
+halves AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY md5('73|' || participant), participant) - 1 AS r, count(*) OVER (PARTITION BY {keys}) // 2 AS half FROM prof),
+ppl AS (SELECT *, CASE WHEN r < half THEN 0 ELSE 1 END AS side, array_to_string(bins, ',') || ':' || mean_cell AS cls FROM halves WHERE r < 2 * half),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys}, side, cls ORDER BY md5('73:class|' || participant), participant) - 1 AS rank FROM ppl),
+cl AS (SELECT {keys}, side, cls, any_value(bins) AS bins, any_value(mean_cell) AS mean_cell, count(*) AS size FROM ppl GROUP BY {keys}, side, cls),
+cand AS (SELECT {of("a")}, a.cls AS c0, b.cls AS c1, a.size AS s0, b.size AS s1, len(list_intersect(a.bins, b.bins)) AS common,
+  row_number() OVER (PARTITION BY {of("a")} ORDER BY common DESC, abs(a.mean_cell - b.mean_cell), a.cls <> b.cls, md5('73:tie|' || a.cls || '|' || b.cls), a.cls, b.cls) AS ord FROM cl a JOIN cl b ON {on} AND a.side = 0 AND b.side = 1 WHERE common > 0),
+it AS (SELECT {keys}, c0, c1, ord, s0, s1, 0::BIGINT AS u0, 0::BIGINT AS u1, 0::BIGINT AS amount, 0::BIGINT AS from0, 0::BIGINT AS from1 FROM cand
+  UNION ALL SELECT {keys}, c0, c1, ord, s0, s1, u0 + max(take) OVER (PARTITION BY {keys}, c0), u1 + max(take) OVER (PARTITION BY {keys}, c1), take, u0, u1
+  FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY {keys}, c0 ORDER BY ord) = 1 AND row_number() OVER (PARTITION BY {keys}, c1 ORDER BY ord) = 1 THEN least(s0 - u0, s1 - u1) ELSE 0 END AS take FROM it WHERE u0 < s0 AND u1 < s1)),
+pr AS (SELECT {of("a")}, a.participant AS p0, b.participant AS p1 FROM it JOIN rk a ON {on.replace("b.", "it.")} AND a.side = 0 AND a.cls = c0 AND a.rank >= from0 AND a.rank < from0 + amount
+  JOIN rk b ON {on} AND b.side = 1 AND b.cls = c1 AND b.rank = a.rank - from0 + from1 WHERE amount > 0),
+mem AS (SELECT concat_ws(':', 'negative', {keys}, substr(sha256(p0 || '|' || p1), 1, 12)) AS pair_id, {keys}, unnest([p0, p1]) AS participant, unnest([0, 1]) AS label FROM pr),
+cap AS (SELECT * EXCLUDE (label), row_number() OVER (PARTITION BY {keys}, participant, z_bin ORDER BY z, record_id) AS k FROM cohort QUALIFY k <= 2),
+bal AS (SELECT {keys}, pair_id, participant, label, z_bin, z, record_id, k, least(count(*) FILTER (WHERE label = 0) OVER w, count(*) FILTER (WHERE label = 1) OVER w) AS keep FROM cap JOIN mem USING ({keys}, participant) WINDOW w AS (PARTITION BY pair_id, z_bin))
+SELECT {keys}, pair_id, participant, label, z_bin, z, record_id FROM bal WHERE k <= keep"""
+
+
+@query("l10_same_cohort_pairs", f"WITH RECURSIVE {S.SPLITS}, cohort AS (SELECT r.*, split FROM records r JOIN split_map USING (participant) WHERE label = 0), {cohort_sql('split')}")
 def same_cohort_pairs(spark, d):
     out = controls.same_cohort_pairs(split_records(spark, d).where("label = 0"), 73)
     return out.select("split", "pair_id", "participant", "label", "z_bin", "z", "record_id")
 
 
-@query("l11_source_stratified_pairs")
+@query("l11_source_stratified_pairs", f"""WITH RECURSIVE {S.RECORDS}, sp AS (SELECT source, participant, row_number() OVER (PARTITION BY source ORDER BY md5('73:split|' || participant), participant) - 1 AS r, count(*) OVER (PARTITION BY source) // 2 AS h FROM (SELECT DISTINCT source, participant FROM records WHERE label = 0)),
+sh AS (SELECT source, i, f, floor(h * f) AS base, h - sum(floor(h * f)) OVER (PARTITION BY source) AS rest, row_number() OVER (PARTITION BY source ORDER BY h * f - floor(h * f) DESC, i) AS nth FROM (SELECT DISTINCT source, h FROM sp), (VALUES (0, 0.40::DOUBLE), (1, 0.10::DOUBLE), (2, 0.50::DOUBLE)) v(i, f)),
+upto AS (SELECT source, i, sum(2 * (base + CASE WHEN nth <= rest THEN 1 ELSE 0 END)) OVER (PARTITION BY source ORDER BY i) AS n FROM sh),
+fresh AS (SELECT source, participant, ['train', 'val', 'test'][min(i) + 1] AS split FROM sp JOIN upto USING (source) WHERE r < n GROUP BY ALL), cohort AS (SELECT r.*, split FROM records r JOIN fresh USING (source, participant) WHERE label = 0), {cohort_sql('source, split')}""")
 def source_stratified_pairs(spark, d):
     out = controls.source_stratified_pairs(t.records(spark, d).where("label = 0"), 73)
     return out.select("source", "split", "pair_id", "participant", "label", "z_bin", "z", "record_id")

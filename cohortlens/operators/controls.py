@@ -1,8 +1,8 @@
 """Negative-control cohorts matched inside one source, and matched control slices.
 
-Participants are matched through their class: the set of occupied bins and the mean bin on a grid. Classes are bounded by
-the geometry (bins), not by the number of participants, so candidates are pairs of classes, and the pairs of
-participants follow from the ranks inside matched classes. No pair of participants is ever tried out.
+Participants are matched through their class: the set of occupied bins and the mean bin on a grid. Equal classes are
+matched at once; the rest by the number of bins they share, from the top, with an index of the first bins of each class.
+The pairs of participants follow from the ranks inside matched classes. No pair of participants is ever tried out.
 """
 
 from __future__ import annotations
@@ -16,18 +16,12 @@ from pyspark.sql import types as T
 from cohortlens.functions import draws
 from cohortlens.operators.pairing import balance_bins, first_per_bin
 from cohortlens.operators.scale import attach, staged
+from cohortlens.operators.sets import union
 from cohortlens.sources.writers import scratch
 
 MEAN_GRID = 4
 
 
-def allocation(total: int, fractions: Sequence[float] = (0.40, 0.10, 0.50)) -> list[int]:
-    """Even group sizes per split from fractions of a cohort."""
-    from cohortlens.operators.splits import largest_remainder
-
-    return [2 * h for h in largest_remainder(fractions, total // 2)]
-
-
 def profiles(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, participant, bins, mean_cell): occupied bins as a sorted list and the mean bin on a quarter-bin grid."""
     per_bin = rows.groupBy(*keys, "participant", "z_bin").agg(F.count(F.lit(1)).alias("n"))
@@ -101,29 +95,61 @@ def expand_matches(matched: DataFrame, members0: DataFrame, members1: DataFrame,
     return placed.join(left, [*keys, "c0", "rank0"]).join(right, [*keys, "c1", "rank1"])
 
 
+def match_by_overlap(classes: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    """Matches of classes of two sides, most common bins first: (keys, c0, c1, amount, from0, from1).
+
+    ``classes`` is (keys, side, cls, bins, mean_cell, size) with sorted bins. The law is greedy over all pairs of classes: more
+    common bins, nearer means, equal classes, then a seeded hash. It is carried out without forming all of them. Equal classes
+    meet first: no pair with another class can come before, as a class shares no more bins with any than it has. What is left
+    is taken by the number of common bins, from the top in steps that halve it: two classes share ``level`` bins only if they
+    share one among their first ``size - level + 1``, so high levels look at few bins, and what they match is gone before the low ones.
+    """
+    keys = list(keys)
+    zero = F.lit(0).cast("long")
+
+    def side(n: int, minimum: int) -> DataFrame:
+        here = open_classes.where((F.col("side") == n) & (F.size("bins") >= minimum))
+        return here.select(*keys, F.col("cls").alias(f"c{n}"), F.col("bins").alias(f"b{n}"), F.col("mean_cell").alias(f"m{n}"), (F.col("size") - F.col("used")).alias(f"s{n}"), F.col("used").alias(f"u{n}"))
+
+    def left_after(step: DataFrame) -> DataFrame:
+        spent = step.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(f"c{n}").alias("cls")) for n in (0, 1)])).alias("_c"), "amount")
+        spent = spent.groupBy(*keys, F.col("_c.side").alias("side"), F.col("_c.cls").alias("cls")).agg(F.sum("amount").alias("_spent"))
+        met = open_classes.join(spent, [*keys, "side", "cls"], "left").withColumn("used", F.col("used") + F.coalesce("_spent", zero)).drop("_spent")
+        return staged(met.where("size > used"))
+
+    open_classes = classes.withColumn("used", zero)
+    equal = side(0, 1).join(side(1, 1).withColumn("c0", F.col("c1")), [*keys, "c0"])
+    found = [staged(equal.select(*keys, "c0", "c1", F.least("s0", "s1").alias("amount"), zero.alias("from0"), zero.alias("from1")))]
+    open_classes = left_after(found[0])
+    # One number: the bins of the geometry bound it.
+    level = (open_classes.agg(F.max(F.size("bins"))).first()[0] or 0) + 1
+    while level > 1:
+        level //= 2
+        first = [side(n, level).withColumn("_bin", F.explode(F.slice(f"b{n}", F.lit(1), F.size(f"b{n}") - (level - 1)))) for n in (0, 1)]
+        common = F.array_intersect("b0", "b1")
+        # A pair is taken where its smallest common bin meets, so it comes up once.
+        pairs = first[0].join(first[1], [*keys, "_bin"]).where((F.size(common) >= level) & (common[0] == F.col("_bin")))
+        order = F.struct((-F.size(common)).alias("n"), F.abs(F.col("m0") - F.col("m1")).alias("gap"), draws.hash_text(f"{seed}:tie", "c0", "c1").alias("h"), "c0", "c1")
+        matched = match_classes(pairs.select(*keys, "c0", "c1", "s0", "s1", order.alias("order")), keys)
+        for n in (0, 1):
+            matched = matched.join(side(n, level).select(*keys, f"c{n}", f"u{n}"), [*keys, f"c{n}"])
+        found.append(staged(matched.select(*keys, "c0", "c1", "amount", (F.col("from0") + F.col("u0")).alias("from0"), (F.col("from1") + F.col("u1")).alias("from1"))))
+        open_classes = left_after(found[-1])
+    return union(found)
+
+
 def same_cohort_pairs(rows: DataFrame, seed: int, keys: Sequence[str] = ("split",), cap: int = 2) -> DataFrame:
     """Negative-control records: two random halves per key, matched pairs, at most ``cap`` slices per common bin.
 
-    Labels are the halves; the original label is kept. Slices come from the bins both partners have.
+    Labels are the halves; the original label is kept. Slices come from the bins both partners have. A participant without a
+    common bin with any that is left stays out.
     """
     keys = list(keys)
     people = profiles(rows, keys)
     grouped = two_groups(people, keys, seed).withColumn("cls", F.concat_ws(":", F.array_join("bins", ","), "mean_cell"))
     ranked = staged(draws.permuted(grouped, "participant", f"{seed}:class", [*keys, "side", "cls"], "rank"))
     classes = staged(ranked.groupBy(*keys, "side", "cls").agg(F.first("bins").alias("bins"), F.first("mean_cell").alias("mean_cell"), F.count(F.lit(1)).alias("size")))
-
-    def side(n: int) -> DataFrame:
-        return classes.where(F.col("side") == n).select(
-            *keys, F.col("cls").alias(f"c{n}"), F.col("mean_cell").alias(f"m{n}"), F.col("size").alias(f"s{n}"), F.explode("bins").alias("_bin")
-        )
-
-    # Candidates share at least one bin: an equi-join on the bin, reduced to distinct class pairs. More common bins
-    # first, then nearer means, then a hashed order.
-    candidates = side(0).join(side(1), [*keys, "_bin"]).groupBy(*keys, "c0", "c1").agg(
-        F.count(F.lit(1)).alias("_n"), F.first(F.abs(F.col("m0") - F.col("m1"))).alias("_gap"), F.first("s0").alias("s0"), F.first("s1").alias("s1")
-    )
-    order = F.struct((-F.col("_n")).alias("n"), F.col("_gap").alias("gap"), *_tie_order())
-    matched = match_classes(candidates.withColumn("order", order).drop("_n", "_gap"), keys)
+    matched = match_by_overlap(classes, keys, seed)
 
     def members(n: int) -> DataFrame:
         return ranked.where(F.col("side") == n).select(*keys, "cls", "rank", F.col("participant").alias(f"p{n}"))
@@ -137,21 +163,31 @@ def same_cohort_pairs(rows: DataFrame, seed: int, keys: Sequence[str] = ("split"
     return balance_bins(limited.join(member, "participant"), "pair_id", "label", "z_bin")
 
 
+def even_splits(people: DataFrame, source: str, participant: str, seed: int, fractions: Sequence[float], splits: Sequence[str] = ("train", "val", "test")) -> DataFrame:
+    """(source, participant, split): even sizes per source, twice the largest-remainder shares of half its participants.
+
+    Shares are columns of the sizes, so the number of sources is free. An odd participant stays out.
+    """
+    half, scale = F.floor(F.col("_n") / 2), float(sum(fractions))
+    raw = F.array(*[half * F.lit(float(f)) / F.lit(scale) for f in fractions])
+    base = F.transform(raw, lambda x: F.floor(x))
+    rest = (half - F.aggregate(base, F.lit(0).cast("long"), lambda s, x: s + x)).cast("int")
+    by_rest = F.array_sort(F.transform(F.arrays_zip(raw.alias("x"), base.alias("b")), lambda e, i: F.struct((e.b - e.x).alias("k"), i.alias("i"))))
+    extra = F.transform(F.slice(by_rest, F.lit(1), rest), lambda e: e.i)
+    sizes = people.groupBy(source).agg(F.count(F.lit(1)).alias("_n")).select(source, base.alias("_base"), extra.alias("_extra"))
+    sizes = sizes.select(source, F.transform("_base", lambda b, i: 2 * (b + F.array_contains("_extra", i).cast("long"))).alias("_sizes"))
+    met = attach(draws.permuted(people, participant, f"{seed}:split", [source], "_r"), sizes, [source])
+    upto = [sum((F.col("_sizes")[j] for j in range(1, i + 1)), F.col("_sizes")[0]) for i in range(len(splits))]
+    split = F.coalesce(*[F.when(F.col("_r") < u, name) for u, name in zip(upto, splits)])
+    return met.select(source, participant, split.alias("split")).where("split IS NOT NULL")
+
+
 def source_stratified_pairs(rows: DataFrame, seed: int, fractions: Sequence[float] = (0.40, 0.10, 0.50)) -> DataFrame:
-    """Same-cohort pairs inside each source, with fresh splits of even size per source."""
+    """Same-cohort pairs inside each source, with fresh splits of even size per source. A participant of several sources is
+    drawn in each of them."""
     people = rows.select("source", "participant").distinct()
-    sizes = {r["source"]: r["n"] for r in people.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # One row per source: the cohorts of a study.
-    ranked = draws.permuted(people, "participant", f"{seed}:split", ["source"], "_r")
-    split = F.lit(None).cast("string")
-    for source, n in sizes.items():
-        a, b, c = allocation(n, fractions)
-        here = F.col("source") == F.lit(source)
-        name = F.when(F.col("_r") < a, "train").when(F.col("_r") < a + b, "val").when(F.col("_r") < a + b + c, "test")
-        split = F.when(here, name).otherwise(split)
-    assigned = ranked.select("participant", split.alias("split")).where("split IS NOT NULL")
-    joined = attach(rows.drop("split"), staged(assigned), ["participant"])
-    return same_cohort_pairs(joined, seed, ["source", "split"])
+    assigned = even_splits(people, "source", "participant", seed, fractions)
+    return same_cohort_pairs(attach(rows.drop("split"), staged(assigned), ["source", "participant"]), seed, ["source", "split"])
 
 
 Z_REACH = 2

@@ -1,5 +1,7 @@
 """Splits, balancing, pairs, controls and permutations."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +205,67 @@ def test_no_admissible_control_is_left(spark, seed):
     assert len(used) == len(got) and all(sorted(p) == ["a", "b"] for p in held.values()) and held
     for key in set(lows) - set(held):
         assert any(not any(fits(lows[key], x) for (p, k), x in others.items() if p == pool and (p, k) not in used) for pool in "ab")
+
+
+def greedy_classes(side0, side1, seed):
+    """All pairs of classes in one order, taken one after the other: {(c0, c1): amount}."""
+    left = [{c: n for c, _, _, n in s} for s in (side0, side1)]
+    order = []
+    for c0, b0, m0, _ in side0:
+        for c1, b1, m1, _ in side1:
+            common = len(set(b0) & set(b1))
+            if common:
+                tie = hashlib.md5(f"{seed}:tie|{c0}|{c1}".encode()).hexdigest()
+                order.append((-common, abs(m0 - m1), c0 != c1, tie, c0, c1))
+    out = {}
+    for *_, c0, c1 in sorted(order):
+        amount = min(left[0][c0], left[1][c1])
+        if amount:
+            out[c0, c1] = amount
+            left[0][c0] -= amount
+            left[1][c1] -= amount
+    return out
+
+
+def test_match_by_overlap_is_greedy_over_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    sides = {}
+    for key in ("x", "y"):
+        pool = {}
+        while len(pool) < 14:
+            bins = sorted(int(b) for b in rng.choice(8, rng.integers(1, 6), replace=False))
+            mean = int(rng.integers(0, 5))
+            pool[",".join(map(str, bins)) + f":{mean}"] = (bins, mean)
+        names = sorted(pool)
+        sides[key] = [[(c, *pool[c], int(rng.integers(1, 9))) for c in names if rng.random() < 0.7] for _ in (0, 1)]
+    sides["z"] = [[("7:1", [7], 1, 3)], [("1:1", [1], 1, 3)]]  # nothing in common
+    rows = [(k, n, *c) for k, both in sides.items() for n in (0, 1) for c in both[n]]
+    classes = spark.createDataFrame(rows, "split string, side int, cls string, bins array<int>, mean_cell int, size long")
+    got = controls.match_by_overlap(classes, ["split"], 7).collect()
+    for key, both in sides.items():
+        mine = {(r.c0, r.c1): r.amount for r in got if r.split == key}
+        assert mine == greedy_classes(*both, 7)
+        for n in (0, 1):
+            # Ranks of a class are given out once, without gaps.
+            for c, _, _, size in both[n]:
+                used = sorted((r[f"from{n}"], r.amount) for r in got if r.split == key and r[f"c{n}"] == c)
+                assert [f for f, _ in used] == [sum(a for _, a in used[:i]) for i in range(len(used))] and sum(a for _, a in used) <= size
+    assert controls.match_by_overlap(classes.where("false"), ["split"], 7).isEmpty()
+
+
+def test_source_stratified_pairs(spark):
+    rows = []
+    for source, people in ((0, 23), (2, 10), (4, 1)):
+        for i in range(people):
+            for z in range(i % 4, 20 - i % 3):
+                rows.append((*record(f"{source}p{i:02d}", f"c{i}", z, 0), source))
+    data = spark.createDataFrame(rows, SCHEMA + ", source int")
+    out = controls.source_stratified_pairs(data, 7)
+    assert audits.pair_audit(out).isEmpty()
+    sizes = {}
+    for r in out.select("source", "split", "participant").distinct().collect():
+        sizes[r.source, r.split] = sizes.get((r.source, r.split), 0) + 1
+    expected = {(s, n): 2 * k for s, people in ((0, 23), (2, 10)) for n, k in zip(("train", "val", "test"), splits.largest_remainder((0.4, 0.1, 0.5), people // 2)) if k}
+    assert sizes == expected
+    inside = out.groupBy("pair_id").agg(F.countDistinct("source").alias("s"), F.countDistinct("split").alias("t"))
+    assert inside.where("s > 1 OR t > 1").isEmpty()
