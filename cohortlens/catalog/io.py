@@ -253,3 +253,16 @@ def sql_callable(spark, d):
     t.predictions(spark, d, split=None).createOrReplaceTempView("slice_predictions")
     out = spark.sql(ranking_sql("slice_predictions", ["split"], "probability", "label"))
     return out.select("split", "n", F.round("ap", 9).alias("ap"), F.round("auc", 9).alias("auc"))
+
+
+HOLM_ROWS = "SELECT c_mktsegment AS family, c_custkey AS test, CASE WHEN c_custkey % 50 <> 0 THEN power((c_custkey * 37 % 500) / 500.0::DOUBLE, 4) END AS p FROM customer"
+
+
+@query("x6_holm_callable", f"""WITH h AS ({HOLM_ROWS}), s AS (SELECT *, least(1, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, test) + 1) * p) AS v FROM h WHERE p IS NOT NULL),
+a AS (SELECT family, test, max(v) OVER (PARTITION BY family ORDER BY p, test ROWS UNBOUNDED PRECEDING) AS p_holm FROM s) SELECT family, test, round(p_holm, 12) AS p_holm FROM h LEFT JOIN a USING (family, test)""")
+def holm_callable(spark, d):
+    from cohortlens.plans.sql_templates import holm_sql
+
+    p = F.pow((F.col("c_custkey") * 37 % 500) / F.lit(500.0), F.lit(4.0))
+    t.table(spark, d, "customer").select(F.col("c_mktsegment").alias("family"), F.col("c_custkey").alias("test"), F.when(F.col("c_custkey") % 50 != 0, p).alias("p")).createOrReplaceTempView("planned_tests")
+    return spark.sql(holm_sql("planned_tests", ["family"], "p")).select("family", "test", F.round("p_holm", 12).alias("p_holm"))

@@ -166,3 +166,21 @@ def inventory_audit(spark, d):
     parity = F.when(F.col("comparison") == "2", "FAIL").otherwise("NOT_APPLICABLE")
     checks = status.select("comparison", F.explode(F.array(F.struct(F.lit("status").alias("check"), "status"), F.struct(F.lit("tensor_parity").alias("check"), parity.alias("status")))).alias("_c")).select("comparison", "_c.check", "_c.status")
     return rules.inventory_audit(candidates.withColumn("subject", person), inventory, ledger, checks, [str(i) for i in range(5)])
+
+
+RELEASE_SPLIT = "CASE WHEN c_custkey % 5 = 0 THEN 'val' ELSE 'train' END"
+
+
+@query("p18_release_findings", f"""WITH r AS (SELECT c_custkey AS id, {RELEASE_SPLIT} AS split FROM customer), c AS (SELECT c_custkey + CASE WHEN c_custkey % 209 = 0 THEN 10000000 ELSE 0 END AS id FROM customer WHERE c_custkey % 19 = 0),
+q AS (SELECT c_custkey AS id, c_custkey % 19 = 0 AND c_custkey % 7 <> 0 OR c_custkey % 101 = 0 AS ex FROM customer WHERE c_custkey % 133 <> 0), k AS (SELECT split, count(*) AS n FROM r WHERE id NOT IN (SELECT id FROM c) GROUP BY 1)
+SELECT 'configured_absent_from_source' AS rule, CAST(id AS VARCHAR) AS key FROM c WHERE id NOT IN (SELECT id FROM r) UNION ALL SELECT 'configured_only', CAST(id AS VARCHAR) FROM c WHERE id NOT IN (SELECT id FROM q WHERE ex)
+UNION ALL SELECT 'adjudicated_only', CAST(id AS VARCHAR) FROM q WHERE ex AND id NOT IN (SELECT id FROM c) UNION ALL SELECT 'absent_from_review_queue', CAST(id AS VARCHAR) FROM c WHERE id NOT IN (SELECT id FROM q)
+UNION ALL SELECT 'split_count_differs', k.split FROM k JOIN (SELECT split, count(*) FILTER (WHERE id % 19 <> 0) AS n FROM r GROUP BY 1) w USING (split) WHERE k.n <> w.n""")
+def release_findings(spark, d):
+    k = F.col("c_custkey")
+    people = t.table(spark, d, "customer").select("c_custkey")
+    records = people.select(k.alias("id"), F.when(k % 5 == 0, "val").otherwise("train").alias("split"))
+    configured = people.where(k % 19 == 0).select((k + F.when(k % 209 == 0, 10000000).otherwise(0)).alias("id"))
+    review = people.where(k % 133 != 0).select(k.alias("id"), F.when(((k % 19 == 0) & (k % 7 != 0)) | (k % 101 == 0), "EXCLUDE").otherwise("KEEP").alias("manual_status"))
+    per_split = records.where("id % 19 <> 0").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return rules.release_findings(records, "id", configured, review, per_split=per_split)

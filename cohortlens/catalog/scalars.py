@@ -141,6 +141,16 @@ def subject_from_folder(spark, d):
     return t.table(spark, d, "customer").select("c_custkey", F.regexp_extract(folder, pattern, 1).alias("subject"), F.regexp_extract(folder, pattern, 2).alias("follow_up"))
 
 
+@query("g3_naming_schemes", r"""WITH n AS (SELECT c_custkey, c_name || CASE WHEN c_custkey % 3 = 0 THEN '_FU001d' ELSE '' END AS stem FROM customer)
+SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN stem END AS stem, split_part(stem, '_', 1) AS subject FROM n""")
+def naming_schemes(spark, d):
+    k = F.col("c_custkey")
+    stem = F.concat("c_name", F.when(k % 3 == 0, "_FU001d").otherwise(""))
+    folder = F.concat(stem, F.when(k % 7 != 0, "_nifti").otherwise("_raw"))
+    file = F.concat(F.lit("/data/site_1/"), stem, F.when(k % 2 == 0, "_flair.nii.gz").when(stem.contains("_"), ".NII").otherwise(".nii"))
+    return t.table(spark, d, "customer").select("c_custkey", scalars.folder_stem(folder).alias("stem"), scalars.file_subject(file).alias("subject"))
+
+
 @query("g4_path_parts", """SELECT page_id, nullif(split_part(url, '/', 3), '') AS host, CASE WHEN len(string_split(url, '/')) >= 4 THEN split_part(url, '/', 4) END AS first_part FROM pages""")
 def path_parts(spark, d):
     return t.table(spark, d, "pages").select("page_id", scalars.path_part("url", 3).alias("host"), scalars.path_part("url", 4).alias("first_part"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.catalog import query
 from cohortlens.catalog import sqltext as S
-from cohortlens.catalog.ranking import rank_sql, rounded_metrics
+from cohortlens.catalog.ranking import METRIC_COLS, metric_sql, rank_sql, rounded_metrics
 from cohortlens.operators import gates, ranking, resampling, splits
 from cohortlens.operators.scale import staged
 from cohortlens.plans import tables as t
@@ -201,6 +201,14 @@ def run_summary(spark, d):
     )
 
 
+@query("v10_slice_metrics", f"""WITH {S.predictions(SEEDS)}, sl AS (SELECT seed, label, probability AS score FROM predictions), {metric_sql('sl', 'seed')}, a AS (SELECT seed, 'slice' AS unit, {METRIC_COLS} FROM rank_out JOIN c_sl USING (seed)),
+{metric_sql('subjects', 'seed').replace('tie AS', 'tie2 AS').replace('FROM tie ', 'FROM tie2 ').replace('cum AS', 'cum2 AS').replace('FROM cum', 'FROM cum2').replace('rank_out AS', 'rank_out2 AS')}
+SELECT * FROM a UNION ALL SELECT seed, 'subject', {METRIC_COLS} FROM rank_out2 JOIN c_subjects USING (seed)""")
+def run_slice_metrics(spark, d):
+    """The metric columns of the run summary, per seed, of slices and of subjects."""
+    return rounded_metrics(ranking.slice_and_subject_metrics(staged(t.predictions(spark, d, SEEDS)), ["seed"]))
+
+
 ENSEMBLE = boot_sql(SEEDS).replace(
     "sub AS (SELECT seed, pair_id, label, score, 1 AS m FROM subjects)",
     "sub AS (SELECT 0 AS seed, pair_id, label, round(avg(score), 12) AS score, 1 AS m FROM subjects GROUP BY pair_id, participant, label)",

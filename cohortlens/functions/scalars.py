@@ -127,6 +127,17 @@ def strip_volume_suffix(name: Column | str) -> Column:
     return F.regexp_replace(_col(name), r"(?i)\.nii(\.gz)?$", "")
 
 
+def folder_stem(folder: Column | str, suffix: str = "_nifti") -> Column:
+    """Name of a case folder without its suffix, follow-up part included; null where the suffix or the name is missing."""
+    c = _col(folder)
+    return F.when(F.endswith(c, F.lit(suffix)) & (F.length(c) > len(suffix)), F.substring(c, F.lit(1), F.length(c) - len(suffix)))
+
+
+def file_subject(path: Column | str) -> Column:
+    """Subject of a volume file: its name up to the first underscore, without directory and volume suffix."""
+    return F.split_part(strip_volume_suffix(F.substring_index(_col(path), "/", -1)), F.lit("_"), F.lit(1))
+
+
 # Parts of a file name that rule it out, and the tokens of the sequences.
 EXCLUDED_PARTS = ("mask", "seg", "label", "n4", "mni", "sri24", "registered", "warped")
 CONTRAST_TOKENS = ("t1ce", "t1c", "t1gd", "t1post")

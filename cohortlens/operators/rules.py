@@ -1,4 +1,4 @@
-"""Rules of manifests, model grids and inventories (N5, N6, N18): (rule, key) for everything that breaks one.
+"""Rules of manifests, model grids and inventories (N5, N6, N18), and of releases (P18): (rule, key) for everything that breaks one.
 
 Rules of a row are evaluated together in one pass. Rules of a key (a pair, a participant) come from counts that are made
 with a map-side combine, per participant first and per pair then, so a hot pair or participant is one row per task.
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.audits import expectations, rule_violations
-from cohortlens.operators.sets import duplicates, tagged, union
+from cohortlens.operators.sets import duplicates, require_empty, tagged, union
 
 SPLITS = ("train", "val", "test")
 MANIFEST_RULES = (
@@ -224,3 +224,37 @@ def inventory_audit(candidates: DataFrame, inventory: DataFrame, ledger: DataFra
         tagged("ledger_subject_unknown", listed.join(want, "subject", "left_anti"), F.col("subject")),
         rule_violations(required, F.col("comparison"), rules),
     ])
+
+
+def release_findings(records: DataFrame, id_col: str, configured: DataFrame, review: DataFrame, remaining: int | None = None, per_split: DataFrame | None = None, splits: Sequence[str] = ("train", "val")) -> DataFrame:
+    """What keeps a release from being cut by a configured list of exclusions (P18): (rule, key), empty if nothing does.
+
+    ``records`` is (id, split, …), ``configured`` (id), ``review`` (id, manual_status). The configured ids must be those that
+    were adjudicated EXCLUDE, exist in the source and stand in the review queue. ``remaining`` and ``per_split``, (split, n), are the
+    numbers of ids that have to be left; every split of the list must keep one.
+    """
+    listed, known = configured.select(id_col).distinct(), records.select(id_col).distinct()
+    queue = review.groupBy(id_col).agg(F.bool_or(F.coalesce(F.col("manual_status") == "EXCLUDE", F.lit(False))).alias("_out"))
+    judged = queue.where("_out")
+    kept = records.join(listed, id_col, "left_anti").groupBy("split").agg(F.count(F.lit(1)).alias("have"))
+    wanted = records.sparkSession.createDataFrame([(s,) for s in splits], "split string").join(kept, "split", "left")
+    found = [
+        tagged("configured_absent_from_source", listed.join(known, id_col, "left_anti"), F.col(id_col)),
+        tagged("configured_only", listed.join(judged, id_col, "left_anti"), F.col(id_col)),
+        tagged("adjudicated_only", judged.join(listed, id_col, "left_anti"), F.col(id_col)),
+        tagged("absent_from_review_queue", listed.join(queue, id_col, "left_anti"), F.col(id_col)),
+        tagged("split_left_empty", wanted.where("have IS NULL"), F.col("split")),
+    ]
+    if remaining is not None:
+        total = kept.agg(F.coalesce(F.sum("have"), F.lit(0)).alias("have"))
+        found.append(tagged("remaining_count_differs", total.where(F.col("have") != remaining), F.col("have")))
+    if per_split is not None:
+        both = wanted.join(per_split, "split", "full_outer").where(F.coalesce("have", F.lit(0)) != F.coalesce("n", F.lit(0)))
+        found.append(tagged("split_count_differs", both, F.col("split")))
+    return union(found)
+
+
+def select_release(records: DataFrame, id_col: str, configured: DataFrame, review: DataFrame, **expected) -> DataFrame:
+    """The records without the configured exclusions, splits as they are; an error with the first findings if there are any."""
+    require_empty(release_findings(records, id_col, configured, review, **expected), "release cannot be selected")
+    return records.join(configured.select(id_col).distinct(), id_col, "left_anti")

@@ -5,7 +5,12 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
+from cohortlens.functions import scalars
 from cohortlens.operators import rules
+from cohortlens.operators.sets import AuditError
+from cohortlens.plans import sql_templates
 
 MANIFEST = "split string, row_split string, participant string, pair_id string, label int, source_dataset string, source_split string, source_key string, case_id string, z int, model_shape array<int>"
 
@@ -125,3 +130,60 @@ def test_inventory(spark):
     exact = candidates.where("subject = 'a'")
     assert found(rules.inventory_audit(exact, inventory.where("subject = 'a'"), ledger.where("subject = 'a'"), audits, ["one"], total=2)) == []
     assert found(rules.inventory_audit(exact.where("false"), inventory.where("false"), ledger.where("false"), audits, [], total=1)) == [("candidate_row_count_mismatch", "0:1")]
+
+
+def test_release(spark):
+    records = spark.createDataFrame([(i, "val" if i > 6 else "train") for i in range(1, 10)], "id int, split string")
+    listed = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    review = spark.createDataFrame([(1, "EXCLUDE"), (8, "EXCLUDE"), (2, "KEEP"), (3, None)], "id int, manual_status string")
+    counts = spark.createDataFrame([("train", 5), ("val", 2)], "split string, n int")
+    kept = rules.select_release(records, "id", listed(1, 8, 8), review, remaining=7, per_split=counts)
+    assert sorted(r.id for r in kept.collect()) == [2, 3, 4, 5, 6, 7, 9]
+    assert found(rules.release_findings(records, "id", listed(1, 2, 4, 99), review, remaining=7, per_split=counts)) == sorted([
+        ("configured_only", "2"), ("configured_only", "4"), ("configured_only", "99"), ("configured_absent_from_source", "99"), ("absent_from_review_queue", "4"), ("absent_from_review_queue", "99"),
+        ("adjudicated_only", "8"), ("remaining_count_differs", "6"), ("split_count_differs", "train"), ("split_count_differs", "val")])
+    with pytest.raises(AuditError):
+        rules.select_release(records, "id", listed(1), review)
+    everyone = spark.createDataFrame([(i, "EXCLUDE") for i in (7, 8, 9)], "id int, manual_status string")
+    assert found(rules.release_findings(records, "id", listed(7, 8, 9), everyone)) == [("split_left_empty", "val")]
+
+
+def test_names(spark):
+    rows = [("UCX-0004_nifti", "/d/s7_T1.nii.gz"), ("UCX-0429_FU003d_nifti", "s8.NII"), ("_nifti", "plain"), ("UCX-1", "/x_y/s9_a_b.nii"), (None, None)]
+    got = spark.createDataFrame(rows, "folder string, file string").select(scalars.folder_stem("folder").alias("a"), scalars.file_subject("file").alias("b")).collect()
+    assert [tuple(r) for r in got] == [("UCX-0004", "s7"), ("UCX-0429_FU003d", "s8"), (None, "plain"), (None, "s9"), (None, None)]
+
+
+def test_sql_forms(spark):
+    rng = random.Random(2)
+    rows = [(f, n, rng.choice([None, float("nan"), 0.0, 1.0, 0.3, 0.3001, rng.random() / 50, rng.random()])) for f in ("a", "b", None) for n in range(60)]
+    spark.createDataFrame(rows, "family string, test int, p double").createOrReplaceTempView("tests_of_rules")
+
+    def holm(known):
+        out, top = {}, 0.0
+        for rank, (p, test) in enumerate(sorted(known)):
+            top = max(top, min(1.0, (len(known) - rank) * p))
+            out[test] = top
+        return out
+
+    def known(f):
+        return [(p, t) for g, t, p in rows if g == f and p is not None and p == p]
+
+    got = {(r.family, r.test): r.p_holm for r in spark.sql(sql_templates.holm_sql("tests_of_rules", ["family"], "p")).collect()}
+    assert len(got) == len(rows) and got == {(f, t): pytest.approx(holm(known(f))[t], abs=1e-14) if t in holm(known(f)) else None for f, t, _ in rows}
+    alone = [(p, t) for p, t in known("a")]
+    spark.table("tests_of_rules").where("family = 'a'").createOrReplaceTempView("one_family")
+    assert {r.test: r.p_holm for r in spark.sql(sql_templates.holm_sql("one_family", [], "p")).collect() if r.p_holm is not None} == pytest.approx(holm(alone), abs=1e-14)
+
+    scored = [(k, round(rng.uniform(-0.2, 1.2), 2), rng.random() < 0.4) for k in ("x", "y", None) for _ in range(150)] + [("all", 0.5, True)]
+    data = spark.createDataFrame(scored, "k string, score double, label boolean")
+    data.createOrReplaceTempView("scored")
+    by_sql = {r.k: r for r in spark.sql(sql_templates.ranking_sql("scored", ["k"])).collect()}
+    for k in ("x", "y", None):
+        pos, neg = ([s for g, s, l in scored if g == k and l is want] for want in (True, False))
+        wins = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg)
+        ap = sum(sum(p >= s for p in pos) / sum(v >= s for v in pos + neg) for s in pos) / len(pos)
+        assert (by_sql[k].n, by_sql[k].n_pos) == (150, len(pos))
+        assert by_sql[k].auc == pytest.approx(wins / len(pos) / len(neg)) and by_sql[k].ap == pytest.approx(ap)
+    assert by_sql["all"].auc is None and by_sql["all"].ap == 1.0
+    assert spark.sql(sql_templates.ranking_sql("scored", [])).first().n == len(scored)
