@@ -93,6 +93,26 @@ def final_results(spark, d):
     return t.table(spark, d, "pages").where(url.startswith("https") & ~url.rlike("(control|permut|shuffle|page=)")).select("page_id", "url")
 
 
+@query("p12_result_contract", """WITH x AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'raw' WHEN 1 THEN 'Final ' WHEN 2 THEN 'final' WHEN 3 THEN 'registered' END AS stage FROM part),
+y AS (SELECT k, CASE WHEN k % 13 = 0 THEN 'diagnostic_formalfit' WHEN stage IN ('raw', 'registered') THEN 'intermediate' WHEN k % 13 = 2 OR k % 7 IN (0, 3) OR k % 11 = 0 OR k % 6 IN (0, 2) THEN 'control' ELSE 'formal_final' END AS kind,
+ stage IS NOT NULL AND lower(trim(stage)) = 'final' AND k % 3 < 2 AND k % 2 = 0 AND k % 4 < 3 AS primary_row FROM x)
+SELECT k AS run, kind, primary_row, primary_row AND kind = 'formal_final' AS selected FROM y""")
+def result_contract(spark, d):
+    k = F.col("p_partkey")
+
+    def pick(n, *values):
+        return F.get(F.array(*[F.lit(v) for v in values]), (k % n).cast("int"))
+
+    stage = pick(5, "raw", "Final ", "final", "registered")
+    kind = pick(13, "diagnostic_fit", "formal_final", "negative control")
+    markers = {"is_control": pick(7, "yes", "no", "main", "swap"), "permutation_index": F.when(k % 11 == 0, "3"), "purpose": F.lit("domain_classifier nullable")}
+    path = F.concat(F.lit("/runs/domain_classifier/"), F.coalesce(pick(6, "tiny_overfit", "controlled", "Null-run"), F.lit("main")), F.lit("/summary.csv"))
+    selector = {"stage": "final", "modalities": "FLAIR+T1+T2", "classifier": "resnet", "seed": 73}
+    primary = scalars.is_primary(stage, pick(3, "T2, flair,t1", "FLAIR+T1+T2", "t1"), pick(2, "ResNet ", "logistic"), pick(4, "73", "73", "73", "74"), selector)
+    rows = t.table(spark, d, "part").select(k.alias("run"), scalars.result_kind(kind, stage, markers, [path]).alias("kind"), primary.alias("primary_row"))
+    return rows.withColumn("selected", F.col("primary_row") & (F.col("kind") == "formal_final"))
+
+
 @query("p13_text_normalizers", """WITH x AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 't2, flair' WHEN 1 THEN 'T1+FLAIR/T1' WHEN 2 THEN 'adc;t1' ELSE 't2' END AS m, CASE p_size % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'No' ELSE 'n/a' END AS s, p_size % 4 AS k, p_size % 3 AS j FROM part)
 SELECT p_partkey, CASE k WHEN 0 THEN 'FLAIR+T2' WHEN 1 THEN 'FLAIR+T1' WHEN 2 THEN 'T1+ADC' ELSE 'T2' END AS modalities, CASE j WHEN 0 THEN true WHEN 1 THEN false END AS passed FROM x""")
 def text_normalizers(spark, d):

@@ -253,3 +253,48 @@ def regularized_beta(x: Column, a: Column, b: Column, terms: int = 600) -> Colum
 def correlation_p(r: Column, n: Column) -> Column:
     """Two-sided p of a correlation of n points by Student's distribution with n - 2 degrees; NULL for fewer than three."""
     return F.when((n > 2) & r.isNotNull(), regularized_beta(1 - r * r, (n - 2) / F.lit(2.0), F.lit(0.5)))
+
+
+# Words that name a control, columns that flag one, neutral values of a flag, names of a diagnostic fit and of a main result.
+CONTROL_WORDS = ("control", "controls", "tiny", "overfit", "positive", "negative", "registered", "permutation", "permutations", "shuffle", "shuffled", "null")
+CONTROL_FLAGS = ("is_control", "control", "shuffle", "shuffled_labels")
+NEUTRAL_FLAGS = ("", "none", "null", "main", "formal", "final", "no", "false", "0")
+DIAGNOSTIC_KINDS = ("diagnostic_formalfit", "diagnostic_formal_fit", "diagnostic_fit")
+MAIN_KINDS = ("formal_final", "formal", "final", "main")
+
+
+def _bare(c: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
+
+
+def names_control(c: Column | str) -> Column:
+    """Whether a path or text has a word that names a control: words are runs of letters and digits, so no part of a word counts."""
+    return F.arrays_overlap(F.split(_bare(_col(c)), "[^a-z0-9]+"), F.array(*[F.lit(w) for w in CONTROL_WORDS]))
+
+
+def result_kind(kind: Column, stage: Column, markers: dict[str, Column], paths: list[Column]) -> Column:
+    """``diagnostic_formalfit``, ``intermediate`` (any stage but final; none counts as final), ``control`` or ``formal_final``.
+
+    A marker column speaks by its name: flags by truth, ``permutation_index`` by being there, all others and the stated kind
+    by the words that name a control.
+    """
+    marks = [F.when(~_bare(kind).isin(*MAIN_KINDS), names_control(kind)).otherwise(False)]
+    for name, value in markers.items():
+        if name in CONTROL_FLAGS:
+            marks.append(F.coalesce(tri_state(value), ~_bare(value).isin(*NEUTRAL_FLAGS)))
+        else:
+            marks.append(_bare(value) != "" if name == "permutation_index" else names_control(value))
+    marks += [names_control(p) for p in paths]
+    found = marks[0]
+    for m in marks[1:]:
+        found = found | m
+    final = _bare(stage).isin("", "final")
+    return F.when(_bare(kind).isin(*DIAGNOSTIC_KINDS), "diagnostic_formalfit").when(~final, "intermediate").when(found, "control").otherwise("formal_final")
+
+
+def is_primary(stage: Column, modalities: Column, classifier: Column, seed: Column, selector: dict) -> Column:
+    """Whether a row is that of the selector: stage, set of modalities, classifier and seed. A missing value is not."""
+    return (
+        (_bare(stage) == selector["stage"]) & (modality_set(F.coalesce(modalities, F.lit(""))) == selector["modalities"])
+        & (_bare(classifier) == selector["classifier"]) & F.coalesce(seed.try_cast("int") == selector["seed"], F.lit(False))
+    )

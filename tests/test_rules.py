@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.functions import scalars
 from cohortlens.operators import rules
@@ -187,3 +188,18 @@ def test_sql_forms(spark):
         assert by_sql[k].auc == pytest.approx(wins / len(pos) / len(neg)) and by_sql[k].ap == pytest.approx(ap)
     assert by_sql["all"].auc is None and by_sql["all"].ap == 1.0
     assert spark.sql(sql_templates.ranking_sql("scored", [])).first().n == len(scored)
+
+
+def test_result_contract(spark):
+    rows = [("a", None, "final", None, None, None, "/runs/main"), ("b", "Diagnostic_Fit", "raw", "yes", None, None, None), ("c", None, None, "no", "", "main", None), ("d", None, "registered", None, None, None, None),
+            ("e", None, " FINAL", "swap", None, None, None), ("f", None, "", "None", "0", None, None), ("g", "formal_final", "final", None, None, "same-cohort negative", None), ("h", "tiny control", "final", None, None, None, None),
+            ("i", None, "final", None, None, "domain_classifier", "/out/domain_controller/x"), ("j", None, "final", None, None, None, "/out/label-SHUFFLE/x"), ("k", "main", "final", "true", None, None, None)]
+    df = spark.createDataFrame(rows, "id string, kind string, stage string, flag string, permutation string, purpose string, path string")
+    kind = scalars.result_kind(F.col("kind"), F.col("stage"), {"is_control": F.col("flag"), "permutation_index": F.col("permutation"), "purpose": F.col("purpose")}, [F.col("path")])
+    got = {r.id: r.k for r in df.select("id", kind.alias("k")).collect()}
+    main, control = "formal_final", "control"
+    assert got == {"a": main, "b": "diagnostic_formalfit", "c": main, "d": "intermediate", "e": control, "f": control, "g": control, "h": control, "i": main, "j": control, "k": control}
+    selector = {"stage": "final", "modalities": "FLAIR+T1", "classifier": "resnet", "seed": 73}
+    runs = spark.createDataFrame([("Final", "t1, flair", "ResNet", "73"), (None, "FLAIR+T1", "resnet", "73"), ("final", "T1", "resnet", "73"), ("final", "FLAIR+T1", None, "73"), ("final", "FLAIR+T1", "resnet", "x")], "a string, b string, c string, d string")
+    primary = scalars.is_primary(F.col("a"), F.col("b"), F.col("c"), F.col("d"), selector)
+    assert [r.p for r in runs.select(primary.alias("p")).collect()] == [True, False, False, False, False]
