@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import draws
-from cohortlens.operators import scale
+from cohortlens.operators import normalize, scale
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +108,18 @@ def test_resumed_ingestion_refuses_other_rows_of_a_stored_subject(spark, tmp_pat
     assert spark.read.parquet(target).count() == 4
     with pytest.raises(Exception, match="stored with other rows"):
         arrive([(2, 0.4)])
+
+
+def test_landmarks_are_neither_joined_nor_shuffled(spark, frame):
+    plan = normalize.landmarks(frame[0].withColumn("v", F.col("v") + 10), ["k"], "v", 64)._jdf.queryExecution().sparkPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert "Aggregate" not in above and "Join" not in above
+    # One row per key and band is merged where the rows lie, whatever the size of the files says.
+    assert "BroadcastHashJoin" not in plan
+
+
+def test_landmarks_of_a_constant_group_fail(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 3.0)], "k string, v double")
+    assert normalize.landmarks(df.where("k = 'a'"), ["k"], "v", 4).count() == 5
+    with pytest.raises(Exception, match="constant group"):
+        normalize.landmarks(df, ["k"], "v", 4).collect()
