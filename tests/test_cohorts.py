@@ -269,3 +269,16 @@ def test_source_stratified_pairs(spark):
     assert sizes == expected
     inside = out.groupBy("pair_id").agg(F.countDistinct("source").alias("s"), F.countDistinct("split").alias("t"))
     assert inside.where("s > 1 OR t > 1").isEmpty()
+
+
+def test_both_sides_of_a_pairing_take_their_first_case_in_one_join(spark):
+    rows = spark.createDataFrame([(p, c, z, z, p % 2, "train", f"{p}:{c}:{z}") for p in range(8) for c in range(2) for z in range(2)],
+                                 "participant long, case_id long, z int, z_bin int, label int, split string, record_id string")
+    built = pairing.build_pairs(rows.where("label = 0"), rows.where("label = 1"))
+    # A union of two such joins fails where adaptive execution cuts one side into more partitions than the other.
+    assert built.records._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
+    found = built.records.collect()
+    assert len(found) == 16 and {r.case_id for r in found} == {0}
+    # A participant on both sides has a first case on each.
+    both = rows.where("case_id = 1 or label = 0").withColumn("participant", F.lit(1).cast("long"))
+    assert {(r.label, r.case_id) for r in pairing.primary_case(both, within=["label"]).collect()} == {(0, 0), (1, 1)}
