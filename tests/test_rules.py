@@ -203,3 +203,14 @@ def test_result_contract(spark):
     runs = spark.createDataFrame([("Final", "t1, flair", "ResNet", "73"), (None, "FLAIR+T1", "resnet", "73"), ("final", "T1", "resnet", "73"), ("final", "FLAIR+T1", None, "73"), ("final", "FLAIR+T1", "resnet", "x")], "a string, b string, c string, d string")
     primary = scalars.is_primary(F.col("a"), F.col("b"), F.col("c"), F.col("d"), selector)
     assert [r.p for r in runs.select(primary.alias("p")).collect()] == [True, False, False, False, False]
+
+
+def test_means_on_a_limit_do_not_depend_on_the_order_of_their_values(spark, tmp_path):
+    taxes = {1: [0.01, 0.02, 0.03], 2: [0.03, 0.02, 0.01]}
+    spark.createDataFrame([(k, 5, 950.0) for k in taxes], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(k, 20.0, 0.05, x) for k, xs in taxes.items() for x in xs]
+    spark.createDataFrame(lines, "l_partkey long, l_quantity double, l_discount double, l_tax double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    from cohortlens.catalog import audits as queries
+
+    flags = [r.flags for r in queries.qc_status(spark, str(tmp_path)).collect()]
+    assert flags == [["REVIEW:T1_MNI_MI_improvement_nonpositive"]] * 2
