@@ -196,3 +196,11 @@ def test_hot_subject_gives_the_same_result(spark):
     auc, ap = brute(hot.label.astype(int), hot.score)
     got = ranking.ranking(base, ["subject"]).where("subject = 'hot'").collect()[0]
     assert got.auc == pytest.approx(auc) and got.ap == pytest.approx(ap)
+
+
+def test_sweep_neither_sorts_nor_holds_rows_of_thresholds(spark):
+    df = spark.createDataFrame([(k, i / 10, i % 3 == 0) for k in "ab" for i in range(11)], "subject string, score float, label boolean")
+    thresholds = [0.05, 0.5, 0.5, 0.95, 2.0]
+    swept = sweep.sweep_counts(df, thresholds)
+    assert "Window" not in swept._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, swept.collect())) == sorted(map(tuple, sweep.sweep_counts_loop(df, thresholds).collect()))
