@@ -200,38 +200,23 @@ def matched_controls(low: DataFrame, pools: DataFrame, seed: int, keys: Sequence
 
     ``low`` is (keys, key, case_id, z, support) and ``pools`` the same with ``pool``. Slices are grouped to cells of
     depth and support; cells within reach are matched nearest first and their members paired by seeded rank. A pair that
-    turns out to exceed the support limit or to share its case is dissolved, and its slices enter the next pass with what
-    is left; passes end when one adds nothing. Low slices without a control in every pool give back what they hold, and
-    ``_complete`` matches them slice by slice, so that none is left that could still have a control in every pool. The
-    result has one row per low slice and pool: (keys, key, pool, control, distance). Keys of slices are unique.
+    turns out to exceed the support limit or to share its case is dissolved. Low slices without a control in every pool give
+    back what they hold, and ``_complete`` matches them slice by slice, so that none is left that could still have a control
+    in every pool. The result has one row per low slice and pool: (keys, key, pool, control, distance). Keys of slices are unique.
     """
     keys = [*keys, "pool"]
     names = [r[0] for r in pools.select("pool").distinct().collect()]
     cell = F.struct(F.col("z"), F.floor(F.col("support") / SUPPORT_GRID).cast("int").alias("cell"))
     lows = low.withColumn("pool", F.explode(F.array(*[F.lit(n) for n in names])))
-    open0, open1 = staged(lows.withColumn("cls", cell)), staged(pools.withColumn("cls", cell))
-    found: DataFrame | None = None
-    attempt = 0
-    while True:
-        rank0 = staged(draws.permuted(open0, "key", f"{seed}:{attempt}:low", [*keys, "cls"], "rank"))
-        rank1 = staged(draws.permuted(open1, "key", f"{seed}:{attempt}:control", [*keys, "cls"], "rank"))
-        matched = match_classes(_cells_in_reach(rank0, rank1, keys), keys)
-        a = rank0.select(*keys, "cls", "rank", "key", F.col("case_id").alias("_c0"), F.col("z").alias("_z0"), F.col("support").alias("_s0"))
-        b = rank1.select(*keys, "cls", "rank", F.col("key").alias("control"), F.col("case_id").alias("_c1"), F.col("z").alias("_z1"), F.col("support").alias("_s1"))
-        pairs = expand_matches(matched, a, b, keys)
-        gap = F.abs(F.col("_s0") - F.col("_s1"))
-        good = staged(
-            pairs.where((gap <= SUPPORT_REACH) & (F.col("_c0") != F.col("_c1")))
-            .select(*keys, "key", "control", (F.abs(F.col("_z0") - F.col("_z1")) / Z_REACH + gap / SUPPORT_REACH).alias("distance"))
-        )
-        if good.isEmpty():
-            break
-        found = good if found is None else staged(found.unionByName(good))
-        open0 = staged(open0.join(good.select(*keys, "key"), [*keys, "key"], "left_anti"))
-        open1 = staged(open1.join(good.select(*keys, F.col("control").alias("key")), [*keys, "key"], "left_anti"))
-        attempt += 1
-    first = _whole_sets(good if found is None else found, keys[:-1], len(names))
-    return _complete(low, pools, staged(first), names, seed, keys)
+    rank0 = staged(draws.permuted(lows.withColumn("cls", cell), "key", f"{seed}:low", [*keys, "cls"], "rank"))
+    rank1 = staged(draws.permuted(pools.withColumn("cls", cell), "key", f"{seed}:control", [*keys, "cls"], "rank"))
+    matched = match_classes(_cells_in_reach(rank0, rank1, keys), keys)
+    a = rank0.select(*keys, "cls", "rank", "key", F.col("case_id").alias("_c0"), F.col("z").alias("_z0"), F.col("support").alias("_s0"))
+    b = rank1.select(*keys, "cls", "rank", F.col("key").alias("control"), F.col("case_id").alias("_c1"), F.col("z").alias("_z1"), F.col("support").alias("_s1"))
+    gap = F.abs(F.col("_s0") - F.col("_s1"))
+    good = expand_matches(matched, a, b, keys).where((gap <= SUPPORT_REACH) & (F.col("_c0") != F.col("_c1"))).select(
+        *keys, "key", "control", (F.abs(F.col("_z0") - F.col("_z1")) / Z_REACH + gap / SUPPORT_REACH).alias("distance"))
+    return _complete(low, pools, staged(_whole_sets(good, keys[:-1], len(names))), names, seed, keys)
 
 
 def _whole_sets(found: DataFrame, keys: Sequence[str], pools: int) -> DataFrame:
@@ -243,36 +228,55 @@ def _whole_sets(found: DataFrame, keys: Sequence[str], pools: int) -> DataFrame:
 def _complete(low: DataFrame, pools: DataFrame, matched: DataFrame, names: Sequence[str], seed: int, keys: Sequence[str]) -> DataFrame:
     """Adds matches for low slices that can still have an unused control in every pool, until there is none.
 
-    The low slices propose in one seeded order, the same in all pools. So the first of them that has a candidate
-    everywhere gets its nearest one in each pool, and every round adds at least one set. A low slice with an empty pool
-    within reach leaves for good, as unused controls only become fewer. What is left after the passes by cells are mostly slices of
-    crowded cells, which have no open cell in reach and drop out before any pair is formed.
+    In every round a low slice proposes to one control of each pool, drawn from all it may have, and a control takes the
+    proposal that comes first in an order of the low slices that is the same in all pools. So the first of them that has a
+    candidate everywhere gets a set in any case, and most draws do not meet: a round settles a share of what is open, not one
+    slice of each crowd. In the rounds by rank a slice looks at one unused control in each cell within reach, an equi-join; only
+    when these find no more sets, all controls are looked at that lie in cells whose range of support is within reach. A
+    low slice with an empty pool within reach leaves for good, as unused controls only become fewer.
     """
     keys, base = list(keys), list(keys[:-1])
     steps = int(round(SUPPORT_REACH / SUPPORT_GRID))
+    place = [*keys, "_z", "_cell"]
     cell = F.floor(F.col("support") / SUPPORT_GRID).cast("int")
-    reach = low.select(*base, "key", "case_id", "z", "support", cell.alias("_cell")).withColumn("pool", F.explode(F.array(*[F.lit(n) for n in names])))
-    reach = reach.withColumn("_dz", F.explode(F.sequence(F.lit(-Z_REACH), F.lit(Z_REACH)))).withColumn("_ds", F.explode(F.sequence(F.lit(-steps), F.lit(steps))))
-    reach = reach.select(*keys, "key", "case_id", "support", F.abs("_dz").alias("_gap"), (F.col("z") + F.col("_dz")).cast("int").alias("_z"), (F.col("_cell") + F.col("_ds")).alias("_cell"))
-    controls = pools.select(*keys, F.col("key").alias("control"), F.col("case_id").alias("_case"), F.col("z").cast("int").alias("_z"), cell.alias("_cell"), F.col("support").alias("_support"))
+    unused = pools.select(*keys, F.col("key").alias("control"), F.col("case_id").alias("_case"), F.col("z").cast("int").alias("_z"), cell.alias("_cell"), F.col("support").alias("_support"))
+    waiting = low.select(*base, "key", "case_id", "z", "support", cell.alias("_own"))
+    gap = F.abs(F.col("support") - F.col("_support"))
+    turn = F.struct(draws.hash_text(f"{seed}:turn", "key").alias("turn"), F.col("key"))
+    sets, step, number, by_rank = [matched], matched, 0, True
     while True:
-        unused = staged(controls.join(matched.select(*keys, "control"), [*keys, "control"], "left_anti"))
-        waiting = reach.join(matched.select(*base, "key").distinct(), [*base, "key"], "left_anti")
-        near = waiting.join(unused.select(*keys, "_z", "_cell").distinct(), [*keys, "_z", "_cell"])
+        unused = staged(unused.join(step.select(*keys, "control"), [*keys, "control"], "left_anti"))
+        ranked = draws.permuted(unused, "control", f"{seed}:{number}:unused", place, "_r")
+        cells = unused.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), F.min("_support").alias("_from"), F.max("_support").alias("_to"))
+        around = waiting.join(step.select(*base, "key").distinct(), [*base, "key"], "left_anti").withColumn("pool", F.explode(F.array(*[F.lit(n) for n in names])))
+        around = around.withColumn("_dz", F.explode(F.sequence(F.lit(-Z_REACH), F.lit(Z_REACH)))).withColumn("_ds", F.explode(F.sequence(F.lit(-steps), F.lit(steps))))
+        around = around.withColumns({"_z": (F.col("z") + F.col("_dz")).cast("int"), "_cell": F.col("_own") + F.col("_ds")}).drop("_ds", "_own")
+        # A rounded limit must not rule a cell out: the exact test follows on the pairs.
+        near = around.join(cells, place).where((F.col("_from") - F.col("support") <= SUPPORT_REACH + 1e-9) & (F.col("support") - F.col("_to") <= SUPPORT_REACH + 1e-9))
         hopeful = near.groupBy(*base, "key").agg(F.countDistinct("pool").alias("_n")).where(F.col("_n") == len(names)).drop("_n")
-        gap = F.abs(F.col("support") - F.col("_support"))
-        edges = near.join(staged(hopeful), [*base, "key"], "left_semi").join(unused, [*keys, "_z", "_cell"]).where((gap <= SUPPORT_REACH) & (F.col("case_id") != F.col("_case")))
-        edges = staged(edges.select(*keys, "key", "control", (F.col("_gap") / Z_REACH + gap / SUPPORT_REACH).alias("distance")))
-        able = edges.groupBy(*base, "key").agg(F.countDistinct("pool").alias("_n")).where(F.col("_n") == len(names)).drop("_n")
-        edges = staged(edges.join(able, [*base, "key"]))
-        if edges.isEmpty():
-            return matched
-        one = F.lit(1).cast("long")
-        turn = F.struct(draws.hash_text(f"{seed}:turn", "key").alias("turn"), "key", "distance", "control")
-        pairs = edges.select(*keys, F.col("key").alias("c0"), F.col("control").alias("c1"), one.alias("s0"), one.alias("s1"), turn.alias("order"))
-        chosen = match_classes(pairs, keys).select(*keys, F.col("c0").alias("key"), F.col("c1").alias("control"))
-        step = _whole_sets(chosen.join(edges, [*keys, "key", "control"]), base, len(names))
-        matched = staged(matched.unionByName(step.select(*matched.columns)))
+        near = staged(near.join(hopeful, [*base, "key"], "left_semi"))
+        waiting = staged(near.groupBy(*base, "key").agg(*[F.first(c).alias(c) for c in ("case_id", "z", "support")]).withColumn("_own", cell))
+        if by_rank:
+            drawn = near.withColumn("_r", draws.hash_index(F.col("_n"), f"{seed}:{number}", "key", "_z", "_cell").cast("long"))
+            met = drawn.join(ranked, [*place, "_r"])
+        else:
+            met = near.join(unused, place)
+        edges = met.where((gap <= SUPPORT_REACH) & (F.col("case_id") != F.col("_case")))
+        able = (F.abs("_dz") / Z_REACH + gap / SUPPORT_REACH).alias("distance")
+        lot = F.struct(draws.hash_text(f"{seed}:{number}:lot", "key", "control").alias("lot"), F.col("control"), able)
+        # One proposal for each low slice and pool, then one low slice for each control.
+        asked = edges.groupBy(*keys, "key").agg(F.min(lot).alias("_e")).select(*keys, "key", "_e.control", "_e.distance")
+        asked = staged(_whole_sets(asked, base, len(names)))
+        taken = asked.groupBy(*keys, "control").agg(F.min(F.struct(turn.alias("turn"), F.col("distance"))).alias("_t")).select(*keys, "control", F.col("_t.turn.key").alias("key"), F.col("_t.distance").alias("distance"))
+        number += 1
+        if asked.isEmpty():
+            if not by_rank:
+                return union(sets)
+            by_rank, step = False, asked
+            continue
+        step = staged(_whole_sets(taken, base, len(names)).select(*matched.columns))
+        sets.append(step)
+        by_rank = True
 
 
 def _cells_in_reach(rank0: DataFrame, rank1: DataFrame, keys: Sequence[str]) -> DataFrame:

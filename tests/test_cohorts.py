@@ -5,6 +5,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from cohortlens.operators import audits, controls, pairing, splits
@@ -208,6 +209,19 @@ def test_no_admissible_control_is_left(spark, seed):
         assert any(not any(fits(lows[key], x) for (p, k), x in others.items() if p == pool and (p, k) not in used) for pool in "ab")
 
 
+def test_a_crowd_of_low_slices_settles_in_few_rounds(spark, monkeypatch):
+    """Ninety low slices are in reach of the same eighty controls: a round has to settle a share of them, not one."""
+    cols = "p string, key string, case_id string, z int, support double"
+    low = spark.createDataFrame([("p", f"l{i}", "x", 0, 0.5001) for i in range(90)], cols)
+    pools = spark.createDataFrame([("p", f"c{i}", "y", 0, 0.5001 + i * 1e-6, "a") for i in range(80)], f"{cols}, pool string")
+    writes, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: writes.append(path) or write(self, path, *a, **k))
+    none = spark.createDataFrame([], "p string, key string, pool string, control string, distance double")
+    got = controls._complete(low, pools, none, ["a"], 5, ["p", "pool"]).collect()
+    assert len(got) == len({r.control for r in got}) == len({r.key for r in got}) == 80
+    assert len(writes) < 75
+
+
 def greedy_classes(side0, side1, seed):
     """All pairs of classes in one order, taken one after the other: {(c0, c1): amount}."""
     left = [{c: n for c, _, _, n in s} for s in (side0, side1)]
