@@ -8,6 +8,7 @@ from cohortlens.catalog import query
 from cohortlens.catalog import sqltext as S
 from cohortlens.functions import draws
 from cohortlens.operators import pairing, splits
+from cohortlens.operators.scale import parallelism
 from cohortlens.plans import tables as t
 
 
@@ -143,7 +144,9 @@ def copy_numbers(spark, d):
 
 @query("l8_bucket_draw", f"""WITH {DRAW} SELECT bucket, count(*) AS rows_out, count(DISTINCT record_id) AS distinct_sources, CAST(max(duplicate_sequence) AS INTEGER) AS max_copies FROM e GROUP BY bucket""")
 def bucket_draw(spark, d):
-    per = drawn(spark, d).groupBy("bucket", "record_id").agg(F.count(F.lit(1)).alias("n"), F.max("duplicate_sequence").alias("m"))
+    # Dealt by source before the count: adaptive execution would put small files, but many sources, in one task.
+    rows = drawn(spark, d).repartition(4 * parallelism(spark), "record_id")
+    per = rows.groupBy("bucket", "record_id").agg(F.count(F.lit(1)).alias("n"), F.max("duplicate_sequence").alias("m"))
     return per.groupBy("bucket").agg(
         F.sum("n").alias("rows_out"), F.count(F.lit(1)).alias("distinct_sources"), F.max("m").cast("int").alias("max_copies")
     )
@@ -235,7 +238,7 @@ def first_per_group(spark, d):
 
 @query("f1_manifest_order", f"""WITH {S.PAIRS} SELECT record_id, row_number() OVER (ORDER BY CASE split WHEN 'train' THEN 1 WHEN 'val' THEN 2 ELSE 3 END, pair_id, label, z_bin, z, record_id) - 1 AS position FROM paired""")
 def manifest_order(spark, d):
-    from cohortlens.operators.scale import BAND, ordinals, parallelism
+    from cohortlens.operators.scale import BAND, ordinals
 
     rows = t.paired_records(spark, d).withColumn("_s", splits.order_map("split", splits.SPLITS))
     # The pair id ends in a uniform hexadecimal hash, so (split, leading hash digits) is a balanced monotone band.

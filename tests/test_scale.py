@@ -123,3 +123,20 @@ def test_landmarks_of_a_constant_group_fail(spark):
     assert normalize.landmarks(df.where("k = 'a'"), ["k"], "v", 4).count() == 5
     with pytest.raises(Exception, match="constant group"):
         normalize.landmarks(df, ["k"], "v", 4).collect()
+
+
+def test_quotas_and_sizes_are_joined_without_dealing_rows_by_bucket(spark):
+    """Few buckets with many rows: a join planned by guesses of size would sort a whole bucket in one task."""
+    from cohortlens.operators import splits
+
+    rows = spark.range(4000).select(F.concat(F.lit("r"), "id").alias("id"), (F.col("id") % 3).cast("int").alias("bucket"))
+    quota = splits.quotas(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("w")), "bucket", "w", 9000)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "6000")
+    try:
+        out = splits.draw_by_quota(rows, "bucket", "id", quota, 7)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("BroadcastHashJoin") >= 2
+    assert out.count() == 9000
