@@ -1,5 +1,6 @@
 """Bootstrap, swap test, Holm, gates, QC and the control model."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from cohortlens.functions import draws
 from cohortlens.operators import audits, gates, model, pairing, ranking, resampling
 from cohortlens.sources import metrics_csv
 
@@ -268,3 +270,22 @@ def test_correlation_p_against_an_integral(spark):
         assert got[r, n] == pytest.approx(whole * (weights * f).sum() * (angle[1] - angle[0]) / 3, abs=2e-9)
     few = spark.createDataFrame([(0.5, 2), (None, 10)], "r double, n long")
     assert [x[0] for x in few.select(scalars.correlation_p(F.col("r"), F.col("n"))).collect()] == [None, None]
+
+
+def test_hashes_of_a_grid_are_those_of_single_texts():
+    heads = [f"73|{b}|".encode() for b in (1, 9, 10, 999, 2000)]
+    tails = [b"", b"0", b"1023", "pär".encode(), b"x" * 47, b"x" * 48, b"y" * 49, b"z" * 50, b"q" * 200, *(b"%d" % k for k in range(9000))]
+    got = draws.hash_grid(heads, tails)
+    want = [[int(hashlib.md5(h + t).hexdigest()[:15], 16) for t in tails] for h in heads]
+    assert got.tolist() == want
+
+
+def test_draws_follow_the_hash_for_every_key(spark):
+    sizes = spark.createDataFrame([(0, 40), (1, 41), (2, 1500)], "seed int, _n long")
+    found = {}
+    for r in resampling._draws(sizes, ["seed"], 20, 73).collect():
+        found.setdefault((r.seed, r.replicate), []).extend(int(x) + 1024 * r._block for x in np.frombuffer(r.drawn, "<u2"))
+    assert len(found) == 60
+    for (s, b), units in found.items():
+        n = (40, 41, 1500)[s]
+        assert sorted(units) == sorted(int(hashlib.md5(f"73|{b}|{k}".encode()).hexdigest()[:15], 16) % n for k in range(n))
