@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortlens.catalog import query
 from cohortlens.catalog import sqltext as S
 from cohortlens.operators import sets
+from cohortlens.operators.scale import parallelism
 from cohortlens.plans import tables as t
 
 SLICES = """sl AS (SELECT l_orderkey AS case_id, l_linenumber - 1 AS z FROM lineitem), se AS (SELECT o_orderkey AS case_id, CASE WHEN o_orderstatus = 'P' THEN 'EXCLUDED' ELSE 'PASS' END AS status FROM orders)"""
@@ -120,7 +121,8 @@ def curve_join(spark, d):
 
 @query("j12_one_to_many", f"""WITH {S.RECORDS}, f AS (SELECT case_id, count(*) AS slices, round(avg(support), 9) AS mean_support FROM records GROUP BY case_id) SELECT r.record_id, case_id, slices, mean_support FROM f JOIN records r USING (case_id)""")
 def one_to_many(spark, d):
-    rows = t.records(spark, d)
+    # Dealt once by case for both sides, in shares that adaptive execution does not merge.
+    rows = t.records(spark, d).select("case_id", "record_id", "support").repartition(4 * parallelism(spark), "case_id")
     features = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("slices"), F.round(F.avg("support"), 9).alias("mean_support"))
     return sets.one_to_many(features, rows.select("case_id", "record_id"), ["case_id"])
 
@@ -196,7 +198,8 @@ n AS (SELECT participant, z, m, sum(d) AS d FROM (SELECT *, 1 AS d FROM a UNION
 def full_row_comparison(spark, d):
     from cohortlens.functions import scalars
 
-    rows = t.records(spark, d)
+    # Dealt once for both sides: the counts of one task stay a small share of all rows.
+    rows = t.records(spark, d).select("participant", "z", "site", "stage", "source_key").repartition(4 * parallelism(spark), "participant", "z")
 
     def canonical(stage):
         entries = F.create_map(F.lit("stage"), stage, F.lit("site"), F.col("site"))
