@@ -140,3 +140,13 @@ def test_quotas_and_sizes_are_joined_without_dealing_rows_by_bucket(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert plan.count("BroadcastHashJoin") >= 2
     assert out.count() == 9000
+
+
+@pytest.mark.parametrize("name", ["u5_full_row_comparison", "j12_one_to_many"])
+def test_rows_are_dealt_once_in_fixed_shares(spark, name):
+    """Merged partitions put millions of distinct rows in the hash table of one task."""
+    from cohortlens import catalog
+
+    catalog.load_all()
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
