@@ -87,9 +87,9 @@ UNION ALL SELECT DISTINCT 'participant_not_in_expected_map', CAST(participant AS
 UNION ALL SELECT 'expected_split_differs', CAST(p.participant AS VARCHAR) FROM (SELECT participant, list(DISTINCT split) AS s FROM obs WHERE label = 0 GROUP BY 1) p JOIN want USING (participant) WHERE p.s <> [want.split])"""
 
 
-def source_rows(spark, d):
+def source_rows(records):
     """Healthy records as the source tables know them: (source_dataset, source_split, record_id, participant, case_id, z)."""
-    return t.records(spark, d).where("label = 0").select(F.concat(F.lit("healthy_"), "source").alias("source_dataset"), F.concat(F.lit("s"), F.col("z") % 2).alias("source_split"), "record_id", "participant", "case_id", "z")
+    return records.where("label = 0").select(F.concat(F.lit("healthy_"), "source").alias("source_dataset"), F.concat(F.lit("s"), F.col("z") % 2).alias("source_split"), "record_id", "participant", "case_id", "z")
 
 
 def repeated(rows, copies):
@@ -104,7 +104,8 @@ def source_index(rows):
 
 def grid_violations(spark, d):
     k, case, s, person = F.col("source_key"), F.col("case_id"), F.col("support"), F.col("participant")
-    rows = staged(t.paired_records(spark, d).select(
+    mapped = t.split_records(spark, d)
+    rows = staged(t.paired_records(spark, d, mapped).select(
         "participant", "record_id", "pair_id", F.when(k % 53 == 0, "test").otherwise(F.col("split")).alias("split"), "label", "z",
         F.when(k % 43 == 0, F.col("z_norm") + 0.01).otherwise(F.col("z_norm")).alias("z_norm"), F.when(k % 59 == 0, F.col("z_bin") + 1).otherwise(F.col("z_bin")).alias("z_bin"), "case_id",
         F.when(k % 74 == 0, F.array(s, s)).otherwise(F.array(s, F.least(s * 1.5, F.lit(1.0)), F.when(k % 37 != 0, s))).alias("support"),
@@ -112,9 +113,9 @@ def grid_violations(spark, d):
         F.concat(F.lit("/seg/"), "case_id").alias("seg_path"), F.concat(F.lit("healthy_"), "source").alias("source_dataset"), F.concat(F.lit("s"), F.col("z") % 2).alias("source_split"), F.concat(F.lit("m"), "record_id").alias("source_key"),
     ))
     files = t.table(spark, d, "orders").where("o_orderkey % 29 <> 0").select(F.concat(F.lit("/seg/"), "o_orderkey").alias("path"))
-    healthy = staged(source_rows(spark, d))
+    healthy = staged(source_rows(mapped))
     mixed = repeated(healthy.where(case % 31 != 0).select("source_split", F.concat(F.lit("m"), "record_id").alias("mixed_local_key"), "source_dataset", F.col("record_id").alias("source_key"), "case_id"), F.when(case % 101 == 0, 2).otherwise(1))
-    frozen = staged(t.split_records(spark, d).select("participant", "split", "label").distinct())
+    frozen = staged(mapped.select("participant", "split", "label").distinct())
     maps = frozen.where((F.col("label") == 0) & (person % 3 != 0)).select(F.lit("healthy").alias("map"), "participant", F.when(person % 17 == 0, "val").otherwise(F.col("split")).alias("split")).unionByName(
         frozen.where((F.col("label") == 1) & (person % 4 != 0)).select(F.lit("lesion").alias("map"), "participant", F.when(person % 19 == 0, "train").otherwise(F.col("split")).alias("split")))
     expected = frozen.where((F.col("label") == 0) & (person % 23 != 0)).select("participant", F.when(person % 13 == 0, "test").otherwise(F.col("split")).alias("split"))
@@ -137,8 +138,9 @@ SELECT 'missing_split_local_key' AS rule, record_id AS key FROM h WHERE record_i
 UNION ALL SELECT 'metadata_mismatch', record_id FROM h JOIN src ON (dataset, part, record_id) = (source_dataset, source_split, source_id) WHERE (h.participant, h.case_id, h.z) <> (src.participant, src.case_id, src.z)
 UNION ALL SELECT 'duplicate_source_key', concat_ws(':', source_dataset, source_split, source_id) FROM src WHERE copies > 1""")
 def direct_source_joins(spark, d):
-    rows = t.paired_records(spark, d).withColumns({"source_dataset": F.concat(F.lit("healthy_"), "source"), "source_split": F.concat(F.lit("s"), F.col("z") % 2), "source_key": F.col("record_id")})
-    return rules.source_joins(rows, source_index(source_rows(spark, d)))
+    mapped = t.split_records(spark, d)
+    rows = t.paired_records(spark, d, mapped).withColumns({"source_dataset": F.concat(F.lit("healthy_"), "source"), "source_split": F.concat(F.lit("s"), F.col("z") % 2), "source_key": F.col("record_id")})
+    return rules.source_joins(rows, source_index(source_rows(mapped)))
 
 
 @query("n18_inventory_audit", f"""WITH {S.RECORDS}, fc AS (SELECT participant, min(case_id) AS case_id FROM records WHERE label = 1 GROUP BY 1),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalars
-from cohortlens.operators import rules
+from cohortlens.operators import rules, scale
 from cohortlens.operators.sets import AuditError
 from cohortlens.plans import sql_templates
 
@@ -109,6 +109,23 @@ def test_source_joins(spark):
         ("duplicate_mixed_split_local_key", "s:m2"), ("duplicate_source_key", "d:s:2"), ("missing_mixed_split_local_key", "gone"), ("missing_underlying_source_key", "lost"), ("mixed_underlying_metadata_mismatch", "moved")]
 
 
+def test_sources_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(scale, "ROWS_AT_ONCE", 25)
+    keys = "source_dataset string, source_split string, source_key string"
+    base = spark.range(700).selectExpr("'d' AS source_dataset", "'s' AS source_split", "CASE WHEN id < 300 THEN 'many' WHEN id < 600 THEN 'copies' ELSE CAST(id AS STRING) END AS source_key",
+                                       "'p' AS participant", "'c' AS case_id", "CAST(CASE WHEN id < 300 THEN 299 - id ELSE 7 END AS INT) AS z")
+    rows = [("least", 0, "d", "s", "many", "p", "c", 0), ("other", 0, "d", "s", "many", "p", "c", 1), ("copy", 0, "d", "s", "copies", "p", "c", 7), ("last", 0, "d", "s", "699", "p", "c", 7)]
+    out = rules.source_joins(spark.createDataFrame(rows, f"record_id string, label int, {keys}, participant string, case_id string, z int"), base)
+    assert found(out) == [("duplicate_source_key", "d:s:copies"), ("duplicate_source_key", "d:s:many"), ("metadata_mismatch", "other")]
+    # 28 tasks for the 700 rows, which the planner does not join into few.
+    assert ", 28), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    files = spark.range(700).select(F.concat(F.lit("/"), "id").alias("path"))
+    listed = rules.grid_rows(spark.createDataFrame([("gone", 1, 6, 1.0, [0.2] * 3, 0, 0, True, True, "/x"), ("ok", 1, 6, 1.0, [0.2] * 3, 0, 0, True, True, "/699")],
+        "record_id string, label int, z int, z_norm double, support array<double>, native_voxels int, mask_voxels int, native_checked boolean, mask_checked boolean, seg_path string"), files, 7, 0.2)
+    assert found(listed) == [("zero_mask", "gone")]
+    assert ", 28), REPARTITION_BY_NUM" in listed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_split_maps(spark):
     rows = [("ok", "train", 0), ("ok", "train", 0), ("two", "train", 0), ("two", "val", 0), ("moved", "val", 0), ("new", "test", 0), ("sick", "val", 1), ("sick_new", "val", 1), ("both", "test", 1), ("both", "val", 1), ("none", None, 0)]
     data = spark.createDataFrame(rows, "participant string, split string, label int")
