@@ -16,7 +16,8 @@ FEATURES = ("support", "z_norm", "u")
 
 def model_rows(spark, d):
     """Paired slices with three features, one of them informative."""
-    rows = t.paired_records(spark, d)
+    mapped = t.split_records(spark, d, ["participant", "case_id", "z", "z_norm", "z_bin", "label", "support", "record_id"])
+    rows = t.paired_records(spark, d, mapped)
     return staged(rows.select("split", "pair_id", "participant", "record_id", "label", "support", "z_norm", t.probability("7", "record_id", F.col("label")).alias("u")))
 
 
@@ -66,10 +67,8 @@ sub AS (SELECT r, participant, label, round(avg(1 / (1 + exp(-(b1 * x1 + b2 * x2
 SELECT round(observed, 6) AS observed_auc, count(*) AS replicates, round(avg(auc), 6) AS null_mean, 'complete' AS status,
  round((1 + count(*) FILTER (WHERE abs(auc - 0.5) >= abs(observed - 0.5) - 1e-15)) / (1 + count(*)), 6) AS p_value FROM nul, o GROUP BY observed""")
 def permutation_null(spark, d):
-    rows = model_rows(spark, d)
-    null = model.permutation_null(rows, FEATURES, range(REFITS), 73)
-    test = ranking.aggregate_subjects(model.held_out_scores(rows, FEATURES).where("split = 'test'"))
-    out = model.permutation_p_value(null, ranking.ranking(test, []), REFITS)
+    null, observed = model.permutation_test(model_rows(spark, d), FEATURES, range(REFITS), 73)
+    out = model.permutation_p_value(null, observed, REFITS)
     return out.select(F.round("observed_auc", 6).alias("observed_auc"), "replicates", F.round("null_mean", 6).alias("null_mean"), "status", F.round("p_value", 6).alias("p_value"))
 
 

@@ -6,7 +6,6 @@ Hessian of every replicate, and one small linear system each. The number of step
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions import draws
 from cohortlens.operators import normalize, ranking
-from cohortlens.operators.scale import attach, attach_scalar, staged
+from cohortlens.operators.scale import attach, attach_scalar, parallelism, staged
 
 #: Newton steps from zero. The penalty keeps every step finite; far fewer reach the optimum.
 STEPS = 12
 # Rows of one pass of matrix products.
 BLOCK = 4096
+# Replicate number of the model with the true labels.
+OBSERVED = -1
 
 
 def weighted_rows(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -42,14 +44,20 @@ def fit_logistic(train: DataFrame, features: Sequence[str], replicates: Sequence
     values = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
     pair = F.col("pair_id").cast("string") if coined else F.lit("")
     rows = train.select(*values, F.col("weight").cast("double").alias("w"), F.col("label").cast("int").alias("y"), pair.alias("pair"))
+    if coined:
+        # The coins of a pair are hashed where its rows meet, all pairs of a batch at once; small tables use every core too.
+        rows = rows.repartition(parallelism(train.sparkSession), "pair").sortWithinPartitions("pair")
+    heads = [f"{seed}:{r}:train|".encode() for r in numbers if r is not None]
+    flipped = [i for i, r in enumerate(numbers) if r is not None]
 
     def coins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[str, bytes] = {}
-            for p in set(batch.column(d + 1).to_pylist()):
-                bits = [0 if r is None else int(hashlib.md5(f"{seed}:{r}:train|{p}".encode()).hexdigest()[:15], 16) & 1 for r in numbers]
-                known[p] = np.packbits(np.array(bits, np.uint8)).tobytes()
-            flips = pa.array([known[p] for p in batch.column(d + 1).to_pylist()], pa.binary())
+            pairs = batch.column(d + 1).dictionary_encode()
+            bits = np.zeros((len(pairs.dictionary), len(numbers)), np.uint8)
+            if coined:
+                bits[:, flipped] = (draws.hash_grid(heads, [str(p).encode() for p in pairs.dictionary.to_pylist()]) & 1).T
+            known = np.array([row.tobytes() for row in np.packbits(bits, axis=1)], object)
+            flips = pa.array(known[pairs.indices.to_numpy()] if len(known) else [], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:d + 1], flips], names=[*(f"x{i}" for i in range(d - 1)), "w", "y", "flips"])
 
     schema = ", ".join([*(f"x{i} double" for i in range(d - 1)), "w double", "y int", "flips binary"])
@@ -104,9 +112,20 @@ def permutation_null(rows: DataFrame, features: Sequence[str], replicates: Seque
 
     The replicates are fitted together; an empty test split gives no row.
     """
+    return _test_auc(rows, features, list(replicates), seed, c)
+
+
+def permutation_test(rows: DataFrame, features: Sequence[str], replicates: Sequence[int], seed: int, c: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """``permutation_null`` and (auc) of the model with the true labels, which is fitted, scored and ranked with the others."""
+    every = staged(_test_auc(rows, features, [None, *replicates], seed, c))
+    return every.where(F.col("replicate") != OBSERVED), every.where(F.col("replicate") == OBSERVED).select("auc")
+
+
+def _test_auc(rows: DataFrame, features: Sequence[str], replicates: Sequence[int | None], seed: int, c: float) -> DataFrame:
     ready = staged(weighted_rows(rows, features))
-    beta = fit_logistic(ready.where("split = 'train'"), features, list(replicates), seed, c)
-    test = scored(ready.where("split = 'test'"), beta, features, ["pair_id", "participant", "label"], list(replicates))
+    beta = fit_logistic(ready.where("split = 'train'"), features, replicates, seed, c)
+    numbers = [OBSERVED if r is None else r for r in replicates]
+    test = scored(ready.where("split = 'test'"), beta, features, ["pair_id", "participant", "label"], numbers)
     return ranking.ranking(ranking.aggregate_subjects(test, ["replicate"]), ["replicate"]).select("replicate", "auc")
 
 

@@ -186,6 +186,28 @@ def test_replicates_are_fitted_like_single_models(spark, monkeypatch):
     assert model.permutation_p_value(model.permutation_null(df, ["a", "b"], range(19), 73), observed, 20).first().p_value is None
 
 
+def test_null_and_observed_model_are_fitted_and_ranked_together(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [("train" if i < 20 else "test", f"p{i}", f"{i}-{y}", y, float(rng.normal() + 0.9 * y), float(rng.normal())) for i in range(30) for y in (0, 1)]
+    df = spark.createDataFrame(rows, "split string, pair_id string, participant string, label int, a double, b double")
+    alone = {r.replicate: r.auc for r in model.permutation_null(df, ["a", "b"], range(5), 73).collect()}
+    held = ranking.ranking(ranking.aggregate_subjects(model.held_out_scores(df, ["a", "b"]).where("split = 'test'")), []).first().auc
+    fits, fit = [], model.fit_logistic
+    monkeypatch.setattr(model, "fit_logistic", lambda *a, **k: fits.append(1) or fit(*a, **k))
+    null, observed = model.permutation_test(df, ["a", "b"], range(5), 73)
+    assert len(fits) == 1 and observed.first().auc == pytest.approx(held)
+    assert {r.replicate: r.auc for r in null.collect()} == pytest.approx(alone)
+
+
+def test_participants_are_those_of_the_manifest(spark, sf):
+    from cohortlens.plans import tables
+
+    got = tables.participants(spark, sf)
+    assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in tables.records(spark, sf).select("participant").distinct().collect())
+    # No slice is formed to name them.
+    assert "ReadSchema: struct<l_orderkey:bigint>" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_auc(rows):
     """AUC of (score, label, count) by counting wins pair by pair."""
     p = [(s, m) for s, y, m in rows if y]
