@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import functions as F
 
@@ -17,11 +18,21 @@ THRESHOLDS = sweep.threshold_list(0.0, 0.1, 0.02)
 THR_SQL = ", ".join(f"({i}, {x}::DOUBLE)" for i, x in enumerate(THRESHOLDS))
 
 
+#: Rows of one arriving file: the task that writes it reads no more, however large the table is.
+FILE_ROWS = 1 << 20
+
+
+def arrive(rows, key, batches, path):
+    """Append ``rows`` to the folder in files of about ``FILE_ROWS``, a key in one file; the number of files in each of ``batches``."""
+    each = max(1, math.ceil(rows.count() / (batches * FILE_ROWS)))
+    rows.repartition(batches * each, key).write.mode("append").parquet(path)
+    return each
+
+
 def element_files(spark, d):
-    """The scored elements written in several files that arrive one per micro-batch."""
+    """The scored elements written in files that arrive in four micro-batches, and the number of files in each."""
     path = writers.scratch(spark, "elements")
-    t.elements(spark, d, "l_discount").repartition(4, "subject").write.parquet(path)
-    return path
+    return path, arrive(t.elements(spark, d, "l_discount"), "subject", 4, path)
 
 
 @query("t1_streaming_sweep", f"""WITH {S.TIED}, thr(ord, thr) AS (VALUES {THR_SQL}), x AS (SELECT ord, thr, subject, label, score > CAST(thr AS FLOAT) AS p FROM tied, thr),
@@ -29,7 +40,8 @@ c AS (SELECT ord, thr, subject, count(*) FILTER (WHERE p AND label) AS tp, count
 SELECT ord, thr, count(*) AS subjects, round(avg(2.0 * tp / greatest(2 * tp + fp + fn, 1e-8)), 9) AS dice, round(sum(tp) / greatest(sum(tp) + sum(fn), 1), 9) AS sensitivity, round(sum(tp) / greatest(sum(tp) + sum(fp), 1), 9) AS precision FROM c GROUP BY ord, thr""")
 def streaming_sweep(spark, d):
     state = writers.scratch(spark, "sweep-state")
-    incremental.run_sweep_stream(spark, element_files(spark, d), state, THRESHOLDS)
+    source, each = element_files(spark, d)
+    incremental.run_sweep_stream(spark, source, state, THRESHOLDS, each)
     rows = incremental.finalize_sweep(spark, state)
     return rows.select("ord", "thr", "subjects", *[F.round(c, 9).alias(c) for c in ("dice", "sensitivity", "precision")])
 
@@ -38,19 +50,19 @@ def streaming_sweep(spark, d):
 def streaming_counts(spark, d):
     events = t.table(spark, d, "events").select("event_id", "event_type", "value")
     path = writers.scratch(spark, "events")
-    events.repartition(4, "event_id").write.parquet(path)
-    out = incremental.run_counts_stream(spark, path, events.schema, ["event_type"], "value", writers.scratch(spark, "counts"))
+    each = arrive(events, "event_id", 4, path)
+    out = incremental.run_counts_stream(spark, path, events.schema, ["event_type"], "value", writers.scratch(spark, "counts"), each)
     return out.select("event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("t2_resume_missing_subjects", "SELECT l_suppkey AS subject, count(*) AS n FROM lineitem GROUP BY 1")
 def resume_missing(spark, d):
     # Every subject arrives twice; the second copy is recognised as stored.
-    source = element_files(spark, d)
+    source, each = element_files(spark, d)
     target = writers.scratch(spark, "ingested")
-    incremental.ingest_missing(spark, source, incremental.ELEMENT_SCHEMA, target, "subject")
-    t.elements(spark, d, "l_discount").repartition(2, "subject").write.mode("append").parquet(source)
-    incremental.ingest_missing(spark, source, incremental.ELEMENT_SCHEMA, target, "subject")
+    incremental.ingest_missing(spark, source, incremental.ELEMENT_SCHEMA, target, "subject", each)
+    each = arrive(t.elements(spark, d, "l_discount"), "subject", 2, source)
+    incremental.ingest_missing(spark, source, incremental.ELEMENT_SCHEMA, target, "subject", each)
     return spark.read.parquet(target).groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
 
 

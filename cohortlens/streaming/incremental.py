@@ -48,13 +48,13 @@ def finalize_sweep(spark: SparkSession, state: str) -> DataFrame:
     return confusion.macro_micro(merged, ["ord", "thr"])
 
 
-def run_counts_stream(spark: SparkSession, source: str, schema: T.StructType, keys: Sequence[str], value: str, state: str) -> DataFrame:
+def run_counts_stream(spark: SparkSession, source: str, schema: T.StructType, keys: Sequence[str], value: str, state: str, files_per_batch: int = 1) -> DataFrame:
     """Count and sum per key of everything that has arrived in ``source``; call again to resume after new files arrive.
 
     Every batch writes its own partial sums to ``state``, in a folder that a replay overwrites, and the partials are
     merged by a plain aggregate: no key is held by the driver.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
         sums = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))

@@ -110,6 +110,17 @@ def test_resumed_ingestion_refuses_other_rows_of_a_stored_subject(spark, tmp_pat
         arrive([(2, 0.4)])
 
 
+def test_arriving_files_grow_in_number_not_in_rows(spark, tmp_path, monkeypatch):
+    from cohortlens.catalog import incremental
+
+    monkeypatch.setattr(incremental, "FILE_ROWS", 100)
+    path, rows = str(tmp_path / "in"), spark.range(4000).select(F.col("id").alias("subject"))
+    assert incremental.arrive(rows, "subject", 4, path) == 10
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 40 and sum(sizes) == 4000 and max(sizes) < 200
+    assert incremental.arrive(rows.limit(30), "subject", 2, path) == 1
+
+
 def test_landmarks_are_neither_joined_nor_shuffled(spark, frame):
     plan = normalize.landmarks(frame[0].withColumn("v", F.col("v") + 10), ["k"], "v", 64)._jdf.queryExecution().sparkPlan().toString()
     above = plan[: plan.index("Generate")]
