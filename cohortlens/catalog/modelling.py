@@ -109,7 +109,8 @@ sh AS (SELECT source, i, f, floor(h * f) AS base, h - sum(floor(h * f)) OVER (PA
 upto AS (SELECT source, i, sum(2 * (base + CASE WHEN nth <= rest THEN 1 ELSE 0 END)) OVER (PARTITION BY source ORDER BY i) AS n FROM sh),
 fresh AS (SELECT source, participant, ['train', 'val', 'test'][min(i) + 1] AS split FROM sp JOIN upto USING (source) WHERE r < n GROUP BY ALL), cohort AS (SELECT r.*, split FROM records r JOIN fresh USING (source, participant) WHERE label = 0), {cohort_sql('source, split')}""")
 def source_stratified_pairs(spark, d):
-    out = controls.source_stratified_pairs(t.records(spark, d).where("label = 0"), 73)
+    rows = t.records(spark, d).where("label = 0").select("source", "participant", "label", "z_bin", "z", "record_id")
+    out = controls.source_stratified_pairs(rows, 73)
     return out.select("source", "split", "pair_id", "participant", "label", "z_bin", "z", "record_id")
 
 

@@ -184,10 +184,11 @@ def even_splits(people: DataFrame, source: str, participant: str, seed: int, fra
 
 def source_stratified_pairs(rows: DataFrame, seed: int, fractions: Sequence[float] = (0.40, 0.10, 0.50)) -> DataFrame:
     """Same-cohort pairs inside each source, with fresh splits of even size per source. A participant of several sources is
-    drawn in each of them."""
-    people = rows.select("source", "participant").distinct()
+    drawn in each of them. ``rows`` are evaluated once; their splits are written for the steps of the matching."""
+    held = staged(rows.drop("split"))
+    people = held.select("source", "participant").distinct()
     assigned = even_splits(people, "source", "participant", seed, fractions)
-    return same_cohort_pairs(attach(rows.drop("split"), staged(assigned), ["source", "participant"]), seed, ["source", "split"])
+    return same_cohort_pairs(staged(attach(held, staged(assigned), ["source", "participant"])), seed, ["source", "split"])
 
 
 Z_REACH = 2

@@ -284,6 +284,9 @@ def test_source_stratified_pairs(spark):
     assert sizes == expected
     inside = out.groupBy("pair_id").agg(F.countDistinct("source").alias("s"), F.countDistinct("split").alias("t"))
     assert inside.where("s > 1 OR t > 1").isEmpty()
+    # The records were evaluated once, when they were written: what is left reads stored tables only.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan
 
 
 def test_both_sides_of_a_pairing_take_their_first_case_in_one_join(spark):
