@@ -87,12 +87,15 @@ def _tie_order() -> list:
 
 
 def expand_matches(matched: DataFrame, members0: DataFrame, members1: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Member pairs of matched classes. ``members`` are (keys, cls, rank, …) with ranks inside the class."""
+    """Member pairs of matched classes. ``members`` are (keys, cls, rank, …) with ranks inside the class.
+
+    The planner takes the slots of a match to be as few as the matches: they are merged where the rows lie, never sent through the driver.
+    """
     slots = matched.select(*keys, "c0", "c1", "from0", "from1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("amount") - 1)).alias("_s"))
     placed = slots.withColumns({"rank0": F.col("from0") + F.col("_s"), "rank1": F.col("from1") + F.col("_s")}).drop("from0", "from1", "_s")
     left = members0.withColumnsRenamed({"cls": "c0", "rank": "rank0"})
     right = members1.withColumnsRenamed({"cls": "c1", "rank": "rank1"})
-    return placed.join(left, [*keys, "c0", "rank0"]).join(right, [*keys, "c1", "rank1"])
+    return placed.hint("merge").join(left, [*keys, "c0", "rank0"]).join(right.hint("merge"), [*keys, "c1", "rank1"])
 
 
 def match_by_overlap(classes: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
@@ -194,6 +197,8 @@ def source_stratified_pairs(rows: DataFrame, seed: int, fractions: Sequence[floa
 Z_REACH = 2
 SUPPORT_REACH = 0.03
 SUPPORT_GRID = 0.005
+#: Cells of depth and support that are broadcast, some 20 MB; more are merged.
+CELLS_AT_ONCE = 100_000
 
 
 def matched_controls(low: DataFrame, pools: DataFrame, seed: int, keys: Sequence[str] = ("partition",)) -> DataFrame:
@@ -206,6 +211,7 @@ def matched_controls(low: DataFrame, pools: DataFrame, seed: int, keys: Sequence
     in every pool. The result has one row per low slice and pool: (keys, key, pool, control, distance). Keys of slices are unique.
     """
     keys = [*keys, "pool"]
+    low, pools = staged(low), staged(pools)
     names = [r[0] for r in pools.select("pool").distinct().collect()]
     cell = F.struct(F.col("z"), F.floor(F.col("support") / SUPPORT_GRID).cast("int").alias("cell"))
     lows = low.withColumn("pool", F.explode(F.array(*[F.lit(n) for n in names])))
@@ -223,7 +229,7 @@ def matched_controls(low: DataFrame, pools: DataFrame, seed: int, keys: Sequence
 def _whole_sets(found: DataFrame, keys: Sequence[str], pools: int) -> DataFrame:
     """Matches of the low slices that have one in every pool."""
     whole = found.groupBy(*keys, "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == pools).drop("_n")
-    return found.join(whole, [*keys, "key"])
+    return found.join(whole.hint("merge"), [*keys, "key"])
 
 
 def _complete(low: DataFrame, pools: DataFrame, matched: DataFrame, names: Sequence[str], seed: int, keys: Sequence[str]) -> DataFrame:
@@ -234,7 +240,9 @@ def _complete(low: DataFrame, pools: DataFrame, matched: DataFrame, names: Seque
     candidate everywhere gets a set in any case, and most draws do not meet: a round settles a share of what is open, not one
     slice of each crowd. In the rounds by rank a slice looks at one unused control in each cell within reach, an equi-join; only
     when these find no more sets, all controls are looked at that lie in cells whose range of support is within reach. A
-    low slice with an empty pool within reach leaves for good, as unused controls only become fewer.
+    low slice with an empty pool within reach leaves for good, as unused controls only become fewer. Slices with the cells around
+    them are many rows in a small file, and so are the sets of a round: their joins are merged, the planner would broadcast them by
+    the size of the file. Only cells are broadcast, and only where they are few.
     """
     keys, base = list(keys), list(keys[:-1])
     steps = int(round(SUPPORT_REACH / SUPPORT_GRID))
@@ -246,22 +254,25 @@ def _complete(low: DataFrame, pools: DataFrame, matched: DataFrame, names: Seque
     turn = F.struct(draws.hash_text(f"{seed}:turn", "key").alias("turn"), F.col("key"))
     sets, step, number, by_rank = [matched], matched, 0, True
     while True:
-        unused = staged(unused.join(step.select(*keys, "control"), [*keys, "control"], "left_anti"))
+        unused = staged(unused.join(step.select(*keys, "control").hint("merge"), [*keys, "control"], "left_anti"))
         ranked = draws.permuted(unused, "control", f"{seed}:{number}:unused", place, "_r")
         cells = unused.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), F.min("_support").alias("_from"), F.max("_support").alias("_to"))
-        around = waiting.join(step.select(*base, "key").distinct(), [*base, "key"], "left_anti").withColumn("pool", F.explode(F.array(*[F.lit(n) for n in names])))
+        around = waiting.join(step.select(*base, "key").distinct().hint("merge"), [*base, "key"], "left_anti").withColumn("pool", F.explode(F.array(*[F.lit(n) for n in names])))
         around = around.withColumn("_dz", F.explode(F.sequence(F.lit(-Z_REACH), F.lit(Z_REACH)))).withColumn("_ds", F.explode(F.sequence(F.lit(-steps), F.lit(steps))))
+        if not number:
+            # Cells only become fewer.
+            side = "broadcast" if cells.count() <= CELLS_AT_ONCE else "merge"
         around = around.withColumns({"_z": (F.col("z") + F.col("_dz")).cast("int"), "_cell": F.col("_own") + F.col("_ds")}).drop("_ds", "_own")
         # A rounded limit must not rule a cell out: the exact test follows on the pairs.
-        near = around.join(cells, place).where((F.col("_from") - F.col("support") <= SUPPORT_REACH + 1e-9) & (F.col("support") - F.col("_to") <= SUPPORT_REACH + 1e-9))
+        near = around.join(cells.hint(side), place).where((F.col("_from") - F.col("support") <= SUPPORT_REACH + 1e-9) & (F.col("support") - F.col("_to") <= SUPPORT_REACH + 1e-9))
         hopeful = near.groupBy(*base, "key").agg(F.countDistinct("pool").alias("_n")).where(F.col("_n") == len(names)).drop("_n")
-        near = staged(near.join(hopeful, [*base, "key"], "left_semi"))
+        near = staged(near.join(hopeful.hint("merge"), [*base, "key"], "left_semi"))
         waiting = staged(near.groupBy(*base, "key").agg(*[F.first(c).alias(c) for c in ("case_id", "z", "support")]).withColumn("_own", cell))
         if by_rank:
             drawn = near.withColumn("_r", draws.hash_index(F.col("_n"), f"{seed}:{number}", "key", "_z", "_cell").cast("long"))
-            met = drawn.join(ranked, [*place, "_r"])
+            met = drawn.hint("merge").join(ranked, [*place, "_r"])
         else:
-            met = near.join(unused, place)
+            met = near.hint("merge").join(unused, place)
         edges = met.where((gap <= SUPPORT_REACH) & (F.col("case_id") != F.col("_case")))
         able = (F.abs("_dz") / Z_REACH + gap / SUPPORT_REACH).alias("distance")
         lot = F.struct(draws.hash_text(f"{seed}:{number}:lot", "key", "control").alias("lot"), F.col("control"), able)
@@ -289,7 +300,7 @@ def _cells_in_reach(rank0: DataFrame, rank1: DataFrame, keys: Sequence[str]) ->
         "_ds", F.explode(F.sequence(F.lit(-steps), F.lit(steps)))
     )
     target = F.struct((F.col("c0.z") + F.col("_dz")).cast("int").alias("z"), (F.col("c0.cell") + F.col("_ds")).alias("cell"))
-    pairs = near.withColumn("c1", target).join(sizes1, [*keys, "c1"])
+    pairs = near.withColumn("c1", target).hint("merge").join(sizes1, [*keys, "c1"])
     distance = F.round(F.abs(F.col("_dz")) / Z_REACH + F.abs(F.col("_ds")) * SUPPORT_GRID / SUPPORT_REACH, 9)
     order = F.struct(distance.alias("d"), *_tie_order())
     return pairs.select(*keys, "c0", "c1", "s0", "s1", order.alias("order"))

@@ -222,6 +222,31 @@ def test_a_crowd_of_low_slices_settles_in_few_rounds(spark, monkeypatch):
     assert len(writes) < 75
 
 
+def test_slots_of_a_match_are_not_broadcast(spark):
+    """A match is one small row and stands for as many pairs as its amount: the size of its table says nothing of theirs."""
+    cell = "STRUCT<z: INT, cell: INT>"
+    matched = spark.createDataFrame([("p", (0, 1), (0, 2), 5000, 0, 0)], f"p string, c0 {cell}, c1 {cell}, amount long, from0 long, from1 long")
+    side = [spark.range(5000).select(F.lit("p").alias("p"), F.struct(F.lit(0).alias("z"), F.lit(n).alias("cell")).alias("cls"), F.col("id").alias("rank"), F.col("id").alias(name)) for n, name in ((1, "key"), (2, "control"))]
+    out = controls.expand_matches(matched, *side, ["p"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("key = control").count() == 5000
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_rounds_of_matching_broadcast_cells_only(spark, monkeypatch, most):
+    """Slices, their proposals and their sets stay where they lie, by rank and in the last rounds that look at all controls."""
+    monkeypatch.setattr(controls, "CELLS_AT_ONCE", most, raising=False)
+    cols, plans, write = "p string, key string, case_id string, z int, support double", [], controls.staged
+    low = spark.createDataFrame([("p", f"l{i}", "x", 0, 0.5001) for i in range(30)], cols)
+    pools = spark.createDataFrame([("p", f"c{i}", "y", 0, 0.5001 + i * 1e-6, "a") for i in range(20)] + [("p", "d", "x", 0, 0.5001, "a")], f"{cols}, pool string")
+    monkeypatch.setattr(controls, "staged", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    none = spark.createDataFrame([], "p string, key string, pool string, control string, distance double")
+    assert controls._complete(low, pools, none, ["a"], 5, ["p", "pool"]).count() == 20
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert any("SortMergeJoin" in x for x in joins)
+    assert not [x for x in joins if "Broadcast" in x and (not most or "BuildLeft" in x or any(f"{c}#" in x for c in (" key", "[key", "control", "_r")))]
+
+
 def greedy_classes(side0, side1, seed):
     """All pairs of classes in one order, taken one after the other: {(c0, c1): amount}."""
     left = [{c: n for c, _, _, n in s} for s in (side0, side1)]
